@@ -385,6 +385,21 @@ def report(acc: DataFrame, bias: DataFrame | None = None) -> dict:
     return out
 
 
+def report_table(acc: DataFrame, bias: DataFrame | None = None) -> DataFrame:
+    """E12 as one long table: section, benchmark/scope, language/key, seed, value columns."""
+    parts = [acc.select(F.when(F.col("language") == OVERALL, F.lit("by_benchmark")).otherwise(F.lit("by_language"))
+                        .alias("section"), "seed", F.col("benchmark").alias("name"), F.col("language").alias("key"),
+                        F.col("total").alias("count"), F.col("accuracy").alias("value"))]
+    if bias is not None:
+        parts.append(bias.select(F.concat(F.lit("bias_by_"), F.col("scope")).alias("section"), "seed",
+                                 F.lit("judgment-requests").alias("name"), "key",
+                                 F.col("total_pairs").alias("count"), F.col("bias_severity").alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.orderBy("section", "name", "key", "seed")
+
+
 def compare_runs(a: DataFrame, b: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Paired t-test per benchmark on shared seeds, only benchmarks that have
     an ``_overall`` row in both runs."""

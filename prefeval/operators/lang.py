@@ -59,28 +59,34 @@ def _h32(text: str) -> int:
     return int(hashlib.md5(text.encode("utf-8")).hexdigest()[:8], 16)
 
 
-def stub_judge(pdf: pd.DataFrame) -> pd.Series:
+def make_stub_judge(salt: str = ""):
     """Deterministic stand-in for a judge model (tests and benches).
 
-    Prefers the longer answer. By h = md5-prefix of 'seed|id' mod 10:
+    Prefers the longer answer. By h = md5-prefix of salt+'seed|id' mod 10:
     0 -> no verdict, 1 -> lower-case verdict, 2 -> both patterns with the
-    other one first, else a plain verdict."""
-    out = []
-    for seed, rid, a, b in zip(pdf["seed"], pdf["id"], pdf["answer_a"], pdf["answer_b"]):
-        la = len(a) if isinstance(a, str) else 0
-        lb = len(b) if isinstance(b, str) else 0
-        better = "A" if la >= lb else "B"
-        other = "B" if better == "A" else "A"
-        k = _h32(f"{seed}|{rid}") % 10
-        if k == 0:
-            out.append("Both answers have merits; no decision.")
-        elif k == 1:
-            out.append("Assessment done. final verdict: [[" + better.lower() + "]]")
-        elif k == 2:
-            out.append("Weighing [[" + other + "]] against [[" + better + "]]: the second wins.")
-        else:
-            out.append("Assessment done. Final verdict: [[" + better + "]]")
-    return pd.Series(out, index=pdf.index)
+    other one first, else a plain verdict. A per-row Python helper, run in
+    Arrow batches by ``map_text``."""
+    def judge(pdf: pd.DataFrame) -> pd.Series:
+        out = []
+        for seed, rid, a, b in zip(pdf["seed"], pdf["id"], pdf["answer_a"], pdf["answer_b"]):
+            la = len(a) if isinstance(a, str) else 0
+            lb = len(b) if isinstance(b, str) else 0
+            better = "A" if la >= lb else "B"
+            other = "B" if better == "A" else "A"
+            k = _h32(f"{salt}{seed}|{rid}") % 10
+            if k == 0:
+                out.append("Both answers have merits; no decision.")
+            elif k == 1:
+                out.append("Assessment done. final verdict: [[" + better.lower() + "]]")
+            elif k == 2:
+                out.append("Weighing [[" + other + "]] against [[" + better + "]]: the second wins.")
+            else:
+                out.append("Assessment done. Final verdict: [[" + better + "]]")
+        return pd.Series(out, index=pdf.index)
+    return judge
+
+
+stub_judge = make_stub_judge("")
 
 
 # --------------------------------------------------------------------------- L3

@@ -92,4 +92,52 @@ def requests(spark: SparkSession, root: str) -> DataFrame:
         "content",
         F.concat(F.lit("set"), F.substring("benchmark", 6, 1)).alias("dataset"),
         F.concat(F.col("group"), F.lit("_"), F.col("language"), F.lit("_judgment_requests.jsonl")).alias("file_name"),
-        F.col("id").alias("row_id"))
+        (F.col("id") * 2 + F.when(F.col("gold") == "B", 1).otherwise(0)).alias("row_id"))
+
+
+def sections(spark: SparkSession, root: str) -> DataFrame:
+    """F-SECT: F-PAIR texts under the ``###`` headers. h(id)%3=0 carries a
+    reference block, h(id)%7=0 misses the Response B header; orig_criteria
+    and output take missing-value forms by hash."""
+    p = pairs(spark, root)
+    hh = h32(F.col("id"))
+    ref = F.when(hh % 3 == 0, F.concat(F.lit("\n\n###Reference Answer:\nA model answer for item "),
+                                       F.col("id").cast("string"))).otherwise(F.lit(""))
+    header_b = F.when(hh % 7 == 0, F.lit("###Response B:")).otherwise(F.lit("###Response B to evaluate:"))
+    instruction = F.concat(
+        F.lit("###Task Description:\nRead the instruction and both responses, given a reference answer, "
+              "a rubric and the task.\n\n###The instruction to evaluate:\n"), F.col("prompt"),
+        F.lit("\n\n###Response A to evaluate:\n"), F.col("chosen"), F.lit("\n\n"), header_b, F.lit("\n"),
+        F.col("rejected"), ref,
+        F.lit("\n\n###Evaluation Criteria:\nIs the response helpful and correct?\n\n###Feedback: "))
+    crit = (F.when(hh % 5 == 0, F.lit(None).cast("string")).when(hh % 5 == 1, F.lit(" none "))
+             .when(hh % 5 == 2, F.lit("")).when(hh % 5 == 3, F.lit("Helpfulness")).otherwise(F.lit("NULL")))
+    output = F.when(hh % 4 == 0, F.lit(None).cast("string")).otherwise(
+        F.concat(F.lit("Feedback "), F.col("id").cast("string")))
+    return p.select("id", instruction.alias("instruction"), F.col("prompt").alias("orig_instruction"),
+                    F.concat(F.lit(" "), F.col("chosen"), F.lit("\n")).alias("orig_response_A"),
+                    F.col("rejected").alias("orig_response_B"), crit.alias("orig_criteria"),
+                    output.alias("output"))
+
+
+def responses(spark: SparkSession, root: str) -> DataFrame:
+    """F-RESP: assistant turn t as A, assistant turn t+2 as B (null when
+    absent), the user turn t-1 as instruction; row_id = conv_id*1000 + turn."""
+    conv = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    a = conv.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("response_A"))
+    b = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("response_B"))
+    u = conv.filter(F.col("role") == "user").select(
+        "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("instruction"))
+    r = a.join(b, ["conv_id", "turn"], "left").join(u, ["conv_id", "turn"], "left")
+    return r.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "conv_id", "turn",
+                    "instruction", "response_A", "response_B", F.lit("").alias("output"))
+
+
+def proxy(spark: SparkSession, root: str) -> DataFrame:
+    """F-PROXY: events as proxy rows: nll = value (null when h%11=0),
+    ppl = props.k."""
+    ev = table(spark, root, "events")
+    nll = F.when(h32(F.col("event_id")) % 11 == 0, F.lit(None).cast("double")).otherwise(F.col("value"))
+    return ev.select(F.col("event_id").alias("row_id"), nll.alias("nll"),
+                     F.get_json_object("props", "$.k").alias("ppl"), "value", "event_type", "ts", "user_id")

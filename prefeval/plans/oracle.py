@@ -69,7 +69,25 @@ tasks AS (
          CASE WHEN swapped THEN 'B' ELSE 'A' END AS expected_verdict
   FROM seeded)"""
 
-STUB_JUDGE = f"""
+def stub_judge_sql(src: str = "tasks", out: str = "completions", salt: str = "") -> str:
+    key = H(f"'{salt}' || CAST(seed AS VARCHAR) || '|' || CAST(id AS VARCHAR)")
+    return f"""
+{out}_j AS (
+  SELECT t.*,
+         CASE WHEN length(answer_a) >= length(answer_b) THEN 'A' ELSE 'B' END AS _better,
+         {key} % 10 AS _k
+  FROM {src} t),
+{out} AS (
+  SELECT *,
+    CASE WHEN _k = 0 THEN 'Both answers have merits; no decision.'
+         WHEN _k = 1 THEN 'Assessment done. final verdict: [[' || lower(_better) || ']]'
+         WHEN _k = 2 THEN 'Weighing [[' || CASE WHEN _better = 'A' THEN 'B' ELSE 'A' END
+                          || ']] against [[' || _better || ']]: the second wins.'
+         ELSE 'Assessment done. Final verdict: [[' || _better || ']]' END AS completion
+  FROM {out}_j)"""
+
+
+STUB_JUDGE_OLD = f"""
 judged AS (
   SELECT t.*,
          CASE WHEN length(answer_a) >= length(answer_b) THEN 'A' ELSE 'B' END AS _better,
@@ -97,6 +115,8 @@ def verdict_sql(text: str, pa: str = "[[A]]", pb: str = "[[B]]") -> str:
             f"WHEN {xa} > 0 THEN 'A' ELSE 'B' END)")
 
 
+STUB_JUDGE = stub_judge_sql()
+
 RECORDS = TASKS + "," + STUB_JUDGE + f""",
 parsed AS (SELECT *, {verdict_sql('completion')} AS verdict FROM completions),
 records AS (SELECT *, (verdict IS NOT DISTINCT FROM expected_verdict) AS correct FROM parsed)"""
@@ -112,6 +132,465 @@ FROM records
 GROUP BY GROUPING SETS ((seed, benchmark, language), (seed, benchmark), (seed))"""
 
 
+def lit(text: str) -> str:
+    """A SQL string literal; newlines as chr(10)."""
+    parts = ["'" + x.replace("'", "''") + "'" for x in text.split("\n")]
+    return " || chr(10) || ".join(parts)
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def words_sql(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda t: t <> '')"
+
+
+def records_sql(salt: str, prefix: str) -> str:
+    """CTEs ``{prefix}records`` for a stub judge run with the given salt (needs TASKS)."""
+    return stub_judge_sql("tasks", f"{prefix}completions", salt) + f""",
+{prefix}parsed AS (SELECT *, {verdict_sql('completion')} AS verdict FROM {prefix}completions),
+{prefix}records AS (SELECT *, (verdict IS NOT DISTINCT FROM expected_verdict) AS correct FROM {prefix}parsed)"""
+
+
+def accuracy_sql(src: str, out: str) -> str:
+    return f"""{out} AS (
+SELECT seed,
+       CASE WHEN grouping(benchmark) = 1 THEN '_overall' ELSE benchmark END AS benchmark,
+       CASE WHEN grouping(language) = 1 THEN '_overall' ELSE language END AS language,
+       count(*)::BIGINT AS total, count_if(correct)::BIGINT AS correct,
+       count_if(correct) / count(*) AS accuracy
+FROM {src}
+GROUP BY GROUPING SETS ((seed, benchmark, language), (seed, benchmark), (seed)))"""
+
+
+# ---------------------------------------------------------------------------- J ops
+J3 = "WITH " + TASKS + """
+SELECT id, 'Question (' || language || ' to ' || language || '): ' || prompt || chr(10)
+  || '{kept braces} A: ' || answer_a || chr(10) || 'B: ' || answer_b || chr(10)
+  || 'Unknown stays: {rubric}' || chr(10) || 'Prompt again: ' || prompt AS text
+FROM tasks WHERE seed = 42"""
+
+
+def _rubric_texts():
+    from prefeval.operators.tasks import format_rubric
+    from prefeval.plans.queries import RUBRICS
+    return [format_rubric(r) for r in RUBRICS]
+
+
+def sha_mod_sql(text: str, n: int) -> str:
+    return (f"list_reduce(list_transform(string_split(sha256({text}), ''), lambda d: ('0x' || d)::BIGINT), "
+            f"lambda a, d: (a * 16 + d) % {n}, 0::BIGINT)")
+
+
+def rubric_sql(idcol: str = "id") -> str:
+    rs = _rubric_texts()
+    arr = "[" + ", ".join(lit(r) for r in rs) + "]"
+    idx = sha_mod_sql(f"'42:' || CAST({idcol} AS VARCHAR)", len(rs))
+    return f"CAST({idx} AS INTEGER) AS rubric_index, list_extract({arr}, CAST({idx} AS INTEGER) + 1) AS rubric"
+
+
+J4 = "WITH " + PAIRS + f"\nSELECT id, {rubric_sql()} FROM pairs"
+
+
+def template_type_sql(category: str, subset: str) -> str:
+    from prefeval.plans.queries import TEMPLATE_KEYS
+    raw = (f"coalesce(CASE WHEN length({category}) > 0 THEN {category} END, "
+           f"CASE WHEN length({subset}) > 0 THEN {subset} END, '')")
+    src = f"lower({strip_sql(raw)})"
+    whens = [f"WHEN contains({src}, 'chat') THEN 'general'"]
+    whens += [f"WHEN {src} = '{k}' THEN '{k}'" for k in TEMPLATE_KEYS]
+    whens += [f"WHEN contains({src}, '{k}') THEN '{k}'" for k in TEMPLATE_KEYS
+              if k not in ("schema", "tags", "general")]
+    return "CASE " + " ".join(whens) + " ELSE 'general' END"
+
+
+DOC_CATS = """doc_cats AS (
+  SELECT doc_id, lang, source AS subset,
+         CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Chat ' || lang WHEN 2 THEN lang ELSE '' END AS category
+  FROM documents)"""
+
+J5 = "WITH " + DOC_CATS + f"\nSELECT doc_id, {template_type_sql('category', 'subset')} AS template_type FROM doc_cats"
+
+
+def _j6():
+    from prefeval.plans.queries import TASK_TEXT, DEFAULT_TASK
+    task = "CASE " + " ".join(f"WHEN template_type = '{k}' THEN {lit(v)}" for k, v in TASK_TEXT.items()) \
+        + f" ELSE {lit(DEFAULT_TASK)} END"
+    fmt = lit("\n\n# Response format\nAnswer with a JSON object {\"score\": \"Assistant A\"} or "
+              "{\"score\": \"Assistant B\"}.")
+    return "WITH " + TASKS + f""",
+typed AS (SELECT *, {template_type_sql('NULL', 'subset')} AS template_type FROM tasks WHERE seed = 42),
+rub AS (SELECT *, {rubric_sql()} FROM typed)
+SELECT id, template_type,
+  {lit('# Task' + chr(10))} || {task} || {lit(chr(10) + chr(10) + '# Rubric' + chr(10))} || coalesce(rubric, '')
+  || {fmt} || {lit(chr(10) + chr(10) + '# Input' + chr(10))} || prompt
+  || {lit(chr(10) + chr(10) + '# Assistant A' + chr(10))} || answer_a
+  || {lit(chr(10) + chr(10) + '# Assistant B' + chr(10))} || answer_b AS judge_prompt
+FROM rub"""
+
+
+J6 = _j6()
+
+
+def keep_sql(arr: str, budget: str) -> str:
+    head = f"({budget}) // 2"
+    tail = f"(({budget}) - ({budget}) // 2)"
+    return (f"(CASE WHEN {budget} <= 0 THEN {arr}[1:0] WHEN len({arr}) <= {budget} THEN {arr} "
+            f"WHEN {budget} < 4 THEN {arr}[1:{budget}] "
+            f"ELSE list_concat({arr}[1:{head}], {arr}[len({arr}) - {tail} + 1:]) END)")
+
+
+J7 = "WITH " + PAIRS + f""",
+tok AS (SELECT id, {words_sql('prompt')} AS q, {words_sql('chosen')} AS a, {words_sql('rejected')} AS b FROM pairs),
+t1 AS (SELECT *, 40 + len(q) + len(a) + len(b) AS len0, (40 + len(q) + len(a) + len(b)) > 600 AS over FROM tok),
+t2 AS (SELECT *, CASE WHEN over AND 40 + len(q) > 600 THEN {keep_sql('q', '560')} ELSE q END AS q_fit FROM t1),
+t3 AS (SELECT *, CAST(floor(greatest(600 - (40 + len(q_fit)), 0) / 2) AS INTEGER) AS budget FROM t2),
+t4 AS (SELECT *, CASE WHEN over THEN {keep_sql('a', 'budget')} ELSE a END AS a_fit,
+                 CASE WHEN over THEN {keep_sql('b', 'budget')} ELSE b END AS b_fit FROM t3)
+SELECT id, len(q_fit)::INTEGER AS q_n, len(a_fit)::INTEGER AS a_n, len(b_fit)::INTEGER AS b_n,
+       least(40 + len(q_fit) + len(a_fit) + len(b_fit), 600)::INTEGER AS prompt_tokens, over AS truncated,
+       (40 + len(q_fit) + len(a_fit) + len(b_fit)) > 600 AS cut_whole,
+       array_to_string(a_fit, ' ') AS a_text, array_to_string(b_fit, ' ') AS b_text
+FROM t4"""
+
+USER_RE = ("(?s)\\[User Question\\]\\s*(.*?)\\s*\\[The Start of Assistant A''s Answer\\]\\s*(.*?)\\s*"
+           "\\[The End of Assistant A''s Answer\\]\\s*\\[The Start of Assistant B''s Answer\\]\\s*(.*?)\\s*"
+           "\\[The End of Assistant B''s Answer\\]\\s*$")
+CID_RE = "^(.+)[-_](\\d+)[-_]gold([AB])$"
+
+REQUESTS = PAIRS + f""",
+req0 AS (SELECT p.*, CASE WHEN language = 'en' THEN 'high_resource' ELSE 'low_resource' END AS grp,
+         unnest(CASE WHEN id % 2 = 0 THEN ['A', 'B'] WHEN {H('id')} % 2 = 0 THEN ['A'] ELSE ['B'] END) AS gold
+         FROM pairs p),
+req1 AS (SELECT *, CASE WHEN gold = 'A' THEN chosen ELSE rejected END AS ans_a,
+                   CASE WHEN gold = 'A' THEN rejected ELSE chosen END AS ans_b FROM req0),
+requests AS (
+  SELECT grp || '-' || language || '-' || CAST(id AS VARCHAR) || '-gold' || gold AS custom_id,
+         {user_sql('prompt', 'ans_a', 'ans_b')} AS content,
+         'set' || substr(benchmark, 6, 1) AS dataset,
+         grp || '_' || language || '_judgment_requests.jsonl' AS file_name,
+         id * 2 + CASE WHEN gold = 'B' THEN 1 ELSE 0 END AS row_id
+  FROM req1)"""
+
+
+def fallback_sql(fname: str) -> str:
+    name = f"regexp_extract({fname}, '([^/]*)$', 1)"
+    core = f"substr({name}, 1, length({name}) - 24)"
+    parts = f"string_split({core}, '_')"
+    ok = f"ends_with({name}, '_judgment_requests.jsonl')"
+    two = f"(len({parts}) >= 3 AND {parts}[2] = 'resource')"
+    g = (f"CASE WHEN NOT {ok} THEN NULL WHEN {two} THEN {parts}[1] || '_' || {parts}[2] "
+         f"WHEN len({parts}) >= 2 THEN {parts}[1] END")
+    lng = (f"CASE WHEN NOT {ok} THEN NULL WHEN {two} THEN nullif(array_to_string({parts}[3:], '_'), '') "
+           f"WHEN len({parts}) >= 2 THEN nullif(array_to_string({parts}[2:], '_'), '') "
+           f"ELSE nullif({core}, '') END")
+    return g, lng
+
+
+def custom_id_sql(cid: str, fg: str, fl: str) -> dict:
+    prefix = f"regexp_extract({cid}, '{CID_RE}', 1)"
+    idx = f"regexp_extract({cid}, '{CID_RE}', 2)"
+    gold = f"regexp_extract({cid}, '{CID_RE}', 3)"
+    ok = f"regexp_matches({cid}, '{CID_RE}')"
+    has_fg = f"({fg} IS NOT NULL AND length({fg}) > 0)"
+    starts = f"({has_fg} AND (starts_with({prefix}, {fg} || '-') OR starts_with({prefix}, {fg} || '_')))"
+    dash = f"instr({prefix}, '-')"
+    grp = (f"CASE WHEN {starts} THEN {fg} WHEN {dash} > 0 THEN substr({prefix}, 1, {dash} - 1) "
+           f"WHEN {has_fg} THEN {fg} ELSE 'unknown' END")
+    lang0 = (f"CASE WHEN {starts} THEN substr({prefix}, length({fg}) + 2) "
+             f"WHEN {dash} > 0 THEN substr({prefix}, {dash} + 1) ELSE {prefix} END")
+    lang = (f"CASE WHEN length({lang0}) > 0 THEN {lang0} WHEN {fl} IS NOT NULL AND length({fl}) > 0 "
+            f"THEN {fl} ELSE 'unknown' END")
+    return {
+        "group": f"CASE WHEN {ok} THEN {grp} END",
+        "language": f"CASE WHEN {ok} THEN {lang} END",
+        "idx": f"CASE WHEN {ok} THEN {idx} END",
+        "gold": f"CASE WHEN {ok} THEN {gold} END",
+        "pair_id": f"CASE WHEN {ok} THEN ({grp}) || '-' || ({lang}) || '-' || {idx} END",
+    }
+
+
+_fg, _fl = fallback_sql("file_name")
+_cid = custom_id_sql("custom_id", "fallback_group", "fallback_lang")
+
+PREQ = REQUESTS + f""",
+preq0 AS (
+  SELECT custom_id, row_id, dataset, file_name,
+         trim(regexp_extract(replace(content, chr(13) || chr(10), chr(10)), '{USER_RE}', 1), chr(10)) AS question,
+         trim(regexp_extract(replace(content, chr(13) || chr(10), chr(10)), '{USER_RE}', 2), chr(10)) AS answer_a,
+         trim(regexp_extract(replace(content, chr(13) || chr(10), chr(10)), '{USER_RE}', 3), chr(10)) AS answer_b,
+         {_fg} AS fallback_group, {_fl} AS fallback_lang
+  FROM requests),
+preq AS (
+  SELECT custom_id, row_id, dataset, file_name, question, answer_a, answer_b,
+         {_cid['group']} AS grp, {_cid['language']} AS sample_language, {_cid['idx']} AS idx,
+         {_cid['gold']} AS gold, {_cid['pair_id']} AS pair_id
+  FROM preq0),
+marked AS (SELECT *, count(DISTINCT gold) OVER (PARTITION BY pair_id) > 1 AS has_pair FROM preq),
+swaps0 AS (SELECT *, unnest(CASE WHEN has_pair THEN [0] ELSE [1, 2] END) AS copy FROM marked),
+swaps AS (
+  SELECT CASE copy WHEN 0 THEN custom_id WHEN 1 THEN custom_id || '-orig' ELSE custom_id || '-swap' END AS id,
+         pair_id, grp, sample_language, dataset AS language, 'judgment-requests' AS benchmark, gold,
+         CASE WHEN copy = 0 THEN gold = 'B' ELSE copy = 2 END AS swapped,
+         CASE WHEN copy = 2 THEN CASE WHEN gold = 'A' THEN 'B' ELSE 'A' END ELSE gold END AS expected_verdict,
+         CASE WHEN copy = 2 THEN answer_b ELSE answer_a END AS answer_a,
+         CASE WHEN copy = 2 THEN answer_a ELSE answer_b END AS answer_b
+  FROM swaps0)"""
+
+J8 = "WITH " + PREQ + "\nSELECT custom_id, pair_id, has_pair FROM marked"
+J9 = "WITH " + PREQ + """
+SELECT id, pair_id, swapped, expected_verdict, md5(answer_a) AS a_hash, md5(answer_b) AS b_hash FROM swaps"""
+J10 = "WITH " + PREQ + """,
+firsts AS (SELECT file_name, coalesce(pair_id, custom_id) AS _pair, min(row_id) AS _first FROM preq GROUP BY 1, 2),
+top AS (SELECT file_name, _pair FROM (
+          SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY _first, _pair) AS r FROM firsts) WHERE r <= 25)
+SELECT custom_id, file_name FROM preq p
+WHERE EXISTS (SELECT 1 FROM top t WHERE t.file_name = p.file_name AND t._pair = coalesce(p.pair_id, p.custom_id))"""
+J11 = """SELECT doc_id, lang FROM (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 30"""
+J1 = "WITH " + TASKS + "\nSELECT id, seed, swapped, expected_verdict FROM tasks"
+J2 = "WITH " + TASKS + f"\nSELECT id, seed, {default_prompt_sql('prompt', 'answer_a', 'answer_b', 'language')} AS judge_prompt FROM tasks"
+J12 = "WITH " + TASKS + f"""
+SELECT id AS request_id, 'task_' || CAST(id AS VARCHAR) AS custom_id,
+  CAST(json_object('model', 'judge-model', 'input', json_object(
+    'prompt', {default_prompt_sql('prompt', 'answer_a', 'answer_b', 'language')},
+    'max_tokens', 512, 'max_new_tokens', 512, 'max_completion_tokens', 512,
+    'temperature', 0.0, 'seed', 42)) AS VARCHAR) AS payload
+FROM tasks WHERE seed = 42"""
+
+# ---------------------------------------------------------------------------- E ops
+E1 = "WITH " + RECORDS + "\nSELECT id, seed, completion, verdict FROM records"
+E2 = "WITH " + RECORDS + "\nSELECT id, seed, verdict, expected_verdict, correct FROM records"
+E3 = "WITH " + RECORDS + f""",
+raw AS (SELECT id, seed, benchmark, language, verdict,
+               CASE WHEN {H2('seed', 'id')} % 97 = 0 THEN NULL ELSE expected_verdict END AS expected_verdict
+        FROM records),
+rc AS (SELECT *, CASE WHEN expected_verdict IS NOT NULL
+                      THEN verdict IS NOT DISTINCT FROM expected_verdict END AS correct FROM raw),
+okg AS (SELECT seed, benchmark, language FROM rc GROUP BY ALL HAVING bool_and(correct IS NOT NULL))
+SELECT id, seed, benchmark, language, correct FROM rc
+WHERE (seed, benchmark, language) IN (SELECT (seed, benchmark, language) FROM okg)"""
+E4 = "WITH " + RECORDS + """
+SELECT DISTINCT benchmark, language FROM pairs
+EXCEPT SELECT DISTINCT benchmark, language FROM records WHERE language <> 'de'"""
+
+
+def _e6():
+    from prefeval.operators.evaluate import _poisson1_cdf
+    cdf = _poisson1_cdf()
+    case = "CASE " + " ".join(f"WHEN u < {repr(p)} THEN {k}" for k, p in enumerate(cdf)) + f" ELSE {len(cdf)} END"
+    key = H("'7|' || CAST(rep AS VARCHAR) || '|' || k")
+    return "WITH " + RECORDS + f""",
+x AS (SELECT seed, benchmark, language, CAST(id AS VARCHAR) AS k, CASE WHEN correct THEN 1.0 ELSE 0.0 END AS v
+      FROM records),
+r AS (SELECT x.*, t.rep FROM x CROSS JOIN range(0, 200) t(rep)),
+w AS (SELECT *, {key} / 4294967296.0 AS u FROM r),
+ww AS (SELECT *, {case} AS wt FROM w),
+reps AS (SELECT seed, benchmark, language, rep, sum(wt * v) AS sv, sum(wt) AS sw FROM ww GROUP BY ALL),
+m AS (SELECT *, coalesce(sv / nullif(sw, 0), 0.0) AS mean FROM reps),
+rk AS (SELECT *, row_number() OVER (PARTITION BY seed, benchmark, language ORDER BY mean, rep) - 1 AS r FROM m)
+SELECT seed, benchmark, language, max(CASE WHEN r = 5 THEN mean END) AS ci_low,
+       max(CASE WHEN r = 194 THEN mean END) AS ci_high
+FROM rk GROUP BY ALL"""
+
+
+E6 = _e6()
+
+
+def seed_stats_sql(src: str, groups: str, value: str, total: str | None) -> str:
+    ft = f", arg_min({total}, seed) AS first_total" if total else ""
+    return f"""SELECT {groups}, avg({value}) AS mean, coalesce(stddev_samp({value}), 0.0) AS std,
+       count(*) AS n_seeds,
+       array_to_string(list_transform(list({value} ORDER BY seed), lambda v: printf('%.6f', v)), ',') AS "values"
+       {ft}, printf('%.4f ± %.4f', avg({value}), coalesce(stddev_samp({value}), 0.0)) AS formatted
+FROM {src} GROUP BY {groups}"""
+
+
+E7 = "WITH " + RECORDS + ", " + accuracy_sql("records", "acc") + "\n" + \
+    seed_stats_sql("acc", "benchmark, language", "accuracy", "total")
+
+
+def ttest_sql(a: str, b: str, keys: str, alpha: float = 0.05) -> str:
+    on = " AND ".join(f"x.{k.strip()} = y.{k.strip()}" for k in keys.split(","))
+    sel = ", ".join(f"x.{k.strip()} AS {k.strip()}" for k in keys.split(","))
+    return f"""j AS (SELECT {sel}, x.seed, x.accuracy - y.accuracy AS d FROM {a} x JOIN {b} y
+              ON {on} AND x.seed = y.seed
+              WHERE x.accuracy IS NOT NULL AND y.accuracy IS NOT NULL AND NOT isnan(x.accuracy) AND NOT isnan(y.accuracy)),
+g AS (SELECT {keys}, count(*) AS n, avg(d) AS mean_diff, stddev_samp(d) AS sd FROM j GROUP BY {keys}),
+t AS (SELECT *, CASE WHEN n < 2 THEN 'NaN'::DOUBLE
+                     WHEN sd = 0 THEN CASE WHEN mean_diff <> 0 THEN 'Infinity'::DOUBLE ELSE 0.0 END
+                     ELSE mean_diff / (sd / sqrt(n)) END AS t_stat FROM g)
+SELECT {keys}, n, mean_diff, t_stat,
+  CASE WHEN n < 2 THEN 'NaN'::DOUBLE
+       WHEN sd = 0 THEN CASE WHEN mean_diff <> 0 THEN 0.0 ELSE 1.0 END
+       WHEN n - 1 = 1 THEN 1 - 2 / pi() * atan(abs(t_stat))
+       WHEN n - 1 = 2 THEN 1 - abs(t_stat) / sqrt(2 + t_stat * t_stat)
+       END AS p_value,
+  (CASE WHEN n < 2 THEN 'NaN'::DOUBLE
+       WHEN sd = 0 THEN CASE WHEN mean_diff <> 0 THEN 0.0 ELSE 1.0 END
+       WHEN n - 1 = 1 THEN 1 - 2 / pi() * atan(abs(t_stat))
+       WHEN n - 1 = 2 THEN 1 - abs(t_stat) / sqrt(2 + t_stat * t_stat)
+       END) < {alpha} AS significant
+FROM t"""
+
+
+RUNS = TASKS + ",\n" + records_sql("", "a_") + ",\n" + records_sql("b", "b_") + ",\n" + \
+    accuracy_sql("a_records", "acc_a") + ",\n" + accuracy_sql("b_records", "acc_b")
+E8 = "WITH " + RUNS + ",\n" + ttest_sql("acc_a", "acc_b", "benchmark, language")
+E13 = "WITH " + RUNS + """,
+oa AS (SELECT * FROM acc_a WHERE language = '_overall'),
+ob AS (SELECT * FROM acc_b WHERE language = '_overall'),
+""" + ttest_sql("oa", "ob", "benchmark")
+
+BIAS = PREQ + f""",
+bseeded AS (SELECT s.*, sd.seed FROM swaps s CROSS JOIN {SEEDS} sd),
+""" + stub_judge_sql("bseeded", "bcompletions") + f""",
+brecords AS (SELECT *, {verdict_sql('completion')} AS verdict,
+                    ({verdict_sql('completion')} IS NOT DISTINCT FROM expected_verdict) AS correct
+             FROM bcompletions),
+b0 AS (SELECT seed, coalesce(pair_id, id) AS pair, verdict IS NULL AS nv, coalesce(correct, false) AS ok,
+              grp, coalesce(sample_language, language) AS lang FROM brecords),
+sc AS (SELECT seed, 'overall' AS scope, '_overall' AS key, pair, nv, ok FROM b0
+       UNION ALL SELECT seed, 'group', grp, pair, nv, ok FROM b0 WHERE grp IS NOT NULL
+       UNION ALL SELECT seed, 'language', lang, pair, nv, ok FROM b0 WHERE lang IS NOT NULL),
+pp AS (SELECT seed, scope, key, pair, count(*) AS nrows, max(nv::INT) AS anynull, min(ok::INT) AS allok,
+              max(ok::INT) AS anyok
+       FROM sc WHERE pair IS NOT NULL AND pair <> '' GROUP BY ALL),
+bias AS (
+  SELECT seed, scope, key, count(*) FILTER (WHERE nrows = 2) AS total_pairs,
+         count(*) FILTER (WHERE nrows = 2 AND anynull = 0 AND allok = 1) AS consistent_human_win,
+         count(*) FILTER (WHERE nrows = 2 AND anynull = 0 AND anyok = 0) AS consistent_machine_win
+  FROM pp GROUP BY ALL),
+biasx AS (SELECT *, CASE WHEN consistent_human_win + consistent_machine_win > 0
+              THEN consistent_machine_win / (consistent_human_win + consistent_machine_win) ELSE 0.0 END
+              AS bias_severity FROM bias)"""
+
+E9 = "WITH " + BIAS + "\nSELECT * FROM biasx"
+E10 = "WITH " + BIAS + """,
+blong AS (SELECT seed, scope, key, 'bias_severity' AS measure, bias_severity::DOUBLE AS value FROM biasx
+          UNION ALL SELECT seed, scope, key, 'consistent_human_win', consistent_human_win::DOUBLE FROM biasx
+          UNION ALL SELECT seed, scope, key, 'consistent_machine_win', consistent_machine_win::DOUBLE FROM biasx)
+""" + seed_stats_sql("blong", "scope, key, measure", "value", None)
+E11 = "WITH " + PAIRS + """
+SELECT s.seed, count(*) AS tasks, sum(p.id)::BIGINT AS id_sum
+FROM pairs p CROSS JOIN (SELECT unnest([44, 42, 43]) AS seed) s GROUP BY s.seed"""
+E12 = "WITH " + TASKS + ",\n" + STUB_JUDGE + f""",
+parsed AS (SELECT *, {verdict_sql('completion')} AS verdict FROM completions),
+records AS (SELECT *, (verdict IS NOT DISTINCT FROM expected_verdict) AS correct FROM parsed),
+""" + accuracy_sql("records", "acc") + "," + BIAS.split(PAIRS + ",", 1)[1] + """
+SELECT CASE WHEN language = '_overall' THEN 'by_benchmark' ELSE 'by_language' END AS section, seed,
+       benchmark AS name, language AS key, total AS count, accuracy AS value FROM acc
+UNION ALL
+SELECT 'bias_by_' || scope, seed, 'judgment-requests', key, total_pairs, bias_severity FROM biasx"""
+
+# ---------------------------------------------------------------------------- P ops
+SECTIONS = PAIRS + f""",
+sections AS (
+  SELECT id,
+    {lit('###Task Description:' + chr(10) + 'Read the instruction and both responses, given a reference answer, a rubric and the task.' + chr(10) + chr(10) + '###The instruction to evaluate:' + chr(10))}
+    || prompt || {lit(chr(10) + chr(10) + '###Response A to evaluate:' + chr(10))} || chosen || chr(10) || chr(10)
+    || CASE WHEN {H('id')} % 7 = 0 THEN '###Response B:' ELSE '###Response B to evaluate:' END || chr(10)
+    || rejected
+    || CASE WHEN {H('id')} % 3 = 0 THEN {lit(chr(10) + chr(10) + '###Reference Answer:' + chr(10) + 'A model answer for item ')} || CAST(id AS VARCHAR) ELSE '' END
+    || {lit(chr(10) + chr(10) + '###Evaluation Criteria:' + chr(10) + 'Is the response helpful and correct?' + chr(10) + chr(10) + '###Feedback: ')} AS instruction,
+    prompt AS orig_instruction, ' ' || chosen || chr(10) AS orig_response_A, rejected AS orig_response_B,
+    CASE {H('id')} % 5 WHEN 0 THEN NULL WHEN 1 THEN ' none ' WHEN 2 THEN '' WHEN 3 THEN 'Helpfulness' ELSE 'NULL' END
+      AS orig_criteria,
+    CASE WHEN {H('id')} % 4 = 0 THEN NULL ELSE 'Feedback ' || CAST(id AS VARCHAR) END AS output
+  FROM pairs)"""
+
+
+def missing_sql(x: str, strict: bool) -> str:
+    s = strip_sql(f"CAST({x} AS VARCHAR)")
+    e = f"{x} IS NULL OR {s} = ''"
+    if strict:
+        e += f" OR lower({s}) IN ('none', 'null')"
+    return f"coalesce({e}, true)"
+
+
+P1 = "WITH " + SECTIONS + f"""
+SELECT id, {missing_sql('orig_criteria', True)} AS missing_strict, {missing_sql('orig_criteria', False)} AS missing_plain,
+       {missing_sql('output', True)} AS output_missing FROM sections"""
+P2 = "WITH " + SECTIONS + f"""
+SELECT id FROM sections WHERE {missing_sql('orig_criteria', True)}
+ORDER BY md5('42|' || CAST(id AS VARCHAR)) LIMIT 60"""
+
+
+def strip_ref_sql(x: str) -> str:
+    pos = f"strpos({x}, chr(10) || '###Reference Answer:')"
+    after = f"substr({x}, {pos} + 21)"
+    nxt = f"strpos({after}, chr(10) || '###')"
+    return (f"(CASE WHEN {pos} = 0 THEN {x} ELSE substr({x}, 1, {pos} - 1) || "
+            f"CASE WHEN {nxt} > 0 THEN substr({after}, {nxt}) ELSE '' END END)")
+
+
+SECT_RE = ("###Task Description:\\s*([\\s\\S]*?)###The instruction to evaluate:\\s*([\\s\\S]*?)"
+           "###Response A to evaluate:\\s*([\\s\\S]*?)###Response B to evaluate:\\s*([\\s\\S]*?)"
+           "###Evaluation Criteria:\\s*([\\s\\S]*?)###Feedback:\\s*([\\s\\S]*?)$")
+
+
+def sect_sql(x: str, i: int) -> str:
+    return (f"CASE WHEN {x} IS NOT NULL AND length({x}) > 0 AND regexp_matches({x}, '{SECT_RE}') "
+            f"THEN {strip_sql(f'regexp_extract({x}, {chr(39)}{SECT_RE}{chr(39)}, {i})')} END")
+
+
+P3 = "WITH " + SECTIONS + f"\nSELECT id, {strip_ref_sql('instruction')} AS cleaned FROM sections"
+P4 = "WITH " + SECTIONS + f""",
+c AS (SELECT id, {strip_ref_sql('instruction')} AS cleaned FROM sections)
+SELECT id, {sect_sql('cleaned', 2)} AS instruction, {sect_sql('cleaned', 3)} AS response_A,
+       {sect_sql('cleaned', 4)} AS response_B FROM c"""
+P5 = "WITH " + SECTIONS + f""",
+c AS (SELECT *, {strip_ref_sql("coalesce(instruction, '')")} AS judge_prompt FROM sections)
+SELECT id,
+  coalesce({sect_sql('judge_prompt', 2)}, {strip_sql("coalesce(orig_instruction, '')")}) AS instruction,
+  coalesce({sect_sql('judge_prompt', 3)}, {strip_sql("coalesce(orig_response_A, '')")}) AS response_A,
+  coalesce({sect_sql('judge_prompt', 4)}, {strip_sql("coalesce(orig_response_B, '')")}) AS response_B,
+  judge_prompt, coalesce(output, '') AS output
+FROM c"""
+P6 = "WITH " + SECTIONS + """
+SELECT id, regexp_replace(replace(instruction, 'a reference answer, ', ''),
+                          '(?s)###Evaluation Criteria:\\n.*?\\n\\n', '', 'g') AS cleaned FROM sections"""
+P7 = "WITH " + REQUESTS + f"""
+SELECT custom_id,
+  trim(regexp_extract(replace(content, chr(13) || chr(10), chr(10)), '{USER_RE}', 1), chr(10)) AS question,
+  trim(regexp_extract(replace(content, chr(13) || chr(10), chr(10)), '{USER_RE}', 2), chr(10)) AS answer_a,
+  trim(regexp_extract(replace(content, chr(13) || chr(10), chr(10)), '{USER_RE}', 3), chr(10)) AS answer_b
+FROM requests"""
+
+DOC_IDS = """doc_ids AS (
+  SELECT doc_id,
+    CASE doc_id % 6
+      WHEN 0 THEN 'high_resource-' || lang || '-' || CAST(doc_id AS VARCHAR) || '-goldA'
+      WHEN 1 THEN lang || '_' || CAST(doc_id AS VARCHAR) || '_goldB'
+      WHEN 2 THEN 'grp' || CAST(doc_id % 3 AS VARCHAR) || '--' || CAST(doc_id AS VARCHAR) || '-goldA'
+      WHEN 3 THEN source || '-' || lang || '_' || CAST(doc_id AS VARCHAR) || '-goldB'
+      WHEN 4 THEN 'low_resource_' || lang || '_' || CAST(doc_id AS VARCHAR) || '_goldA'
+      ELSE 'bad' || CAST(doc_id AS VARCHAR) END AS custom_id,
+    CASE doc_id % 5
+      WHEN 0 THEN source || '_' || lang || '_judgment_requests.jsonl'
+      WHEN 1 THEN 'high_resource_' || lang || '_judgment_requests.jsonl'
+      WHEN 2 THEN source || '_judgment_requests.jsonl'
+      WHEN 3 THEN 'low_resource_' || lang || '_judgment_requests.jsonl'
+      ELSE source || '.jsonl' END AS file_name
+  FROM documents)"""
+P9 = "WITH " + DOC_IDS + f"\nSELECT doc_id, {_fg} AS fallback_group, {_fl} AS fallback_lang FROM doc_ids"
+P8 = "WITH " + DOC_IDS + f""",
+fb AS (SELECT *, {_fg} AS fallback_group, {_fl} AS fallback_lang FROM doc_ids)
+SELECT doc_id, {_cid['group']} AS "group", {_cid['language']} AS language, {_cid['idx']} AS idx,
+       {_cid['gold']} AS gold, {_cid['pair_id']} AS pair_id FROM fb"""
+
+
 ORACLE = {
     "e5_accuracy": ACCURACY,
+    "j1_randomise_order": J1, "j2_render_default": J2, "j3_render_template": J3, "j4_pick_rubric": J4,
+    "j5_select_template_type": J5, "j6_render_rubric_prompt": J6, "j7_fit_token_budget": J7,
+    "j8_mark_pairs": J8, "j9_expand_swaps": J9, "j10_limit_pairs": J10, "j11_limit_per_language": J11,
+    "j12_build_requests": J12,
+    "e1_parse_verdict": E1, "e2_build_records": E2, "e3_parsed_from_raw": E3, "e4_missing_groups": E4,
+    "e6_bootstrap_ci": E6, "e7_seed_statistics": E7, "e8_paired_ttest": E8, "e9_bias_severity": E9,
+    "e10_bias_seed_statistics": E10, "e11_expand_seeds": E11, "e12_report": E12, "e13_compare_runs": E13,
+    "p1_is_missing": P1, "p2_sample_uncriteria": P2, "p3_strip_reference_block": P3,
+    "p4_extract_sections": P4, "p5_prepare_preferences": P5, "p6_clean_judge_prompt": P6,
+    "p7_parse_user_content": P7, "p8_parse_custom_id": P8, "p9_parse_request_filename": P9,
 }

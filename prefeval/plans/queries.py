@@ -10,9 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefeval.functions.keys import h32
+from prefeval.functions.text import words
+from prefeval.operators import clean as P
 from prefeval.operators import evaluate as E
+from prefeval.operators import lang as L
 from prefeval.operators import tasks as J
 from prefeval.plans import fixtures as FX
+from prefeval.sources.tables import table
+
+QUERIES: dict = {}
+
+
+def register(name):
+    def deco(fn):
+        QUERIES[name] = fn
+        return fn
+    return deco
 
 
 def judge_records(spark: SparkSession, root: str) -> DataFrame:
@@ -25,11 +39,305 @@ def judge_records(spark: SparkSession, root: str) -> DataFrame:
     return E.build_records(judged, None)
 
 
+@register("e5_accuracy")
 def q_accuracy(spark: SparkSession, root: str) -> DataFrame:
     """E5 (flagship): accuracy per seed by grouping sets."""
     return E.accuracy(judge_records(spark, root), by=["seed"])
 
 
-QUERIES = {
-    "e5_accuracy": q_accuracy,
-}
+
+
+# ---------------------------------------------------------------------------- J ops
+TEMPLATE = ("Question ({src_lang} to {tgt_lang}): {question}\n{{kept braces}} A: {response_a}\n"
+            "B: {answer_b}\nUnknown stays: {rubric}\nPrompt again: {prompt}")
+RUBRICS = [
+    "Prefer the answer that is correct.",
+    {"Tie": "both are equal", "Assistant B": "B is better", "Assistant A": "A is better", "Other": "none fits"},
+    ["Check facts.", "Check tone."],
+    "Prefer the answer that is complete.",
+    "Prefer the shorter answer when both are correct.",
+]
+TEMPLATE_KEYS = ["instruction_msg", "tags", "schema", "general", "math", "code", "safety", "src1", "src12", "en"]
+TASK_TEXT = {"src1": "Judge answers about source one.", "math": "Check the math."}
+DEFAULT_TASK = "Judge the two answers."
+
+
+def seed42_tasks(spark, root):
+    return J.randomise_order(FX.pairs(spark, root), 42, key="id")
+
+
+@register("j1_randomise_order")
+def q_j1(spark, root):
+    return FX.judge_tasks(spark, root).select("id", "seed", "swapped", "expected_verdict")
+
+
+@register("j2_render_default")
+def q_j2(spark, root):
+    return FX.judge_tasks(spark, root).select("id", "seed", "judge_prompt")
+
+
+@register("j3_render_template")
+def q_j3(spark, root):
+    t = J.render_template(seed42_tasks(spark, root), TEMPLATE, out="text")
+    return t.select("id", "text")
+
+
+@register("j4_pick_rubric")
+def q_j4(spark, root):
+    return J.pick_rubric(FX.pairs(spark, root), RUBRICS, seed=42, key="id").select("id", "rubric_index", "rubric")
+
+
+def _doc_categories(spark, root):
+    d = table(spark, root, "documents").select("doc_id", "lang", "source")
+    k = F.col("doc_id") % 4
+    cat = (F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.concat(F.lit("Chat "), F.col("lang")))
+            .when(k == 2, F.col("lang")).otherwise(F.lit("")))
+    return d.withColumn("category", cat).withColumnRenamed("source", "subset")
+
+
+@register("j5_select_template_type")
+def q_j5(spark, root):
+    return J.select_template_type(_doc_categories(spark, root), TEMPLATE_KEYS).select("doc_id", "template_type")
+
+
+@register("j6_render_rubric_prompt")
+def q_j6(spark, root):
+    t = seed42_tasks(spark, root).withColumn("category", F.lit(None).cast("string"))
+    t = J.select_template_type(t, TEMPLATE_KEYS)
+    t = J.pick_rubric(t, RUBRICS, seed=42, key="id")
+    return J.render_rubric_prompt(t, TASK_TEXT, DEFAULT_TASK).select("id", "template_type", "judge_prompt")
+
+
+@register("j7_fit_token_budget")
+def q_j7(spark, root):
+    p = FX.pairs(spark, root).select("id", words("prompt").alias("q_tokens"), words("chosen").alias("a_tokens"),
+                                     words("rejected").alias("b_tokens"))
+    f = J.fit_token_budget(p, limit=600, overhead=40)
+    return f.select("id", F.size("q_fit").alias("q_n"), F.size("a_fit").alias("a_n"), F.size("b_fit").alias("b_n"),
+                    "prompt_tokens", "truncated", "cut_whole",
+                    F.array_join("a_fit", " ").alias("a_text"), F.array_join("b_fit", " ").alias("b_text"))
+
+
+def parsed_requests(spark, root, on_error="raise"):
+    r = FX.requests(spark, root)
+    r = P.parse_user_content(r, "content", on_error=on_error)
+    fb = P.parse_request_filename(F.col("file_name"))
+    r = r.withColumn("_fb", fb)
+    r = r.withColumn("_id", P.parse_custom_id("custom_id", F.col("_fb.fallback_group"), F.col("_fb.fallback_lang")))
+    return r.select("custom_id", "row_id", "dataset", "file_name", "question", "answer_a", "answer_b",
+                    F.col("_id.group").alias("group"), F.col("_id.language").alias("sample_language"),
+                    F.col("_id.idx").alias("idx"), F.col("_id.gold").alias("gold"),
+                    F.col("_id.pair_id").alias("pair_id"))
+
+
+@register("j8_mark_pairs")
+def q_j8(spark, root):
+    return J.mark_pairs(parsed_requests(spark, root)).select("custom_id", "pair_id", "has_pair")
+
+
+def swap_tasks(spark, root):
+    x = J.expand_swaps(J.mark_pairs(parsed_requests(spark, root)))
+    return x.withColumn("language", F.col("dataset")).withColumn("benchmark", F.lit("judgment-requests"))
+
+
+@register("j9_expand_swaps")
+def q_j9(spark, root):
+    return swap_tasks(spark, root).select("id", "pair_id", "swapped", "expected_verdict",
+                                          F.md5("answer_a").alias("a_hash"), F.md5("answer_b").alias("b_hash"))
+
+
+@register("j10_limit_pairs")
+def q_j10(spark, root):
+    return J.limit_pairs(parsed_requests(spark, root), 25, order_col="row_id",
+                         per=["file_name"]).select("custom_id", "file_name")
+
+
+@register("j11_limit_per_language")
+def q_j11(spark, root):
+    d = table(spark, root, "documents").select("doc_id", "lang")
+    return J.limit_per_language(d, 30, language="lang", order_col="doc_id")
+
+
+@register("j12_build_requests")
+def q_j12(spark, root):
+    t = FX.judge_tasks(spark, root, seeds=[42])
+    return J.build_requests(t, "judge-model", id_col="id", prompt="judge_prompt", max_tokens=512,
+                            temperature=0.0, seed=42)
+
+
+# ---------------------------------------------------------------------------- E ops
+@register("e1_parse_verdict")
+def q_e1(spark, root):
+    c = FX.judge_completions(FX.judge_tasks(spark, root))
+    return c.select("id", "seed", "completion", E.parse_verdict("completion").alias("verdict"))
+
+
+@register("e2_build_records")
+def q_e2(spark, root):
+    tasks = FX.judge_tasks(spark, root)
+    comp = FX.judge_completions(tasks)
+    rec = E.build_records(tasks.select("id", "seed", "benchmark", "language", "expected_verdict"), comp)
+    return rec.select("id", "seed", "verdict", "expected_verdict", "correct")
+
+
+def raw_records(spark, root):
+    rec = judge_records(spark, root)
+    exp = F.when(h32(F.col("seed"), F.col("id")) % 97 == 0, F.lit(None).cast("string")) \
+        .otherwise(F.col("expected_verdict"))
+    return rec.withColumn("expected_verdict", exp).drop("correct")
+
+
+@register("e3_parsed_from_raw")
+def q_e3(spark, root):
+    return E.parsed_from_raw(raw_records(spark, root)).select("id", "seed", "benchmark", "language", "correct")
+
+
+@register("e4_missing_groups")
+def q_e4(spark, root):
+    expected = FX.pairs(spark, root).select("benchmark", "language")
+    found = judge_records(spark, root).filter(F.col("language") != "de")
+    return E.missing_groups(expected, E.parsed_projection(found), None)
+
+
+@register("e6_bootstrap_ci")
+def q_e6(spark, root):
+    return E.bootstrap_ci(judge_records(spark, root), samples=200, confidence=0.95, seed=7)
+
+
+def _values_text(col):
+    return F.array_join(F.transform(col, lambda v: F.format_string("%.6f", v)), ",")
+
+
+@register("e7_seed_statistics")
+def q_e7(spark, root):
+    s = E.seed_statistics(q_accuracy(spark, root))
+    return s.select("benchmark", "language", "mean", "std", "n_seeds", _values_text(F.col("values")).alias("values"),
+                    "first_total", "formatted")
+
+
+def accuracy_run(spark, root, salt):
+    tasks = FX.judge_tasks(spark, root)
+    judged = L.map_text(tasks, L.make_stub_judge(salt), inputs=["seed", "id", "answer_a", "answer_b"],
+                        keys=None, out="completion")
+    return E.accuracy(E.build_records(judged, None), by=["seed"])
+
+
+@register("e8_paired_ttest")
+def q_e8(spark, root):
+    return E.paired_ttest(accuracy_run(spark, root, ""), accuracy_run(spark, root, "b"),
+                          keys=("benchmark", "language"))
+
+
+def bias_records(spark, root):
+    tasks = E.with_seeds(swap_tasks(spark, root), FX.SEEDS)
+    judged = L.map_text(tasks, L.stub_judge, inputs=["seed", "id", "answer_a", "answer_b"], keys=None,
+                        out="completion")
+    return E.build_records(judged, None)
+
+
+@register("e9_bias_severity")
+def q_e9(spark, root):
+    return E.bias_severity(bias_records(spark, root))
+
+
+@register("e10_bias_seed_statistics")
+def q_e10(spark, root):
+    s = E.bias_seed_statistics(E.bias_severity(bias_records(spark, root)))
+    return s.select("scope", "key", "measure", "mean", "std", "n_seeds",
+                    _values_text(F.col("values")).alias("values"), "formatted")
+
+
+@register("e11_expand_seeds")
+def q_e11(spark, root):
+    seeds = E.expand_seeds(base=42, n=3, step=1, explicit=[44, 42, 43, 42])
+    t = E.with_seeds(FX.pairs(spark, root).select("id"), seeds)
+    return t.groupBy("seed").agg(F.count(F.lit(1)).alias("tasks"), F.sum("id").alias("id_sum"))
+
+
+@register("e12_report")
+def q_e12(spark, root):
+    acc = q_accuracy(spark, root)
+    bias = E.bias_severity(bias_records(spark, root))
+    return E.report_table(acc, bias)
+
+
+@register("e13_compare_runs")
+def q_e13(spark, root):
+    return E.compare_runs(accuracy_run(spark, root, ""), accuracy_run(spark, root, "b"))
+
+
+# ---------------------------------------------------------------------------- P ops
+@register("p1_is_missing")
+def q_p1(spark, root):
+    s = FX.sections(spark, root)
+    return s.select("id", P.is_missing("orig_criteria", strict=True).alias("missing_strict"),
+                    P.is_missing("orig_criteria", strict=False).alias("missing_plain"),
+                    P.is_missing("output", strict=True).alias("output_missing"))
+
+
+@register("p2_sample_uncriteria")
+def q_p2(spark, root):
+    return P.sample_uncriteria(FX.sections(spark, root), 60, seed=42).select("id")
+
+
+@register("p3_strip_reference_block")
+def q_p3(spark, root):
+    return FX.sections(spark, root).select("id", P.strip_reference_block("instruction").alias("cleaned"))
+
+
+@register("p4_extract_sections")
+def q_p4(spark, root):
+    s = FX.sections(spark, root).select("id", P.extract_sections(P.strip_reference_block("instruction")).alias("x"))
+    return s.select("id", "x.instruction", "x.response_A", "x.response_B")
+
+
+@register("p5_prepare_preferences")
+def q_p5(spark, root):
+    return P.prepare_preferences(FX.sections(spark, root)).select(
+        "id", "instruction", "response_A", "response_B", "judge_prompt", "output")
+
+
+@register("p6_clean_judge_prompt")
+def q_p6(spark, root):
+    return FX.sections(spark, root).select("id", P.clean_judge_prompt("instruction").alias("cleaned"))
+
+
+@register("p7_parse_user_content")
+def q_p7(spark, root):
+    r = P.parse_user_content(FX.requests(spark, root), "content")
+    return r.select("custom_id", "question", "answer_a", "answer_b")
+
+
+def _doc_ids(spark, root):
+    d = table(spark, root, "documents").select("doc_id", "lang", "source")
+    k = F.col("doc_id") % 6
+    ds = F.col("doc_id").cast("string")
+    cid = (F.when(k == 0, F.concat(F.lit("high_resource-"), F.col("lang"), F.lit("-"), ds, F.lit("-goldA")))
+            .when(k == 1, F.concat(F.col("lang"), F.lit("_"), ds, F.lit("_goldB")))
+            .when(k == 2, F.concat(F.lit("grp"), (F.col("doc_id") % 3).cast("string"), F.lit("--"), ds, F.lit("-goldA")))
+            .when(k == 3, F.concat(F.col("source"), F.lit("-"), F.col("lang"), F.lit("_"), ds, F.lit("-goldB")))
+            .when(k == 4, F.concat(F.lit("low_resource_"), F.col("lang"), F.lit("_"), ds, F.lit("_goldA")))
+            .otherwise(F.concat(F.lit("bad"), ds)))
+    j = F.col("doc_id") % 5
+    fname = (F.when(j == 0, F.concat(F.col("source"), F.lit("_"), F.col("lang"), F.lit("_judgment_requests.jsonl")))
+              .when(j == 1, F.concat(F.lit("high_resource_"), F.col("lang"), F.lit("_judgment_requests.jsonl")))
+              .when(j == 2, F.concat(F.col("source"), F.lit("_judgment_requests.jsonl")))
+              .when(j == 3, F.concat(F.lit("low_resource_"), F.col("lang"), F.lit("_judgment_requests.jsonl")))
+              .otherwise(F.concat(F.col("source"), F.lit(".jsonl"))))
+    return d.select("doc_id", cid.alias("custom_id"), fname.alias("file_name"))
+
+
+@register("p8_parse_custom_id")
+def q_p8(spark, root):
+    d = _doc_ids(spark, root).withColumn("_fb", P.parse_request_filename(F.col("file_name")))
+    x = d.withColumn("_id", P.parse_custom_id("custom_id", F.col("_fb.fallback_group"),
+                                              F.col("_fb.fallback_lang"), on_error="null"))
+    return x.select("doc_id", F.col("_id.group").alias("group"), F.col("_id.language").alias("language"),
+                    F.col("_id.idx").alias("idx"), F.col("_id.gold").alias("gold"),
+                    F.col("_id.pair_id").alias("pair_id"))
+
+
+@register("p9_parse_request_filename")
+def q_p9(spark, root):
+    d = _doc_ids(spark, root).withColumn("_fb", P.parse_request_filename(F.col("file_name")))
+    return d.select("doc_id", "_fb.fallback_group", "_fb.fallback_lang")
