@@ -43,3 +43,19 @@ def lit_regex(text: str) -> str:
 
 def nth_or_null(col, n: int) -> Column:
     return F.element_at(c(col), n)
+
+
+def repeat_for(value, arr) -> Column:
+    """``value`` repeated once per element of ``arr``.
+
+    Zipping an array with this lets a lambda read an outer value without
+    naming the outer expression inside the lambda: Catalyst inlines outer
+    columns into lambda bodies, where they would be re-evaluated per element."""
+    return F.array_repeat(c(value), F.size(c(arr)))
+
+
+def count_below(edges: list, v) -> Column:
+    """Number of literal edges strictly below v (v evaluated once)."""
+    e = F.array(*[F.lit(float(x)) for x in edges])
+    flags = F.zip_with(e, F.array_repeat(c(v), len(edges)), lambda x, y: (x < y).cast("int"))
+    return F.aggregate(flags, F.lit(0), lambda a, b: a + b)

@@ -189,8 +189,8 @@ def coerce_optional_text(col) -> Column:
 
 
 def coerce_optional_float(col) -> Column:
-    x = c(col)
-    return F.try_cast(x.cast("string"), "double") if not isinstance(col, str) else F.try_cast(x, "double")
+    """Number or null (unparsable text, e.g. 'abc', becomes null)."""
+    return c(col).cast("string").try_cast("double")
 
 
 def coerce_nll(nll, ppl) -> Column:
@@ -221,7 +221,7 @@ def coerce_example(df: DataFrame) -> DataFrame:
         for m in ("length", "ttr"):
             name = f"proxy_{m}_{side}"
             if name in cols:
-                out = out.withColumn(name, F.try_cast(F.col(name).cast("string"), "double"))
+                out = out.withColumn(name, F.col(name).cast("string").try_cast("double"))
     return out
 
 
@@ -273,8 +273,8 @@ def locate_span(prompt, response, start_at=None) -> Column:
                        lambda i: i >= 0)
     cp = F.regexp_replace(p, r"\s", "")
     cr = F.regexp_replace(r, r"\s", "")
-    n_before = F.size(F.filter(mapping, lambda m: m < sa))
-    cstart = F.when((sa >= 0) & (n_before < F.size(mapping)), n_before).otherwise(F.lit(0))
+    first_at = F.array_position(F.zip_with(mapping, F.array_repeat(sa, F.size(mapping)), lambda m, s: m >= s), True)
+    cstart = F.when((sa >= 0) & (first_at > 0), first_at - 1).otherwise(F.lit(0))
     m = _locate(cr, cp, cstart + 1)
     fb = F.when((F.length(cr) > 0) & (m > 0), F.struct(
         F.element_at(mapping, m).alias("start"),

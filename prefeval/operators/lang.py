@@ -101,28 +101,27 @@ def resolve_languages(requested: DataFrame | None, available: DataFrame,
                       short_to_code: dict) -> DataFrame:
     """Match requested languages to available ones: directly, else through the
     short -> config-code map, else missing. No request -> all available.
-    Output: requested, resolved (null when missing), display (inverse map),
-    missing flag. The map is a small literal, joined by broadcast."""
-    spark = available.sparkSession
-    avail = available.select(F.col("language").alias("resolved")).distinct()
-    inv = {v: k for k, v in short_to_code.items()}
-    mp = spark.createDataFrame([(k, v) for k, v in short_to_code.items()] or [("", "")],
-                               "short string, code string")
+    Output: requested, resolved (null when missing), display (the short name
+    when the code came from the map), missing flag. The map is a small
+    literal (a ``create_map`` expression), so no join is needed for it."""
+    avail = available.select(F.col("language").alias("_avail")).distinct()
     if requested is None:
-        req = avail.select(F.col("resolved").alias("requested"))
+        req = avail.select(F.col("_avail").alias("requested"))
     else:
         req = requested.select(F.col("language").alias("requested")).distinct()
-    direct = req.join(avail, req.requested == avail.resolved, "left").select("requested", F.col("resolved").alias("_d"))
-    via = (direct.join(F.broadcast(mp), direct.requested == mp.short, "left")
-                 .join(avail.withColumnRenamed("resolved", "_v"), F.col("code") == F.col("_v"), "left"))
-    res = F.coalesce(F.col("_d"), F.col("_v"))
-    inv_expr = F.lit(None).cast("string")
-    if inv:
-        m = F.create_map(*[x for kv in inv.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-        inv_expr = F.element_at(m, res)
-    out = via.select("requested", res.alias("resolved"))
-    return out.withColumn("display", F.coalesce(inv_expr if inv else F.lit(None).cast("string"), F.col("resolved"))) \
-              .withColumn("missing", F.col("resolved").isNull())
+    if short_to_code:
+        fwd = F.create_map(*[x for kv in short_to_code.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+        inv = F.create_map(*[x for kv in short_to_code.items() for x in (F.lit(kv[1]), F.lit(kv[0]))])
+    req = req.withColumn("_code", F.element_at(fwd, F.col("requested")) if short_to_code
+                         else F.lit(None).cast("string"))
+    direct = avail.select(F.col("_avail").alias("_direct"))
+    via = avail.select(F.col("_avail").alias("_via"))
+    x = (req.join(direct, req["requested"] == direct["_direct"], "left")
+            .join(via, F.col("_code") == via["_via"], "left"))
+    res = F.coalesce(F.col("_direct"), F.col("_via"))
+    disp = F.coalesce(F.element_at(inv, res), res) if short_to_code else res
+    return x.select("requested", res.alias("resolved"), disp.alias("display"),
+                    res.isNull().alias("missing"))
 
 
 # --------------------------------------------------------------------------- L4
@@ -157,10 +156,18 @@ def repivot_responses(long: DataFrame, key: str = "row_id", value: str = "text",
 
 # --------------------------------------------------------------------------- L1
 def char_trigrams(text) -> "F.Column":
-    """Character trigrams of ' ' + lower(text) + ' ' with whitespace squeezed."""
+    """Character trigrams of ' ' + lower(text) + ' ' with whitespace squeezed.
+
+    The character array is zipped with itself shifted by one and two, so the
+    text is split once and every trigram is built in O(1): linear in length.
+    (A lambda that indexes into an outer array expression would re-split the
+    text per element.)"""
     t = F.concat(F.lit(" "), F.regexp_replace(F.lower(c(text)), r"\s+", " "), F.lit(" "))
-    n = F.length(t)
-    return F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(t, i, 3))
+    ch = F.split(t, "")
+    n = F.size(ch)
+    z = F.arrays_zip(ch.alias("a"), F.slice(ch, 2, n).alias("b"), F.slice(ch, 3, n).alias("c"))
+    return F.transform(F.slice(z, 1, F.greatest(n - 2, F.lit(1))),
+                       lambda r: F.concat(r["a"], F.coalesce(r["b"], F.lit("")), F.coalesce(r["c"], F.lit(""))))
 
 
 def train_language_model(docs: DataFrame, text: str = "text", label: str = "lang",
@@ -189,7 +196,7 @@ def detect_language(df: DataFrame, model: DataFrame, key: str = "doc_id", text:
     at the language's floor: seen part by an equi-join on gram, the unseen
     part as (grams of the row - grams seen) * floor. Candidates are the
     languages sharing at least one trigram with the row. Ties go to the
-    smaller language code."""
+    larger language code."""
     grams = df.select(key, F.explode(char_trigrams(text)).alias("gram"))
     per_gram = grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("k"))
     size = per_gram.groupBy(key).agg(F.sum("k").alias("_K"))
@@ -200,6 +207,6 @@ def detect_language(df: DataFrame, model: DataFrame, key: str = "doc_id", text:
     scored = (seen.join(size, key).join(F.broadcast(floor), "lang")
                   .withColumn("score", F.col("_s") + (F.col("_K") - F.col("_ks")) * F.col("_floor")))
     best = scored.groupBy(key).agg(
-        F.max_by("lang", F.struct(F.col("score"), -F.ascii(F.col("lang")))).alias(out))
+        F.max_by("lang", F.struct(F.col("score"), F.col("lang"))).alias(out))
     return df.join(best, key, "left").withColumn(
         out, F.when(F.regexp_replace(c(text), r"\s+", "") == "", F.lit("")).otherwise(F.col(out)))

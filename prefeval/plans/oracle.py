@@ -594,3 +594,495 @@ ORACLE = {
     "p4_extract_sections": P4, "p5_prepare_preferences": P5, "p6_clean_judge_prompt": P6,
     "p7_parse_user_content": P7, "p8_parse_custom_id": P8, "p9_parse_request_filename": P9,
 }
+
+
+# ---------------------------------------------------------------------------- P10 - P19
+PROXY = f"""proxy AS (
+  SELECT event_id AS row_id, CASE WHEN {H('event_id')} % 11 = 0 THEN NULL ELSE value END AS nll,
+         json_extract_string(props, '$.k') AS ppl, value, event_type, ts, user_id FROM events)"""
+
+RESP = """resp AS (
+  SELECT a.conv_id * 1000 + a.turn AS row_id, a.conv_id, a.turn, u.text AS instruction,
+         a.text AS response_A, b.text AS response_B, '' AS output
+  FROM conversations a
+  LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2 AND b.role = 'assistant'
+  LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND u.role = 'user'
+  WHERE a.role = 'assistant')"""
+
+
+def blank_sql(x: str) -> str:
+    return f"(coalesce({strip_sql(x)}, '') = '')"
+
+
+P10 = "WITH " + PROXY + """
+SELECT row_id, nullif(CASE WHEN event_type = 'view' THEN '' ELSE event_type END, '') AS judge_prompt,
+  coalesce(TRY_CAST(CAST(nll AS VARCHAR) AS DOUBLE),
+           CASE WHEN TRY_CAST(ppl AS DOUBLE) > 0 THEN ln(TRY_CAST(ppl AS DOUBLE)) END) AS proxy_nll_A,
+  TRY_CAST(CASE WHEN row_id % 7 = 0 THEN 'abc' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS proxy_length_A
+FROM proxy"""
+P11 = "WITH " + RESP + f"\nSELECT row_id FROM resp WHERE NOT {blank_sql('response_A')} AND NOT {blank_sql('response_B')}"
+P11C = "WITH " + RESP + f"""
+SELECT count(*) FILTER (WHERE {blank_sql('response_A')}) AS dropped_empty_a,
+       count(*) FILTER (WHERE NOT {blank_sql('response_A')} AND {blank_sql('response_B')}) AS dropped_empty_b,
+       count(*) AS total FROM resp"""
+
+
+def null_value_sql(x: str) -> str:
+    return f"({x} IS NULL OR trim(CAST({x} AS VARCHAR)) = '' OR lower(CAST({x} AS VARCHAR)) = 'nan')"
+
+
+P12 = "WITH " + PROXY + f""",
+x AS (SELECT row_id, nll, CASE WHEN row_id % 3 = 0 THEN NULL ELSE ppl END AS ppl_b,
+             CASE WHEN row_id % 5 = 0 THEN nll END AS nll_b,
+             CASE WHEN row_id % 4 = 0 THEN '  ' ELSE event_type END AS resp_b FROM proxy)
+SELECT row_id, ({null_value_sql('nll')} AND {null_value_sql('NULL')}) OR
+       (coalesce({strip_sql("nullif(resp_b, '')")} <> '', false) AND {null_value_sql('nll_b')} AND {null_value_sql('ppl_b')})
+       AS missing_proxy FROM x"""
+
+
+def span_sql(p: str, resp: str, sa: str | None) -> str:
+    """DuckDB twin of ``locate_span``: struct(start, "end") or NULL."""
+    r = strip_sql(f"coalesce({resp}, '')")
+    rl = f"length({r})"
+    sa = sa or "-1"
+    p1 = f"(CASE WHEN {sa} >= 0 THEN CASE WHEN instr(substr({p}, {sa} + 1), {r}) > 0 THEN {sa} + instr(substr({p}, {sa} + 1), {r}) ELSE 0 END ELSE 0 END)"
+    p2 = f"instr({p}, {r})"
+    mapping = (f"list_filter(list_transform(string_split({p}, ''), lambda ch, i: CASE WHEN regexp_matches(ch, '^\\s$') "
+               f"THEN -1 ELSE i - 1 END), lambda i: i >= 0)")
+    cp = f"regexp_replace({p}, '\\s', '', 'g')"
+    cr = f"regexp_replace({r}, '\\s', '', 'g')"
+    first_at = f"list_position(list_transform({mapping}, lambda m: m >= {sa}), true)"
+    cstart = f"(CASE WHEN {sa} >= 0 AND coalesce({first_at}, 0) > 0 THEN {first_at} - 1 ELSE 0 END)"
+    rel = f"instr(substr({cp}, {cstart} + 1), {cr})"
+    m = f"(CASE WHEN {rel} > 0 THEN {cstart} + {rel} ELSE 0 END)"
+    fb = (f"CASE WHEN length({cr}) > 0 AND {m} > 0 THEN {{'start': ({mapping})[{m}], "
+          f"'end': ({mapping})[{m} + length({cr}) - 1] + 1}} END")
+    return (f"(CASE WHEN {rl} = 0 THEN NULL WHEN {p1} > 0 THEN {{'start': {p1} - 1, 'end': {p1} - 1 + {rl}}} "
+            f"WHEN {p2} > 0 THEN {{'start': {p2} - 1, 'end': {p2} - 1 + {rl}}} ELSE {fb} END)")
+
+
+SPAN_IN = TASKS + f""",
+span_in AS (
+  SELECT id, {user_sql('prompt', 'answer_a', 'answer_b')} AS content,
+         CASE WHEN {H('id')} % 3 = 0 THEN regexp_replace(answer_a, chr(10), '  ', 'g') ELSE answer_a END AS resp_a,
+         CASE WHEN {H('id')} % 3 = 1 THEN '  ' || answer_b ELSE answer_b END AS resp_b
+  FROM tasks WHERE seed = 42),
+sa AS (SELECT *, {span_sql('content', 'resp_a', None)} AS span_a FROM span_in),
+sb AS (SELECT *, {span_sql('content', 'resp_b', 'span_a."end"')} AS span_b FROM sa)"""
+
+P13 = "WITH " + SPAN_IN + """
+SELECT id, span_a.start::INTEGER AS a_start, span_a."end"::INTEGER AS a_end,
+       span_b.start::INTEGER AS b_start, span_b."end"::INTEGER AS b_end FROM sb"""
+
+
+def section_sql(x: str, start: str, end: str | None) -> str:
+    s = f"instr({x}, '{start}')"
+    rest = f"regexp_replace(substr({x}, {s} + {len(start)}), '^[ \\n\\r\\t]+', '')"
+    if end:
+        e = f"instr({rest}, '{end}')"
+        rest = f"(CASE WHEN {e} > 0 THEN substr({rest}, 1, {e} - 1) ELSE {rest} END)"
+    rest = f"regexp_replace({rest}, '[ \\n\\r\\t]+$', '')"
+    return f"(CASE WHEN {s} > 0 AND length({rest}) > 0 THEN {rest} END)"
+
+
+P14 = f"""SELECT page_id, {section_sql('html', '<title>', '</title>')} AS title,
+       length({section_sql('html', '<h1>', None)})::INTEGER AS after_h1_len FROM pages"""
+
+
+def squeeze_sql(x: str) -> str:
+    return f"regexp_replace({x}, '\\s+', ' ', 'g')"
+
+
+def either_sql(a: str, b: str) -> str:
+    return f"(contains({squeeze_sql(a)}, {squeeze_sql(b)}) OR contains({squeeze_sql(b)}, {squeeze_sql(a)}))"
+
+
+P15 = "WITH " + PAIRS + """,
+pc AS (SELECT id, chosen, rejected, regexp_replace(substr(chosen, 5, 200), '\\s', chr(10), 'g') AS piece FROM pairs)
+""" + f"SELECT id, {either_sql('chosen', 'piece')} AS c1, {either_sql('rejected', 'piece')} AS c2 FROM pc"
+P16 = "SELECT doc_id, coalesce(left(replace(text, chr(10), '\\n'), 120), '') AS preview FROM documents"
+P17 = "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 300"
+P18 = f"SELECT doc_id FROM documents WHERE len({words_sql('text')}) < 2000"
+P18S = f"""SELECT count(*) AS total, count(*) FILTER (WHERE len({words_sql('text')}) >= 2000) AS dropped,
+       coalesce(count(*) FILTER (WHERE len({words_sql('text')}) >= 2000) / count(*), 0.0) AS ratio FROM documents"""
+P18D = f"""SELECT doc_id, len({words_sql('text')})::INTEGER AS tokens,
+       coalesce(left(replace(text, chr(10), '\\n'), 120), '') AS preview
+FROM documents WHERE len({words_sql('text')}) >= 2000 ORDER BY doc_id LIMIT 5"""
+P19 = """SELECT conv_id,
+  coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS text,
+  CAST(to_json(list(turn ORDER BY turn)) AS VARCHAR) AS turns_json
+FROM conversations GROUP BY conv_id"""
+
+# ---------------------------------------------------------------------------- L ops
+AVAIL = """avail AS (SELECT CASE lang WHEN 'en' THEN 'en' WHEN 'fr' THEN 'fra_Latn' WHEN 'de' THEN 'deu_Latn'
+                             WHEN 'es' THEN 'spa_Latn' END AS language FROM documents)"""
+
+
+def _tri_sql(text: str) -> str:
+    t = f"(' ' || regexp_replace(lower({text}), '\\s+', ' ', 'g') || ' ')"
+    return f"list_transform(range(1, greatest(length({t}) - 2, 1) + 1), lambda i: substr({t}, i, 3))"
+
+
+L1 = f"""WITH grams AS (SELECT doc_id, lang, unnest({_tri_sql('text')}) AS gram FROM documents),
+counts AS (SELECT lang, gram, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
+v AS (SELECT count(DISTINCT gram) AS v FROM counts),
+model AS (SELECT c.lang, c.gram, ln((c.n + 1.0) / (t.total + 1.0 * v.v)) AS logp,
+                 ln(1.0 / (t.total + 1.0 * v.v)) AS floor
+          FROM counts c JOIN totals t ON c.lang = t.lang CROSS JOIN v),
+floors AS (SELECT DISTINCT lang, floor FROM model),
+pg AS (SELECT doc_id, gram, count(*) AS k FROM grams GROUP BY ALL),
+size AS (SELECT doc_id, sum(k) AS kk FROM pg GROUP BY doc_id),
+seen AS (SELECT pg.doc_id, m.lang, sum(pg.k * m.logp) AS s, sum(pg.k) AS ks FROM pg JOIN model m ON pg.gram = m.gram
+         GROUP BY ALL),
+scored AS (SELECT seen.doc_id, seen.lang, s + (kk - ks) * f.floor AS score
+           FROM seen JOIN size ON seen.doc_id = size.doc_id JOIN floors f ON f.lang = seen.lang),
+best AS (SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) AS r
+                                   FROM scored) WHERE r = 1)
+SELECT d.doc_id, CASE WHEN regexp_replace(d.text, '\\s+', '', 'g') = '' THEN '' ELSE b.lang END AS detected
+FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id"""
+
+L2 = "WITH " + AVAIL + """,
+req AS (SELECT * FROM (VALUES ('en'), ('fr'), ('de'), ('es'), ('it')) t(requested)),
+m AS (SELECT * FROM (VALUES ('en', 'eng_Latn'), ('fr', 'fra_Latn'), ('de', 'deu_Latn'), ('es', 'spa_Latn')) t(short, code)),
+av AS (SELECT DISTINCT language FROM avail),
+x AS (SELECT r.requested, coalesce(d.language, v.language) AS resolved
+      FROM req r LEFT JOIN m ON m.short = r.requested
+      LEFT JOIN av d ON d.language = r.requested LEFT JOIN av v ON v.language = m.code)
+SELECT requested, resolved, coalesce(mi.short, resolved) AS display, resolved IS NULL AS missing
+FROM x LEFT JOIN m mi ON mi.code = x.resolved"""
+L3 = "WITH " + AVAIL + """
+SELECT DISTINCT coalesce(language, 'unknown') AS language FROM avail WHERE NOT contains(coalesce(language, 'unknown'), '_')"""
+L4 = "WITH " + RESP + """
+SELECT row_id, '[en] ' || response_A AS response_A_eng, '[en] ' || coalesce(response_B, '') AS response_B_eng FROM resp"""
+L5 = "SELECT doc_id, md5('[en] ' || text) AS translated_md5, length('[en] ' || text)::INTEGER AS n FROM documents"
+
+# ---------------------------------------------------------------------------- M ops
+M1 = f"""SELECT doc_id, len({words_sql('text')})::INTEGER AS length,
+  CASE WHEN len({words_sql('text')}) > 0 THEN len(list_distinct({words_sql('text')})) / len({words_sql('text')})
+       ELSE 0.0 END AS ttr FROM documents"""
+M2 = f"""WITH toks AS (SELECT doc_id, {words_sql("coalesce(text, '')")} AS t FROM documents),
+bg AS (SELECT doc_id, t[i - 1] AS prev, t[i] AS word FROM (SELECT doc_id, t, unnest(range(2, len(t) + 1)) AS i FROM toks)),
+pc AS (SELECT prev, word, count(*) AS c_pw FROM bg GROUP BY ALL),
+prc AS (SELECT prev, sum(c_pw) AS c_p FROM pc GROUP BY prev),
+v AS (SELECT count(DISTINCT w) AS v FROM (SELECT unnest(t) AS w FROM toks)),
+sc AS (SELECT bg.doc_id, -ln((coalesce(pc.c_pw, 0) + 1.0) / (coalesce(prc.c_p, 0) + 1.0 * (SELECT v FROM v))) AS nlp
+       FROM bg LEFT JOIN pc ON bg.prev = pc.prev AND bg.word = pc.word LEFT JOIN prc ON bg.prev = prc.prev),
+per AS (SELECT doc_id, avg(nlp) AS nll FROM sc GROUP BY doc_id)
+SELECT d.doc_id, coalesce(per.nll, 0.0) AS nll FROM documents d LEFT JOIN per ON d.doc_id = per.doc_id"""
+M3 = "WITH " + RESP + f""",
+x AS (SELECT row_id, response_A,
+             CASE WHEN {H('row_id')} % 3 = 0 THEN NULL ELSE -1.0 END AS proxy_length_A,
+             CASE WHEN {H('row_id')} % 3 = 1 THEN NULL ELSE -1.0 END AS proxy_ttr_A FROM resp),
+y AS (SELECT *, (proxy_length_A IS NULL OR proxy_ttr_A IS NULL) AND NOT {blank_sql('response_A')} AS computed FROM x)
+SELECT row_id,
+  CASE WHEN computed THEN len({words_sql("coalesce(response_A, '')")})::DOUBLE ELSE proxy_length_A END AS proxy_length_A,
+  CASE WHEN computed THEN CASE WHEN len({words_sql("coalesce(response_A, '')")}) > 0
+       THEN len(list_distinct({words_sql("coalesce(response_A, '')")})) / len({words_sql("coalesce(response_A, '')")})
+       ELSE 0.0 END ELSE proxy_ttr_A END AS proxy_ttr_A, computed FROM y"""
+CACHE = PROXY + """,
+cache AS (SELECT row_id, value * 2 AS nll FROM proxy WHERE row_id < (SELECT count(*) FROM proxy) * 0.9)"""
+M4 = "WITH " + CACHE + """
+SELECT p.row_id, coalesce(p.nll, c.nll) AS nll FROM proxy p LEFT JOIN cache c ON p.row_id = c.row_id"""
+M4S = "WITH " + CACHE + """
+SELECT count(d.row_id) AS data_rows, count(c.row_id) AS cache_rows,
+       count(*) FILTER (WHERE d.row_id IS NULL) AS cache_only, count(*) FILTER (WHERE c.row_id IS NULL) AS data_only
+FROM (SELECT row_id FROM proxy) d FULL OUTER JOIN (SELECT row_id FROM cache) c ON d.row_id = c.row_id"""
+
+
+def edges_sql(values: str, k: int, lengths: bool, fallback) -> str:
+    fb = " UNION ALL ".join(f"SELECT {i} AS edge_idx, {float(v)}::DOUBLE AS edge" for i, v in enumerate(fallback))
+    first = "0.0::DOUBLE" if lengths else "r.v"
+    return f"""WITH v AS ({values}),
+vv AS (SELECT v FROM v WHERE v IS NOT NULL AND NOT isnan(v)),
+r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS pos FROM vv),
+n AS (SELECT count(*) AS n FROM vv),
+w AS (SELECT i::INTEGER AS edge_idx, CASE WHEN i = 0 THEN 0 WHEN i = {k} THEN n - 1
+             ELSE least(greatest(ceil(i::DOUBLE / {float(k)}::DOUBLE * n) - 1, 0), n - 1) END AS pos
+      FROM range(0, {k + 1}) t(i), n)
+SELECT w.edge_idx, CASE WHEN w.edge_idx = 0 THEN {first} ELSE r.v END AS edge
+FROM w LEFT JOIN r ON w.pos = r.pos WHERE (SELECT n FROM n) > 0
+UNION ALL SELECT * FROM ({fb}) WHERE (SELECT n FROM n) = 0"""
+
+
+def _m5():
+    from prefeval.operators.metrics import DEFAULT_LENGTH_BINS
+    a = edges_sql("SELECT l_extendedprice::DOUBLE AS v FROM lineitem", 10, False, DEFAULT_LENGTH_BINS)
+    b = edges_sql(f"SELECT len({words_sql('coalesce(text, chr(0))')})::DOUBLE AS v FROM documents", 6, True,
+                  DEFAULT_LENGTH_BINS)
+    return a, b
+
+
+M5, M5L = _m5()
+M5L = M5L.replace("coalesce(text, chr(0))", "coalesce(text, '')")
+
+
+def bucket_sql(v: str, edges) -> str:
+    below = " + ".join(f"(CASE WHEN {float(e)} < {v} THEN 1 ELSE 0 END)" for e in edges)
+    return f"(CASE WHEN {v} IS NOT NULL AND NOT isnan({v}) THEN least(greatest(({below}) - 1, 0), {len(edges) - 2}) END)"
+
+
+def soft_cells_sql(v: str, edges, soft: bool = True) -> tuple[str, list]:
+    nb = len(edges) - 1
+    idx = bucket_sql(v, edges)
+    miss = f"({v} IS NULL OR isnan({v}))"
+    e = "[" + ", ".join(f"{float(x)}::DOUBLE" for x in edges) + "]"
+    left = f"{e}[{idx} + 1]"
+    right = f"{e}[least({idx} + 2, {len(edges)})]"
+    hard = f"({'true' if (not soft or nb == 1) else 'false'} OR {idx} >= {nb - 1} OR {right} <= {left})"
+    ratio = f"least(greatest(({v} - {left}) / ({right} - {left}), 0.0), 1.0)"
+    cells = []
+    for j in range(nb):
+        cells.append(f"(CASE WHEN {miss} THEN 0.0 WHEN {hard} THEN CASE WHEN {idx} = {j} THEN 1.0 ELSE 0.0 END "
+                     f"WHEN {idx} = {j} THEN 1.0 - {ratio} WHEN {idx} + 1 = {j} THEN {ratio} ELSE 0.0 END)")
+    label = f"(CASE WHEN {miss} THEN -100 ELSE {idx} END)::INTEGER"
+    return label, cells
+
+
+def _m_edges():
+    from prefeval.plans.queries import VALUE_EDGES, MAG_EDGES
+    return VALUE_EDGES, MAG_EDGES
+
+
+VALUE_EDGES_, MAG_EDGES_ = _m_edges()
+M6 = f"SELECT event_id, {bucket_sql('value', VALUE_EDGES_)}::INTEGER AS bin FROM events"
+_lab7, _cells7 = soft_cells_sql("nll", VALUE_EDGES_)
+M7 = "WITH " + PROXY + f"\nSELECT row_id, {_lab7} AS label, " + ", ".join(
+    f"{cell} AS w{j}" for j, cell in enumerate(_cells7)) + " FROM proxy"
+M9 = "WITH " + PROXY + f""",
+sb AS (SELECT {_lab7} AS label, [{', '.join(_cells7)}] AS target FROM proxy),
+ex AS (SELECT unnest(generate_series(0, {len(VALUE_EDGES_) - 2})) AS bin, unnest(target) AS w FROM sb WHERE label <> -100),
+h AS (SELECT bin, sum(w) AS mass FROM ex GROUP BY bin),
+p AS (SELECT bin::INTEGER AS bin, mass, mass / greatest((SELECT sum(mass) FROM h), 1e-8) AS prob FROM h)
+SELECT *, -(SELECT sum(prob * ln(prob + 1e-8)) FROM p) AS entropy FROM p"""
+
+
+def _m8():
+    from prefeval.operators.metrics import DEFAULT_LENGTH_BINS, DEFAULT_TTR_BINS, DEFAULT_NLL_BINS
+    w = words_sql("text")
+    ln_, lc = soft_cells_sql("len_v", DEFAULT_LENGTH_BINS)
+    tl, tc = soft_cells_sql("ttr_v", DEFAULT_TTR_BINS)
+    nl, _ = soft_cells_sql("nll_v", DEFAULT_NLL_BINS)
+    return "WITH " + RESP + f""",
+sides AS (SELECT row_id, 'A' AS side, response_A AS text FROM resp UNION ALL
+          SELECT row_id, 'B', response_B FROM resp),
+x AS (SELECT row_id, side, (NOT {blank_sql('text')})::INTEGER AS present,
+        CASE WHEN NOT {blank_sql('text')} THEN len({w})::DOUBLE END AS len_v,
+        CASE WHEN NOT {blank_sql('text')} THEN CASE WHEN len({w}) > 0 THEN len(list_distinct({w})) / len({w}) ELSE 0.0 END END
+          AS ttr_v,
+        NULL::DOUBLE AS nll_v FROM sides)
+SELECT row_id, side, present, {ln_} AS length_label, {tl} AS ttr_label, {nl} AS nll_label,
+       {' + '.join(lc)} AS length_mass, {tc[0]} AS ttr_w0 FROM x"""
+
+
+M8 = _m8()
+
+
+def _m10():
+    from prefeval.operators.metrics import DEFAULT_LENGTH_BINS
+    w = words_sql("text")
+    lab, cells = soft_cells_sql("len_v", DEFAULT_LENGTH_BINS)
+    nb = len(DEFAULT_LENGTH_BINS) - 1
+    return f"""WITH x AS (SELECT lang, len({w})::DOUBLE AS len_v FROM documents),
+sb AS (SELECT lang, {lab} AS label, [{', '.join(cells)}] AS target FROM x),
+ex AS (SELECT lang, unnest(generate_series(0, {nb - 1})) AS bin, unnest(target) AS w FROM sb WHERE label <> -100),
+hl AS (SELECT lang, bin, sum(w) AS mass FROM ex GROUP BY ALL),
+pl AS (SELECT lang, bin, mass / greatest(sum(mass) OVER (PARTITION BY lang), 1e-8) AS prob FROM hl),
+ha AS (SELECT bin, sum(w) AS mass FROM ex GROUP BY bin),
+pa AS (SELECT bin, mass / greatest(sum(mass) OVER (), 1e-8) AS rprob FROM ha),
+grid AS (SELECT l.lang, b.bin FROM (SELECT DISTINCT lang FROM pl) l, range(0, {nb}) b(bin)),
+j AS (SELECT g.lang, g.bin, coalesce(pl.prob, 0.0) AS prob, coalesce(pa.rprob, 0.0) AS rprob
+      FROM grid g LEFT JOIN pl ON pl.lang = g.lang AND pl.bin = g.bin LEFT JOIN pa ON pa.bin = g.bin),
+c AS (SELECT *, sum(prob) OVER (PARTITION BY lang ORDER BY bin) AS cdf,
+                sum(rprob) OVER (PARTITION BY lang ORDER BY bin) AS rcdf FROM j)
+SELECT lang, sum(abs(cdf - rcdf)) AS emd, abs(sum(prob * bin) - sum(rprob * bin)) AS mean_bin_diff
+FROM c GROUP BY lang"""
+
+
+M10 = _m10()
+
+
+def soft_hist_sql(src: str, col: str, edges, group: str) -> str:
+    nb = len(edges) - 1
+    v = f"least(greatest({col}::DOUBLE, {float(edges[0])}), {float(edges[-1])})"
+    below = " + ".join(f"(CASE WHEN {float(e)} < v THEN 1 ELSE 0 END)" for e in edges)
+    e = "[" + ", ".join(f"{float(x)}::DOUBLE" for x in edges) + "]"
+    return f"""x0 AS (SELECT {group} AS grp, {v} AS v FROM {src} WHERE {col} IS NOT NULL AND NOT isnan({col}::DOUBLE)),
+x1 AS (SELECT grp, v, least(greatest(({below}) - 1, 0), {nb - 1}) AS i FROM x0),
+x2 AS (SELECT grp, i, CASE WHEN i = {nb - 1} THEN 0.0 ELSE
+         least(greatest((v - {e}[i + 1]) / greatest({e}[least(i + 2, {len(edges)})] - {e}[i + 1], 1e-6), 0.0), 1.0) END AS wr
+       FROM x1),
+parts AS (SELECT grp, i AS bin, 1.0 - wr AS w FROM x2 UNION ALL SELECT grp, least(i + 1, {nb - 1}), wr FROM x2),
+h AS (SELECT grp, bin, sum(w) AS mass FROM parts GROUP BY ALL),
+nn AS (SELECT grp, count(*) AS n FROM x0 GROUP BY grp)"""
+
+
+M11 = "WITH " + soft_hist_sql("lineitem", "l_quantity", [0.0, 5.0, 10.0, 25.0, 40.0, 50.0], "l_returnflag") + """
+SELECT h.grp AS l_returnflag, h.bin::INTEGER AS bin, mass / n AS share FROM h JOIN nn ON h.grp = nn.grp"""
+
+STD = """ex AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS dim,
+                 unnest(embedding)::DOUBLE AS x FROM embeddings),
+mom AS (SELECT vec_id, avg(x) AS m, greatest(avg(x * x) - avg(x) * avg(x), 0.0) AS var FROM ex GROUP BY vec_id),
+z AS (SELECT ex.vec_id, ex.label, ex.dim, (ex.x - mom.m) / sqrt(mom.var + 1e-6) AS z
+      FROM ex JOIN mom ON ex.vec_id = mom.vec_id),
+moments AS (SELECT label, dim::INTEGER AS dim, avg(z) AS mean, var_pop(z) AS var,
+                   ln(greatest(var_pop(z), 1e-6)) AS logvar FROM z GROUP BY ALL)"""
+M12 = "WITH " + STD + "\nSELECT label, dim, round(mean, 5) AS mean, round(var, 5) AS var, round(logvar, 5) AS logvar FROM moments"
+M13 = "WITH " + STD + """,
+mags AS (SELECT label, avg(abs(z)) AS mag FROM z GROUP BY vec_id, label),
+""" + soft_hist_sql("mags", "mag", MAG_EDGES_, "label") + """
+SELECT h.grp AS label, h.bin::INTEGER AS bin, mass / n AS share FROM h JOIN nn ON h.grp = nn.grp"""
+M14 = "WITH " + STD + """
+SELECT label, 0.5 * sum(mean * mean + exp(least(greatest(logvar, -10.0), 10.0)) - 1.0
+                        - least(greatest(logvar, -10.0), 10.0)) AS kl FROM moments GROUP BY label"""
+M15 = """WITH a AS (SELECT vec_id // 2 AS pair, embedding::DOUBLE[] AS task, label AS grp FROM embeddings WHERE vec_id % 2 = 0),
+b AS (SELECT (vec_id - 1) // 2 AS pair, embedding::DOUBLE[] AS bias FROM embeddings WHERE vec_id % 2 = 1),
+p AS (SELECT a.pair, a.grp, a.task, b.bias FROM a JOIN b ON a.pair = b.pair),
+base AS (SELECT grp, avg(abs(list_dot_product(task, bias) /
+                 (greatest(sqrt(list_dot_product(task, task)), 1e-12) * greatest(sqrt(list_dot_product(bias, bias)), 1e-12))))
+                 AS mean_abs_cos, count(*) AS n FROM p GROUP BY grp),
+tx AS (SELECT pair, grp, generate_subscripts(task, 1) - 1 AS i, unnest(task) AS x FROM p),
+bx AS (SELECT pair, grp, generate_subscripts(bias, 1) - 1 AS j, unnest(bias) AS y FROM p),
+mt AS (SELECT grp, i, avg(x) AS mt, stddev_pop(x) AS st FROM tx GROUP BY ALL),
+mb AS (SELECT grp, j, avg(y) AS mb, stddev_pop(y) AS sb FROM bx GROUP BY ALL),
+s AS (SELECT tx.grp, i, j, sum(x * y) AS s FROM tx JOIN bx ON tx.pair = bx.pair GROUP BY ALL),
+cov AS (SELECT s.grp, avg(power((s.s / base.n - mt.mt * mb.mb) / (greatest(mt.st, 1e-6) * greatest(mb.sb, 1e-6)), 2))
+               AS cov_loss
+        FROM s JOIN base ON s.grp = base.grp JOIN mt ON mt.grp = s.grp AND mt.i = s.i
+        JOIN mb ON mb.grp = s.grp AND mb.j = s.j GROUP BY s.grp)
+SELECT base.grp, mean_abs_cos, n, CASE WHEN n >= 5 THEN cov_loss END AS cov_loss,
+       mean_abs_cos + coalesce(CASE WHEN n >= 5 THEN cov_loss END, 0.0) AS loss
+FROM base LEFT JOIN cov ON base.grp = cov.grp"""
+M16 = """SELECT event_id, event_type FROM (
+  SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r
+  FROM events) WHERE r <= 100"""
+
+# ---------------------------------------------------------------------------- T ops
+
+
+def ids_sql(text: str, max_len: int | None = None) -> str:
+    w = words_sql(f"coalesce({text}, '')")
+    if max_len is not None:
+        w = f"({w})[1:{max_len}]"
+    return f"list_transform({w}, lambda t: ({H('t')} % 50000 + 3)::INTEGER)"
+
+
+T1 = f"""SELECT doc_id, array_to_string({ids_sql('text', 256)}, ' ') AS ids,
+       CASE WHEN NOT {blank_sql('text')} THEN 1 ELSE 0 END AS ids_mask FROM documents"""
+
+
+def pair_sql(max_len: int) -> str:
+    return "WITH " + RESP + f""",
+sft AS (SELECT row_id, coalesce(instruction, '') AS judge_prompt, coalesce(response_A, '') AS output FROM resp),
+e0 AS (SELECT row_id, {ids_sql('judge_prompt')} AS p, list_concat({ids_sql('output')}, [1]) AS o FROM sft),
+e1 AS (SELECT *, len(p) + len(o) - {max_len} AS over, len(p) >= {max_len} AS prompt_overflow FROM e0),
+e2 AS (SELECT row_id, prompt_overflow,
+         CASE WHEN over <= 0 THEN p WHEN over >= len(p) THEN p[1:0] ELSE p[over + 1:] END AS p2,
+         CASE WHEN over > 0 AND over - len(p) > 0 THEN o[over - len(p) + 1:] ELSE o END AS o2 FROM e1),
+enc AS (SELECT row_id, prompt_overflow, len(o2)::INTEGER AS target_len,
+          CASE WHEN len(p2) + len(o2) = 0 THEN [0] ELSE list_concat(p2, o2) END AS input_ids,
+          CASE WHEN len(p2) + len(o2) = 0 THEN [-100] ELSE list_concat(list_transform(p2, lambda x: -100), o2) END
+            AS labels FROM e2)"""
+
+
+T2 = pair_sql(64) + """
+SELECT row_id, array_to_string(input_ids, ' ') AS input_ids, array_to_string(labels, ' ') AS labels,
+       prompt_overflow, target_len FROM enc"""
+
+
+def offsets_cte(src: str, key: str, text: str, max_tokens: int, name: str) -> str:
+    """Token (index, start, end) rows of the first max_tokens tokens, by window sums."""
+    w = words_sql(f"coalesce({text}, '')")
+    seps = f"regexp_split_to_array(coalesce({text}, ''), '\\S+')"
+    return f"""{name}_a AS (SELECT {key}, ({w})[1:{max_tokens}] AS toks, {seps} AS seps FROM {src}),
+{name}_b AS (SELECT {key}, generate_subscripts(toks, 1) AS k, unnest(toks) AS tok, seps FROM {name}_a),
+{name} AS (SELECT {key}, k, tok, sum(length(seps[k]) + length(tok)) OVER (PARTITION BY {key} ORDER BY k) AS e
+           FROM {name}_b)"""
+
+
+T3 = "WITH " + RESP + """,
+sft AS (SELECT row_id, coalesce(instruction, '') AS judge_prompt, coalesce(response_A, '') AS output,
+               coalesce(instruction, '') || coalesce(response_A, '') AS fulltext FROM resp),
+""" + offsets_cte("sft", "row_id", "fulltext", 96, "offs") + f""",
+ts AS (SELECT s.row_id, coalesce(min(o.k) FILTER (WHERE o.e > length(s.judge_prompt)) - 1,
+                                 len({ids_sql('s.fulltext', 96)})) AS target_start
+       FROM sft s LEFT JOIN offs o ON s.row_id = o.row_id GROUP BY s.row_id, s.judge_prompt, s.fulltext),
+lab AS (SELECT s.row_id, ts.target_start, {ids_sql('s.fulltext', 96)} AS ids,
+               len({words_sql('s.fulltext')}) > 96 AS truncated FROM sft s JOIN ts ON s.row_id = ts.row_id),
+lab2 AS (SELECT *, list_concat(list_transform(range(least(target_start, len(ids))), lambda x: -100),
+                               ids[least(target_start, len(ids)) + 1:]) AS labels0 FROM lab)
+SELECT row_id, target_start::INTEGER AS target_start,
+       array_to_string(CASE WHEN len(ids) < 96 THEN list_concat(labels0, [1]) ELSE labels0 END, ' ') AS labels,
+       truncated FROM lab2"""
+
+T4 = "WITH " + SPAN_IN.replace("sb AS (", "sb0 AS (") + """,
+sb AS (SELECT * FROM sb0),
+""" + offsets_cte("sb", "id", "content", 400, "offs") + """,
+typed AS (SELECT o.id, o.k, CASE WHEN s.span_a IS NOT NULL AND o.e - length(o.tok) < s.span_a."end" AND o.e > s.span_a.start THEN 1
+                          WHEN s.span_b IS NOT NULL AND o.e - length(o.tok) < s.span_b."end" AND o.e > s.span_b.start THEN 2
+                          ELSE 0 END AS t
+          FROM offs o JOIN sb s ON o.id = s.id)
+SELECT s.id, coalesce(string_agg(CAST(t AS VARCHAR), '' ORDER BY k), '') AS types
+FROM sb s LEFT JOIN typed ON s.id = typed.id GROUP BY s.id"""
+
+T5 = pair_sql(48) + """,
+fl AS (SELECT *, row_id // 4000 AS batch_id, prompt_overflow OR target_len < 20 AS flag FROM enc)
+SELECT batch_id::BIGINT AS batch_id, array_to_string(input_ids, ' ') AS input_ids FROM fl WHERE NOT flag
+UNION ALL
+SELECT batch_id::BIGINT, '0' FROM fl GROUP BY batch_id HAVING bool_and(flag)"""
+T5C = pair_sql(48) + """
+SELECT count(*) AS seen, count(*) FILTER (WHERE prompt_overflow) AS drop_maxlen,
+       count(*) FILTER (WHERE target_len < 20) AS drop_min_target,
+       count(*) FILTER (WHERE prompt_overflow OR target_len < 20) AS flagged,
+       coalesce(count(*) FILTER (WHERE prompt_overflow OR target_len < 20) / count(*), 0.0) AS ratio FROM enc"""
+T6 = f"""WITH d AS (SELECT doc_id AS row_id, {ids_sql('text', 40)} AS seq FROM documents),
+b AS (SELECT *, row_id // 8 AS batch_id, max(len(seq)) OVER (PARTITION BY row_id // 8) AS l FROM d)
+SELECT row_id, batch_id::BIGINT AS batch_id,
+       array_to_string(list_concat(list_transform(range(l - len(seq)), lambda x: 0), seq), ' ') AS padded,
+       repeat('0', (l - len(seq))::INTEGER) || repeat('1', len(seq)::INTEGER) AS mask FROM b"""
+NUM = """num AS (SELECT l_orderkey, l_linenumber, l_extendedprice,
+                 row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS row_id FROM lineitem)"""
+T7 = "WITH " + NUM + """,
+n AS (SELECT count(*) AS n, count(*) // 7 AS base, count(*) % 7 AS rem FROM num)
+SELECT row_id, (CASE WHEN row_id < (base + 1) * rem THEN row_id // (base + 1)
+                     ELSE rem + (row_id - (base + 1) * rem) // greatest(base, 1) END)::INTEGER AS contiguous,
+       (row_id % 7)::INTEGER AS strided FROM num, n"""
+T8 = "WITH " + NUM + """,
+sh AS (SELECT row_id AS idx, row_id % 4 AS rank, 4 AS world_size FROM num WHERE NOT (row_id % 4 = 3 AND row_id % 10 = 3)),
+n AS (SELECT count(*) AS n FROM num)
+SELECT (SELECT count(DISTINCT world_size) FROM sh) AS world_sizes,
+       (SELECT count(*) FROM range(0, (SELECT max(world_size) FROM sh)) r(rank) WHERE rank NOT IN (SELECT rank FROM sh))
+         AS missing_ranks,
+       (SELECT count(*) FROM sh WHERE idx < 0 OR idx >= (SELECT n FROM n)) AS out_of_range,
+       (SELECT count(*) FROM range(0, (SELECT n FROM n)) r(idx) WHERE idx NOT IN (SELECT idx FROM sh)) AS missing_indices,
+       (SELECT count(*) FROM (SELECT idx FROM sh GROUP BY idx HAVING count(*) > 1)) AS duplicate_indices"""
+T9 = "WITH " + SPAN_IN + """,
+""" + offsets_cte("sb", "id", "content", 200, "offs") + """,
+types AS (SELECT o.id AS row_id, o.k - 1 AS pos,
+                 CASE WHEN s.span_a IS NOT NULL AND o.e - length(o.tok) < s.span_a."end" AND o.e > s.span_a.start THEN 1
+                      WHEN s.span_b IS NOT NULL AND o.e - length(o.tok) < s.span_b."end" AND o.e > s.span_b.start THEN 2
+                      ELSE 0 END AS side
+          FROM offs o JOIN sb s ON o.id = s.id),
+tk AS (SELECT *, row_number() OVER (PARTITION BY row_id, side ORDER BY pos) AS k FROM types WHERE side > 0),
+vw AS (SELECT id AS row_id, 1 AS side, (""" + words_sql("resp_a") + """)[1:150] AS w FROM sb
+       UNION ALL SELECT id, 2, (""" + words_sql("resp_b") + """)[1:150] FROM sb),
+vals AS (SELECT row_id, side, generate_subscripts(w, 1) AS k, length(unnest(w))::DOUBLE AS value FROM vw)
+SELECT tk.row_id, tk.pos::INTEGER AS pos, tk.side::INTEGER AS side, coalesce(vals.value, 0.0) AS value
+FROM tk LEFT JOIN vals ON tk.row_id = vals.row_id AND tk.side = vals.side AND tk.k = vals.k"""
+
+ORACLE.update({
+    "p10_coerce_example": P10, "p11_filter_empty": P11, "p11_filter_empty_counts": P11C,
+    "p12_flag_missing_proxy": P12, "p13_locate_span": P13, "p14_section_between": P14,
+    "p15_contains_either": P15, "p16_preview": P16, "p17_cap_rows": P17, "p18_prefilter_long": P18,
+    "p18_prefilter_stats": P18S, "p18_prefilter_sample": P18D, "p19_output_to_text": P19,
+    "l1_detect_language": L1, "l2_resolve_languages": L2, "l3_core_languages": L3,
+    "l4_repivot_responses": L4, "l5_map_text": L5,
+    "m1_length_ttr": M1, "m2_token_nll": M2, "m3_backfill_proxy": M3, "m4_merge_proxy_cache": M4,
+    "m4_merge_proxy_stats": M4S, "m5_quantile_edges": M5, "m5_length_edges": M5L, "m6_bucketize": M6,
+    "m7_soft_bin": M7, "m8_proxy_labels": M8, "m9_bin_histogram": M9, "m10_distribution_distance": M10,
+    "m11_soft_histogram": M11, "m12_vector_moments": M12, "m13_magnitude_histogram": M13,
+    "m14_gaussian_kl": M14, "m15_dependence_audit": M15, "m16_last_n": M16,
+    "t1_encode": T1, "t2_encode_pair": T2, "t3_label_tokens": T3, "t4_tag_response_tokens": T4,
+    "t5_length_policy_drop": T5, "t5_length_policy_counts": T5C, "t6_pack_batches": T6, "t7_shards": T7,
+    "t8_merge_shards": T8, "t9_rank_align": T9,
+})

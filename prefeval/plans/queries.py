@@ -341,3 +341,413 @@ def q_p8(spark, root):
 def q_p9(spark, root):
     d = _doc_ids(spark, root).withColumn("_fb", P.parse_request_filename(F.col("file_name")))
     return d.select("doc_id", "_fb.fallback_group", "_fb.fallback_lang")
+
+
+@register("p10_coerce_example")
+def q_p10(spark, root):
+    pr = FX.proxy(spark, root)
+    x = pr.select("row_id", F.when(F.col("event_type") == "view", F.lit("")).otherwise(F.col("event_type"))
+                  .alias("judge_instruction"),
+                  F.col("nll").cast("string").alias("proxy_nll_A"), F.col("ppl").alias("proxy_ppl_A"),
+                  F.when(F.col("row_id") % 7 == 0, F.lit("abc")).otherwise(F.col("value").cast("string"))
+                  .alias("proxy_length_A"))
+    return P.coerce_example(x).select("row_id", "judge_prompt", "proxy_nll_A", "proxy_length_A")
+
+
+@register("p11_filter_empty")
+def q_p11(spark, root):
+    kept, counts = P.filter_empty(FX.responses(spark, root), require_both=True)
+    return kept.select("row_id")
+
+
+@register("p11_filter_empty_counts")
+def q_p11c(spark, root):
+    kept, counts = P.filter_empty(FX.responses(spark, root), require_both=True)
+    return counts
+
+
+@register("p12_flag_missing_proxy")
+def q_p12(spark, root):
+    pr = FX.proxy(spark, root)
+    ppl_b = F.when(F.col("row_id") % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("ppl"))
+    nll_b = F.when(F.col("row_id") % 5 == 0, F.col("nll")).otherwise(F.lit(None).cast("double"))
+    resp_b = F.when(F.col("row_id") % 4 == 0, F.lit("  ")).otherwise(F.col("event_type"))
+    return pr.select("row_id", P.flag_missing_proxy(F.col("nll"), F.lit(None).cast("string"), nll_b, ppl_b, resp_b)
+                     .alias("missing_proxy"))
+
+
+def _span_inputs(spark, root):
+    t = seed42_tasks(spark, root)
+    t = J.render_user(t, question="prompt", out="content")
+    k = h32(F.col("id")) % 3
+    resp_a = F.when(k == 0, F.regexp_replace("answer_a", "\n", "  ")).otherwise(F.col("answer_a"))
+    resp_b = F.when(k == 1, F.concat(F.lit("  "), F.col("answer_b"))).otherwise(F.col("answer_b"))
+    return t.select("id", "content", resp_a.alias("resp_a"), resp_b.alias("resp_b"))
+
+
+@register("p13_locate_span")
+def q_p13(spark, root):
+    x = _span_inputs(spark, root).withColumn("span_a", P.locate_span(F.col("content"), F.col("resp_a")))
+    x = x.withColumn("span_b", P.locate_span(F.col("content"), F.col("resp_b"), F.col("span_a.end")))
+    return x.select("id", F.col("span_a.start").alias("a_start"), F.col("span_a.end").alias("a_end"),
+                    F.col("span_b.start").alias("b_start"), F.col("span_b.end").alias("b_end"))
+
+
+@register("p14_section_between")
+def q_p14(spark, root):
+    pg = table(spark, root, "pages").select("page_id", "html")
+    return pg.select("page_id", P.section_between(F.col("html"), "<title>", "</title>").alias("title"),
+                     P.section_between(F.col("html"), "<h1>", None).alias("after_h1_len")) \
+             .withColumn("after_h1_len", F.length("after_h1_len"))
+
+
+@register("p15_contains_either")
+def q_p15(spark, root):
+    p = FX.pairs(spark, root)
+    piece = F.regexp_replace(F.substring("chosen", 5, 200), r"\s", "\n")
+    return p.select("id", P.contains_either(F.col("chosen"), piece).alias("c1"),
+                    P.contains_either(F.col("rejected"), piece).alias("c2"))
+
+
+@register("p16_preview")
+def q_p16(spark, root):
+    d = table(spark, root, "documents")
+    return d.select("doc_id", P.preview("text", 120).alias("preview"))
+
+
+@register("p17_cap_rows")
+def q_p17(spark, root):
+    return P.cap_rows(table(spark, root, "documents").select("doc_id", "lang"), 300, order="doc_id")
+
+
+@register("p18_prefilter_long")
+def q_p18(spark, root):
+    kept, stats, sample = P.prefilter_long(table(spark, root, "documents"), 2000, order="doc_id")
+    return kept.select("doc_id")
+
+
+@register("p18_prefilter_stats")
+def q_p18s(spark, root):
+    kept, stats, sample = P.prefilter_long(table(spark, root, "documents"), 2000, order="doc_id")
+    return stats
+
+
+@register("p18_prefilter_sample")
+def q_p18d(spark, root):
+    kept, stats, sample = P.prefilter_long(table(spark, root, "documents"), 2000, order="doc_id", k=5)
+    return sample
+
+
+@register("p19_output_to_text")
+def q_p19(spark, root):
+    conv = table(spark, root, "conversations")
+    g = conv.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", "text")))).alias("_a"),
+        F.array_sort(F.collect_list("turn")).alias("turns"))
+    texts = F.when(F.size("_a") > 0, F.transform("_a", lambda s: s["text"]))
+    return g.select("conv_id", P.output_to_text_typed(texts, "array<string>").alias("text"),
+                    P.output_to_text_typed(F.col("turns"), "array<bigint>").alias("turns_json"))
+
+
+# ---------------------------------------------------------------------------- L ops
+LANG_CODES = {"en": "eng_Latn", "fr": "fra_Latn", "de": "deu_Latn", "es": "spa_Latn"}
+REQUESTED = ["en", "fr", "de", "es", "it"]
+
+
+def _available_langs(spark, root):
+    d = table(spark, root, "documents")
+    code = F.when(F.col("lang") == "en", F.col("lang")).otherwise(
+        F.element_at(F.create_map(*[x for kv in LANG_CODES.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]),
+                     F.col("lang")))
+    return d.select(code.alias("language"))
+
+
+@register("l1_detect_language")
+def q_l1(spark, root):
+    d = table(spark, root, "documents")
+    model = L.train_language_model(d, text="text", label="lang")
+    return L.detect_language(d.select("doc_id", "text"), model).select("doc_id", "detected")
+
+
+@register("l2_resolve_languages")
+def q_l2(spark, root):
+    req = spark.createDataFrame([(x,) for x in REQUESTED], "language string")
+    return L.resolve_languages(req, _available_langs(spark, root), LANG_CODES)
+
+
+@register("l3_core_languages")
+def q_l3(spark, root):
+    return L.core_languages(_available_langs(spark, root))
+
+
+def translate_stub(pdf):
+    return "[en] " + pdf["text"].fillna("")
+
+
+def back_stub(pdf):
+    return "[" + pdf["lang"].fillna("") + "] " + pdf["text_eng"].fillna("")
+
+
+@register("l4_repivot_responses")
+def q_l4(spark, root):
+    r = FX.responses(spark, root).select("row_id", "response_A", F.coalesce("response_B", F.lit("")).alias("response_B"))
+    long = L.unpivot_responses(r)
+    eng = L.map_text(long, translate_stub, inputs=["text"], keys=["row_id", "side"], out="text_eng", dedupe=True)
+    return L.repivot_responses(eng, value="text_eng", suffix="_eng")
+
+
+@register("l5_map_text")
+def q_l5(spark, root):
+    d = table(spark, root, "documents").select("doc_id", "text")
+    return L.map_text(d, translate_stub, inputs=["text"], keys=["doc_id"], out="translated", dedupe=True) \
+            .select("doc_id", F.md5("translated").alias("translated_md5"), F.length("translated").alias("n"))
+
+
+# ---------------------------------------------------------------------------- M ops
+from prefeval.operators import metrics as M  # noqa: E402
+from prefeval.operators import tokens as T  # noqa: E402
+
+VALUE_EDGES = [0.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0]
+MAG_EDGES = [0.0, 0.5, 0.7, 0.8, 0.9, 1.0, 1.5]
+
+
+@register("m1_length_ttr")
+def q_m1(spark, root):
+    d = table(spark, root, "documents")
+    m = M.length_ttr("text")
+    return d.select("doc_id", m["length"].alias("length"), m["ttr"].alias("ttr"))
+
+
+@register("m2_token_nll")
+def q_m2(spark, root):
+    d = table(spark, root, "documents").select("doc_id", "text")
+    return M.token_nll(d, d, key="doc_id", text="text")
+
+
+def _resp_with_proxy(spark, root):
+    r = FX.responses(spark, root)
+    k = h32(F.col("row_id")) % 3
+    m = M.length_ttr("response_A")
+    return r.select("row_id", "response_A",
+                    F.when(k == 0, F.lit(None).cast("double")).otherwise(F.lit(-1.0)).alias("proxy_length_A"),
+                    F.when(k == 1, F.lit(None).cast("double")).otherwise(F.lit(-1.0)).alias("proxy_ttr_A"))
+
+
+@register("m3_backfill_proxy")
+def q_m3(spark, root):
+    return M.backfill_proxy(_resp_with_proxy(spark, root)).select("row_id", "proxy_length_A", "proxy_ttr_A", "computed")
+
+
+def _cache_frames(spark, root):
+    pr = FX.proxy(spark, root)
+    data = pr.select("row_id", "nll")
+    n = pr.agg(F.count(F.lit(1))).scalar()
+    cache = pr.filter(F.col("row_id") < n * 0.9).select("row_id", (F.col("value") * 2).alias("nll"))
+    return data, cache
+
+
+@register("m4_merge_proxy_cache")
+def q_m4(spark, root):
+    data, cache = _cache_frames(spark, root)
+    return M.merge_proxy_cache(data, cache)[0]
+
+
+@register("m4_merge_proxy_stats")
+def q_m4s(spark, root):
+    data, cache = _cache_frames(spark, root)
+    return M.merge_proxy_cache(data, cache)[1]
+
+
+@register("m5_quantile_edges")
+def q_m5(spark, root):
+    return M.quantile_edges(table(spark, root, "lineitem"), "l_extendedprice", 10)
+
+
+@register("m5_length_edges")
+def q_m5l(spark, root):
+    d = table(spark, root, "documents").select(M.length_ttr("text")["length"].alias("n"))
+    return M.quantile_edges(d, "n", 6, lengths=True)
+
+
+@register("m6_bucketize")
+def q_m6(spark, root):
+    ev = table(spark, root, "events")
+    return ev.select("event_id", M.bucketize("value", VALUE_EDGES).alias("bin"))
+
+
+@register("m7_soft_bin")
+def q_m7(spark, root):
+    pr = FX.proxy(spark, root)
+    sb = M.soft_bin("nll", VALUE_EDGES)
+    return pr.select("row_id", sb["label"].alias("label"),
+                     *[F.element_at(sb["target"], i + 1).alias(f"w{i}") for i in range(len(VALUE_EDGES) - 1)])
+
+
+@register("m8_proxy_labels")
+def q_m8(spark, root):
+    r = FX.responses(spark, root)
+    lab = M.proxy_labels(r)
+    return lab.select("row_id", "side", "present", F.col("length.label").alias("length_label"),
+                      F.col("ttr.label").alias("ttr_label"), F.col("nll.label").alias("nll_label"),
+                      F.aggregate("length.target", F.lit(0.0), lambda a, v: a + v).alias("length_mass"),
+                      F.element_at("ttr.target", 1).alias("ttr_w0"))
+
+
+@register("m9_bin_histogram")
+def q_m9(spark, root):
+    pr = FX.proxy(spark, root)
+    sb = pr.select(M.soft_bin("nll", VALUE_EDGES).alias("s")).select("s.label", "s.target")
+    return M.bin_histogram(sb)
+
+
+def _doc_length_hist(spark, root, group):
+    d = table(spark, root, "documents")
+    x = d.select("lang", M.soft_bin(M.length_ttr("text")["length"], M.DEFAULT_LENGTH_BINS).alias("s")) \
+         .select("lang", "s.label", "s.target")
+    return M.bin_histogram(x, group=group)
+
+
+@register("m10_distribution_distance")
+def q_m10(spark, root):
+    per = _doc_length_hist(spark, root, ["lang"])
+    ref = _doc_length_hist(spark, root, [])
+    return M.distribution_distance(per, ref, "lang", len(M.DEFAULT_LENGTH_BINS) - 1)
+
+
+@register("m11_soft_histogram")
+def q_m11(spark, root):
+    li = table(spark, root, "lineitem")
+    return M.soft_histogram(li, "l_quantity", [0.0, 5.0, 10.0, 25.0, 40.0, 50.0], group=["l_returnflag"])
+
+
+@register("m12_vector_moments")
+def q_m12(spark, root):
+    # moments of standardised floats: reported to 5 decimals (summation order
+    # differs between engines in the 7th digit)
+    m = M.vector_moments(table(spark, root, "embeddings"))
+    return m.select("label", "dim", *[F.round(x, 5).alias(x) for x in ("mean", "var", "logvar")])
+
+
+@register("m13_magnitude_histogram")
+def q_m13(spark, root):
+    return M.magnitude_histogram(table(spark, root, "embeddings"), MAG_EDGES)
+
+
+@register("m14_gaussian_kl")
+def q_m14(spark, root):
+    return M.gaussian_kl(M.vector_moments(table(spark, root, "embeddings")))
+
+
+def vec_pairs(spark, root):
+    e = table(spark, root, "embeddings")
+    a = e.filter(F.col("vec_id") % 2 == 0).select((F.col("vec_id") / 2).cast("long").alias("pair"),
+                                                 F.col("embedding").alias("task"), F.col("label").alias("grp"))
+    b = e.filter(F.col("vec_id") % 2 == 1).select(((F.col("vec_id") - 1) / 2).cast("long").alias("pair"),
+                                                 F.col("embedding").alias("bias"))
+    return a.join(b, "pair")
+
+
+@register("m15_dependence_audit")
+def q_m15(spark, root):
+    return M.dependence_audit(vec_pairs(spark, root), min_batch=5)
+
+
+@register("m16_last_n")
+def q_m16(spark, root):
+    ev = table(spark, root, "events").select("event_id", "event_type", "ts")
+    return M.last_n(ev, 100, "event_type", ["ts", "event_id"]).select("event_id", "event_type")
+
+
+# ---------------------------------------------------------------------------- T ops
+@register("t1_encode")
+def q_t1(spark, root):
+    d = T.encode(table(spark, root, "documents").select("doc_id", "text"), "text", 256)
+    return d.select("doc_id", F.array_join("ids", " ").alias("ids"), "ids_mask")
+
+
+def _sft_rows(spark, root):
+    r = FX.responses(spark, root)
+    return r.select("row_id", F.coalesce("instruction", F.lit("")).alias("judge_prompt"),
+                    F.coalesce("response_A", F.lit("")).alias("output"))
+
+
+@register("t2_encode_pair")
+def q_t2(spark, root):
+    x = T.encode_pair(_sft_rows(spark, root), "judge_prompt", "output", 64)
+    return x.select("row_id", F.array_join("input_ids", " ").alias("input_ids"),
+                    F.array_join("labels", " ").alias("labels"), "prompt_overflow", "target_len")
+
+
+@register("t3_label_tokens")
+def q_t3(spark, root):
+    x = T.label_tokens(_sft_rows(spark, root), "judge_prompt", "output", 96)
+    return x.select("row_id", "target_start", F.array_join("labels", " ").alias("labels"), "truncated")
+
+
+@register("t4_tag_response_tokens")
+def q_t4(spark, root):
+    x = _span_inputs(spark, root).withColumn("span_a", P.locate_span(F.col("content"), F.col("resp_a")))
+    x = x.withColumn("span_b", P.locate_span(F.col("content"), F.col("resp_b"), F.col("span_a.end")))
+    x = T.tag_response_tokens(x, "content", "span_a", "span_b", 400)
+    return x.select("id", F.array_join("response_types", "").alias("types"))
+
+
+@register("t5_length_policy_drop")
+def q_t5(spark, root):
+    x = T.encode_pair(_sft_rows(spark, root), "judge_prompt", "output", 48)
+    x = x.withColumn("batch_id", F.floor(F.col("row_id") / 4000))
+    rows, counts = T.apply_length_policy(x, "drop", 20, 48)
+    return rows.select("batch_id", F.array_join("input_ids", " ").alias("input_ids"))
+
+
+@register("t5_length_policy_counts")
+def q_t5c(spark, root):
+    x = T.encode_pair(_sft_rows(spark, root), "judge_prompt", "output", 48)
+    x = x.withColumn("batch_id", F.floor(F.col("row_id") / 4000))
+    return T.apply_length_policy(x, "mask", 20, 48)[1]
+
+
+@register("t6_pack_batches")
+def q_t6(spark, root):
+    d = T.encode(table(spark, root, "documents").select(F.col("doc_id").alias("row_id"), "text"), "text", 40,
+                 out="input_ids")
+    p = T.pack_batches(d, 8, side="left")
+    return p.select("row_id", "batch_id", F.array_join("padded", " ").alias("padded"),
+                    F.array_join("attention_mask", "").alias("mask"))
+
+
+def _num(spark, root):
+    li = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    from prefeval.functions.keys import dense_index
+    return dense_index(li, [], ["l_orderkey", "l_linenumber"], name="row_id")
+
+
+@register("t7_shards")
+def q_t7(spark, root):
+    x = _num(spark, root)
+    n = x.agg(F.count(F.lit(1))).scalar()
+    return x.select("row_id", T.shard_contiguous(F.col("row_id"), n, 7).alias("contiguous"),
+                    T.shard_strided("row_id", 7).alias("strided"))
+
+
+@register("t8_merge_shards")
+def q_t8(spark, root):
+    x = _num(spark, root)
+    expected = x.count()            # the dataset size the shards must cover (one number)
+    shards = x.select(F.col("row_id").alias("idx"), T.shard_strided("row_id", 4).alias("rank"),
+                      F.lit(4).alias("world_size")).filter(~((F.col("rank") == 3) & (F.col("idx") % 10 == 3)))
+    return T.merge_shards(shards, expected=expected)[1]
+
+
+@register("t9_rank_align")
+def q_t9(spark, root):
+    x = _span_inputs(spark, root).withColumn("span_a", P.locate_span(F.col("content"), F.col("resp_a")))
+    x = x.withColumn("span_b", P.locate_span(F.col("content"), F.col("resp_b"), F.col("span_a.end")))
+    x = T.tag_response_tokens(x, "content", "span_a", "span_b", 200)
+    types = x.select(F.col("id").alias("row_id"), F.posexplode("response_types").alias("pos", "side"))
+    vals = x.select(F.col("id").alias("row_id"), F.explode(F.array(
+        F.struct(F.lit(1).alias("side"), words("resp_a").alias("w")),
+        F.struct(F.lit(2).alias("side"), words("resp_b").alias("w")))).alias("s")) \
+        .select("row_id", "s.side", F.posexplode(F.slice("s.w", 1, 150)).alias("vpos", "word")) \
+        .select("row_id", "side", "vpos", F.length("word").cast("double").alias("value"))
+    return T.rank_align(types, vals)
