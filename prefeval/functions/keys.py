@@ -31,34 +31,41 @@ def seeded_bit(seed, key) -> Column:
 
 
 def dense_index(df: DataFrame, partition_by: list, order_by: list, name: str = "rn",
-                bounded_groups: bool = True, num_partitions: int | None = None) -> DataFrame:
+                bounded_groups: bool = True, buckets: int | None = None) -> DataFrame:
     """Add the exact 0-based position of each row inside its group.
 
     A plain ``row_number() over (partition by g order by o)`` sends a whole
     group to one task; with one language holding most rows that task is the
-    job. Here rows are range-partitioned on (group, order) so a hot group is
-    spread over many tasks, each task numbers its rows locally, and a small
-    table of per-(task, group) counts turns local numbers into global ones.
+    job. Here the first order column (numeric or timestamp) is cut into
+    equal-width buckets between its global min and max (two scalar
+    aggregates), rows are numbered per (group, bucket) by a window - a hot
+    group is spread over many buckets and tasks - and a small table of
+    per-(group, bucket) counts, turned into running offsets, makes the local
+    numbers global.
 
-    ``order_by`` must be unique inside a group (add a tie-break key) so a
-    re-run task sees the same order. The offsets table has at most
-    partitions + groups rows; with ``bounded_groups`` (few distinct groups,
-    e.g. languages) it is broadcast, else it is joined by shuffle.
+    Every step is a deterministic function of the data (no partition ids, no
+    sampling), so a re-run task or a second evaluation of the plan gives the
+    same numbers. ``order_by`` must be unique inside a group (add a
+    tie-break key). The offsets table has groups x buckets rows; with
+    ``bounded_groups`` (few distinct groups, e.g. languages) it is broadcast,
+    else joined by shuffle.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = list(partition_by) + list(order_by)
-    ranged = (df.repartitionByRange(n, *keys)
-                .sortWithinPartitions(*keys)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id()))
+    nb = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     gcols = list(partition_by)
-    stats = ranged.groupBy("_pid", *gcols).agg(
-        F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*gcols).orderBy("_pid") if gcols else Window.orderBy("_pid")
-    stats = stats.withColumn("_offset", F.sum("_cnt").over(w) - F.col("_cnt")).drop("_cnt")
+    first = F.col(order_by[0]).cast("double")
+    lo = df.agg(F.min(first)).scalar()
+    hi = df.agg(F.max(first)).scalar()
+    width = F.greatest((hi - lo) / F.lit(float(nb)), F.lit(1e-300))
+    bucket = F.least(F.greatest(F.floor((first - lo) / width), F.lit(0)), F.lit(nb - 1)).cast("int")
+    x = df.withColumn("_bkt", F.coalesce(bucket, F.lit(0)))
+    w = Window.partitionBy(*gcols, "_bkt").orderBy(*order_by)
+    x = x.withColumn("_local", F.row_number().over(w) - 1)
+    counts = df.withColumn("_bkt", F.coalesce(bucket, F.lit(0))).groupBy(*gcols, "_bkt") \
+        .agg(F.count(F.lit(1)).alias("_cnt"))
+    wo = Window.partitionBy(*gcols).orderBy("_bkt") if gcols else Window.orderBy("_bkt")
+    offsets = counts.withColumn("_offset", F.sum("_cnt").over(wo) - F.col("_cnt")).drop("_cnt")
     if bounded_groups:
-        stats = F.broadcast(stats)
-    out = ranged.join(stats, on=["_pid", *gcols], how="inner")
-    return (out.withColumn(name, F.col("_mid") - F.col("_first") + F.col("_offset"))
-               .drop("_pid", "_mid", "_first", "_offset"))
+        offsets = F.broadcast(offsets)
+    out = x.join(offsets, on=[*gcols, "_bkt"], how="inner")
+    return out.withColumn(name, F.col("_local") + F.col("_offset")).drop("_bkt", "_local", "_offset")

@@ -149,6 +149,21 @@ def accuracy(records: DataFrame, by=("seed",), bias_benchmarks=()) -> DataFrame:
         F.coalesce(F.try_divide(correct.cast("double"), total.cast("double")), F.lit(0.0)).alias("accuracy"))
 
 
+def accuracy_from_totals(t: DataFrame, by=("seed",)) -> DataFrame:
+    """E5 levels from pre-counted (group, total, correct) rows (streaming totals)."""
+    by = list(by)
+    g = t.rollup(*by, "benchmark", "language").agg(
+        F.sum("total").alias("_n"), F.sum("correct").alias("_k"), F.grouping_id().alias("_gid"))
+    g = g.filter(F.col("_gid").isin(0, 1, 3))
+    return g.select(
+        *by,
+        F.when(F.col("_gid") == 3, F.lit(OVERALL)).otherwise(F.col("benchmark")).alias("benchmark"),
+        F.when(F.col("_gid") == 0, F.col("language")).otherwise(F.lit(OVERALL)).alias("language"),
+        F.col("_n").cast("long").alias("total"), F.col("_k").cast("long").alias("correct"),
+        F.coalesce(F.try_divide(F.col("_k").cast("double"), F.col("_n").cast("double")), F.lit(0.0))
+         .alias("accuracy"))
+
+
 # --------------------------------------------------------------------------- E6
 POISSON1_CDF = None
 

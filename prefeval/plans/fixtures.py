@@ -141,3 +141,29 @@ def proxy(spark: SparkSession, root: str) -> DataFrame:
     nll = F.when(h32(F.col("event_id")) % 11 == 0, F.lit(None).cast("double")).otherwise(F.col("value"))
     return ev.select(F.col("event_id").alias("row_id"), nll.alias("nll"),
                      F.get_json_object("props", "$.k").alias("ppl"), "value", "event_type", "ts", "user_id")
+
+
+def metric_log(spark: SparkSession, root: str) -> DataFrame:
+    """F-LOG: events as a training log; run = user_id % 8, metric =
+    event_type, step = rank of (ts, event_id) inside (run, metric)."""
+    ev = table(spark, root, "events")
+    x = ev.select((F.col("user_id") % 8).alias("run"), F.col("event_type").alias("metric"), "value",
+                  F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return dense_index(x, ["run", "metric"], ["ts", "event_id"], name="step")
+
+
+STATUS = {"signup": "submitted", "view": "processing", "click": "succeeded", "purchase": "expired",
+          "error": "failed"}
+
+
+def ledger(spark: SparkSession, root: str) -> DataFrame:
+    """F-LEDGER: events as request observations; id = user_id, attempt = rank
+    of (ts, event_id) per id, status by event type, output for successes."""
+    ev = table(spark, root, "events")
+    m = F.create_map(*[x for kv in STATUS.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    x = ev.select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
+                  F.element_at(m, F.col("event_type")).alias("status"),
+                  F.when(F.col("event_type") == "click", F.concat(F.lit("out-"), F.col("event_id").cast("string")))
+                   .alias("output"))
+    # many ids, each possibly hot: offsets are joined by shuffle, not broadcast
+    return dense_index(x, ["id"], ["ts", "event_id"], name="attempt", bounded_groups=False)

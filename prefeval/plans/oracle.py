@@ -718,12 +718,10 @@ AVAIL = """avail AS (SELECT CASE lang WHEN 'en' THEN 'en' WHEN 'fr' THEN 'fra_La
                              WHEN 'es' THEN 'spa_Latn' END AS language FROM documents)"""
 
 
-def _tri_sql(text: str) -> str:
-    t = f"(' ' || regexp_replace(lower({text}), '\\s+', ' ', 'g') || ' ')"
-    return f"list_transform(range(1, greatest(length({t}) - 2, 1) + 1), lambda i: substr({t}, i, 3))"
-
-
-L1 = f"""WITH grams AS (SELECT doc_id, lang, unnest({_tri_sql('text')}) AS gram FROM documents),
+L1 = """WITH norm AS (SELECT doc_id, lang, text, ' ' || regexp_replace(lower(text), '\\s+', ' ', 'g') || ' ' AS t
+              FROM documents),
+grams AS (SELECT doc_id, lang, unnest(list_transform(range(1, greatest(length(t) - 2, 1) + 1),
+                                                   lambda i: substr(t, i, 3))) AS gram FROM norm),
 counts AS (SELECT lang, gram, count(*) AS n FROM grams GROUP BY ALL),
 totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
 v AS (SELECT count(DISTINCT gram) AS v FROM counts),
@@ -1086,3 +1084,153 @@ ORACLE.update({
     "t5_length_policy_drop": T5, "t5_length_policy_counts": T5C, "t6_pack_batches": T6, "t7_shards": T7,
     "t8_merge_shards": T8, "t9_rank_align": T9,
 })
+
+
+# ---------------------------------------------------------------------------- G ops
+LOG = """log AS (SELECT user_id % 8 AS run, event_type AS metric, value, ts, event_id,
+               row_number() OVER (PARTITION BY user_id % 8, event_type ORDER BY ts, event_id) - 1 AS step
+        FROM events)"""
+
+
+def ema_rec_sql(src: str, keys: str, order: str, value: str, decay: float, mode: str, name: str) -> str:
+    """Recursive fold of an EMA over ``src`` rows numbered by ``order`` (0-based, dense)."""
+    d = f"{decay!r}::DOUBLE"
+    one_minus = f"(1.0::DOUBLE - {d})"
+    ks = [k.strip() for k in keys.split(",")]
+    on = " AND ".join(f"l.{k} = r.{k}" for k in ks)
+    sel = ", ".join(f"l.{k}" for k in ks)
+    if mode == "restart":
+        nxt = f"CASE WHEN r.ema IS NULL OR isnan(r.ema) OR isinf(r.ema) THEN l.{value} ELSE {d} * r.ema + {one_minus} * l.{value} END"
+        first = f"{value}"
+    else:
+        nxt = (f"CASE WHEN l.{value} IS NULL OR isnan(l.{value}) OR isinf(l.{value}) THEN r.ema "
+               f"WHEN r.ema IS NULL THEN l.{value} ELSE {d} * r.ema + {one_minus} * l.{value} END")
+        first = f"CASE WHEN {value} IS NULL OR isnan({value}) OR isinf({value}) THEN NULL ELSE {value} END"
+    return f"""{name} AS (
+  SELECT {', '.join(ks)}, {order}, {value}, {first} AS ema, NULL::DOUBLE AS ema_prev FROM {src} WHERE {order} = 0
+  UNION ALL
+  SELECT {sel}, l.{order}, l.{value}, {nxt}, r.ema
+  FROM {name} r JOIN {src} l ON {on} AND l.{order} = r.{order} + 1)"""
+
+
+G1 = "WITH RECURSIVE " + LOG + ",\n" + ema_rec_sql("log", "run, metric", "step", "value", 0.98, "restart", "e") + """
+SELECT run, metric, step, ema, ema_prev FROM e"""
+G2 = "WITH RECURSIVE " + LOG + ",\n" + ema_rec_sql("log", "run, metric", "step", "value", 0.95, "restart", "e") + """
+SELECT run, metric, step, value FROM e
+WHERE value >= 300.0 OR (coalesce(ema_prev, value) > 0 AND value >= 3.0 * coalesce(ema_prev, value))"""
+G3 = "WITH " + LOG + """,
+x AS (SELECT *, step // 50 AS epoch, value > 250 AS dropped FROM log),
+means AS (SELECT run, epoch, metric, avg(value) AS mean, count(*) AS steps FROM x GROUP BY ALL),
+drops AS (SELECT run, epoch, sum(dropped::BIGINT)::BIGINT AS drops, count(*) AS seen FROM x GROUP BY ALL)
+SELECT m.run, m.epoch::BIGINT AS epoch, m.metric, m.mean, m.steps, d.drops, d.seen,
+       CASE WHEN d.seen > 0 THEN d.drops / d.seen ELSE 0.0 END AS drop_ratio
+FROM means m LEFT JOIN drops d ON m.run = d.run AND m.epoch = d.epoch"""
+
+HOURLY = """hl AS (SELECT user_id % 8 AS run, event_type AS metric, ((day(ts) - 1) * 24 + hour(ts))::INTEGER AS step,
+                   avg(value) AS loss, count(*) AS n FROM events GROUP BY ALL),
+hr AS (SELECT *, row_number() OVER (PARTITION BY run, metric ORDER BY step) - 1 AS rn FROM hl)"""
+
+
+def _g4():
+    from prefeval.plans.queries import WEIGHT_BASE
+    base = "CASE metric " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in WEIGHT_BASE.items()) + " ELSE 0.0 END"
+    rec = ema_rec_sql("hr2", "run, metric", "rn", "loss", 0.9, "skip", "e")
+    return "WITH RECURSIVE " + HOURLY + """,
+hr2 AS (SELECT run, metric, rn, CASE WHEN n > 0 THEN loss END AS loss, step, n, loss AS raw_loss FROM hr),
+""" + rec + f""",
+w0 AS (SELECT e.run, e.metric, h.step, h.raw_loss AS loss, h.n, e.ema_prev, greatest({base}, 0.0) AS base
+       FROM e JOIN hr2 h ON e.run = h.run AND e.metric = h.metric AND e.rn = h.rn),
+w1 AS (SELECT *, CASE WHEN base <= 0 OR n <= 0 THEN 0.0
+                      WHEN step >= 3 AND ema_prev > 0 THEN base / greatest(ema_prev, 1e-6) ELSE base END AS w FROM w0),
+w2 AS (SELECT *, CASE WHEN w > 0 THEN least(w, 5.0) ELSE w END AS w2 FROM w1),
+weights AS (SELECT run, step, metric, loss, CASE WHEN w2 > 0 THEN greatest(w2, 0.1) ELSE w2 END AS weight FROM w2)"""
+
+
+G4_BASE = _g4()
+G4 = G4_BASE + "\nSELECT run, step, metric, weight FROM weights"
+G4W = G4_BASE + """
+SELECT run, step, sum(weight * loss) / greatest(sum(weight), 1e-6) AS weighted_loss, sum(weight) AS weight_sum
+FROM weights GROUP BY run, step"""
+G5 = """SELECT user_id % 8 AS run, epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS window_start,
+       count(*) AS items, sum(value) AS tokens,
+       count(*) / greatest(epoch(max(ts)) - epoch(min(ts)), 1e-8) AS items_per_sec,
+       sum(value) / greatest(epoch(max(ts)) - epoch(min(ts)), 1e-8) AS tokens_per_sec
+FROM events GROUP BY ALL"""
+
+
+def _g6():
+    from prefeval.plans.queries import SCHEDULE
+    pts = sorted(SCHEDULE, key=lambda p: p[0])
+    p = "least(greatest(day(ts) / 30.0::DOUBLE, 0.0), 1.0)"
+    parts = [f"WHEN {p} <= {float(pts[0][0])} THEN {float(pts[0][1])}"]
+    for (p0, v0), (p1, v1) in zip(pts, pts[1:]):
+        seg = f"{float(v1)}" if p1 <= p0 else f"{float(v0)} + {float(v1 - v0)} * (({p} - {float(p0)}) / {float(p1 - p0)})"
+        parts.append(f"WHEN {p} <= {float(p1)} THEN {seg}")
+    return f"SELECT event_id, CASE {' '.join(parts)} ELSE {float(pts[-1][1])} END AS weight FROM events"
+
+
+G6 = _g6()
+
+# ---------------------------------------------------------------------------- R ops
+LEDGER = """ledger AS (
+  SELECT user_id AS id, ts, event_id,
+         CASE event_type WHEN 'signup' THEN 'submitted' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'succeeded'
+                         WHEN 'purchase' THEN 'expired' WHEN 'error' THEN 'failed' END AS status,
+         CASE WHEN event_type = 'click' THEN 'out-' || CAST(event_id AS VARCHAR) END AS output,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS attempt
+  FROM events),
+latest0 AS (
+  SELECT id, arg_max(status, (ts, attempt)) AS status, arg_max(output, (ts, attempt)) AS output,
+         min(ts) AS first_ts, count(*) FILTER (WHERE status = 'expired') AS expired_rounds, max(attempt) AS attempts
+  FROM ledger GROUP BY id),
+latest AS (
+  SELECT id, CASE WHEN status NOT IN ('succeeded', 'failed', 'canceled', 'expired')
+                   AND epoch((SELECT max(ts) FROM ledger)) - epoch(first_ts) > 172800.0 THEN 'timeout'
+              ELSE status END AS status, output, expired_rounds, attempts FROM latest0)"""
+R1 = "SELECT event_id, (event_id // 500)::BIGINT AS batch FROM events"
+R2 = """SELECT event_id // 20 AS batch, count(*) AS submitted, count(*) FILTER (WHERE event_type = 'error') AS failed,
+       count(*) > 0 AND count(*) FILTER (WHERE event_type = 'error') = count(*) AS stop
+FROM events GROUP BY ALL"""
+R3 = "WITH " + LEDGER + "\nSELECT id, status, output, expired_rounds, attempts FROM latest"
+R4 = "WITH " + LEDGER + "\nSELECT id FROM latest WHERE status = 'expired' AND expired_rounds < 3"
+REQS = "reqs AS (SELECT c_custkey AS id FROM customer WHERE c_custkey < 200)"
+R5 = "WITH " + LEDGER + ", " + REQS + """
+SELECT r.id, CASE WHEN l.status = 'succeeded' THEN coalesce(l.output, '') ELSE '' END AS output,
+       coalesce(l.status, 'missing') AS status
+FROM reqs r LEFT JOIN latest l ON r.id = l.id"""
+R5F = "WITH " + LEDGER + ", " + REQS + """
+SELECT count(*) FILTER (WHERE NOT coalesce(l.status = 'succeeded', false)) AS failures, count(*) AS requests
+FROM reqs r LEFT JOIN latest l ON r.id = l.id"""
+R6 = "WITH " + LEDGER + """
+SELECT DISTINCT id FROM ledger WHERE id NOT IN (SELECT id FROM ledger WHERE status IN ('succeeded', 'failed', 'canceled'))"""
+
+ORACLE.update({
+    "g1_ema": G1, "g2_spikes": G2, "g3_epoch_summary": G3, "g4_inverse_ema_weights": G4,
+    "g4_weighted_loss": G4W, "g5_throughput": G5, "g6_interpolate_schedule": G6,
+    "r1_assign_batches": R1, "r2_batch_health": R2, "r3_latest_status": R3, "r4_to_resubmit": R4,
+    "r5_completions": R5, "r5_completion_failures": R5F, "r6_pending": R6,
+})
+
+
+# ---------------------------------------------------------------------------- S / K / ST (round trips)
+REC_ROWS = "WITH " + RECORDS + "\nSELECT id, seed, verdict, correct, benchmark, language FROM records"
+K2 = M3.replace(", computed FROM y", " FROM y")
+S2 = "WITH " + REQUESTS + "\nSELECT custom_id AS idx, content AS prompt FROM requests"
+S3 = """SELECT 'c-' || CAST(conv_id AS VARCHAR) AS custom_id, 'set' || CAST(conv_id % 2 AS VARCHAR) AS dataset,
+       'high_resource_en_judgment_requests.jsonl' AS file_name,
+       arg_min(text, turn) FILTER (WHERE role = 'user') AS content
+FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'user') > 0"""
+S1 = "WITH " + SECTIONS + "\nSELECT id, orig_criteria, output, md5(instruction) AS h FROM sections"
+ST4 = """WITH w AS (
+  SELECT time_bucket(INTERVAL '1 day', ts) AS ws, count(*) AS items, sum(value) AS tokens,
+         epoch(max(ts)) - epoch(min(ts)) AS dt FROM events GROUP BY 1)
+SELECT epoch(ws)::BIGINT AS window_start, items, tokens, items / greatest(dt, 1e-8) AS items_per_sec,
+       tokens / greatest(dt, 1e-8) AS tokens_per_sec
+FROM w WHERE ws + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'"""
+
+ORACLE.update({
+    "k1_write_jsonl": REC_ROWS, "k3_replace_dataset": REC_ROWS, "k2_write_proxy_cache": K2,
+    "s2_read_jsonl": S2, "s3_read_judgment_requests": S3, "s1_read_preferences": S1,
+    "s5_read_seed_results": ACCURACY, "st1_incremental_eval": ACCURACY, "st2_stream_ema": G1,
+    "st4_stream_throughput": ST4,
+})

@@ -751,3 +751,258 @@ def q_t9(spark, root):
         .select("row_id", "s.side", F.posexplode(F.slice("s.w", 1, 150)).alias("vpos", "word")) \
         .select("row_id", "side", "vpos", F.length("word").cast("double").alias("value"))
     return T.rank_align(types, vals)
+
+
+# ---------------------------------------------------------------------------- G ops
+from prefeval.operators import ledger as R  # noqa: E402
+from prefeval.operators import logs as G  # noqa: E402
+
+WEIGHT_BASE = {"click": 1.0, "view": 0.5, "purchase": 2.0, "signup": 0.0, "error": 1.0}
+SCHEDULE = [(0.0, 0.0), (0.2, 0.0), (0.45, 0.2), (0.75, 1.0), (0.75, 1.5), (1.0, 1.2)]
+
+
+@register("g1_ema")
+def q_g1(spark, root):
+    return G.ema(FX.metric_log(spark, root), decay=0.98).select("run", "metric", "step", "ema", "ema_prev")
+
+
+@register("g2_spikes")
+def q_g2(spark, root):
+    e = G.ema(FX.metric_log(spark, root), decay=0.95)
+    return G.spikes(e, threshold=300.0, multiplier=3.0).select("run", "metric", "step", "value")
+
+
+@register("g3_epoch_summary")
+def q_g3(spark, root):
+    x = FX.metric_log(spark, root).withColumn("epoch", F.floor(F.col("step") / 50).cast("long")) \
+        .withColumn("dropped", F.col("value") > 250)
+    return G.epoch_summary(x)
+
+
+def hourly_losses(spark, root):
+    ev = table(spark, root, "events")
+    t = F.col("ts").cast("timestamp")
+    x = ev.select((F.col("user_id") % 8).alias("run"), F.col("event_type").alias("metric"), "value",
+                  ((F.dayofmonth(t) - 1) * 24 + F.hour(t)).alias("step"))
+    return x.groupBy("run", "step", "metric").agg(F.avg("value").alias("loss"), F.count(F.lit(1)).alias("n"))
+
+
+def _weights(spark, root):
+    return G.inverse_ema_weights(hourly_losses(spark, root), WEIGHT_BASE, keys=("run",), decay=0.9,
+                                 warmup=3, min_w=0.1, max_w=5.0)
+
+
+@register("g4_inverse_ema_weights")
+def q_g4(spark, root):
+    return _weights(spark, root)[0].select("run", "step", "metric", "weight")
+
+
+@register("g4_weighted_loss")
+def q_g4w(spark, root):
+    return _weights(spark, root)[1]
+
+
+@register("g5_throughput")
+def q_g5(spark, root):
+    x = table(spark, root, "events").select((F.col("user_id") % 8).alias("run"), "ts", "value")
+    return G.throughput(x, keys=("run",), tokens="value", window="1 hour")
+
+
+@register("g6_interpolate_schedule")
+def q_g6(spark, root):
+    ev = table(spark, root, "events")
+    progress = F.dayofmonth(F.col("ts").cast("timestamp")) / F.lit(30.0)
+    return ev.select("event_id", G.interpolate_schedule(progress, SCHEDULE).alias("weight"))
+
+
+# ---------------------------------------------------------------------------- R ops
+@register("r1_assign_batches")
+def q_r1(spark, root):
+    return R.assign_batches(table(spark, root, "events").select("event_id"), 500, order="event_id")
+
+
+@register("r2_batch_health")
+def q_r2(spark, root):
+    ev = table(spark, root, "events").select("event_id", (F.col("event_type") == "error").alias("failed"))
+    return R.batch_health(R.assign_batches(ev, 20, order="event_id"))
+
+
+def _latest(spark, root):
+    return R.latest_status(FX.ledger(spark, root), max_wait_seconds=2 * 86400.0)
+
+
+@register("r3_latest_status")
+def q_r3(spark, root):
+    return _latest(spark, root).select("id", "status", "output", "expired_rounds", "attempts")
+
+
+@register("r4_to_resubmit")
+def q_r4(spark, root):
+    return R.to_resubmit(_latest(spark, root), max_rounds=3)
+
+
+def _requests(spark, root):
+    return table(spark, root, "customer").filter(F.col("c_custkey") < 200).select(F.col("c_custkey").alias("id"))
+
+
+@register("r5_completions")
+def q_r5(spark, root):
+    return R.completions(_requests(spark, root), _latest(spark, root))[0]
+
+
+@register("r5_completion_failures")
+def q_r5f(spark, root):
+    return R.completions(_requests(spark, root), _latest(spark, root))[1]
+
+
+@register("r6_pending")
+def q_r6(spark, root):
+    return R.pending(FX.ledger(spark, root))
+
+
+# ---------------------------------------------------------------------------- S / K ops (round trips)
+import time as _time  # noqa: E402
+
+from pyspark.sql import types as _T  # noqa: E402
+
+from prefeval.session import scratch_dir  # noqa: E402
+from prefeval.sinks import files as K  # noqa: E402
+from prefeval.sources import files as S  # noqa: E402
+from prefeval.streaming import ops as ST  # noqa: E402
+
+RECORD_SCHEMA = _T.StructType([
+    _T.StructField("id", _T.LongType()), _T.StructField("seed", _T.IntegerType()),
+    _T.StructField("verdict", _T.StringType()), _T.StructField("correct", _T.BooleanType()),
+    _T.StructField("benchmark", _T.StringType()), _T.StructField("language", _T.StringType())])
+
+
+def _record_rows(spark, root):
+    return judge_records(spark, root).select("id", "seed", "verdict", "correct", "benchmark", "language")
+
+
+@register("k1_write_jsonl")
+def q_k1(spark, root):
+    path = scratch_dir(spark, "k1")
+    K.write_jsonl(_record_rows(spark, root), path, by=("benchmark", "language"))
+    return spark.read.schema(RECORD_SCHEMA).json(path)
+
+
+@register("k3_replace_dataset")
+def q_k3(spark, root):
+    path = scratch_dir(spark, "k3")
+    recs = _record_rows(spark, root)
+    K.replace_dataset(recs.filter(F.col("seed") == 42), path)       # an older version
+    K.replace_dataset(recs, path)                                    # replaced after success
+    return spark.read.parquet(path)
+
+
+@register("k2_write_proxy_cache")
+def q_k2(spark, root):
+    path = scratch_dir(spark, "k2")
+    rows = M.backfill_proxy(_resp_with_proxy(spark, root)).drop("computed", "response_A")
+    K.write_proxy_cache(rows, path)
+    schema = _T.StructType([_T.StructField("row_id", _T.LongType()),
+                            _T.StructField("proxy_length_A", _T.DoubleType()),
+                            _T.StructField("proxy_ttr_A", _T.DoubleType())])
+    return spark.read.schema(schema).json(path)
+
+
+@register("s2_read_jsonl")
+def q_s2(spark, root):
+    path = scratch_dir(spark, "s2")
+    reqs = FX.requests(spark, root).select(F.col("custom_id").alias("idx"), F.col("content").alias("prompt"))
+    K.write_prompt_log(reqs, path)
+    # malformed and blank lines next to the good ones: skipped and counted
+    bad = reqs.select(F.concat(F.lit("{\"idx\": "), F.col("idx"), F.lit(" broken")).alias("value")).limit(3)
+    bad.write.mode("append").text(path)
+    schema = _T.StructType([_T.StructField("idx", _T.StringType()), _T.StructField("prompt", _T.StringType())])
+    rows, _obs = S.read_jsonl(spark, path, schema, bad="skip")
+    return rows
+
+
+def _conversation_requests(spark, root):
+    conv = table(spark, root, "conversations")
+    g = conv.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_t"),
+        F.max(F.col("role") == "user").alias("_has_user"))
+    g = g.filter("_has_user")
+    msgs = F.transform("_t", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    return g.select(F.concat(F.lit("c-"), F.col("conv_id").cast("string")).alias("custom_id"),
+                    F.struct(msgs.alias("messages")).alias("body"),
+                    F.concat(F.lit("set"), (F.col("conv_id") % 2).cast("string")).alias("dataset"),
+                    F.lit("high_resource_en_judgment_requests.jsonl").alias("file_name"))
+
+
+@register("s3_read_judgment_requests")
+def q_s3(spark, root):
+    path = scratch_dir(spark, "s3")
+    _conversation_requests(spark, root).write.mode("overwrite").partitionBy("dataset", "file_name").json(path)
+    return S.read_judgment_requests(spark, path, datasets=["set0", "set1"])
+
+
+@register("s1_read_preferences")
+def q_s1(spark, root):
+    folder = scratch_dir(spark, "s1")
+    K.write_named_shards(FX.sections(spark, root), f"{folder}/data", prefix="train")
+    return S.read_preferences(spark, folder).select("id", "orig_criteria", "output", F.md5("instruction").alias("h"))
+
+
+SUMMARY_SCHEMA = _T.StructType([
+    _T.StructField("seed", _T.IntegerType()),
+    _T.StructField("benchmarks", _T.MapType(_T.StringType(), _T.MapType(_T.StringType(), _T.StructType([
+        _T.StructField("total", _T.LongType()), _T.StructField("correct", _T.LongType()),
+        _T.StructField("accuracy", _T.DoubleType())]))))])
+
+
+@register("s5_read_seed_results")
+def q_s5(spark, root):
+    folder = scratch_dir(spark, "s5")
+    K.write_summary(q_accuracy(spark, root), folder)
+    rows, _missing = S.read_seed_results(spark, folder, [42, 43, 44, 45], schema=SUMMARY_SCHEMA)
+    return rows.select("seed", F.explode("benchmarks").alias("benchmark", "langs")) \
+               .select("seed", "benchmark", F.explode("langs").alias("language", "v")) \
+               .select("seed", "benchmark", "language", F.col("v.total").alias("total"),
+                       F.col("v.correct").alias("correct"), F.col("v.accuracy").alias("accuracy"))
+
+
+# ---------------------------------------------------------------------------- ST ops
+@register("st1_incremental_eval")
+def q_st1(spark, root):
+    base = scratch_dir(spark, "st1")
+    recs = _record_rows(spark, root)
+    for s in FX.SEEDS:                      # three result drops arrive one after another
+        recs.filter(F.col("seed") == s).write.mode("append").parquet(f"{base}/results")
+    ST.incremental_eval(spark, f"{base}/results", recs.schema, f"{base}/totals", f"{base}/ckpt")
+    t = ST.totals(spark, f"{base}/totals")
+    return E.accuracy_from_totals(t, by=["seed"])
+
+
+@register("st2_stream_ema")
+def q_st2(spark, root):
+    base = scratch_dir(spark, "st2")
+    log = FX.metric_log(spark, root).select("run", "metric", "step", "value")
+    for lo, hi in ((0, 80), (80, 160), (160, 1 << 40)):        # in step order, one file set per range
+        log.filter((F.col("step") >= lo) & (F.col("step") < hi)).write.mode("append").parquet(f"{base}/in")
+        _time.sleep(1.1)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 8).parquet(f"{base}/in")
+    out = ST.stream_ema(stream, decay=0.98)
+    return ST.run_to_table(spark, out, f"{base}/out", f"{base}/ckpt")
+
+
+@register("st3_stream_ledger")
+def q_st3(spark, root):
+    base = scratch_dir(spark, "st3")
+    FX.ledger(spark, root).select("id", "ts", "status").write.parquet(f"{base}/in")
+    schema = spark.read.parquet(f"{base}/in").schema
+    stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+    return ST.run_to_table(spark, ST.stream_ledger(stream), f"{base}/out", f"{base}/ckpt")
+
+
+@register("st4_stream_throughput")
+def q_st4(spark, root):
+    base = scratch_dir(spark, "st4")
+    table(spark, root, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value") \
+        .write.parquet(f"{base}/in")
+    schema = spark.read.parquet(f"{base}/in").schema
+    stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+    return ST.run_to_table(spark, ST.stream_throughput(stream), f"{base}/out", f"{base}/ckpt")

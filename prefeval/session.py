@@ -69,3 +69,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint dir for written intermediate tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared checkpoint dir (one per call)."""
+    import uuid
+    return scratch_path(spark, f"prefeval-{name}-{uuid.uuid4().hex[:10]}")
