@@ -1133,7 +1133,7 @@ hr AS (SELECT *, row_number() OVER (PARTITION BY run, metric ORDER BY step) - 1
 
 def _g4():
     from prefeval.plans.queries import WEIGHT_BASE
-    base = "CASE metric " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in WEIGHT_BASE.items()) + " ELSE 0.0 END"
+    base = "CASE e.metric " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in WEIGHT_BASE.items()) + " ELSE 0.0 END"
     rec = ema_rec_sql("hr2", "run, metric", "rn", "loss", 0.9, "skip", "e")
     return "WITH RECURSIVE " + HOURLY + """,
 hr2 AS (SELECT run, metric, rn, CASE WHEN n > 0 THEN loss END AS loss, step, n, loss AS raw_loss FROM hr),
@@ -1180,7 +1180,7 @@ LEDGER = """ledger AS (
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS attempt
   FROM events),
 latest0 AS (
-  SELECT id, arg_max(status, (ts, attempt)) AS status, arg_max(output, (ts, attempt)) AS output,
+  SELECT id, arg_max(status, (ts, attempt)) AS status, arg_max_null(output, (ts, attempt)) AS output,
          min(ts) AS first_ts, count(*) FILTER (WHERE status = 'expired') AS expired_rounds, max(attempt) AS attempts
   FROM ledger GROUP BY id),
 latest AS (

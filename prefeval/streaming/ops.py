@@ -122,8 +122,6 @@ def stream_ledger(stream: DataFrame, watermark: str = "1 hour", timeout_ms: int
                 return
         state.update((first_ms, str(pdf["status"].iloc[-1])))
         state.setTimeoutTimestamp(first_ms + timeout_ms)
-        yield pd.DataFrame({key: pd.Series([], dtype="int64"), "status": pd.Series([], dtype="object"),
-                            "closed_at": pd.Series([], dtype="datetime64[ns]")})
 
     return (stream.withWatermark(ts, watermark).groupBy(key)
                   .applyInPandasWithState(fn, outputStructType=out_schema, stateStructType=state_schema,
