@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefeval.functions.text import c
+from prefeval.session import materialize
 
 
 # --------------------------------------------------------------------------- L5
@@ -158,16 +159,16 @@ def repivot_responses(long: DataFrame, key: str = "row_id", value: str = "text",
 def char_trigrams(text) -> "F.Column":
     """Character trigrams of ' ' + lower(text) + ' ' with whitespace squeezed.
 
-    The character array is zipped with itself shifted by one and two, so the
-    text is split once and every trigram is built in O(1): linear in length.
-    (A lambda that indexes into an outer array expression would re-split the
-    text per element.)"""
+    All overlapping trigrams are three non-overlapping regex scans started at
+    offsets 0, 1 and 2 - linear in the text, no per-character arrays. (The
+    order of the grams does not matter for counting.) A text shorter than
+    three characters is its own single gram."""
     t = F.concat(F.lit(" "), F.regexp_replace(F.lower(c(text)), r"\s+", " "), F.lit(" "))
-    ch = F.split(t, "")
-    n = F.size(ch)
-    z = F.arrays_zip(ch.alias("a"), F.slice(ch, 2, n).alias("b"), F.slice(ch, 3, n).alias("c"))
-    return F.transform(F.slice(z, 1, F.greatest(n - 2, F.lit(1))),
-                       lambda r: F.concat(r["a"], F.coalesce(r["b"], F.lit("")), F.coalesce(r["c"], F.lit(""))))
+    tri = r"(?s)..."
+    grams = F.concat(F.regexp_extract_all(t, F.lit(tri), 0),
+                     F.regexp_extract_all(F.substring(t, 2, 1 << 30), F.lit(tri), 0),
+                     F.regexp_extract_all(F.substring(t, 3, 1 << 30), F.lit(tri), 0))
+    return F.when(F.length(t) < 3, F.array(t)).otherwise(grams)
 
 
 def train_language_model(docs: DataFrame, text: str = "text", label: str = "lang",
@@ -176,37 +177,66 @@ def train_language_model(docs: DataFrame, text: str = "text", label: str = "lang
     over the corpus vocabulary.
 
     Trigrams are exploded and counted with a partial aggregate, so the
-    shuffle carries (lang, gram, count) rows, not characters. The vocabulary
-    size is a scalar subquery, not a join."""
-    grams = docs.select(c(label).alias("lang"), F.explode(char_trigrams(text)).alias("gram"))
-    counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    shuffle carries (lang, gram, count) rows, not characters. The count
+    table is bounded by the trigram vocabulary, not by the corpus; it is
+    written once to the shared checkpoint folder so totals, vocabulary size
+    and log-probabilities read it instead of re-exploding the corpus."""
+    # explode_outer: a plain explode makes Catalyst infer ``size(grams) > 0``
+    # and push that filter (the whole trigram build) down into the scan task
+    grams = docs.select(c(label).alias("lang"), F.explode_outer(char_trigrams(text)).alias("gram")) \
+        .filter(F.col("gram").isNotNull())
+    counts = materialize(grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")), "trigram-counts")
     vocab = counts.select("gram").distinct().agg(F.count(F.lit(1))).scalar()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     denom = F.col("total") + F.lit(alpha) * vocab
-    return counts.join(totals, "lang").select(
+    return counts.join(F.broadcast(totals), "lang").select(     # one row per language
         "lang", "gram", F.log((F.col("n") + alpha) / denom).alias("logp"),
         F.log(F.lit(alpha) / denom).alias("logp_unseen"))
 
 
+MODEL_BROADCAST_ROWS = 2_000_000
+
+
 def detect_language(df: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text",
-                    out: str = "detected") -> DataFrame:
+                    out: str = "detected", broadcast_rows: int = MODEL_BROADCAST_ROWS) -> DataFrame:
     """Naive-Bayes language of each row; blank text -> ''.
 
-    score(lang) = sum over the row's trigrams of count * log p, unseen grams
-    at the language's floor: seen part by an equi-join on gram, the unseen
-    part as (grams of the row - grams seen) * floor. Candidates are the
-    languages sharing at least one trigram with the row. Ties go to the
-    larger language code."""
-    grams = df.select(key, F.explode(char_trigrams(text)).alias("gram"))
-    per_gram = grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("k"))
-    size = per_gram.groupBy(key).agg(F.sum("k").alias("_K"))
-    floor = model.groupBy("lang").agg(F.first("logp_unseen").alias("_floor"))
-    seen = (per_gram.join(model.select("lang", "gram", "logp"), "gram")
-                    .groupBy(key, "lang")
-                    .agg(F.sum(F.col("k") * F.col("logp")).alias("_s"), F.sum("k").alias("_ks")))
-    scored = (seen.join(size, key).join(F.broadcast(floor), "lang")
-                  .withColumn("score", F.col("_s") + (F.col("_K") - F.col("_ks")) * F.col("_floor")))
-    best = scored.groupBy(key).agg(
-        F.max_by("lang", F.struct(F.col("score"), F.col("lang"))).alias(out))
+    score(lang) = sum over the row's trigrams of log p(gram | lang), unseen
+    grams at the language's floor. Candidates are the languages sharing at
+    least one trigram with the row; ties go to the larger language code.
+
+    The model is pivoted to one row per gram with one log-probability column
+    per language (the label set is small and read once). When the pivoted
+    model passes the row-count check it is broadcast and every exploded gram
+    is scored by a hash lookup, then summed per row by a partial aggregate:
+    no shuffle of grams, no fan-out per language. A larger model is joined
+    by shuffle after grams are counted per (row, gram)."""
+    langs = sorted(r[0] for r in model.select("lang").distinct().collect())
+    floors = {r[0]: r[1] for r in model.groupBy("lang").agg(F.first("logp_unseen")).collect()}
+    wide = model.groupBy("gram").pivot("lang", langs).agg(F.first("logp"))
+    cols = {lg: f"_lp{i}" for i, lg in enumerate(langs)}
+    wide = wide.select("gram", *[F.col(f"`{lg}`").alias(cols[lg]) for lg in langs])
+    # the gram total is taken before the explode: an expression over the
+    # array next to the generator would carry the whole array on every row
+    g = df.select(key, char_trigrams(text).alias("_g")).select(key, F.size("_g").alias("_K"), "_g")
+    exploded = g.select(key, "_K", F.explode_outer("_g").alias("gram")).filter(F.col("gram").isNotNull())
+    if wide.count() <= broadcast_rows:
+        rows = exploded.withColumn("k", F.lit(1)).join(F.broadcast(wide), "gram", "left")
+    else:
+        per_gram = exploded.groupBy(key, "_K", "gram").agg(F.count(F.lit(1)).alias("k"))
+        rows = per_gram.join(wide, "gram", "left")
+    aggs = []
+    for lg in langs:
+        lp = F.col(cols[lg])
+        aggs += [F.sum(F.col("k") * lp).alias(f"{cols[lg]}_s"),
+                 F.sum(F.when(lp.isNotNull(), F.col("k"))).alias(f"{cols[lg]}_n")]
+    per_row = rows.groupBy(key, "_K").agg(*aggs)
+    cands = []
+    for lg in langs:
+        seen_n = F.col(f"{cols[lg]}_n")
+        score = F.col(f"{cols[lg]}_s") + (F.col("_K") - seen_n) * F.lit(floors[lg])
+        cands.append(F.when(seen_n > 0, F.struct(score.alias("score"), F.lit(lg).alias("lang"))))
+    best = per_row.select(key, F.greatest(*cands)["lang"].alias(out)) if len(cands) > 1 else \
+        per_row.select(key, cands[0]["lang"].alias(out))
     return df.join(best, key, "left").withColumn(
         out, F.when(F.regexp_replace(c(text), r"\s+", "") == "", F.lit("")).otherwise(F.col(out)))

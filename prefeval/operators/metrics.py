@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefeval.functions.keys import dense_index
+from prefeval.session import materialize
 from prefeval.functions.text import c, count_below, py_strip, repeat_for, words
 
 # Default bin edges of the proxy tasks when quantiles cannot be
@@ -42,32 +43,50 @@ def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
     n = F.size("_t")
     z = F.arrays_zip(F.col("_t").alias("prev"), F.slice("_t", 2, F.greatest(n - 1, F.lit(1))).alias("word"))
     x = x.select(key, F.when(n >= 2, F.slice(z, 1, n - 1)).alias("_bg"))
-    return x.select(key, F.explode("_bg").alias("_b")).select(key, "_b.prev", "_b.word")
+    # explode_outer + null filter: a plain explode lets Catalyst push an
+    # inferred size(...) > 0 filter (the whole tokenisation) into the scan
+    return x.select(key, F.explode_outer("_bg").alias("_b")).filter(F.col("_b").isNotNull()) \
+            .select(key, "_b.prev", "_b.word")
 
 
 def bigram_model(corpus: DataFrame, key: str, text: str, k: float = 1.0) -> tuple[DataFrame, DataFrame, Column]:
     """Counts of (prev, word) and of prev over the corpus, and the vocabulary
-    size as a scalar subquery. Counting is a partial-aggregated shuffle."""
+    size as a scalar subquery.
+
+    Counting is a partial-aggregated shuffle; the pair-count table is written
+    once to the shared checkpoint folder, so prefix counts and the vocabulary
+    read it instead of re-splitting the corpus. The vocabulary is every word of a bigram plus
+    the words of one-token texts (the only words a bigram cannot carry)."""
     bg = bigrams(corpus, key, text)
-    pair_counts = bg.groupBy("prev", "word").agg(F.count(F.lit(1)).alias("c_pw"))
+    pair_counts = materialize(bg.groupBy("prev", "word").agg(F.count(F.lit(1)).alias("c_pw")), "bigram-counts")
     prev_counts = pair_counts.groupBy("prev").agg(F.sum("c_pw").alias("c_p"))
-    vocab = (corpus.select(F.explode(words(F.coalesce(c(text), F.lit("")))).alias("w"))
-                   .distinct().agg(F.count(F.lit(1))).scalar())
+    toks = words(F.coalesce(c(text), F.lit("")))
+    singles = corpus.select(toks.alias("_t")).filter(F.size("_t") == 1).select(F.element_at("_t", 1).alias("w"))
+    vocab = (pair_counts.select(F.col("prev").alias("w")).unionByName(pair_counts.select(F.col("word").alias("w")))
+             .unionByName(singles).distinct().agg(F.count(F.lit(1))).scalar())
     return pair_counts, prev_counts, vocab
 
 
 def token_nll(df: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str = "text",
               k: float = 1.0, out: str = "nll") -> DataFrame:
     """Mean of -ln p(word | prev) over tokens 2..n, add-k bigram model counted
-    on ``corpus``; fewer than two tokens -> 0. Hot bigrams ('of the') are
-    join keys with many rows; AQE splits such skewed partitions."""
+    on ``corpus``; fewer than two tokens -> 0.
+
+    The prefix count is attached to the (much smaller) pair-count table
+    first, so each bigram occurrence needs one join; only occurrences of
+    pairs the corpus never saw take a second join for their prefix count.
+    Hot bigrams ('of the') are join keys with many rows; AQE splits such
+    skewed partitions."""
     pair_counts, prev_counts, vocab = bigram_model(corpus, key, text, k)
+    enriched = pair_counts.join(prev_counts, "prev")
     bg = bigrams(df, key, text)
-    scored = (bg.join(pair_counts, ["prev", "word"], "left")
-                .join(prev_counts, ["prev"], "left")
-                .withColumn("_nlp", -F.log((F.coalesce(F.col("c_pw"), F.lit(0)) + F.lit(k)) /
-                                           (F.coalesce(F.col("c_p"), F.lit(0)) + F.lit(k) * vocab))))
-    per = scored.groupBy(key).agg(F.avg("_nlp").alias(out))
+    j = bg.join(enriched, ["prev", "word"], "left")
+    seen = j.filter(F.col("c_pw").isNotNull())
+    unseen = j.filter(F.col("c_pw").isNull()).drop("c_p").join(prev_counts, "prev", "left")
+    both = seen.unionByName(unseen)
+    nlp = -F.log((F.coalesce(F.col("c_pw"), F.lit(0)) + F.lit(k)) /
+                 (F.coalesce(F.col("c_p"), F.lit(0)) + F.lit(k) * vocab))
+    per = both.groupBy(key).agg(F.avg(nlp).alias(out))
     return df.select(key).join(per, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
 
 

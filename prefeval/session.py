@@ -15,7 +15,13 @@ from pyspark.sql import SparkSession
 
 # Settings that matter for every plan in this package: AQE re-plans joins
 # and partition counts at run time, and splits skewed join partitions.
+# Broadcasts come only from explicit ``broadcast()`` on tables with a size
+# bound (literals, per-language tables) or from AQE after it has measured a
+# finished shuffle stage; never from a static estimate, which can put a
+# data-sized table (exploded tokens) on the broadcast side.
 DEFAULT_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
@@ -39,6 +45,10 @@ def get_session(master: str | None = None, partitions: int | None = None,
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     active = SparkSession.getActiveSession()
+    if active is None and not SparkConf().contains("spark.driver.memory") \
+            and "spark.driver.memory" not in (extra or {}):
+        # local runs: executors live in the driver JVM, give it room
+        builder = builder.config("spark.driver.memory", "12g")
     launched_with = SparkConf().get("spark.checkpoint.dir", None)
     if active is None and not launched_with and not (extra or {}).get("spark.checkpoint.dir"):
         # Only a fresh local session gets a scratch checkpoint folder; a
@@ -75,3 +85,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared checkpoint dir (one per call)."""
     import uuid
     return scratch_path(spark, f"prefeval-{name}-{uuid.uuid4().hex[:10]}")
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back: cuts the lineage (a lost executor re-reads the table, it
+    does not recompute it), runs the producing job exactly once (unlike an
+    unpersisted RDD checkpoint) and gives the planner real size statistics."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
