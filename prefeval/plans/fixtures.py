@@ -16,34 +16,43 @@ from prefeval.sources.tables import table
 SEEDS = [42, 43, 44]
 
 
-def user_turns(spark: SparkSession, root: str) -> DataFrame:
-    """User turns of ``conversations`` with a dense global rank u."""
-    conv = table(spark, root, "conversations").filter(F.col("role") == "user") \
-        .select("conv_id", "turn", F.col("text").alias("prompt"))
-    return dense_index(conv, [], ["conv_id", "turn"], name="u")
+def user_turns(spark: SparkSession, root: str, with_text: bool = True) -> DataFrame:
+    """User turns of ``conversations`` with a dense global rank u. Ranks are
+    computed on keys only; the text joins back once."""
+    conv = table(spark, root, "conversations").filter(F.col("role") == "user")
+    ranked = dense_index(conv.select("conv_id", "turn"), [], ["conv_id", "turn"], name="u")
+    if not with_text:
+        return ranked
+    return ranked.join(conv.select("conv_id", "turn", F.col("text").alias("prompt")), ["conv_id", "turn"])
 
 
 def pairs(spark: SparkSession, root: str) -> DataFrame:
     """F-PAIR: per language, the i-th quality-1 document (by doc_id) against
     the (i mod n0)-th quality-0 document; prompt = user turn (i mod #users).
 
-    Ranks come from ``dense_index`` (range partitioned), so a language that
-    holds most documents is still numbered by many tasks."""
-    docs = table(spark, root, "documents").select("doc_id", "text", "lang", "source")
+    Ranks come from ``dense_index`` on key columns only (a language that
+    holds most documents is still numbered by many tasks, and no text moves
+    through the ranking windows); the three texts are joined at the end."""
+    docs = table(spark, root, "documents")
     lab = table(spark, root, "labels").select("doc_id", "quality")
-    dl = docs.join(lab, "doc_id")
-    good = dense_index(dl.filter(F.col("quality") == 1).drop("quality"), ["lang"], ["doc_id"], "i")
-    bad = dense_index(dl.filter(F.col("quality") == 0).select("doc_id", "lang", "text"),
-                      ["lang"], ["doc_id"], "j")
+    keys = docs.select("doc_id", "lang", "source").join(lab, "doc_id")
+    good = dense_index(keys.filter(F.col("quality") == 1).drop("quality"), ["lang"], ["doc_id"], "i")
+    bad = dense_index(keys.filter(F.col("quality") == 0).select("doc_id", "lang"), ["lang"], ["doc_id"], "j")
     n0 = bad.groupBy("lang").agg(F.count(F.lit(1)).alias("n0"))
-    users = user_turns(spark, root)
+    users = user_turns(spark, root, with_text=False)
     n_users = users.agg(F.count(F.lit(1))).scalar()
     g = (good.join(F.broadcast(n0), "lang")            # one row per language
              .withColumn("j", F.col("i") % F.col("n0"))
              .withColumn("u", F.col("i") % n_users))
-    rej = bad.select("lang", "j", F.col("text").alias("rejected"))
-    out = (g.join(rej, ["lang", "j"])
-            .join(users.select("u", "prompt"), "u"))
+    rej = bad.select("lang", "j", F.col("doc_id").alias("rejected_id"))
+    ids = g.join(rej, ["lang", "j"]).join(users.select("u", "conv_id", "turn"), "u")
+    texts = docs.select("doc_id", "text")
+    prompts = table(spark, root, "conversations").filter(F.col("role") == "user") \
+        .select("conv_id", "turn", F.col("text").alias("prompt"))
+    out = (ids.join(texts, "doc_id")
+              .join(texts.select(F.col("doc_id").alias("rejected_id"), F.col("text").alias("rejected")),
+                    "rejected_id")
+              .join(prompts, ["conv_id", "turn"]))
     return out.select(
         F.col("doc_id").alias("id"),
         F.col("lang").alias("language"),

@@ -1234,3 +1234,26 @@ ORACLE.update({
     "s5_read_seed_results": ACCURACY, "st1_incremental_eval": ACCURACY, "st2_stream_ema": G1,
     "st4_stream_throughput": ST4,
 })
+
+
+E5B = "WITH " + TASKS + ",\n" + STUB_JUDGE + f""",
+parsed AS (SELECT *, {verdict_sql('completion')} AS verdict FROM completions),
+records AS (SELECT *, (verdict IS NOT DISTINCT FROM expected_verdict) AS correct FROM parsed),
+""" + BIAS.split(PAIRS + ",", 1)[1] + """,
+allrec AS (SELECT seed, benchmark, language, correct FROM records
+           UNION ALL SELECT seed, benchmark, language, correct FROM brecords)
+SELECT seed,
+       CASE WHEN grouping(benchmark) = 1 THEN '_overall' ELSE benchmark END AS benchmark,
+       CASE WHEN grouping(language) = 1 THEN '_overall' ELSE language END AS language,
+       CASE WHEN grouping(benchmark) = 1 THEN count(*) FILTER (WHERE benchmark <> 'judgment-requests')
+            ELSE count(*) END::BIGINT AS total,
+       CASE WHEN grouping(benchmark) = 1 THEN count(*) FILTER (WHERE correct AND benchmark <> 'judgment-requests')
+            ELSE count_if(correct) END::BIGINT AS correct,
+       coalesce(CASE WHEN grouping(benchmark) = 1
+                     THEN count(*) FILTER (WHERE correct AND benchmark <> 'judgment-requests')
+                          / nullif(count(*) FILTER (WHERE benchmark <> 'judgment-requests'), 0)
+                     ELSE count_if(correct) / count(*) END, 0.0) AS accuracy
+FROM allrec
+GROUP BY GROUPING SETS ((seed, benchmark, language), (seed, benchmark), (seed))"""
+
+ORACLE["e5_accuracy_with_bias"] = E5B

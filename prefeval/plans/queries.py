@@ -1006,3 +1006,12 @@ def q_st4(spark, root):
     schema = spark.read.parquet(f"{base}/in").schema
     stream = spark.readStream.schema(schema).parquet(f"{base}/in")
     return ST.run_to_table(spark, ST.stream_throughput(stream), f"{base}/out", f"{base}/ckpt")
+
+
+@register("e5_accuracy_with_bias")
+def q_e5b(spark, root):
+    """E5 over pair records and swapped-pair records together: the pair-bias
+    benchmark gets its own rows but stays out of the overall level."""
+    cols = ["seed", "benchmark", "language", "correct"]
+    rec = judge_records(spark, root).select(*cols).unionByName(bias_records(spark, root).select(*cols))
+    return E.accuracy(rec, by=["seed"], bias_benchmarks=["judgment-requests"])
