@@ -37,8 +37,8 @@ def dense_index(df: DataFrame, partition_by: list, order_by: list, name: str = "
     A plain ``row_number() over (partition by g order by o)`` sends a whole
     group to one task; with one language holding most rows that task is the
     job. Here the first order column (numeric or timestamp) is cut into
-    equal-width buckets between its global min and max (two scalar
-    aggregates), rows are numbered per (group, bucket) by a window - a hot
+    equal-width buckets between its global min and max (one scalar
+    aggregate), rows are numbered per (group, bucket) by a window - a hot
     group is spread over many buckets and tasks - and a small table of
     per-(group, bucket) counts, turned into running offsets, makes the local
     numbers global.
@@ -54,8 +54,8 @@ def dense_index(df: DataFrame, partition_by: list, order_by: list, name: str = "
     nb = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     gcols = list(partition_by)
     first = F.col(order_by[0]).cast("double")
-    lo = df.agg(F.min(first)).scalar()
-    hi = df.agg(F.max(first)).scalar()
+    bounds = df.agg(F.struct(F.min(first).alias("lo"), F.max(first).alias("hi"))).scalar()
+    lo, hi = bounds["lo"], bounds["hi"]
     width = F.greatest((hi - lo) / F.lit(float(nb)), F.lit(1e-300))
     bucket = F.least(F.greatest(F.floor((first - lo) / width), F.lit(0)), F.lit(nb - 1)).cast("int")
     x = df.withColumn("_bkt", F.coalesce(bucket, F.lit(0)))

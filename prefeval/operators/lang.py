@@ -99,12 +99,14 @@ def core_languages(df: DataFrame, language: str = "language") -> DataFrame:
 
 # --------------------------------------------------------------------------- L2
 def resolve_languages(requested: DataFrame | None, available: DataFrame,
-                      short_to_code: dict) -> DataFrame:
+                      short_to_code: dict, on_missing: str = "flag") -> DataFrame:
     """Match requested languages to available ones: directly, else through the
     short -> config-code map, else missing. No request -> all available.
     Output: requested, resolved (null when missing), display (the short name
-    when the code came from the map), missing flag. The map is a small
-    literal (a ``create_map`` expression), so no join is needed for it."""
+    when the code came from the map), missing flag; ``on_missing='raise'``
+    fails the job on a missing language, as a run of the evaluation would.
+    The map is a small literal (a ``create_map`` expression), so no join is
+    needed for it."""
     avail = available.select(F.col("language").alias("_avail")).distinct()
     if requested is None:
         req = avail.select(F.col("_avail").alias("requested"))
@@ -121,8 +123,11 @@ def resolve_languages(requested: DataFrame | None, available: DataFrame,
             .join(via, F.col("_code") == via["_via"], "left"))
     res = F.coalesce(F.col("_direct"), F.col("_via"))
     disp = F.coalesce(F.element_at(inv, res), res) if short_to_code else res
-    return x.select("requested", res.alias("resolved"), disp.alias("display"),
-                    res.isNull().alias("missing"))
+    out = x.select("requested", res.alias("resolved"), disp.alias("display"), res.isNull().alias("missing"))
+    if on_missing == "raise":
+        out = out.withColumn("resolved", F.when(~F.col("missing"), F.col("resolved")).otherwise(
+            F.raise_error(F.concat(F.lit("Missing languages: "), F.col("requested")))))
+    return out
 
 
 # --------------------------------------------------------------------------- L4

@@ -214,20 +214,42 @@ J5 = "WITH " + DOC_CATS + f"\nSELECT doc_id, {template_type_sql('category', 'sub
 
 
 def _j6():
-    from prefeval.plans.queries import TASK_TEXT, DEFAULT_TASK
-    task = "CASE " + " ".join(f"WHEN template_type = '{k}' THEN {lit(v)}" for k, v in TASK_TEXT.items()) \
-        + f" ELSE {lit(DEFAULT_TASK)} END"
-    fmt = lit("\n\n# Response format\nAnswer with a JSON object {\"score\": \"Assistant A\"} or "
-              "{\"score\": \"Assistant B\"}.")
+    from prefeval.operators.tasks import ANSWER_A_HEADING, ANSWER_B_HEADING, RUBRIC_DEFAULT_TAGS, format_rubric
+    from prefeval.plans.queries import RUBRIC_TEMPLATE
+    tpl = RUBRIC_TEMPLATE
+    keys = list(tpl.keys())
+    tags = dict(RUBRIC_DEFAULT_TAGS)
+    tags.update(tpl.get("tags") or {})
+    msg = tpl.get("instruction_msg") or tags["instruction_msg"]
+    types = [k for k in keys if isinstance(tpl.get(k), dict) and k != "tags"]
+    gschema = str(tpl.get("schema", {}))
+    src = "lower(" + strip_sql("coalesce(CASE WHEN length(subset) > 0 THEN subset END, '')") + ")"
+    whens = [f"WHEN contains({src}, 'chat') THEN 'general'"]
+    whens += [f"WHEN {src} = '{k}' THEN '{k}'" for k in keys]
+    whens += [f"WHEN contains({src}, '{k}') THEN '{k}'" for k in keys if k not in ("schema", "tags", "general")]
+    ttype = "CASE " + " ".join(whens) + " ELSE 'general' END"
+    task = "CASE " + " ".join(f"WHEN template_type = '{k}' THEN {lit(str(tpl[k].get('task_description', '')))}"
+                              for k in types) + " ELSE '' END"
+    schema = "CASE " + " ".join(f"WHEN template_type = '{k}' THEN {lit(str(tpl[k].get('schema') or gschema))}"
+                                for k in types) + f" ELSE {lit(gschema)} END"
+    rub = []
+    for k in types:
+        lst = [format_rubric(r) for r in (tpl[k].get("rubric_list") or [])]
+        if not lst:
+            rub.append(f"WHEN template_type = '{k}' THEN ''")
+        else:
+            arr = "[" + ", ".join(lit(r) for r in lst) + "]"
+            idx = sha_mod_sql("'42:' || CAST(id AS VARCHAR)", len(lst))
+            rub.append(f"WHEN template_type = '{k}' THEN list_extract({arr}, CAST({idx} AS INTEGER) + 1)")
+    rubric = "CASE " + " ".join(rub) + " ELSE '' END"
+    system = (f"{lit('# ' + msg + chr(10))} || {task} || {lit(chr(10) * 2 + '# ' + tags['evaluation_rubric_tag'] + chr(10))}"
+              f" || {rubric} || {lit(chr(10) * 2 + '# ' + tags['response_format_tag'] + chr(10) * 2)} || {schema}")
+    user = (f"{lit('# ' + tags['input_tag'] + chr(10))} || prompt || {lit(chr(10) * 2 + ANSWER_A_HEADING + chr(10))}"
+            f" || answer_a || {lit(chr(10) * 2 + ANSWER_B_HEADING + chr(10))} || answer_b"
+            f" || {lit(chr(10) * 2 + '# ' + tags['your_response_tag'] + chr(10))}")
     return "WITH " + TASKS + f""",
-typed AS (SELECT *, {template_type_sql('NULL', 'subset')} AS template_type FROM tasks WHERE seed = 42),
-rub AS (SELECT *, {rubric_sql()} FROM typed)
-SELECT id, template_type,
-  {lit('# Task' + chr(10))} || {task} || {lit(chr(10) + chr(10) + '# Rubric' + chr(10))} || coalesce(rubric, '')
-  || {fmt} || {lit(chr(10) + chr(10) + '# Input' + chr(10))} || prompt
-  || {lit(chr(10) + chr(10) + '# Assistant A' + chr(10))} || answer_a
-  || {lit(chr(10) + chr(10) + '# Assistant B' + chr(10))} || answer_b AS judge_prompt
-FROM rub"""
+typed AS (SELECT *, {ttype} AS template_type FROM tasks WHERE seed = 42)
+SELECT id, template_type, {system} || chr(10) || chr(10) || {user} AS judge_prompt FROM typed"""
 
 
 J6 = _j6()

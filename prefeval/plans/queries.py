@@ -100,12 +100,22 @@ def q_j5(spark, root):
     return J.select_template_type(_doc_categories(spark, root), TEMPLATE_KEYS).select("doc_id", "template_type")
 
 
+RUBRIC_TEMPLATE = {
+    "instruction_msg": "Instruction",
+    "tags": {"evaluation_rubric_tag": "Rubric", "input_tag": "Input"},
+    "schema": "{\"score\": \"Assistant A or Assistant B\"}",
+    "general": {"task_description": DEFAULT_TASK, "rubric_list": RUBRICS},
+    "src1": {"task_description": TASK_TEXT["src1"], "rubric_list": RUBRICS[:2], "schema": "{\"score\": \"A|B\"}"},
+    "math": {"task_description": TASK_TEXT["math"], "rubric_list": RUBRICS[2:]},
+    "src12": {"task_description": "Judge answers about source twelve.", "rubric_list": []},
+}
+
+
 @register("j6_render_rubric_prompt")
 def q_j6(spark, root):
     t = seed42_tasks(spark, root).withColumn("category", F.lit(None).cast("string"))
-    t = J.select_template_type(t, TEMPLATE_KEYS)
-    t = J.pick_rubric(t, RUBRICS, seed=42, key="id")
-    return J.render_rubric_prompt(t, TASK_TEXT, DEFAULT_TASK).select("id", "template_type", "judge_prompt")
+    r = J.render_rubric_prompt(t, RUBRIC_TEMPLATE, seed=42, key="id")
+    return r.select("id", "template_type", "judge_prompt")
 
 
 @register("j7_fit_token_budget")
