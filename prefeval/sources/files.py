@@ -113,9 +113,9 @@ def read_seed_results(spark: SparkSession, folder: str, seeds: list[int],
     reader = spark.read.option("recursiveFileLookup", "true")
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.json(f"{folder.rstrip('/')}/seed[_=]*")
-    seed = F.regexp_extract(F.col("_metadata.file_path"), r"/seed[_=](\d+)/", 1).cast("int")
-    rows = df.drop("seed").withColumn("seed", seed)
+    df = reader.json(folder)
+    seed = F.regexp_extract(F.col("_metadata.file_path"), r"/seed[_=](\d+)/", 1)
+    rows = df.drop("seed").withColumn("seed", F.nullif(seed, F.lit("")).cast("int")).filter(F.col("seed").isNotNull())
     want = spark.createDataFrame([(int(s),) for s in seeds], "seed int")
     missing = want.join(rows.select("seed").distinct(), "seed", "left_anti")
     return rows, missing
