@@ -31,38 +31,50 @@ def seeded_bit(seed, key) -> Column:
 
 
 def dense_index(df: DataFrame, partition_by: list, order_by: list, name: str = "rn",
-                bounded_groups: bool = True, buckets: int | None = None) -> DataFrame:
-    """Add the exact 0-based position of each row inside its group.
+                bounded_groups: bool = True, buckets: int | None = None,
+                weight: str | None = None) -> DataFrame:
+    """Add the exact 0-based position of each row inside its group (with
+    ``weight``: the sum of the weights of all earlier rows, a running count).
 
     A plain ``row_number() over (partition by g order by o)`` sends a whole
     group to one task; with one language holding most rows that task is the
     job. Here the first order column (numeric or timestamp) is cut into
-    equal-width buckets between its global min and max (one scalar
-    aggregate), rows are numbered per (group, bucket) by a window - a hot
-    group is spread over many buckets and tasks - and a small table of
+    buckets at its approximate quantiles (one small aggregate, read once on
+    the driver as a literal list, so outliers and clustered values still give
+    balanced buckets). Rows are numbered per (group, bucket) by a window - a
+    hot group is spread over many buckets and tasks - and a small table of
     per-(group, bucket) counts, turned into running offsets, makes the local
     numbers global.
 
-    Every step is a deterministic function of the data (no partition ids, no
-    sampling), so a re-run task or a second evaluation of the plan gives the
-    same numbers. ``order_by`` must be unique inside a group (add a
-    tie-break key). The offsets table has groups x buckets rows; with
-    ``bounded_groups`` (few distinct groups, e.g. languages) it is broadcast,
-    else joined by shuffle.
+    Bucket edges are literals and every later step is a deterministic
+    function of the data (no partition ids, no sampling inside the plan), so
+    a re-run task or a second evaluation of the plan gives the same numbers.
+    ``order_by`` must be unique inside a group (add a tie-break key); rows
+    that share one first-column value stay in one bucket, so aggregate hot
+    values first (``weight``) when they can repeat. The offsets table has
+    groups x buckets rows; with ``bounded_groups`` (few distinct groups, e.g.
+    languages) it is broadcast, else joined by shuffle.
     """
+    from prefeval.functions.text import count_below
     spark = df.sparkSession
     nb = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     gcols = list(partition_by)
     first = F.col(order_by[0]).cast("double")
-    bounds = df.agg(F.struct(F.min(first).alias("lo"), F.max(first).alias("hi"))).scalar()
-    lo, hi = bounds["lo"], bounds["hi"]
-    width = F.greatest((hi - lo) / F.lit(float(nb)), F.lit(1e-300))
-    bucket = F.least(F.greatest(F.floor((first - lo) / width), F.lit(0)), F.lit(nb - 1)).cast("int")
+    qs = [i / nb for i in range(1, nb)]
+    edges = df.agg(F.percentile_approx(first, qs, 10000)).first()[0] or []
+    edges = sorted(set(float(e) for e in edges if e is not None))
+    bucket = count_below(edges, first) if edges else F.lit(0)
+    w_col = F.col(weight) if weight else F.lit(1)
     x = df.withColumn("_bkt", F.coalesce(bucket, F.lit(0)))
     w = Window.partitionBy(*gcols, "_bkt").orderBy(*order_by)
-    x = x.withColumn("_local", F.row_number().over(w) - 1)
-    counts = df.withColumn("_bkt", F.coalesce(bucket, F.lit(0))).groupBy(*gcols, "_bkt") \
-        .agg(F.count(F.lit(1)).alias("_cnt"))
+    if weight:
+        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        x = x.withColumn("_local", F.sum(w_col).over(run) - w_col)
+    else:
+        x = x.withColumn("_local", F.row_number().over(w) - 1)
+    counts = x.groupBy(*gcols, "_bkt").agg(F.sum(w_col).alias("_cnt")) if weight else \
+        df.withColumn("_bkt", F.coalesce(bucket, F.lit(0))).groupBy(*gcols, "_bkt") \
+          .agg(F.count(F.lit(1)).alias("_cnt"))
     wo = Window.partitionBy(*gcols).orderBy("_bkt") if gcols else Window.orderBy("_bkt")
     offsets = counts.withColumn("_offset", F.sum("_cnt").over(wo) - F.col("_cnt")).drop("_cnt")
     if bounded_groups:

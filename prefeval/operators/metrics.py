@@ -132,9 +132,10 @@ def quantile_edges(df: DataFrame, col: str, k: int, lengths: bool = False,
                    fallback=DEFAULT_LENGTH_BINS, exact: bool = True) -> DataFrame:
     """Bin edges [min (0 for lengths)] + k-1 nearest-rank cuts + [max].
 
-    Cut i is the value at sorted position ceil(i/k * n) - 1. Exact: values are
-    numbered with ``dense_index`` (range partitioned, no single-task sort) and
-    the k+1 wanted positions are picked by a join with a k-row table.
+    Cut i is the value at sorted position ceil(i/k * n) - 1. Exact: equal
+    values are counted first, running counts over the distinct values come
+    from ``dense_index`` (bucketed windows, no single-task sort), and each
+    distinct value emits the wanted positions its count range covers.
     ``exact=False`` uses ``percentile_approx`` for very large inputs. Nulls and
     NaN are left out; no values or k < 2 gives the fallback edges."""
     spark = df.sparkSession
@@ -149,13 +150,17 @@ def quantile_edges(df: DataFrame, col: str, k: int, lengths: bool = False,
         return row.select(F.posexplode(F.concat(F.array(F.lit(0.0) if lengths else F.col("lo")),
                                                 F.col("q"), F.array(F.col("hi"))))
                           .alias("edge_idx", "edge"))
-    ranked = dense_index(vals, [], ["v"], name="pos")
-    wanted = (spark.range(0, k + 1).select(F.col("id").cast("int").alias("edge_idx"))
-              .withColumn("pos", F.when(F.col("edge_idx") == 0, F.lit(0))
-                          .when(F.col("edge_idx") == k, n - 1)
-                          .otherwise(F.least(F.greatest(F.ceil(F.col("edge_idx") / F.lit(float(k)) * n) - 1,
-                                                        F.lit(0)), n - 1))))
-    picked = F.broadcast(wanted).join(ranked, "pos", "left").select("edge_idx", F.col("v").alias("edge"))
+    # equal values collapse into one (value, count) row first, so a value
+    # that fills a third of the column is one row, not a hot bucket
+    vc = vals.groupBy("v").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = dense_index(vc, [], ["v"], name="_before", weight="_n")
+    pos = [F.lit(0).cast("long")] + \
+        [F.least(F.greatest(F.ceil(F.lit(i / float(k)) * n) - 1, F.lit(0)), n - 1) for i in range(1, k)] + \
+        [(n - 1).cast("long")]
+    hits = F.array(*[F.when((p >= F.col("_before")) & (p < F.col("_before") + F.col("_n")), F.lit(i))
+                     for i, p in enumerate(pos)])
+    picked = (ranked.select("v", F.explode(hits).alias("edge_idx")).filter(F.col("edge_idx").isNotNull())
+                    .select(F.col("edge_idx").cast("int").alias("edge_idx"), F.col("v").alias("edge")))
     if lengths:
         picked = picked.withColumn("edge", F.when(F.col("edge_idx") == 0, F.lit(0.0)).otherwise(F.col("edge")))
     fb = spark.createDataFrame([(i, float(v)) for i, v in enumerate(fallback)], "edge_idx int, edge double")

@@ -167,3 +167,27 @@ def test_interpolate_schedule(spark):
     df = spark.createDataFrame([(-1.0,), (0.25,), (0.5,), (0.75,), (2.0,)], "p double")
     got = [r.v for r in df.select(G.interpolate_schedule("p", pts).alias("v")).collect()]
     assert got == [0.0, 0.5, 1.0, 2.5, 3.0]
+
+
+def test_dense_index_with_outliers_and_hot_group(spark):
+    # one group holds most rows, one extreme value: buckets come from quantiles
+    vals = [(0 if i % 3 else 1, float(i) if i != 5 else 1e12) for i in range(4000)]
+    df = spark.createDataFrame(vals, "g int, o double")
+    a = dense_index(df, ["g"], ["o"], "rn", buckets=16)
+    got = sorted((r.g, r.o, r.rn) for r in a.collect())
+    want = []
+    for g in (0, 1):
+        rows = sorted(o for gg, o in vals if gg == g)
+        want += [(g, o, i) for i, o in enumerate(rows)]
+    assert got == sorted(want)
+
+
+def test_quantile_edges_with_hot_value(spark):
+    import math as _m
+    values = [7.0] * 1500 + [float(i) for i in range(3000)] + [None, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r.edge for r in M.quantile_edges(df, "x", 10).orderBy("edge_idx").collect()]
+    clean = sorted(v for v in values if v is not None and not _m.isnan(v))
+    n = len(clean)
+    want = [clean[0]] + [clean[min(max(int(_m.ceil(i / 10.0 * n)) - 1, 0), n - 1)] for i in range(1, 10)] + [clean[-1]]
+    assert got == want
