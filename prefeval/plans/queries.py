@@ -729,7 +729,7 @@ def q_t6(spark, root):
 def _num(spark, root):
     li = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     from prefeval.functions.keys import dense_index
-    return dense_index(li, [], ["l_orderkey", "l_linenumber"], name="row_id")
+    return dense_index(li, [], ["l_orderkey", "l_linenumber"], name="row_id", edges="range")
 
 
 @register("t7_shards")
