@@ -286,7 +286,10 @@ def locate_span(prompt, response, start_at=None) -> Column:
     p1 = F.when(sa >= 0, _locate(r, p, sa + 1)).otherwise(F.lit(0))
     p2 = F.instr(p, r)
     chars = F.split(p, "")
-    mapping = F.filter(F.transform(chars, lambda ch, i: F.when(ch.rlike(r"^\s$"), F.lit(-1)).otherwise(i)),
+    # whitespace test by comparison with the six regex whitespace characters
+    # (no regex per character)
+    ws = [" ", "\t", "\n", "\r", "\f", "\x0b"]
+    mapping = F.filter(F.transform(chars, lambda ch, i: F.when(ch.isin(*ws), F.lit(-1)).otherwise(i)),
                        lambda i: i >= 0)
     cp = F.regexp_replace(p, r"\s", "")
     cr = F.regexp_replace(r, r"\s", "")

@@ -237,7 +237,8 @@ def bin_histogram(df: DataFrame, label: str = "label", target: str = "target", g
     """Sum of target vectors over labelled rows, probabilities and entropy
     per group: (group..., bin, mass, prob, entropy)."""
     group = list(group)
-    x = df.filter(F.col(label) != -100).select(*group, F.posexplode(target).alias("bin", "w"))
+    x = df.filter(F.col(label) != -100).select(*group, F.posexplode_outer(target).alias("bin", "w")) \
+        .filter(F.col("bin").isNotNull())
     h = x.groupBy(*group, "bin").agg(F.sum("w").alias("mass"))
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
     h = h.withColumn("prob", F.col("mass") / F.greatest(F.sum("mass").over(w), F.lit(eps)))
@@ -307,7 +308,8 @@ def with_standardised(df: DataFrame, vec: str, out: str = "_z", eps: float = 1e-
 def vector_moments(df: DataFrame, vec: str = "embedding", group: str = "label") -> DataFrame:
     """Per group and dimension: mean, population variance and log variance
     (floor 1e-6) of the standardised vectors."""
-    x = with_standardised(df.select(group, vec), vec).select(group, F.posexplode("_z").alias("dim", "z"))
+    x = with_standardised(df.select(group, vec), vec) \
+        .select(group, F.posexplode_outer("_z").alias("dim", "z")).filter(F.col("dim").isNotNull())
     return (x.groupBy(group, "dim").agg(F.avg("z").alias("mean"), F.var_pop("z").alias("var"))
              .withColumn("logvar", F.log(F.greatest(F.col("var"), F.lit(1e-6)))))
 

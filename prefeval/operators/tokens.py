@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefeval.functions.keys import h32
-from prefeval.functions.text import c, py_strip, repeat_for, words
+from prefeval.functions.text import c, py_strip, words
 
 PAD_ID, EOS_ID, UNK_ID = 0, 1, 2
 VOCAB = 50000
@@ -63,61 +63,71 @@ def encode_pair(df: DataFrame, prompt: str, output: str, max_len: int, append_eo
 
 
 # --------------------------------------------------------------------------- offsets
-def token_ends(text, max_tokens: int) -> Column:
-    """Character end offsets of the first ``max_tokens`` whitespace tokens.
+_WS = [" ", "\t", "\n", "\r", "\f", "\x0b"]
 
-    ends[k] = sum over j <= k of (whitespace before token j + length of token j);
-    the running sum is an ``aggregate`` over at most max_tokens elements."""
-    t = F.coalesce(c(text), F.lit(""))
-    toks = F.slice(words(t), 1, max_tokens)
-    seps = F.split(t, r"\S+", -1)
-    steps = F.zip_with(toks, F.slice(seps, 1, F.size(toks)), lambda w, sp: F.length(sp) + F.length(w))
-    init = F.struct(F.lit(0).alias("acc"), F.array().cast("array<int>").alias("ends"))
-    folded = F.aggregate(steps, init, lambda st, d: F.struct(
-        (st["acc"] + d).alias("acc"), F.concat(st["ends"], F.array(st["acc"] + d)).alias("ends")))
-    return folded["ends"]
+
+def tokens_starting_before(text, pos) -> Column:
+    """Number of whitespace tokens that start before character ``pos``
+    (0-based): the tokens of the first ``pos`` characters."""
+    return F.size(words(F.substring(c(text), F.lit(1), pos)))
+
+
+def tokens_ending_by(text, pos) -> Column:
+    """Number of whitespace tokens that end at or before character ``pos``:
+    the tokens of the prefix, minus one when a token runs across ``pos``.
+    A few substring scans per row; no per-token offsets are built."""
+    t = c(text)
+    before = F.substring(t, pos, F.lit(1))          # character pos-1 (0-based)
+    at = F.substring(t, pos + 1, F.lit(1))          # character pos
+    crossing = (pos > 0) & (F.length(before) > 0) & (F.length(at) > 0) & ~before.isin(*_WS) & ~at.isin(*_WS)
+    return tokens_starting_before(t, pos) - F.when(crossing, F.lit(1)).otherwise(F.lit(0))
 
 
 # --------------------------------------------------------------------------- T3
 def label_tokens(df: DataFrame, prompt: str, target: str, max_len: int) -> DataFrame:
     """prompt + target encoded together and right-truncated; the label starts at
     the first token whose end passes the prompt's character length; earlier
-    labels are -100; EOS is added when there is room."""
+    labels are -100; EOS is added when there is room.
+
+    The first such token is the number of tokens that end at or before the
+    prompt's length, so no token offsets are materialised."""
     full = F.concat(F.coalesce(c(prompt), F.lit("")), F.coalesce(c(target), F.lit("")))
     x = df.withColumn("_full", full)
-    x = x.withColumn("_ids", ids_of("_full", max_len)).withColumn("_ends", token_ends("_full", max_len))
+    x = x.withColumn("_ids", ids_of("_full", max_len))
     plen = F.length(F.coalesce(c(prompt), F.lit("")))
-    start = F.array_position(F.transform("_ends", lambda e: e > plen), True)   # 1-based, 0 if none
     n = F.size("_ids")
-    tstart = F.when(start > 0, start - 1).otherwise(n)
-    x = x.withColumn("target_start", tstart.cast("int"))
-    ts = F.least(F.col("target_start"), n)
+    x = x.withColumn("target_start", F.least(tokens_ending_by("_full", plen), n).cast("int"))
+    ts = F.col("target_start")
     labels = F.concat(F.array_repeat(F.lit(-100), ts), F.slice("_ids", ts + 1, F.greatest(n - ts, F.lit(0))))
     room = n < max_len
     return (x.withColumn("input_ids", F.when(room, F.concat("_ids", F.array(F.lit(EOS_ID)))).otherwise(F.col("_ids")))
              .withColumn("labels", F.when(room, F.concat(labels, F.array(F.lit(EOS_ID)))).otherwise(labels))
              .withColumn("truncated", F.size(words("_full")) > max_len)
-             .drop("_full", "_ids", "_ends"))
+             .drop("_full", "_ids"))
 
 
 # --------------------------------------------------------------------------- T4
 def tag_response_tokens(df: DataFrame, prompt: str, span_a: str, span_b: str, max_len: int,
                         out: str = "response_types") -> DataFrame:
     """Type 1 / 2 for tokens whose [start, end) overlaps span A / span B
-    (A first), else 0. Spans are structs(start, end) from ``locate_span``."""
+    (A first), else 0. Spans are structs(start, end) from ``locate_span``.
+
+    Tokens overlapping [s, e) are the index range [tokens ending by s,
+    tokens starting before e): two counts per span, then one array of
+    max_len types built from literal comparisons."""
     t = F.coalesce(c(prompt), F.lit(""))
-    ends = token_ends(t, max_len)
-    toks = F.slice(words(t), 1, max_len)
-    starts = F.zip_with(ends, toks, lambda e, w: e - F.length(w))
-    spans = F.struct(F.col(span_a).alias("a"), F.col(span_b).alias("b"))
-    cells = F.arrays_zip(starts.alias("s"), ends.alias("e"))
-
-    def overlap(s, e, span):
-        return span.isNotNull() & (s < span["end"]) & (e > span["start"])
-
-    types = F.zip_with(cells, repeat_for(spans, cells), lambda t, sp: F.when(overlap(t["s"], t["e"], sp["a"]), F.lit(1))
-                       .when(overlap(t["s"], t["e"], sp["b"]), F.lit(2)).otherwise(F.lit(0)))
-    return df.withColumn(out, types)
+    x = df.withColumn("_n", F.least(F.size(words(t)), F.lit(max_len)))
+    for side, span in (("a", span_a), ("b", span_b)):
+        sp = F.col(span)
+        x = (x.withColumn(f"_{side}0", F.when(sp.isNotNull(), tokens_ending_by(t, sp["start"])))
+              .withColumn(f"_{side}1", F.when(sp.isNotNull(), tokens_starting_before(t, sp["end"]))))
+    bounds = F.struct("_a0", "_a1", "_b0", "_b1")
+    idx = F.sequence(F.lit(0), F.col("_n") - 1)
+    types = F.zip_with(idx, F.array_repeat(bounds, F.col("_n")), lambda k, b: (
+        F.when((k >= b["_a0"]) & (k < b["_a1"]), F.lit(1))
+         .when((k >= b["_b0"]) & (k < b["_b1"]), F.lit(2)).otherwise(F.lit(0))))
+    return x.withColumn(out, F.when(F.col("_n") > 0, types).otherwise(F.array().cast("array<int>"))) \
+            .drop("_n", "_a0", "_a1", "_b0", "_b1")
 
 
 def find_subseq(hay, needle) -> Column:

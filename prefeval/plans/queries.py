@@ -612,7 +612,8 @@ def q_m9(spark, root):
 
 def _doc_length_hist(spark, root, group):
     d = table(spark, root, "documents")
-    x = d.select("lang", M.soft_bin(M.length_ttr("text")["length"], M.DEFAULT_LENGTH_BINS).alias("s")) \
+    x = d.select("lang", M.length_ttr("text")["length"].alias("_len")) \
+         .select("lang", M.soft_bin("_len", M.DEFAULT_LENGTH_BINS).alias("s")) \
          .select("lang", "s.label", "s.target")
     return M.bin_histogram(x, group=group)
 
@@ -754,11 +755,15 @@ def q_t9(spark, root):
     x = _span_inputs(spark, root).withColumn("span_a", P.locate_span(F.col("content"), F.col("resp_a")))
     x = x.withColumn("span_b", P.locate_span(F.col("content"), F.col("resp_b"), F.col("span_a.end")))
     x = T.tag_response_tokens(x, "content", "span_a", "span_b", 200)
-    types = x.select(F.col("id").alias("row_id"), F.posexplode("response_types").alias("pos", "side"))
+    # *_outer + null filter: a plain (pos)explode of a computed array lets
+    # Catalyst copy the whole array expression into an inferred filter
+    types = x.select(F.col("id").alias("row_id"), F.posexplode_outer("response_types").alias("pos", "side")) \
+        .filter(F.col("side").isNotNull())
     vals = x.select(F.col("id").alias("row_id"), F.explode(F.array(
         F.struct(F.lit(1).alias("side"), words("resp_a").alias("w")),
         F.struct(F.lit(2).alias("side"), words("resp_b").alias("w")))).alias("s")) \
-        .select("row_id", "s.side", F.posexplode(F.slice("s.w", 1, 150)).alias("vpos", "word")) \
+        .select("row_id", "s.side", F.posexplode_outer(F.slice("s.w", 1, 150)).alias("vpos", "word")) \
+        .filter(F.col("word").isNotNull()) \
         .select("row_id", "side", "vpos", F.length("word").cast("double").alias("value"))
     return T.rank_align(types, vals)
 
