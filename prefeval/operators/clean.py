@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefeval.functions.keys import h32
 from prefeval.functions.text import c, py_strip, strip_chars, words
 
 # ---------------------------------------------------------------------------

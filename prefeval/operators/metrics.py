@@ -7,7 +7,6 @@ dimensions (bounded per row) and aggregate, or build one Gramian per task.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
