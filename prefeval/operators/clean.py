@@ -127,17 +127,31 @@ def clean_judge_prompt(col) -> Column:
 def parse_user_content(df: DataFrame, col: str = "content", on_error: str = "raise") -> DataFrame:
     """question / answer_a / answer_b between the bracket markers (CRLF -> LF,
     newlines stripped at both ends). No match fails the job, or with
-    ``on_error='null'`` leaves nulls (quarantine by filtering them)."""
+    ``on_error='null'`` leaves nulls (quarantine by filtering them).
+
+    One regex pass per row: the search pattern, preceded by a lazy
+    ``^.*?`` (the same leftmost match a search finds), rewrites the whole text
+    to ``\x01 g1 \x00 g2 \x00 g3``, which is then split. A text that itself
+    holds those control characters takes the exact four-pass route."""
     text = F.replace(c(col), F.lit("\r\n"), F.lit("\n"))
-    ok = text.rlike(_USER_CONTENT)
+    packed = F.regexp_replace(text, "(?s)^.*?" + _USER_CONTENT[4:], "\u0001$1\u0000$2\u0000$3")
+    clean = (F.instr(text, "\u0000") == 0) & (F.instr(text, "\u0001") == 0)
+    fast_ok = packed.startswith("\u0001")
+    parts = F.split(F.substring(packed, 2, 1 << 30), "\u0000")
+    slow_ok = text.rlike(_USER_CONTENT)
+    ok = F.when(clean, fast_ok).otherwise(slow_ok)
     if on_error == "raise":
         ok = F.when(ok, F.lit(True)).otherwise(
             F.raise_error(F.lit("Unable to parse judgment request user content.")))
+    x = df.withColumn("_ok", ok).withColumn("_parts", F.when(clean & fast_ok, parts))
 
     def grp(i):
-        return F.when(ok, strip_chars(F.regexp_extract(text, _USER_CONTENT, i), "\n"))
+        exact = F.regexp_extract(text, _USER_CONTENT, i)
+        val = F.when(clean, F.element_at(F.col("_parts"), i)).otherwise(exact)
+        return F.when(F.col("_ok"), strip_chars(val, "\n"))
 
-    return df.withColumn("question", grp(1)).withColumn("answer_a", grp(2)).withColumn("answer_b", grp(3))
+    return (x.withColumn("question", grp(1)).withColumn("answer_a", grp(2)).withColumn("answer_b", grp(3))
+             .drop("_ok", "_parts"))
 
 
 # --------------------------------------------------------------------------- P8 / P9

@@ -191,3 +191,10 @@ def test_quantile_edges_with_hot_value(spark):
     n = len(clean)
     want = [clean[0]] + [clean[min(max(int(_m.ceil(i / 10.0 * n)) - 1, 0), n - 1)] for i in range(1, 10)] + [clean[-1]]
     assert got == want
+
+
+def test_user_content_fast_and_exact_paths_agree(spark):
+    base = J.render_user(spark.createDataFrame([("q", "a1", "b1"), ("q\x00odd", "a\x01", "b")],
+                                               "prompt string, answer_a string, answer_b string"))
+    rows = P.parse_user_content(base, "content").orderBy("prompt").collect()
+    assert [(r.question, r.answer_a, r.answer_b) for r in rows] == [("q", "a1", "b1"), ("q\x00odd", "a\x01", "b")]
