@@ -133,25 +133,26 @@ def parse_user_content(df: DataFrame, col: str = "content", on_error: str = "rai
     ``^.*?`` (the same leftmost match a search finds), rewrites the whole text
     to ``\x01 g1 \x00 g2 \x00 g3``, which is then split. A text that itself
     holds those control characters takes the exact four-pass route."""
-    text = F.replace(c(col), F.lit("\r\n"), F.lit("\n"))
-    packed = F.regexp_replace(text, "(?s)^.*?" + _USER_CONTENT[4:], "\u0001$1\u0000$2\u0000$3")
-    clean = (F.instr(text, "\u0000") == 0) & (F.instr(text, "\u0001") == 0)
-    fast_ok = packed.startswith("\u0001")
-    parts = F.split(F.substring(packed, 2, 1 << 30), "\u0000")
-    slow_ok = text.rlike(_USER_CONTENT)
-    ok = F.when(clean, fast_ok).otherwise(slow_ok)
+    x = df.withColumn("_text", F.replace(c(col), F.lit("\r\n"), F.lit("\n")))
+    text = F.col("_text")
+    x = x.withColumn("_packed", F.regexp_replace(text, "(?s)^.*?" + _USER_CONTENT[4:],
+                                                 "\u0001$1\u0000$2\u0000$3"))
+    x = x.withColumn("_clean", (F.instr(text, "\u0000") == 0) & (F.instr(text, "\u0001") == 0))
+    fast_ok = F.col("_packed").startswith("\u0001")
+    ok = F.when(F.col("_clean"), fast_ok).otherwise(text.rlike(_USER_CONTENT))
     if on_error == "raise":
         ok = F.when(ok, F.lit(True)).otherwise(
             F.raise_error(F.lit("Unable to parse judgment request user content.")))
-    x = df.withColumn("_ok", ok).withColumn("_parts", F.when(clean & fast_ok, parts))
+    parts = F.split(F.substring("_packed", 2, 1 << 30), "\u0000")
+    x = x.withColumn("_ok", ok).withColumn("_parts", F.when(F.col("_clean") & fast_ok, parts))
 
     def grp(i):
         exact = F.regexp_extract(text, _USER_CONTENT, i)
-        val = F.when(clean, F.element_at(F.col("_parts"), i)).otherwise(exact)
+        val = F.when(F.col("_clean"), F.element_at(F.col("_parts"), i)).otherwise(exact)
         return F.when(F.col("_ok"), strip_chars(val, "\n"))
 
     return (x.withColumn("question", grp(1)).withColumn("answer_a", grp(2)).withColumn("answer_b", grp(3))
-             .drop("_ok", "_parts"))
+             .drop("_ok", "_parts", "_text", "_packed", "_clean"))
 
 
 # --------------------------------------------------------------------------- P8 / P9
