@@ -319,6 +319,40 @@ def locate_span(prompt, response, start_at=None) -> Column:
              .otherwise(fb))
 
 
+def with_span(df: DataFrame, out: str, prompt: str, response: str, start_at=None) -> DataFrame:
+    """``locate_span`` as a DataFrame step: the stripped response, both exact
+    searches and (only for rows that need it) the whitespace-free texts and
+    the index map are intermediate columns, so each is computed once per row
+    instead of once per reference."""
+    ws = [" ", "\t", "\n", "\r", "\f", "\x0b"]
+    p = F.col(prompt)
+    x = (df.withColumn("_sr", py_strip(F.coalesce(F.col(response), F.lit(""))))
+           .withColumn("_sa", c(start_at) if start_at is not None else F.lit(-1)))
+    sr, sa = F.col("_sr"), F.col("_sa")
+    x = (x.withColumn("_p1", F.when(sa >= 0, _locate(sr, p, sa + 1)).otherwise(F.lit(0)))
+          .withColumn("_p2", F.instr(p, sr)))
+    need = (F.length(sr) > 0) & (F.col("_p1") == 0) & (F.col("_p2") == 0)
+    mapping = F.filter(F.transform(F.split(p, ""), lambda ch, i: F.when(ch.isin(*ws), F.lit(-1)).otherwise(i)),
+                       lambda i: i >= 0)
+    x = (x.withColumn("_map", F.when(need, mapping))
+          .withColumn("_cp", F.when(need, F.regexp_replace(p, r"\s", "")))
+          .withColumn("_cr", F.when(need, F.regexp_replace(sr, r"\s", ""))))
+    mp = F.col("_map")
+    first_at = F.array_position(F.zip_with(mp, F.array_repeat(sa, F.size(mp)), lambda m, s_: m >= s_), True)
+    cstart = F.when((sa >= 0) & (first_at > 0), first_at - 1).otherwise(F.lit(0))
+    x = x.withColumn("_m", F.when(need, _locate(F.col("_cr"), F.col("_cp"), cstart + 1)))
+    m, cr = F.col("_m"), F.col("_cr")
+    fb = F.when((F.length(cr) > 0) & (m > 0), F.struct(
+        F.element_at(mp, m).alias("start"), (F.element_at(mp, m + F.length(cr) - 1) + 1).alias("end")))
+    rl = F.length(sr)
+    p1, p2 = F.col("_p1"), F.col("_p2")
+    span = (F.when(rl == 0, F.lit(None).cast("struct<start:int,end:int>"))
+             .when(p1 > 0, F.struct((p1 - 1).alias("start"), (p1 - 1 + rl).alias("end")))
+             .when(p2 > 0, F.struct((p2 - 1).alias("start"), (p2 - 1 + rl).alias("end")))
+             .otherwise(fb))
+    return x.withColumn(out, span).drop("_sr", "_sa", "_p1", "_p2", "_map", "_cp", "_cr", "_m")
+
+
 def _locate(substr: Column, s: Column, pos: Column) -> Column:
     """1-based position of substr in s at or after pos (column), 0 if absent."""
     return F.call_function("locate", substr, s, pos)

@@ -397,8 +397,8 @@ def _span_inputs(spark, root):
 
 @register("p13_locate_span")
 def q_p13(spark, root):
-    x = _span_inputs(spark, root).withColumn("span_a", P.locate_span(F.col("content"), F.col("resp_a")))
-    x = x.withColumn("span_b", P.locate_span(F.col("content"), F.col("resp_b"), F.col("span_a.end")))
+    x = P.with_span(_span_inputs(spark, root), "span_a", "content", "resp_a")
+    x = P.with_span(x, "span_b", "content", "resp_b", F.col("span_a.end"))
     return x.select("id", F.col("span_a.start").alias("a_start"), F.col("span_a.end").alias("a_end"),
                     F.col("span_b.start").alias("b_start"), F.col("span_b.end").alias("b_end"))
 
@@ -697,8 +697,8 @@ def q_t3(spark, root):
 
 @register("t4_tag_response_tokens")
 def q_t4(spark, root):
-    x = _span_inputs(spark, root).withColumn("span_a", P.locate_span(F.col("content"), F.col("resp_a")))
-    x = x.withColumn("span_b", P.locate_span(F.col("content"), F.col("resp_b"), F.col("span_a.end")))
+    x = P.with_span(_span_inputs(spark, root), "span_a", "content", "resp_a")
+    x = P.with_span(x, "span_b", "content", "resp_b", F.col("span_a.end"))
     x = T.tag_response_tokens(x, "content", "span_a", "span_b", 400)
     return x.select("id", F.array_join("response_types", "").alias("types"))
 
@@ -752,8 +752,8 @@ def q_t8(spark, root):
 
 @register("t9_rank_align")
 def q_t9(spark, root):
-    x = _span_inputs(spark, root).withColumn("span_a", P.locate_span(F.col("content"), F.col("resp_a")))
-    x = x.withColumn("span_b", P.locate_span(F.col("content"), F.col("resp_b"), F.col("span_a.end")))
+    x = P.with_span(_span_inputs(spark, root), "span_a", "content", "resp_a")
+    x = P.with_span(x, "span_b", "content", "resp_b", F.col("span_a.end"))
     x = T.tag_response_tokens(x, "content", "span_a", "span_b", 200)
     # *_outer + null filter: a plain (pos)explode of a computed array lets
     # Catalyst copy the whole array expression into an inferred filter
