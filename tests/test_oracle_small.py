@@ -19,7 +19,9 @@ from conftest import SF_SMALL  # noqa: E402
 SAMPLE = ["e5_accuracy", "e9_bias_severity", "e6_bootstrap_ci", "j7_fit_token_budget", "j10_limit_pairs",
           "p5_prepare_preferences", "p8_parse_custom_id", "p13_locate_span", "m5_quantile_edges", "m7_soft_bin",
           "m11_soft_histogram", "m15_dependence_audit", "t3_label_tokens", "t8_merge_shards", "g1_ema",
-          "g4_inverse_ema_weights", "r3_latest_status", "l2_resolve_languages"]
+          "g4_inverse_ema_weights", "r3_latest_status", "l2_resolve_languages",
+          "st1_incremental_eval", "st4_stream_throughput", "s3_read_judgment_requests", "k3_replace_dataset",
+          "l1_detect_language", "m2_token_nll", "t4_tag_response_tokens"]
 
 
 @pytest.fixture(scope="module")
