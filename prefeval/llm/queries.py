@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from prefeval.llm.bpe import digest_documents
 from prefeval.llm.common import read_table
 from prefeval.llm.packing import pack_documents
 
@@ -13,7 +14,13 @@ def op2_best_fit_packing(spark, sf_dir):
                           public_tokenizers.path("word_bpe_49k.json"), capacity=2048, separator=0)
 
 
+def op10_bpe_coding(spark, sf_dir):
+    return digest_documents(read_table(spark, sf_dir, "documents"),
+                            public_tokenizers.path("byte_bpe_50k.json"))
+
+
 LLM_QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op10_bpe_coding": op10_bpe_coding,
 }
 LLM_ORACLE: dict[str, str] = {}
