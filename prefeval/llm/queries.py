@@ -7,6 +7,7 @@ import public_tokenizers
 from prefeval.llm.bpe import digest_documents
 from prefeval.llm.common import read_table
 from prefeval.llm.packing import pack_documents
+from prefeval.llm.shingles import near_duplicates
 
 
 def op2_best_fit_packing(spark, sf_dir):
@@ -14,6 +15,10 @@ def op2_best_fit_packing(spark, sf_dir):
                           public_tokenizers.path("word_bpe_49k.json"), capacity=2048, separator=0)
 
 
+def op6_ngram_jaccard_join(spark, sf_dir):
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_coding(spark, sf_dir):
     return digest_documents(read_table(spark, sf_dir, "documents"),
                             public_tokenizers.path("byte_bpe_50k.json"))
@@ -21,6 +26,7 @@ def op10_bpe_coding(spark, sf_dir):
 
 LLM_QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op10_bpe_coding": op10_bpe_coding,
 }
 LLM_ORACLE: dict[str, str] = {}
