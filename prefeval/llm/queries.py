@@ -5,11 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 
 from prefeval.llm.bpe import digest_documents
+from prefeval.llm.chat import digests, format_conversations
 from prefeval.llm.common import read_table
 from prefeval.llm.packing import pack_documents
 from prefeval.llm.shingles import near_duplicates
 
 
+def op1_chat_formatting(spark, sf_dir):
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return digests(format_conversations(turns.unionByName(extra)))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return pack_documents(read_table(spark, sf_dir, "documents"),
                           public_tokenizers.path("word_bpe_49k.json"), capacity=2048, separator=0)
@@ -25,8 +33,26 @@ def op10_bpe_coding(spark, sf_dir):
 
 
 LLM_QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op10_bpe_coding": op10_bpe_coding,
 }
-LLM_ORACLE: dict[str, str] = {}
+_ESCAPED = r"""replace(replace(replace(replace(replace({0}, '\', '\\'),
+    '<s>', '<\s>'), '</s>', '<\/s>'), '[INST', '[\INST'), '[/INST]', '[\/INST]')"""
+
+LLM_ORACLE: dict[str, str] = {
+    "op1_chat_formatting": rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<s>[INST ' || {_ESCAPED.format("role")} || ']' || chr(10) || {_ESCAPED.format("text")}
+      || chr(10) || '[/INST]</s>'))::BIGINT AS formatted_chars,
+  -1::INTEGER AS rewrites_at
+FROM turns GROUP BY conv_id""",
+}
