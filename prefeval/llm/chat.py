@@ -20,7 +20,6 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 
 import pyarrow as pa
@@ -51,7 +50,15 @@ def marked(turns: list) -> str:
 
 
 def common_prefix(a: str, b: str) -> int:
-    return len(os.path.commonprefix([a, b]))
+    """By halving; every comparison is one memory compare."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
 
 
 def text_place(turns: list, k: int, render) -> tuple[int, int]:
