@@ -15,6 +15,7 @@ empty table gives no rows; columns other than the id and text are ignored.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -25,18 +26,37 @@ from pyspark.sql import functions as F
 
 from prefeval.llm.common import as_bytes, materialize, slices, worker_cache
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 LONG_WORD = 64
+# lower-case Latin letters, then ASCII punctuation without the apostrophe: the
+# tokenizer cuts between the two, so they can be encoded apart
+LETTERS_MARKS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)")
 
 
-def word_ids(tokenizer, words: set, cache: dict) -> None:
-    """Encode the words that ``cache`` lacks; values are little-endian ids."""
-    todo = [w for w in words if w not in cache]
-    if len(cache) + len(todo) > CACHE_WORDS:
-        cache.clear()
-        todo = list(words)
-    for w, e in zip(todo, tokenizer.encode_batch_fast([w.decode() for w in todo], add_special_tokens=False)):
-        cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+class WordIds(dict):
+    """Little-endian ids of blank-separated words, each encoded once while it
+    is in use: when full, words not met since the last time are forgotten."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.older = tokenizer, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            parts = LETTERS_MARKS.fullmatch(word)
+            ids = self[parts[1]] + self[parts[2]] if parts else np.array(
+                self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(word) <= LONG_WORD:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+def _words(text: bytes) -> list:
+    """The tokenizer lower-cases all but its control strings."""
+    return (text if b"<|" in text else text.lower()).split()
 
 
 def _load(path: str):
@@ -61,16 +81,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, sep
     end = np.array([separator], dtype="<u4").tobytes()
 
     def run(batches):
-        tokenizer = worker_cache("tokenizer " + tokenizer_path, lambda: _load(tokenizer_path))
-        cache = worker_cache("words " + tokenizer_path, dict)
+        known = worker_cache("words " + tokenizer_path, lambda: WordIds(_load(tokenizer_path)))
         step = 4 * capacity
         for whole in batches:
             for batch in slices(whole):
-                split = [t.split() for t in as_bytes(batch.column(1))]
-                word_ids(tokenizer, set().union(*split), cache)
-                ids, rows = batch.column(0).to_pylist(), []
-                for key, words in zip(ids, split):
-                    buf = b"".join([cache[w] for w in words]) + end
+                rows = []
+                for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+                    buf = b"".join([known[w] for w in _words(text)]) + end
                     for k, at in enumerate(range(0, len(buf), step)):
                         part = buf[at:at + step]
                         rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -9,7 +9,8 @@ from prefeval.llm.packing import best_two_fit, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["", None, "Hello  World's\tend\x0bof\nline", "a b ́x café <|endoftext|> tail",
-         "x" * 500, "word " * 5000, "word " * 5000, "\x1c\x85 mixed　width 123 !!", "ΑΣ ΣΑΣ. İ"]
+         "x" * 500, "word " * 5000, "word " * 5000, "\x1c\x85 mixed　width 123 !!", "ΑΣ ΣΑΣ. İ", "ÀB…!! x×,! É÷! l'amie's. don'T! A<|STARTOFTEXT|> naïve, <|startoftext|>b Ç̧!",
+         "1a, a1! ___ª. ß) Ünder/Ähre ok.) k·, E\u0301. e\u0301! \u0301."]
 
 
 def first_fit_decreasing(lengths):
