@@ -58,3 +58,34 @@ def bounded_rows(df: DataFrame, key: str, by: list, limit: int) -> DataFrame:
     from pyspark.sql import Window
     order = Window.partitionBy(*by).orderBy(F.xxhash64(F.col(key), F.lit(17)), F.col(key))
     return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit).drop("_rank")
+
+
+def sorted_groups(batches, keys: list):
+    """Runs of equal ``keys`` (never null) out of batches sorted by them, each
+    as one Arrow table; a run may span batches."""
+    import numpy as np
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        if held.num_rows < 2:
+            continue
+        cols = [held.column(k).to_numpy() for k in keys]
+        new = np.zeros(held.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist()]
+        flat = held.combine_chunks()
+        for a, b in zip(cuts, cuts[1:]):
+            yield flat.slice(a, b - a)
+        held = flat.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def list_matrix(col) -> "np.ndarray":  # noqa: F821
+    """A column of equally long float lists as a matrix."""
+    import numpy as np
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    flat = col.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat).reshape(len(col), -1) if len(col) else np.empty((0, 0))

@@ -7,6 +7,7 @@ import public_tokenizers
 from prefeval.llm.bpe import digest_documents
 from prefeval.llm.chat import digests, format_conversations
 from prefeval.llm.common import read_table
+from prefeval.llm.lsh import near_vectors
 from prefeval.llm.packing import pack_documents
 from prefeval.llm.shingles import near_duplicates
 
@@ -27,6 +28,10 @@ def op6_ngram_jaccard_join(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark, sf_dir):
+    return near_vectors(read_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op10_bpe_coding(spark, sf_dir):
     return digest_documents(read_table(spark, sf_dir, "documents"),
                             public_tokenizers.path("byte_bpe_50k.json"))
@@ -36,6 +41,7 @@ LLM_QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_bpe_coding": op10_bpe_coding,
 }
 _ESCAPED = r"""replace(replace(replace(replace(replace({0}, '\', '\\'),
