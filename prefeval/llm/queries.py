@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from prefeval.llm.bpe import digest_documents
 from prefeval.llm.chat import digests, format_conversations
@@ -10,6 +11,7 @@ from prefeval.llm.common import read_table
 from prefeval.llm.lsh import near_vectors
 from prefeval.llm.packing import pack_documents
 from prefeval.llm.shingles import near_duplicates
+from prefeval.llm.topk import top_k
 
 
 def op1_chat_formatting(spark, sf_dir):
@@ -24,6 +26,10 @@ def op2_best_fit_packing(spark, sf_dir):
                           public_tokenizers.path("word_bpe_49k.json"), capacity=2048, separator=0)
 
 
+def op3_exact_topk_search(spark, sf_dir):
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, scale=256, k=5)
+
+
 def op6_ngram_jaccard_join(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -40,6 +46,7 @@ def op10_bpe_coding(spark, sf_dir):
 LLM_QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_exact_topk_search": op3_exact_topk_search,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_bpe_coding": op10_bpe_coding,
@@ -61,4 +68,13 @@ SELECT conv_id, count(*) AS n_turns,
       || chr(10) || '[/INST]</s>'))::BIGINT AS formatted_chars,
   -1::INTEGER AS rewrites_at
 FROM turns GROUP BY conv_id""",
+    "op3_exact_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5""",
 }
