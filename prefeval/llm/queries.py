@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from prefeval.llm.bpe import digest_documents
 from prefeval.llm.chat import digests, format_conversations
-from prefeval.llm.common import read_table
+from prefeval.llm.common import fold_of, read_table
+from prefeval.llm.langid import identify
 from prefeval.llm.lsh import near_vectors
 from prefeval.llm.packing import pack_documents
 from prefeval.llm.shingles import near_duplicates
@@ -30,6 +31,11 @@ def op3_exact_topk_search(spark, sf_dir):
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, scale=256, k=5)
 
 
+def op5_language_id(spark, sf_dir):
+    return identify(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
+                    folds=3, held=1).select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op6_ngram_jaccard_join(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -47,6 +53,7 @@ LLM_QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_topk_search": op3_exact_topk_search,
+    "op5_language_id": op5_language_id,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_bpe_coding": op10_bpe_coding,
@@ -70,8 +77,8 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id""",
     "op3_exact_topk_search": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
