@@ -11,6 +11,7 @@ from prefeval.llm.common import fold_of, read_table
 from prefeval.llm.langid import identify
 from prefeval.llm.lsh import near_vectors
 from prefeval.llm.packing import pack_documents
+from prefeval.llm.quality import classify
 from prefeval.llm.shingles import near_duplicates
 from prefeval.llm.topk import top_k
 
@@ -31,6 +32,11 @@ def op3_exact_topk_search(spark, sf_dir):
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, scale=256, k=5)
 
 
+def op4_quality_classifier(spark, sf_dir):
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"),
+                    folds=5, held=0, least=0.3).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_language_id(spark, sf_dir):
     return identify(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
                     folds=3, held=1).select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
@@ -53,6 +59,7 @@ LLM_QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_topk_search": op3_exact_topk_search,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_language_id": op5_language_id,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
