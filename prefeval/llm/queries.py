@@ -14,6 +14,7 @@ from prefeval.llm.packing import pack_documents
 from prefeval.llm.quality import classify
 from prefeval.llm.shingles import near_duplicates
 from prefeval.llm.topk import top_k
+from prefeval.llm.toxicity import score_documents
 
 
 def op1_chat_formatting(spark, sf_dir):
@@ -46,6 +47,11 @@ def op6_ngram_jaccard_join(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark, sf_dir):
+    return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"),
+                           folds=4, held=2, least=0.3).select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
 def op9_embedding_near_dedup(spark, sf_dir):
     return near_vectors(read_table(spark, sf_dir, "embeddings"), least=0.98)
 
@@ -62,6 +68,7 @@ LLM_QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_language_id": op5_language_id,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op8_toxicity": op8_toxicity,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_bpe_coding": op10_bpe_coding,
 }
