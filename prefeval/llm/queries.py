@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from prefeval.llm import secrets
 from prefeval.llm.bpe import digest_documents
 from prefeval.llm.chat import digests, format_conversations
 from prefeval.llm.common import fold_of, read_table
@@ -47,6 +48,11 @@ def op6_ngram_jaccard_join(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scans(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return secrets.digests(secrets.scan(docs, secrets.train(docs)))
+
+
 def op8_toxicity(spark, sf_dir):
     return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"),
                            folds=4, held=2, least=0.3).select("doc_id", "held_out", "score", "predicted", "evidence")
@@ -68,6 +74,7 @@ LLM_QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_language_id": op5_language_id,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_secret_scans": op7_secret_scans,
     "op8_toxicity": op8_toxicity,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_bpe_coding": op10_bpe_coding,
