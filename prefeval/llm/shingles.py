@@ -10,12 +10,13 @@ texts are compared.
    three orders put rare shingles first (by the sketch's octave) and break
    ties by hashes of their own, so widely shared passages come last.
 2. A second pass writes one row per document: size, 64-bit fingerprint of the
-   set (the *class*; equal sets meet here) and its prefix under each order.
+   set (the *class*; equal sets meet here) and its prefix under the first order.
+   Classes that meet another get their prefixes under the other two orders.
 3. Classes that meet in a token of the first order are paired with the least
    class of that token only. The filters of the other orders are intersected,
    then the texts are verified and the links give first components.
-4. What still meets in a token across two components is paired in full,
-   filtered and verified the same way: no link between components is lost,
+4. What still meets in a token across two components is paired in full (if
+   its place in both prefixes leaves room for a link), filtered and verified the same way: no link between components is lost,
    and no group of copies is ever expanded into its pairs.
 
 Tokens and classes are 64-bit hashes; a wrong link needs two of them to clash.
@@ -38,22 +39,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefeval.llm.common import as_bytes, materialize, slices, worker_cache
+from prefeval.llm.common import as_bytes, materialize, slices
 from prefeval.llm.components import components
 
 WORDS = 5
 SKETCH_BITS = 21          # 2M counters: the size of everything that is broadcast
 SKETCH_PARTS = 32
-CACHE_WORDS = 300_000
+CHUNK = 1 << 20           # bytes hashed at a time
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+_random = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
+BYTE_VALUES = np.where(np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r")), np.uint64(0), _random | np.uint64(1))
 
 
 def mix(h: np.ndarray, seed: int) -> np.ndarray:
@@ -62,20 +57,59 @@ def mix(h: np.ndarray, seed: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) * np.uint64(ODD[(seed + 2) % 5])
 
 
-def shingle_sets(texts: list, cache: WordHashes) -> list:
+def powers(n: int) -> np.ndarray:
+    """ODD[0] ** k for k < n."""
+    out = np.ones(max(n, 2), np.uint64)
+    out[1:] = np.uint64(ODD[0])
+    return np.cumprod(out, dtype=np.uint64)[:n]
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every word between ASCII blanks, A-Z lower-cased: the
+    sum over a word's bytes of a random value times a power of its place."""
+    value = BYTE_VALUES[np.frombuffer(text.lower(), np.uint8)]
+    inside = np.flatnonzero(value)
+    if not len(inside):
+        return inside, np.empty(0, np.uint64)
+    first = np.flatnonzero(np.diff(inside, prepend=-2) > 1)      # in ``inside``
+    size = np.diff(first, append=len(inside))
+    place = np.arange(len(inside)) - np.repeat(first, size)
+    return inside[first], mix(np.add.reduceat(value[inside] * powers(int(size.max()))[place], first), 4)
+
+
+def chunks(texts: list):
+    """Runs of texts of about CHUNK bytes together."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) + 1
+        if size >= CHUNK:
+            yield texts[at:i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
+def shingle_sets(texts: list) -> list:
     """Sorted distinct shingle hashes of each text (bytes)."""
     out = []
-    for text in texts:
-        words = text.lower().split()
-        if not words:
-            out.append(np.empty(0, np.uint64))
-            continue
-        w = np.array([cache[x] for x in words], dtype=np.uint64)
-        span = min(WORDS, len(w))
-        h = w[:len(w) - span + 1] * np.uint64(ODD[0])
-        for k in range(1, span):
-            h = h + w[k:len(w) - span + 1 + k] * np.uint64(ODD[k])
-        out.append(np.unique(mix(h + np.uint64(span), 3)))
+    for some in chunks(texts):
+        starts, words = word_hashes(b"\n".join(some))
+        ends = np.cumsum([len(t) + 1 for t in some])
+        cuts = np.searchsorted(starts, ends).tolist()
+        whole = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
+        for k in range(WORDS if len(whole) else 0):
+            whole += words[k:k + len(whole)] * np.uint64(ODD[k])
+        whole = mix(whole + np.uint64(WORDS), 3)
+        a = 0
+        for z in cuts:
+            if z - a >= WORDS:
+                out.append(np.unique(whole[a:z - WORDS + 1]))
+            elif z > a:
+                short = (words[a:z] * np.array(ODD[:z - a], np.uint64)).sum(dtype=np.uint64, keepdims=True)
+                out.append(mix(short + np.uint64(z - a), 3))
+            else:
+                out.append(np.empty(0, np.uint64))
+            a = z
     return out
 
 
@@ -96,11 +130,10 @@ def count_sketch(docs: DataFrame, text_col: str) -> np.ndarray:
     shift = np.uint64(64 - SKETCH_BITS)
 
     def count(batches):
-        cache = worker_cache("word hashes", WordHashes)
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for whole in batches:
             for batch in slices(whole):
-                sets = shingle_sets(as_bytes(batch.column(0)), cache)
+                sets = shingle_sets(as_bytes(batch.column(0)))
                 at = np.concatenate(sets) >> shift if sets else np.empty(0, np.uint64)
                 total += np.bincount(at.astype(np.int64), minlength=len(total))
         if total.any():
@@ -131,46 +164,74 @@ def count_sketch(docs: DataFrame, text_col: str) -> np.ndarray:
     return octave
 
 
+def ranks(s: np.ndarray, rare: np.ndarray, order: int) -> np.ndarray:
+    """Place of each token in a global order: octave, then a hash of its own."""
+    top = rare[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(57)
+    return top | (mix(s, order) >> np.uint64(7))
+
+
+def row_key(id_col: str, text_col: str):
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col)))
+
+
 def prefix_table(docs: DataFrame, octave, id_col: str, text_col: str) -> DataFrame:
-    """id, row_key, n, node, and the set's prefixes p1 (tokens in order), p2,
-    p3 (32-bit). A set seen before in the same task has no prefixes."""
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col)))
-    src = docs.select(F.col(id_col).alias("doc_id"), key.alias("row_key"), F.col(text_col).alias("text"))
-    schema = (f"doc_id {src.schema[0].dataType.simpleString()}, row_key long, n long, node long, "
-              "p1 array<long>, p2 array<int>, p3 array<int>")
-    shift = np.uint64(64 - SKETCH_BITS)
+    """doc_id, row_key, n, node, and the set's prefix under the first order
+    (none if the set was seen before in the same task)."""
+    src = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"),
+                      F.col(text_col).alias("text"))
+    schema = f"doc_id {src.schema[0].dataType.simpleString()}, row_key long, n long, node long, prefix array<long>"
 
     def run(batches):
-        cache = worker_cache("word hashes", WordHashes)
         rare, seen = octave.value, set()
         for whole in batches:
             for batch in slices(whole):
                 rows = []
-                for s in shingle_sets(as_bytes(batch.column(2)), cache):
-                    node = fingerprint(s)
-                    if node is None or node in seen:
-                        rows.append((len(s), node, None, None, None))
-                        continue
-                    seen.add(node)
-                    k = prefix_length(len(s))
-                    top = rare[(s >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(57)
-                    p = []
-                    for order in range(3):
-                        rank = top | (mix(s, order) >> np.uint64(7))
+                for s in shingle_sets(as_bytes(batch.column(2))):
+                    node, prefix = fingerprint(s), None
+                    if node is not None and node not in seen:
+                        seen.add(node)
+                        k = prefix_length(len(s))
+                        rank = ranks(s, rare, 0)
                         first = np.argpartition(rank, k - 1)[:k]
-                        p.append(s[first[np.argsort(rank[first])]] if order == 0 else
-                                 (s[first] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    rows.append((len(s), node, p[0].view(np.int64), p[1], p[2]))
-                n, node, *p = zip(*rows)
-                kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                        prefix = s[first[np.argsort(rank[first])]].view(np.int64)
+                    rows.append((len(s), node, prefix))
+                n, node, prefix = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
-                     *[pa.array(x, t) for x, t in zip(p, kinds)]],
-                    names=["doc_id", "row_key", "n", "node", "p1", "p2", "p3"])
+                     pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "row_key", "n", "node", "prefix"])
 
     return src.mapInArrow(run, schema)
 
 
+def members_of(docs: DataFrame, wanted: DataFrame, octave, id_col: str, text_col: str) -> DataFrame:
+    """node, n, p2, p3 (prefixes under the other orders, 32 bits a token) and
+    text of every class in ``wanted`` (node, row_key)."""
+    def run(batches):
+        rare = octave.value
+        for whole in batches:
+            for batch in slices(whole):
+                rows = []
+                for node, s in zip(batch.column(0).to_pylist(), shingle_sets(as_bytes(batch.column(1)))):
+                    if fingerprint(s) != node:       # another row under the same key
+                        rows.append((0, None, None))
+                        continue
+                    k = prefix_length(len(s))
+                    rows.append((len(s), *[(s[np.argpartition(ranks(s, rare, o), k - 1)[:k]] >> np.uint64(32))
+                                           .astype(np.uint32).view(np.int32) for o in (1, 2)]))
+                n, p2, p3 = zip(*rows)
+                kind = pa.list_(pa.int32())
+                out = pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(p2, kind), pa.array(p3, kind), batch.column(1)],
+                    names=["node", "n", "p2", "p3", "text"])
+                yield out.filter(pa.array([x > 0 for x in n], pa.bool_()))
+
+    rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")) \
+        .join(wanted, "row_key").select("node", "text") \
+        .mapInArrow(run, "node long, n long, p2 array<int>, p3 array<int>, text string")
+    # equal rows under one id give one member
+    return rows.dropDuplicates(["node"])
+
+
 def size_ok(n: str, m: str):
     return F.expr(f"5 * least({n}, {m}) >= 4 * greatest({n}, {m})")
 
@@ -188,10 +249,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
 
     def run(batches):
-        cache = worker_cache("word hashes", WordHashes)
         for whole in batches:
             for batch in slices(whole, 128):
-                left, right = (shingle_sets(as_bytes(batch.column(i)), cache) for i in (2, 3))
+                left, right = (shingle_sets(as_bytes(batch.column(i))) for i in (2, 3))
                 keep = []
                 for x, y in zip(left, right):
                     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -202,62 +262,59 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         .mapInArrow(run, "a long, b long")
 
 
-def texts_of(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, text of every class in ``members`` (node, row_key)."""
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col)))
+def across(placed: DataFrame) -> DataFrame:
+    """Pairs of nodes of different roots that meet in a token and can link.
 
-    def run(batches):
-        cache = worker_cache("word hashes", WordHashes)
-        for whole in batches:
-            for batch in slices(whole):
-                sets = shingle_sets(as_bytes(batch.column(1)), cache)
-                keep = [fingerprint(s) == n for s, n in zip(sets, batch.column(0).to_pylist())]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+    At the first token that two sets share, what they have in common is at
+    most what either has from there on; a link needs 4/9 of the sizes' sum. So
+    a row is of use only if its rest is long enough for the smallest set of
+    its token, and a pair only if both rests are long enough for the two."""
+    def still(rows):
+        of = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least_n")) \
+            .filter("lo < hi")
+        return rows.join(of, "token").filter("9 * (n - pos) >= 4 * (n + greatest(least_n, ceil(0.8 * n)))") \
+            .select("token", "node", "n", "pos", "root")
 
-    rows = docs.select(key.alias("row_key"), F.col(text_col).alias("text")) \
-        .join(members, "row_key").select("node", "text").mapInArrow(run, "node long, text string")
-    return rows.groupBy("node").agg(F.first("text").alias("text"))
+    placed = materialize(still(still(placed)), "placed")
+    a, b = placed.alias("a"), placed.alias("b")
+    return a.join(b, F.expr("a.token = b.token AND a.root < b.root")) \
+        .filter(size_ok("a.n", "b.n")).filter("9 * least(a.n - a.pos, b.n - b.pos) >= 4 * (a.n + b.n)") \
+        .select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links) per row."""
-    spark = docs.sparkSession
-    octave = spark.sparkContext.broadcast(count_sketch(docs, text_col))
+def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row_key, n, node per row; node, root of every linked class)."""
+    octave = docs.sparkSession.sparkContext.broadcast(count_sketch(docs, text_col))
     table = materialize(prefix_table(docs, octave, id_col, text_col), "prefixes")
 
     # tokens of the first order in which two classes meet, with their least class
-    tokens = table.filter("p1 is not null").select("node", "n", F.posexplode("p1").alias("pos", "token"))
+    tokens = table.filter("prefix is not null").select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     meet = tokens.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")) \
         .filter("least < most").select("token", "least")
-    shared = materialize(tokens.join(meet, "token"), "shared")
-
-    members = table.filter("p1 is not null").join(shared.select("node").distinct(), "node", "left_semi")
-    prefixes = materialize(members.select("node", "n", "p2", "p3", "row_key").dropDuplicates(["node"]), "members")
-    texts = materialize(texts_of(docs, prefixes.select("node", "row_key"), id_col, text_col), "texts")
+    shared = materialize(tokens.join(meet.hint("shuffle_hash"), "token"), "shared")
+    wanted = table.filter("prefix is not null").join(shared.select("node").distinct(), "node", "left_semi") \
+        .groupBy("node").agg(F.min("row_key").alias("row_key"))
+    members = materialize(members_of(docs, wanted, octave, id_col, text_col), "members")
 
     # first links: with the least class of each token
     first = shared.filter("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    tried = materialize(same_prefix(first, prefixes), "pairs")
-    links = materialize(verified(tried, texts), "links")
+    tried = materialize(same_prefix(first, members), "pairs")
+    links = materialize(verified(tried, members), "links")
     roots = materialize(components(links, "a", "b"), "roots")
 
     # the rest: every pair that still meets across two components
-    placed = shared.join(roots, "node", "left").select(
-        "token", "node", "n", "pos", F.coalesce("root", "node").alias("root")).distinct()
-    split = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
-        .filter("lo < hi").select("token")
-    placed = materialize(placed.join(split, "token", "left_semi"), "placed")
-    a, b = placed.alias("a"), placed.alias("b")
-    rest = a.join(b, F.expr("a.token = b.token AND a.root < b.root")) \
-        .filter(size_ok("a.n", "b.n")) \
-        .filter("9 * (least(a.pos, b.pos) + least(a.n - a.pos, b.n - b.pos)) >= 4 * (a.n + b.n)") \
-        .select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct() \
-        .join(tried, ["a", "b"], "left_anti")
-    more = materialize(verified(same_prefix(rest, prefixes), texts), "links")
+    rest = across(shared.join(roots, "node", "left").select(
+        "token", "node", "n", "pos", F.coalesce("root", "node").alias("root")).distinct())
+    rest = materialize(same_prefix(rest.join(tried, ["a", "b"], "left_anti"), members), "pairs")
+    more = materialize(verified(rest, members), "links")
     if more.take(1):
         roots = components(links.unionByName(more), "a", "b")
+    return table.drop("prefix"), roots
+
 
-    # least id of each component, then one row per document
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable by links) per row."""
+    table, roots = classes_of(docs, id_col, text_col)
     least = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id")) \
         .join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     named = least.join(least.groupBy("root").agg(F.min("id").alias("component_id")), "root") \
@@ -265,3 +322,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = table.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id"))
                       .otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row left of each component: that with the
+    least id (null last). Rows without shingles all stay."""
+    table, roots = classes_of(docs, id_col, text_col)
+    placed = table.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = placed.filter("node is not null").groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "node")).alias("b")).select("b.row_key", "b.node")
+    keys = placed.groupBy("row_key").agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col("node").isNull()).alias("_blank")) \
+        .join(best.groupBy("row_key").agg(F.collect_set("node").alias("_kept")), "row_key", "left") \
+        .filter("_blank > 0 OR _kept IS NOT NULL")
+    keys = materialize(keys, "kept")
+    rows = docs.withColumn("row_key", row_key(id_col, text_col)).join(keys, "row_key")
+    names, schema = docs.columns, docs.schema.simpleString()[7:-1]
+    once = rows.filter("_rows = 1").select(*names)
+
+    def run(batches):                    # rows under one key: tell them apart by their sets
+        for whole in batches:
+            for batch in slices(whole):
+                nodes = [fingerprint(s) for s in shingle_sets(as_bytes(batch.column(text_col)))]
+                keep = [n is None or n in (k or ()) for n, k in zip(nodes, batch.column("_kept").to_pylist())]
+                yield batch.drop_columns(["_rows", "_blank", "_kept"]).append_column("_node", pa.array(nodes, pa.int64())) \
+                    .filter(pa.array(keep, pa.bool_()))
+
+    again = rows.filter("_rows > 1").select(*names, "row_key", "_rows", "_blank", "_kept") \
+        .mapInArrow(run, f"{schema},row_key:bigint,_node:bigint")
+    again = again.filter("_node is null").unionByName(
+        again.filter("_node is not null").dropDuplicates(["row_key", "_node"])).select(*names)
+    return once.unionByName(again)
