@@ -27,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefeval.llm.common import as_text, slices, worker_cache
+from prefeval.llm.common import as_text, no_cycles, slices, worker_cache
 
 TABLE_ARCS = 2_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 350_000
 LONG_WORD = 64
 # Fixed value: the pre-split pattern of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -98,9 +98,6 @@ class MergeAutomaton:
         """The path spelling ``word``: at each place the longest token whose
         arc exists, going back when a state has no way on. A state that
         failed at a place is marked, so the work is linear in the word."""
-        whole = self.token.get(word)
-        if whole is not None and (whole not in self.left or self._is_path(whole)):
-            return [whole]
         n, path, ends, state, at, size = len(word), [], [], None, 0, self.longest
         dead = set()
         token, longest, arc = self.token, self.longest, self.arc
@@ -119,28 +116,29 @@ class MergeAutomaton:
                 state = path[-1] if path else None
         return path
 
-    def _is_path(self, t: int) -> bool:
-        """Whether a token's own bytes are spelt by its single arc."""
-        return self.arc_of_parts(self.left[t], self.right[t], self.born[t])
+    def decode(self, ids) -> bytes:
+        return b"".join([self.emit[i] for i in ids])
 
-    def arc_of_parts(self, u: int, v: int, rank: int) -> bool:
-        return self.removed.get((u, v)) == rank and self._alive(u, v, rank)
 
-    def _alive(self, a: int, b: int, until: int) -> bool:
-        """As ``_resolve``, at the time of the merge ``until``."""
-        while True:
-            old_a, old_b = self.born.get(a, -1), self.born.get(b, -1)
-            if old_a < 0 and old_b < 0:
-                return True
-            if old_b >= old_a:
-                until, b = old_b + 1, self.left[b]
-            else:
-                until, a = old_a, self.right[a]
-            if self.removed.get((a, b), until) < until:
-                return False
+class Words(dict):
+    """word -> (decimal ids each followed by a comma, number of ids, bytes
+    emitted), each encoded once while in use: when full, words not met since
+    the last time are forgotten."""
 
-    def decode(self, ids) -> bytes:
-        return b"".join([self.emit[i] for i in ids])
+    def __init__(self, auto: MergeAutomaton):
+        self.auto, self.older = auto, {}
+
+    def __missing__(self, word: str) -> tuple:
+        made = self.older.get(word)
+        if made is None:
+            ids = self.auto.encode(word.encode())
+            made = ("".join([f"{i}," for i in ids]), len(ids), self.auto.decode(ids))
+        if len(word) <= LONG_WORD:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = made
+        return made
 
 
 class Coder:
@@ -151,7 +149,7 @@ class Coder:
         self.words = regex.compile(SPLIT).findall
         self.control = regex.compile("(" + "|".join(map(regex.escape, self.auto.special)) + ")") \
             if self.auto.special else None
-        self.cache: dict[str, tuple] = {}
+        self.known = Words(self.auto)
         self.library = None
 
     def pre_split(self, text: str) -> list[str]:
@@ -162,24 +160,14 @@ class Coder:
             self.library = ByteLevel(add_prefix_space=False, use_regex=True)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
-    def entry(self, word: str) -> tuple:
-        """(decimal ids each followed by a comma, number of ids, bytes emitted)."""
-        ids = self.auto.encode(word.encode())
-        made = ("".join([f"{i}," for i in ids]), len(ids), self.auto.decode(ids))
-        if len(word) <= LONG_WORD:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = made
-        return made
-
     def parts(self, text: str) -> list[tuple]:
-        out, known, entry = [], self.cache.get, self.entry
+        out, known = [], self.known
         for k, run in enumerate(self.control.split(text) if self.control else [text]):
             if k % 2:
                 i = self.auto.special[run]
                 out.append((f"{i},", 1, self.auto.emit[i]))
             elif run:
-                out += [known(w) or entry(w) for w in self.pre_split(run)]
+                out += [known[w] for w in self.pre_split(run)]
         return out
 
     def ids(self, text: str) -> list[int]:
@@ -213,10 +201,11 @@ def _mapped(docs, path, id_col, text_col, columns, of):
 
     def run(batches):
         coder = worker_cache("bpe " + path, lambda: Coder(path))
-        for whole in batches:
-            for batch in slices(whole):
-                rows = list(zip(*[of(coder, t) for t in as_text(batch.column(1))]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *[pa.array(c, k) for c, k in zip(rows, kinds)]], names=names)
+        with no_cycles():
+            for whole in batches:
+                for batch in slices(whole):
+                    rows = list(zip(*[of(coder, t) for t in as_text(batch.column(1))]))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), *[pa.array(c, k) for c, k in zip(rows, kinds)]], names=names)
 
     return src.mapInArrow(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import sys
 import types
 
@@ -27,6 +29,17 @@ def worker_cache(name: str, make):
     return held[name]
 
 
+@contextlib.contextmanager
+def no_cycles():
+    """No cycle collection while a task runs over large word caches: they hold
+    no cycles, and every collection would walk them whole."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def as_bytes(col: pa.Array) -> list:
     """UTF-8 bytes of a string column, null as b''."""
     kind = pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()
