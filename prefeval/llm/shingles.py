@@ -12,8 +12,8 @@ texts are compared.
 2. A second pass writes one row per document: size, 64-bit fingerprint of the
    set (the *class*; equal sets meet here) and its prefix under the first order.
    Classes that meet another get their prefixes under the other two orders.
-3. Classes that meet in a token of the first order are paired with the least
-   class of that token only. The filters of the other orders are intersected,
+3. Classes that meet in a token of the first order are paired with one head
+   of that token only, the class with the fewest rarer tokens. The filters of the other orders are intersected,
    then the texts are verified and the links give first components.
 4. What still meets in a token across two components is paired in full (if
    its place in both prefixes leaves room for a link), filtered and verified the same way: no link between components is lost,
@@ -205,7 +205,7 @@ def prefix_table(docs: DataFrame, octave, id_col: str, text_col: str) -> DataFra
 
 def members_of(docs: DataFrame, wanted: DataFrame, octave, id_col: str, text_col: str) -> DataFrame:
     """node, n, p2, p3 (prefixes under the other orders, 32 bits a token) and
-    text of every class in ``wanted`` (node, row_key)."""
+    text of every class in ``wanted`` (node, row_key, rows under that key)."""
     def run(batches):
         rare = octave.value
         for whole in batches:
@@ -225,11 +225,11 @@ def members_of(docs: DataFrame, wanted: DataFrame, octave, id_col: str, text_col
                     names=["node", "n", "p2", "p3", "text"])
                 yield out.filter(pa.array([x > 0 for x in n], pa.bool_()))
 
-    rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")) \
-        .join(wanted, "row_key").select("node", "text") \
-        .mapInArrow(run, "node long, n long, p2 array<int>, p3 array<int>, text string")
-    # equal rows under one id give one member
-    return rows.dropDuplicates(["node"])
+    rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).join(wanted, "row_key")
+    made = lambda x: x.select("node", "text").mapInArrow(
+        run, "node long, n long, p2 array<int>, p3 array<int>, text string")
+    # only rows that share a key can be equal: those alone are shuffled again
+    return made(rows.filter("rows = 1")).unionByName(made(rows.filter("rows > 1")).dropDuplicates(["node"]))
 
 
 def size_ok(n: str, m: str):
@@ -287,17 +287,21 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     octave = docs.sparkSession.sparkContext.broadcast(count_sketch(docs, text_col))
     table = materialize(prefix_table(docs, octave, id_col, text_col), "prefixes")
 
-    # tokens of the first order in which two classes meet, with their least class
+    # tokens of the first order in which two classes meet
     tokens = table.filter("prefix is not null").select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    meet = tokens.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")) \
-        .filter("least < most").select("token", "least")
+    meet = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")) \
+        .filter("lo < hi").select("token")
     shared = materialize(tokens.join(meet.hint("shuffle_hash"), "token"), "shared")
     wanted = table.filter("prefix is not null").join(shared.select("node").distinct(), "node", "left_semi") \
         .groupBy("node").agg(F.min("row_key").alias("row_key"))
+    wanted = wanted.join(table.groupBy("row_key").agg(F.count(F.lit(1)).alias("rows")), "row_key")
     members = materialize(members_of(docs, wanted, octave, id_col, text_col), "members")
 
-    # first links: with the least class of each token
-    first = shared.filter("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    # first links: with the class that has the fewest rarer tokens before the
+    # shared one, the least changed of a group of copies
+    heads = shared.groupBy("token").agg(F.min(F.struct("pos", "node"))["node"].alias("head"))
+    first = shared.join(heads, "token").filter("node <> head") \
+        .select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
     tried = materialize(same_prefix(first, members), "pairs")
     links = materialize(verified(tried, members), "links")
     roots = materialize(components(links, "a", "b"), "roots")
