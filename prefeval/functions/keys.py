@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefeval.session import materialize
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -25,68 +27,41 @@ def h32(*parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def seeded_bit(seed, key) -> Column:
-    """A fair coin per (seed, key): 1 or 0."""
-    return (h32(seed, key) % 2).cast("int")
-
-
 def dense_index(df: DataFrame, partition_by: list, order_by: list, name: str = "rn",
-                bounded_groups: bool = True, buckets: int | None = None,
-                weight: str | None = None, edges: str = "quantile") -> DataFrame:
+                weight: str | None = None) -> DataFrame:
     """Add the exact 0-based position of each row inside its group (with
     ``weight``: the sum of the weights of all earlier rows, a running count).
 
     A plain ``row_number() over (partition by g order by o)`` sends a whole
     group to one task; with one language holding most rows that task is the
-    job. Here the first order column (numeric or timestamp) is cut into
-    buckets at its approximate quantiles (one small aggregate, read once on
-    the driver as a literal list, so outliers and clustered values still give
-    balanced buckets). Rows are numbered per (group, bucket) by a window - a
-    hot group is spread over many buckets and tasks - and a small table of
-    per-(group, bucket) counts, turned into running offsets, makes the local
-    numbers global.
+    job. Here rows are range-partitioned by (group, order), so a hot group or
+    a cluster of close values spreads over as many partitions as it fills and
+    an outlier takes no room; the partition number is written down with the
+    rows, once, to the shared folder. Rows are then numbered per (group,
+    partition), and a small table of per-(group, partition) counts, turned
+    into running offsets, makes the local numbers global. It is joined by
+    shuffle; AQE may broadcast it after measuring.
 
-    Bucket edges are literals and every later step is a deterministic
-    function of the data (no partition ids, no sampling inside the plan), so
-    a re-run task or a second evaluation of the plan gives the same numbers.
-    ``order_by`` must be unique inside a group (add a tie-break key); rows
-    that share one first-column value stay in one bucket, so aggregate hot
-    values first (``weight``) when they can repeat. The offsets table has
-    groups x buckets rows; with ``bounded_groups`` (few distinct groups, e.g.
-    languages) it is broadcast, else joined by shuffle.
-
-    ``edges='range'`` cuts equal-width buckets between min and max instead
-    (a scalar subquery inside the same query, no driver round trip): the
-    cheaper choice for surrogate ids and timestamps that are spread evenly.
-    """
-    from prefeval.functions.text import count_below
-    spark = df.sparkSession
-    nb = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    gcols = list(partition_by)
-    first = F.col(order_by[0]).cast("double")
-    if edges == "range":
-        b = df.agg(F.struct(F.min(first).alias("lo"), F.max(first).alias("hi"))).scalar()
-        width = F.greatest((b["hi"] - b["lo"]) / F.lit(float(nb)), F.lit(1e-300))
-        bucket = F.least(F.greatest(F.floor((first - b["lo"]) / width), F.lit(0)), F.lit(nb - 1)).cast("int")
-    else:
-        qs = [i / nb for i in range(1, nb)]
-        cuts = df.agg(F.percentile_approx(first, qs, 10000)).first()[0] or []
-        cuts = sorted(set(float(e) for e in cuts if e is not None))
-        bucket = count_below(cuts, first) if cuts else F.lit(0)
-    w_col = F.col(weight) if weight else F.lit(1)
-    x = df.withColumn("_bkt", F.coalesce(bucket, F.lit(0)))
-    w = Window.partitionBy(*gcols, "_bkt").orderBy(*order_by)
+    ``order_by`` must be unique inside a group (add a tie-break key). Pass key
+    columns only and join wide columns back."""
+    g = list(partition_by)
+    bound = df.repartitionByRange(*g, *order_by).withColumn("_part", F.spark_partition_id())
+    x = materialize(bound, "ranked")
+    one = F.col(weight) if weight else F.lit(1)
+    w = Window.partitionBy(*g, "_part").orderBy(*order_by)
     if weight:
         run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        x = x.withColumn("_local", F.sum(w_col).over(run) - w_col)
+        numbered = x.withColumn("_local", F.sum(one).over(run) - one)
     else:
-        x = x.withColumn("_local", F.row_number().over(w) - 1)
-    counts = x.groupBy(*gcols, "_bkt").agg(F.sum(w_col).alias("_cnt")) if weight else \
-        df.withColumn("_bkt", F.coalesce(bucket, F.lit(0))).groupBy(*gcols, "_bkt") \
-          .agg(F.count(F.lit(1)).alias("_cnt"))
-    wo = Window.partitionBy(*gcols).orderBy("_bkt") if gcols else Window.orderBy("_bkt")
-    offsets = counts.withColumn("_offset", F.sum("_cnt").over(wo) - F.col("_cnt")).drop("_cnt")
-    if bounded_groups:
-        offsets = F.broadcast(offsets)
-    out = x.join(offsets, on=[*gcols, "_bkt"], how="inner")
-    return out.withColumn(name, F.col("_local") + F.col("_offset")).drop("_bkt", "_local", "_offset")
+        numbered = x.withColumn("_local", F.row_number().over(w) - 1)
+    counts = x.groupBy(*g, "_part").agg(F.sum(one).alias("_cnt"))
+    before = Window.partitionBy(*(g or [F.lit(0)])).orderBy("_part")   # one row per partition of a group
+    offsets = counts.withColumn("_offset", F.sum("_cnt").over(before) - F.col("_cnt")).drop("_cnt")
+    keys = [F.expr(f"`{k}` <=> `_k_{k}`") for k in [*g, "_part"]]      # a null group is a group
+    for k in [*g, "_part"]:
+        offsets = offsets.withColumnRenamed(k, f"_k_{k}")
+    on = keys[0]
+    for k in keys[1:]:
+        on = on & k
+    out = numbered.join(offsets, on, "inner").drop(*[f"_k_{k}" for k in [*g, "_part"]])
+    return out.withColumn(name, F.col("_local") + F.col("_offset")).drop("_part", "_local", "_offset")

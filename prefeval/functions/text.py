@@ -10,9 +10,22 @@ def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# The characters Python's ``str.strip`` / ``split`` and Unicode
+# ``\s`` take as white space (Java's plain ``\s`` knows only the ASCII ones).
+WS_RANGES = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+             (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+_IN = "".join(f"\\x{{{a:x}}}" if a == z else f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in WS_RANGES)
+WS, NON_WS = f"[{_IN}]", f"[^{_IN}]"
+WS_CHARS = [chr(k) for a, z in WS_RANGES for k in range(a, z + 1)]
+
+
 def py_strip(col) -> Column:
     """Python ``str.strip()``: remove leading/trailing whitespace of any kind."""
-    return F.regexp_replace(c(col), r"^\s+|\s+$", "")
+    return F.regexp_replace(c(col), f"^{WS}+|{WS}+$", "")
+
+
+def no_space(col) -> Column:
+    return F.regexp_replace(c(col), WS, "")
 
 
 def strip_chars(col, chars: str) -> Column:
@@ -26,25 +39,12 @@ def words(col) -> Column:
     """Whitespace tokens (Python ``str.split()`` for the regex whitespace
     set): every run of non-whitespace, found by one regex scan - no blank
     ends to filter, no per-token lambda."""
-    return F.regexp_extract_all(c(col), F.lit(r"\S+"), 0)
-
-
-def is_blank(col) -> Column:
-    return c(col).isNull() | (py_strip(col) == F.lit(""))
+    return F.regexp_extract_all(c(col), F.lit(NON_WS + "+"), 0)
 
 
 def squeeze(col) -> Column:
     """Collapse every whitespace run to one space."""
-    return F.regexp_replace(c(col), r"\s+", " ")
-
-
-def lit_regex(text: str) -> str:
-    """Quote a literal for a Java regex."""
-    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-
-
-def nth_or_null(col, n: int) -> Column:
-    return F.element_at(c(col), n)
+    return F.regexp_replace(c(col), WS + "+", " ")
 
 
 def repeat_for(value, arr) -> Column:

@@ -7,7 +7,9 @@ session has none (local tests).
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark import SparkConf
@@ -49,31 +51,29 @@ def get_session(master: str | None = None, partitions: int | None = None,
             and "spark.driver.memory" not in (extra or {}):
         # local runs: executors live in the driver JVM, give it room
         builder = builder.config("spark.driver.memory", "12g")
-    launched_with = SparkConf().get("spark.checkpoint.dir", None)
-    if active is None and not launched_with and not (extra or {}).get("spark.checkpoint.dir"):
-        # Only a fresh local session gets a scratch checkpoint folder; a
-        # cluster session keeps the shared folder it was started with.
-        builder = builder.config("spark.checkpoint.dir",
-                                 tempfile.mkdtemp(prefix="prefeval-ckpt-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is. Only when it is unset (local tests) a scratch folder is made.
-    """
+    used as is; without it executors could not read each other's tables, so
+    its absence is an error. Only a local session gets a scratch folder, which
+    goes when the process ends."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        current = fallback or tempfile.mkdtemp(prefix="prefeval-ckpt-")
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="prefeval-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir() or named
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -7,22 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
-# Tables whose rows carry long texts: per-row work (tokenising, regexes,
-# n-grams) dominates, so they must be spread over all cores even when the
-# files come as a single row group.
+# Tables whose rows carry long texts: per-row work dominates them.
 TEXT_TABLES = {"documents", "pages", "conversations"}
+SPREAD = "spark.prefeval.read.partitions"
 
 
-def table(spark: SparkSession, root: str, name: str, spread: bool = True) -> DataFrame:
+def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Read one table; column pruning and filters reach the parquet scan.
 
-    A text table read as fewer splits than the cluster has cores is
-    round-robin repartitioned to the default parallelism. At scale the
-    input already has thousands of splits and this is a no-op; on small
-    single-row-group files it keeps one task from doing all the text work."""
+    Splits come from the files (``spark.sql.files.maxPartitionBytes``). Files
+    of a single row group cannot be split; a session that reads such files may
+    set ``spark.prefeval.read.partitions`` to deal text tables out anew."""
     df = spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
-    if spread and name in TEXT_TABLES:
-        target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target)
-    return df
+    spread = spark.conf.get(SPREAD, None) if name in TEXT_TABLES else None
+    return df.repartition(int(spread)) if spread else df
