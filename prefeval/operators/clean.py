@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefeval.functions.text import c, py_strip, strip_chars, words
+from prefeval.functions.text import WS, WS_CHARS, c, no_space, py_strip, squeeze, strip_chars, words
+from prefeval.operators.tasks import A_END, A_START, B_END, B_START, USER_QUESTION_MARK
 
 # ---------------------------------------------------------------------------
 # Section headers of the judge prompt format and the phrases
@@ -23,24 +24,22 @@ SECTION_HEADERS = [
     "###Evaluation Criteria:",
     "###Feedback:",
 ]
+SECTION_MARK = "\n###"
 REFERENCE_PHRASE = "a reference answer, "
 CRITERIA_HEADER = "###Evaluation Criteria:\n"
 REQUEST_SUFFIX = "_judgment_requests.jsonl"
 NULL_WORDS = ["none", "null"]
 # ---------------------------------------------------------------------------
 
-_REF_BLOCK = r"(?s)\n###Reference Answer:\s*.*?(?=\n###|\z)"
-_SECTIONS = "".join(h + r"\s*([\s\S]*?)" for h in SECTION_HEADERS[:-1]) \
-    + SECTION_HEADERS[-1] + r"\s*([\s\S]*?)$"
 _CRITERIA_BLOCK = r"(?s)###Evaluation Criteria:\n.*?\n\n"
-_USER_CONTENT = (r"(?s)\[User Question\]\s*(.*?)\s*"
-                 r"\[The Start of Assistant A's Answer\]\s*(.*?)\s*"
-                 r"\[The End of Assistant A's Answer\]\s*"
-                 r"\[The Start of Assistant B's Answer\]\s*(.*?)\s*"
-                 r"\[The End of Assistant B's Answer\]\s*$")
 _CUSTOM_ID = r"^(.+)[-_](\d+)[-_]gold([AB])$"
 
 
+def lit_pattern(text: str) -> str:
+    """A pattern for exactly this text."""
+    return "\\Q" + text + "\\E"
+
+
 # --------------------------------------------------------------------------- P1
 def is_missing(col, strict: bool = True) -> Column:
     """null, NaN, blank; strict also ' none ' / 'NULL' (trimmed, any case)."""
@@ -70,8 +69,20 @@ def sample_uncriteria(df: DataFrame, n: int, seed: int, key: str = "id",
 
 # --------------------------------------------------------------------------- P3 / P4 / P5 / P6
 def strip_reference_block(col) -> Column:
-    """Drop each ``\\n###Reference Answer:`` block up to the next ``\\n###`` or the end."""
-    return F.regexp_replace(c(col), _REF_BLOCK, "")
+    """Drop each ``\\n###Reference Answer:`` block up to the next ``\\n###`` or the end.
+
+    The text is cut at the header; of every piece after a header only what
+    follows from the next section mark on is kept. White space right after a
+    header belongs to the block, even a line break before a section mark."""
+    pieces = F.split(c(col), lit_pattern(REFERENCE_HEADER))
+
+    def kept(piece):
+        body = F.regexp_replace(piece, f"^{WS}+", "")
+        mark = F.instr(body, SECTION_MARK)
+        return F.when(mark > 0, F.substring(body, mark, F.length(body))).otherwise(F.lit(""))
+
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), kept)
+    return F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))
 
 
 def extract_sections(col) -> Column:
@@ -126,33 +137,35 @@ def clean_judge_prompt(col) -> Column:
 # --------------------------------------------------------------------------- P7
 def parse_user_content(df: DataFrame, col: str = "content", on_error: str = "raise") -> DataFrame:
     """question / answer_a / answer_b between the bracket markers (CRLF -> LF,
-    newlines stripped at both ends). No match fails the job, or with
-    ``on_error='null'`` leaves nulls (quarantine by filtering them).
-
-    One regex pass per row: the search pattern, preceded by a lazy
-    ``^.*?`` (the same leftmost match a search finds), rewrites the whole text
-    to ``\x01 g1 \x00 g2 \x00 g3``, which is then split. A text that itself
-    holds those control characters takes the exact four-pass route."""
-    x = df.withColumn("_text", F.replace(c(col), F.lit("\r\n"), F.lit("\n")))
-    text = F.col("_text")
-    x = x.withColumn("_packed", F.regexp_replace(text, "(?s)^.*?" + _USER_CONTENT[4:],
-                                                 "\u0001$1\u0000$2\u0000$3"))
-    x = x.withColumn("_clean", (F.instr(text, "\u0000") == 0) & (F.instr(text, "\u0001") == 0))
-    fast_ok = F.col("_packed").startswith("\u0001")
-    ok = F.when(F.col("_clean"), fast_ok).otherwise(text.rlike(_USER_CONTENT))
+    blank ends stripped). A text without the markers in their order, or with
+    something after the last one, fails the job; with ``on_error='null'`` it
+    leaves nulls (quarantine by filtering them).
+
+    The markers are looked up one after the other, each from the end of the
+    one before: the question's, the start of A, the end of A with the start of
+    B right behind it, and the end of B as the last thing in the text."""
+    x = df.withColumn("_t", F.regexp_replace(F.replace(c(col), F.lit("\r\n"), F.lit("\n")), f"{WS}+$", ""))
+    t, n = F.col("_t"), F.length("_t")
+    x = x.withColumn("_q", F.instr(t, USER_QUESTION_MARK))
+    x = x.withColumn("_a", F.when(F.col("_q") > 0, _locate(F.lit(A_START), t, F.col("_q") + len(USER_QUESTION_MARK))))
+    x = x.withColumn("_rest", F.when(F.col("_a") > 0, F.substring(t, F.col("_a") + len(A_START), n)))
+    turn = lit_pattern(A_END) + WS + "*" + lit_pattern(B_START)
+    x = x.withColumn("_cut", F.regexp_extract("_rest", turn, 0))
+    x = x.withColumn("_at", F.when(F.col("_cut") != "", F.instr(F.col("_rest"), F.col("_cut"))))
+    x = x.withColumn("_b", F.substring("_rest", F.col("_at") + F.length("_cut"), n))
+    ok = F.coalesce(F.col("_b").endswith(F.lit(B_END)), F.lit(False))
     if on_error == "raise":
-        ok = F.when(ok, F.lit(True)).otherwise(
-            F.raise_error(F.lit("Unable to parse judgment request user content.")))
-    parts = F.split(F.substring("_packed", 2, 1 << 30), "\u0000")
-    x = x.withColumn("_ok", ok).withColumn("_parts", F.when(F.col("_clean") & fast_ok, parts))
+        ok = F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("request content lacks the answer markers")))
+    x = x.withColumn("_ok", ok)
 
-    def grp(i):
-        exact = F.regexp_extract(text, _USER_CONTENT, i)
-        val = F.when(F.col("_clean"), F.element_at(F.col("_parts"), i)).otherwise(exact)
-        return F.when(F.col("_ok"), strip_chars(val, "\n"))
+    def part(text):
+        return F.when(F.col("_ok"), strip_chars(py_strip(text), "\n"))
 
-    return (x.withColumn("question", grp(1)).withColumn("answer_a", grp(2)).withColumn("answer_b", grp(3))
-             .drop("_ok", "_parts", "_text", "_packed", "_clean"))
+    begin = F.col("_q") + len(USER_QUESTION_MARK)
+    return (x.withColumn("question", part(F.substring(t, begin, F.col("_a") - begin)))
+             .withColumn("answer_a", part(F.substring("_rest", F.lit(1), F.col("_at") - 1)))
+             .withColumn("answer_b", part(F.substring("_b", F.lit(1), F.length("_b") - len(B_END))))
+             .drop("_t", "_q", "_a", "_rest", "_cut", "_at", "_b", "_ok"))
 
 
 # --------------------------------------------------------------------------- P8 / P9
@@ -219,22 +232,25 @@ def coerce_optional_text(col) -> Column:
     return F.nullif(c(col).cast("string"), F.lit(""))
 
 
-def coerce_optional_float(col) -> Column:
-    """Number or null (unparsable text, e.g. 'abc', becomes null)."""
+def coerce_optional_float(col, dtype: str = "string") -> Column:
+    """Number or null (unparsable text, e.g. 'abc', becomes null; a boolean
+    column gives 1.0 / 0.0)."""
+    if dtype == "boolean":
+        return c(col).cast("int").cast("double")
     return c(col).cast("string").try_cast("double")
 
 
-def coerce_nll(nll, ppl) -> Column:
+def coerce_nll(nll, ppl, nll_type: str = "string", ppl_type: str = "string") -> Column:
     """nll as number, else ln(ppl) when ppl > 0, else null."""
-    n = coerce_optional_float(nll)
-    p = coerce_optional_float(ppl)
+    n = coerce_optional_float(nll, nll_type)
+    p = coerce_optional_float(ppl, ppl_type)
     return F.coalesce(n, F.when(p > 0, F.log(p)))
 
 
 def coerce_example(df: DataFrame) -> DataFrame:
     """Key aliases (judge_prompt|judge_instruction, instruction|prompt), empty
     text -> null, numbers coerced (bad -> null), nll from ppl when missing."""
-    cols = set(df.columns)
+    cols = dict(df.dtypes)
 
     def pick(*names):
         present = [F.col(n) for n in names if n in cols]
@@ -248,11 +264,12 @@ def coerce_example(df: DataFrame) -> DataFrame:
     for side in ("A", "B"):
         nll = F.col(f"proxy_nll_{side}") if f"proxy_nll_{side}" in cols else F.lit(None).cast("string")
         ppl = F.col(f"proxy_ppl_{side}") if f"proxy_ppl_{side}" in cols else F.lit(None).cast("string")
-        out = out.withColumn(f"proxy_nll_{side}", coerce_nll(nll, ppl))
+        out = out.withColumn(f"proxy_nll_{side}", coerce_nll(nll, ppl, cols.get(f"proxy_nll_{side}", "string"),
+                                                              cols.get(f"proxy_ppl_{side}", "string")))
         for m in ("length", "ttr"):
             name = f"proxy_{m}_{side}"
             if name in cols:
-                out = out.withColumn(name, F.col(name).cast("string").try_cast("double"))
+                out = out.withColumn(name, coerce_optional_float(name, cols[name]))
     return out
 
 
@@ -274,57 +291,33 @@ def filter_empty(df: DataFrame, require_both: bool = True, a: str = "response_A"
     return kept, counts
 
 
-def flag_missing_proxy(nll_a, ppl_a, nll_b, ppl_b, response_b) -> Column:
+def null_value(col, dtype: str = "string") -> Column:
+    """null, NaN in a number column, blank text in a text column."""
+    x = c(col)
+    if dtype in ("double", "float"):
+        return x.isNull() | F.isnan(x)
+    return F.coalesce(py_strip(x) == "", F.lit(True)) if dtype == "string" else x.isNull()
+
+
+def flag_missing_proxy(nll_a, ppl_a, nll_b, ppl_b, response_b, nll_type: str = "double",
+                       ppl_type: str = "string") -> Column:
     """A lacks both nll and ppl, or B is present (non-blank) and lacks both."""
-    def null_value(x):
-        s = c(x)
-        return s.isNull() | (F.trim(s.cast("string")) == "") | (F.lower(s.cast("string")) == "nan")
-    miss_a = null_value(nll_a) & null_value(ppl_a)
+    miss_a = null_value(nll_a, nll_type) & null_value(ppl_a, ppl_type)
     has_b = F.coalesce(py_strip(coerce_optional_text(response_b)) != "", F.lit(False))
-    miss_b = null_value(nll_b) & null_value(ppl_b)
+    miss_b = null_value(nll_b, nll_type) & null_value(ppl_b, ppl_type)
     return miss_a | (has_b & miss_b)
 
 
 # --------------------------------------------------------------------------- P13
-def locate_span(prompt, response, start_at=None) -> Column:
-    """0-based [start, end) of the stripped response inside the prompt.
-
-    Exact search from ``start_at`` (when >= 0), else from 0; else a
-    whitespace-insensitive search mapped back to original offsets. Null when
-    absent. The fallback builds the index array of non-space characters with
-    ``split``/``transform`` (linear in the text, no Python)."""
-    p = c(prompt)
-    r = py_strip(F.coalesce(c(response), F.lit("")))
-    sa = c(start_at) if start_at is not None else F.lit(-1)
-    rl = F.length(r)
-    p1 = F.when(sa >= 0, _locate(r, p, sa + 1)).otherwise(F.lit(0))
-    p2 = F.instr(p, r)
-    chars = F.split(p, "")
-    # whitespace test by comparison with the six regex whitespace characters
-    # (no regex per character)
-    ws = [" ", "\t", "\n", "\r", "\f", "\x0b"]
-    mapping = F.filter(F.transform(chars, lambda ch, i: F.when(ch.isin(*ws), F.lit(-1)).otherwise(i)),
-                       lambda i: i >= 0)
-    cp = F.regexp_replace(p, r"\s", "")
-    cr = F.regexp_replace(r, r"\s", "")
-    first_at = F.array_position(F.zip_with(mapping, F.array_repeat(sa, F.size(mapping)), lambda m, s: m >= s), True)
-    cstart = F.when((sa >= 0) & (first_at > 0), first_at - 1).otherwise(F.lit(0))
-    m = _locate(cr, cp, cstart + 1)
-    fb = F.when((F.length(cr) > 0) & (m > 0), F.struct(
-        F.element_at(mapping, m).alias("start"),
-        (F.element_at(mapping, m + F.length(cr) - 1) + 1).alias("end")))
-    return (F.when(rl == 0, F.lit(None).cast("struct<start:int,end:int>"))
-             .when(p1 > 0, F.struct((p1 - 1).alias("start"), (p1 - 1 + rl).alias("end")))
-             .when(p2 > 0, F.struct((p2 - 1).alias("start"), (p2 - 1 + rl).alias("end")))
-             .otherwise(fb))
-
-
 def with_span(df: DataFrame, out: str, prompt: str, response: str, start_at=None) -> DataFrame:
-    """``locate_span`` as a DataFrame step: the stripped response, both exact
-    searches and (only for rows that need it) the whitespace-free texts and
-    the index map are intermediate columns, so each is computed once per row
-    instead of once per reference."""
-    ws = [" ", "\t", "\n", "\r", "\f", "\x0b"]
+    """0-based [start, end) of the stripped response inside the prompt, as
+    struct column ``out``: exact search from ``start_at`` (when >= 0), else
+    from 0; else a whitespace-insensitive search mapped back to original
+    offsets; null when absent.
+
+    The stripped response, both exact searches and (only for rows that need
+    it) the whitespace-free texts and the index map are intermediate columns,
+    so each is computed once per row instead of once per reference."""
     p = F.col(prompt)
     x = (df.withColumn("_sr", py_strip(F.coalesce(F.col(response), F.lit(""))))
            .withColumn("_sa", c(start_at) if start_at is not None else F.lit(-1)))
@@ -332,11 +325,11 @@ def with_span(df: DataFrame, out: str, prompt: str, response: str, start_at=None
     x = (x.withColumn("_p1", F.when(sa >= 0, _locate(sr, p, sa + 1)).otherwise(F.lit(0)))
           .withColumn("_p2", F.instr(p, sr)))
     need = (F.length(sr) > 0) & (F.col("_p1") == 0) & (F.col("_p2") == 0)
-    mapping = F.filter(F.transform(F.split(p, ""), lambda ch, i: F.when(ch.isin(*ws), F.lit(-1)).otherwise(i)),
+    mapping = F.filter(F.transform(F.split(p, ""), lambda ch, i: F.when(ch.isin(*WS_CHARS), F.lit(-1)).otherwise(i)),
                        lambda i: i >= 0)
     x = (x.withColumn("_map", F.when(need, mapping))
-          .withColumn("_cp", F.when(need, F.regexp_replace(p, r"\s", "")))
-          .withColumn("_cr", F.when(need, F.regexp_replace(sr, r"\s", ""))))
+          .withColumn("_cp", F.when(need, no_space(p)))
+          .withColumn("_cr", F.when(need, no_space(sr))))
     mp = F.col("_map")
     first_at = F.array_position(F.zip_with(mp, F.array_repeat(sa, F.size(mp)), lambda m, s_: m >= s_), True)
     cstart = F.when((sa >= 0) & (first_at > 0), first_at - 1).otherwise(F.lit(0))
@@ -376,8 +369,7 @@ def section_between(text, start_marker: str, end_marker: str | None) -> Column:
 
 def contains_either(a, b) -> Column:
     """After squeezing whitespace, a contains b or b contains a."""
-    sa = F.regexp_replace(c(a), r"\s+", " ")
-    sb = F.regexp_replace(c(b), r"\s+", " ")
+    sa, sb = squeeze(a), squeeze(b)
     return sa.contains(sb) | sb.contains(sa)
 
 
@@ -386,6 +378,18 @@ def preview(col, n: int = 120) -> Column:
     return F.coalesce(F.substring(F.replace(c(col), F.lit("\n"), F.lit("\\n")), 1, n), F.lit(""))
 
 
+def preview_span(col, start, end, window: int = 120) -> Column:
+    """Preview of the text around [start, end): ``window`` characters on both
+    sides, at most twice that in all; a missing (negative or null) place
+    gives the first ``window`` characters."""
+    t = c(col)
+    a, z = F.coalesce(c(start), F.lit(-1)), F.coalesce(c(end), F.lit(-1))
+    left = F.greatest(a - window, F.lit(0))
+    right = F.least(F.length(t), z + window)
+    around = F.substring(t, left + 1, F.greatest(right - left, F.lit(0)))
+    return F.when((a < 0) | (z < 0), preview(t, window)).otherwise(preview(around, 2 * window))
+
+
 # --------------------------------------------------------------------------- P17 / P18
 def cap_rows(df: DataFrame, n: int, order: str = "row_id") -> DataFrame:
     """First n rows in dataset order (a top-n, not a sort)."""
@@ -412,14 +416,9 @@ def prefilter_long(df: DataFrame, max_tokens: int, text: str = "text",
 
 
 # --------------------------------------------------------------------------- P19
-def output_to_text(col) -> Column:
+def output_to_text_typed(col, dtype: str) -> Column:
     """null -> ''; array of strings -> concatenation; other arrays -> JSON;
     else the string."""
-    x = c(col)
-    return F.coalesce(x, F.lit(""))
-
-
-def output_to_text_typed(col, dtype: str) -> Column:
     x = c(col)
     if dtype == "array<string>":
         return F.coalesce(F.array_join(x, ""), F.lit(""))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefeval.functions.text import c
+from prefeval.functions.text import c, no_space, squeeze
 from prefeval.session import materialize
 
 
@@ -27,20 +27,23 @@ def map_text(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], inputs: lis
     Catalyst cannot push a filter through the Python stage.
     """
     schema_fields = [f for f in df.schema.fields if f.name in inputs]
-    out_schema = T.StructType(schema_fields + [T.StructField(out, T.StringType(), False)])
 
     def run(batches):
         for pdf in batches:
             res = fn(pdf[inputs])
-            pdf = pdf[inputs].copy()
+            pdf = pdf[["_digest", *inputs]].copy()
             pdf[out] = pd.Series(res, index=pdf.index).where(lambda s: s.notna(), "").astype(str)
             yield pdf
 
     if dedupe:
-        distinct = df.select(*inputs).dropDuplicates(inputs)
-        mapped = distinct.mapInPandas(run, out_schema)
-        return df.select(*keys, *inputs).join(mapped, on=inputs, how="left") \
-                 .select(*keys, F.coalesce(F.col(out), F.lit("")).alias(out))
+        # one digest of all inputs (null told apart from text): texts are
+        # shuffled once to find the distinct ones, the join back moves digests
+        parts = [F.coalesce(F.concat(F.lit("1"), F.sha2(F.col(i).cast("string"), 256)), F.lit("0")) for i in inputs]
+        x = df.withColumn("_digest", F.sha2(F.concat_ws("|", *parts), 256))
+        distinct = x.select("_digest", *inputs).dropDuplicates(["_digest"])
+        both = T.StructType([distinct.schema["_digest"], *schema_fields, T.StructField(out, T.StringType(), False)])
+        mapped = distinct.mapInPandas(run, both).select("_digest", out)
+        return x.select("_digest", *keys).join(mapped, "_digest", "left").select(*keys, out)
     # keys=None: keep every input column and add the output (no join back).
     base = df if keys is None else df.select(*dict.fromkeys([*keys, *inputs]))
     full_schema = T.StructType(base.schema.fields + [T.StructField(out, T.StringType(), False)])
@@ -159,6 +162,24 @@ def repivot_responses(long: DataFrame, key: str = "row_id", value: str = "text",
     return out.drop("_n")
 
 
+def back_translate(long: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], key: str = "row_id",
+                   text: str = "text_eng", lang: str = "lang", out: str = "text_bt", on_missing: str = "raise") -> DataFrame:
+    """Translate each mapped text back into its row's own language. A row
+    without a language fails the job (``on_missing='null'``: null output)."""
+    blank = F.coalesce(F.col(lang) == "", F.lit(True))
+    if on_missing == "raise":
+        checked = F.when(~blank, F.col(lang)).otherwise(F.raise_error(F.concat(
+            F.lit("no language to translate back into for row "), F.col(key).cast("string"))))
+        long = long.withColumn(lang, checked)
+        blank = F.lit(False)
+    mapped = map_text(long, fn, inputs=[text, lang], keys=[key, "side"], out=out)
+    if on_missing == "raise":
+        return mapped
+    none = long.filter(blank).select(key, "side")
+    return mapped.join(none.withColumn("_none", F.lit(True)), [key, "side"], "left") \
+        .withColumn(out, F.when(F.col("_none").isNull(), F.col(out))).drop("_none")
+
+
 # --------------------------------------------------------------------------- L1
 def char_trigrams(text) -> "F.Column":
     """Character trigrams of ' ' + lower(text) + ' ' with whitespace squeezed.
@@ -167,7 +188,7 @@ def char_trigrams(text) -> "F.Column":
     offsets 0, 1 and 2 - linear in the text, no per-character arrays. (The
     order of the grams does not matter for counting.) A text shorter than
     three characters is its own single gram."""
-    t = F.concat(F.lit(" "), F.regexp_replace(F.lower(c(text)), r"\s+", " "), F.lit(" "))
+    t = F.concat(F.lit(" "), squeeze(F.lower(c(text))), F.lit(" "))
     tri = r"(?s)..."
     grams = F.concat(F.regexp_extract_all(t, F.lit(tri), 0),
                      F.regexp_extract_all(F.substring(t, 2, 1 << 30), F.lit(tri), 0),
@@ -198,49 +219,30 @@ def train_language_model(docs: DataFrame, text: str = "text", label: str = "lang
         F.log(F.lit(alpha) / denom).alias("logp_unseen"))
 
 
-MODEL_BROADCAST_ROWS = 2_000_000
-
-
 def detect_language(df: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text",
-                    out: str = "detected", broadcast_rows: int = MODEL_BROADCAST_ROWS) -> DataFrame:
+                    out: str = "detected") -> DataFrame:
     """Naive-Bayes language of each row; blank text -> ''.
 
     score(lang) = sum over the row's trigrams of log p(gram | lang), unseen
     grams at the language's floor. Candidates are the languages sharing at
     least one trigram with the row; ties go to the larger language code.
 
-    The model is pivoted to one row per gram with one log-probability column
-    per language (the label set is small and read once). When the pivoted
-    model passes the row-count check it is broadcast and every exploded gram
-    is scored by a hash lookup, then summed per row by a partial aggregate:
-    no shuffle of grams, no fan-out per language. A larger model is joined
-    by shuffle after grams are counted per (row, gram)."""
-    langs = sorted(r[0] for r in model.select("lang").distinct().collect())
-    floors = {r[0]: r[1] for r in model.groupBy("lang").agg(F.first("logp_unseen")).collect()}
-    wide = model.groupBy("gram").pivot("lang", langs).agg(F.first("logp"))
-    cols = {lg: f"_lp{i}" for i, lg in enumerate(langs)}
-    wide = wide.select("gram", *[F.col(f"`{lg}`").alias(cols[lg]) for lg in langs])
+    Grams are counted per (row, gram) before the join, so a text that repeats
+    a gram sends it once. The model is one row per gram with a map from
+    language to log probability; it is joined by shuffle, and a hot gram is a
+    skewed partition that AQE splits. Per row the scores are summed per
+    language; floors come with the model, nothing is read to the driver."""
+    langs = model.groupBy("lang").agg(F.first("logp_unseen").alias("floor"))
+    floors = langs.agg(F.map_from_entries(F.collect_list(F.struct("lang", "floor")))).scalar()
+    wide = model.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "logp"))).alias("p"))
     # the gram total is taken before the explode: an expression over the
     # array next to the generator would carry the whole array on every row
     g = df.select(key, char_trigrams(text).alias("_g")).select(key, F.size("_g").alias("_K"), "_g")
     exploded = g.select(key, "_K", F.explode_outer("_g").alias("gram")).filter(F.col("gram").isNotNull())
-    if wide.count() <= broadcast_rows:
-        rows = exploded.withColumn("k", F.lit(1)).join(F.broadcast(wide), "gram", "left")
-    else:
-        per_gram = exploded.groupBy(key, "_K", "gram").agg(F.count(F.lit(1)).alias("k"))
-        rows = per_gram.join(wide, "gram", "left")
-    aggs = []
-    for lg in langs:
-        lp = F.col(cols[lg])
-        aggs += [F.sum(F.col("k") * lp).alias(f"{cols[lg]}_s"),
-                 F.sum(F.when(lp.isNotNull(), F.col("k"))).alias(f"{cols[lg]}_n")]
-    per_row = rows.groupBy(key, "_K").agg(*aggs)
-    cands = []
-    for lg in langs:
-        seen_n = F.col(f"{cols[lg]}_n")
-        score = F.col(f"{cols[lg]}_s") + (F.col("_K") - seen_n) * F.lit(floors[lg])
-        cands.append(F.when(seen_n > 0, F.struct(score.alias("score"), F.lit(lg).alias("lang"))))
-    best = per_row.select(key, F.greatest(*cands)["lang"].alias(out)) if len(cands) > 1 else \
-        per_row.select(key, cands[0]["lang"].alias(out))
+    per_gram = exploded.groupBy(key, "_K", "gram").agg(F.count(F.lit(1)).alias("k"))
+    rows = per_gram.join(wide, "gram").select(key, "_K", "k", F.explode("p").alias("lang", "lp"))
+    scored = rows.groupBy(key, "_K", "lang").agg(F.sum(F.col("k") * F.col("lp")).alias("s"), F.sum("k").alias("n"))
+    score = F.col("s") + (F.col("_K") - F.col("n")) * F.element_at(floors, F.col("lang"))
+    best = scored.groupBy(key).agg(F.max_by("lang", F.struct(score.alias("score"), F.col("lang").alias("lang"))).alias(out))
     return df.join(best, key, "left").withColumn(
-        out, F.when(F.regexp_replace(c(text), r"\s+", "") == "", F.lit("")).otherwise(F.col(out)))
+        out, F.when(no_space(text) == "", F.lit("")).otherwise(F.col(out)))

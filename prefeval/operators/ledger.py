@@ -10,14 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefeval.functions.keys import dense_index
+
 # Terminal request states.
 TERMINAL = ["succeeded", "failed", "canceled"]
 
 
 def assign_batches(df: DataFrame, size: int, order: str = "row_id") -> DataFrame:
-    """R1: consecutive chunks of ``size`` rows by row order; size <= 0 -> one chunk."""
-    b = F.floor(F.col(order) / size).cast("long") if size > 0 else F.lit(0).cast("long")
-    return df.withColumn("batch", b)
+    """R1: consecutive chunks of ``size`` rows by row position (``order`` may
+    have gaps); size <= 0 -> one chunk."""
+    if size <= 0:
+        return df.withColumn("batch", F.lit(0).cast("long"))
+    return dense_index(df, [], [order], name="_at").withColumn("batch", F.floor(F.col("_at") / size).cast("long")).drop("_at")
 
 
 def batch_health(df: DataFrame, failed: str = "failed", batch: str = "batch") -> DataFrame:

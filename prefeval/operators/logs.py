@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,6 +140,14 @@ def spikes(df: DataFrame, threshold: float, multiplier: float, value: str = "val
     return df.filter(hit)
 
 
+def fewest_labels(df: DataFrame, k: int, keys=("run", "step"), labels: str = "label_tokens", key: str = "row_id") -> DataFrame:
+    """The ``k`` rows with the fewest label tokens of each spiking step, ties
+    by row key. The rank filter keeps k rows per task and step before the
+    shuffle."""
+    w = Window.partitionBy(*keys).orderBy(labels, key)
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 # --------------------------------------------------------------------------- G3
 def epoch_summary(df: DataFrame, keys=("run", "epoch"), metric: str = "metric", value: str = "value",
                   drop: str = "dropped") -> DataFrame:

@@ -20,9 +20,9 @@ from prefeval.functions.text import c, count_below, py_strip, repeat_for, words
 
 # Default bin edges of the proxy tasks when quantiles cannot be
 # computed (fallback edges).
-DEFAULT_LENGTH_BINS = (0, 32, 64, 128, 256, 512, 1024)
+DEFAULT_LENGTH_BINS = (0, 50, 100, 200, 400, 1000000)
 DEFAULT_TTR_BINS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
-DEFAULT_NLL_BINS = (0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 10.0)
+DEFAULT_NLL_BINS = (0.0, 2.3026, 2.9957, 3.6889, 4.3820, 5.0752, 13.8155)
 
 
 # --------------------------------------------------------------------------- M1
@@ -71,21 +71,16 @@ def token_nll(df: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str =
     """Mean of -ln p(word | prev) over tokens 2..n, add-k bigram model counted
     on ``corpus``; fewer than two tokens -> 0.
 
-    The prefix count is attached to the (much smaller) pair-count table
-    first, so each bigram occurrence needs one join; only occurrences of
-    pairs the corpus never saw take a second join for their prefix count.
-    Hot bigrams ('of the') are join keys with many rows; AQE splits such
-    skewed partitions."""
+    Bigrams are counted per row before any join: a row sends each distinct
+    pair once, with its count, and a hot pair ('of the') one row per text.
+    One left join brings the pair count, one the prefix count, and a weighted
+    mean closes the row. AQE splits partitions that stay skewed."""
     pair_counts, prev_counts, vocab = bigram_model(corpus, key, text, k)
-    enriched = pair_counts.join(prev_counts, "prev")
-    bg = bigrams(df, key, text)
-    j = bg.join(enriched, ["prev", "word"], "left")
-    seen = j.filter(F.col("c_pw").isNotNull())
-    unseen = j.filter(F.col("c_pw").isNull()).drop("c_p").join(prev_counts, "prev", "left")
-    both = seen.unionByName(unseen)
+    own = bigrams(df, key, text).groupBy(key, "prev", "word").agg(F.count(F.lit(1)).alias("_n"))
+    j = own.join(pair_counts, ["prev", "word"], "left").join(prev_counts, "prev", "left")
     nlp = -F.log((F.coalesce(F.col("c_pw"), F.lit(0)) + F.lit(k)) /
                  (F.coalesce(F.col("c_p"), F.lit(0)) + F.lit(k) * vocab))
-    per = both.groupBy(key).agg(F.avg(nlp).alias(out))
+    per = j.groupBy(key).agg((F.sum(nlp * F.col("_n")) / F.sum("_n")).alias(out))
     return df.select(key).join(per, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
 
 

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefeval.functions.keys import h32
-from prefeval.functions.text import c, py_strip, words
+from prefeval.functions.keys import dense_index, h32
+from prefeval.functions.text import WS_CHARS, c, py_strip, words
 
 PAD_ID, EOS_ID, UNK_ID = 0, 1, 2
 VOCAB = 50000
@@ -30,8 +30,8 @@ def ids_of(text, max_len: int | None = None) -> Column:
 
 
 # --------------------------------------------------------------------------- T1
-def encode(df: DataFrame, text: str, max_len: int, out: str = "ids") -> DataFrame:
-    """text -> ids right-truncated to max_len; mask 1 when the text is present."""
+def encode(df: DataFrame, text: str, max_len: int | None, out: str = "ids") -> DataFrame:
+    """text -> ids, right-truncated to max_len if there is one; mask 1 when the text is present."""
     present = F.coalesce(py_strip(c(text)), F.lit("")) != ""
     return df.withColumn(out, ids_of(text, max_len)).withColumn(out + "_mask", present.cast("int"))
 
@@ -63,9 +63,6 @@ def encode_pair(df: DataFrame, prompt: str, output: str, max_len: int, append_eo
 
 
 # --------------------------------------------------------------------------- offsets
-_WS = [" ", "\t", "\n", "\r", "\f", "\x0b"]
-
-
 def tokens_starting_before(text, pos) -> Column:
     """Number of whitespace tokens that start before character ``pos``
     (0-based): the tokens of the first ``pos`` characters."""
@@ -79,7 +76,7 @@ def tokens_ending_by(text, pos) -> Column:
     t = c(text)
     before = F.substring(t, pos, F.lit(1))          # character pos-1 (0-based)
     at = F.substring(t, pos + 1, F.lit(1))          # character pos
-    crossing = (pos > 0) & (F.length(before) > 0) & (F.length(at) > 0) & ~before.isin(*_WS) & ~at.isin(*_WS)
+    crossing = (pos > 0) & (F.length(before) > 0) & (F.length(at) > 0) & ~before.isin(*WS_CHARS) & ~at.isin(*WS_CHARS)
     return tokens_starting_before(t, pos) - F.when(crossing, F.lit(1)).otherwise(F.lit(0))
 
 
@@ -107,16 +104,17 @@ def label_tokens(df: DataFrame, prompt: str, target: str, max_len: int) -> DataF
 
 
 # --------------------------------------------------------------------------- T4
-def tag_response_tokens(df: DataFrame, prompt: str, span_a: str, span_b: str, max_len: int,
+def tag_response_tokens(df: DataFrame, prompt: str, span_a: str, span_b: str, max_len: int | None = None,
                         out: str = "response_types") -> DataFrame:
     """Type 1 / 2 for tokens whose [start, end) overlaps span A / span B
     (A first), else 0. Spans are structs(start, end) from ``locate_span``.
 
     Tokens overlapping [s, e) are the index range [tokens ending by s,
     tokens starting before e): two counts per span, then one array of
-    max_len types built from literal comparisons."""
+    types built from literal comparisons. ``max_len`` truncates on the right."""
     t = F.coalesce(c(prompt), F.lit(""))
-    x = df.withColumn("_n", F.least(F.size(words(t)), F.lit(max_len)))
+    n = F.size(words(t))
+    x = df.withColumn("_n", n if max_len is None else F.least(n, F.lit(max_len)))
     for side, span in (("a", span_a), ("b", span_b)):
         sp = F.col(span)
         x = (x.withColumn(f"_{side}0", F.when(sp.isNotNull(), tokens_ending_by(t, sp["start"])))
@@ -132,25 +130,49 @@ def tag_response_tokens(df: DataFrame, prompt: str, span_a: str, span_b: str, ma
 
 def find_subseq(hay, needle) -> Column:
     """0-based [start, end) of the first occurrence of ``needle`` in ``hay``
-    (id arrays), null when absent or empty: the fallback when a tokeniser has
-    no offsets."""
-    h, nd = c(hay), c(needle)
-    n = F.size(nd)
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(h) - n + 1, F.lit(1))),
-                    lambda i: F.slice(h, i, n) == nd)
-    first = F.element_at(hits, 1)
-    return F.when((n > 0) & (F.size(h) >= n) & (F.size(hits) > 0),
-                  F.struct((first - 1).alias("start"), (first - 1 + n).alias("end")))
+    (id arrays), null when absent or empty. Both are joined to texts with a
+    mark around every id, so the search is one substring scan and not a
+    comparison at each position."""
+    def marked(ids):
+        return F.concat(F.lit(","), F.array_join(ids, ",,"), F.lit(","))
+    n = F.size(c(needle))
+    at = F.instr(marked(c(hay)), marked(c(needle)))
+    before = F.substring(marked(c(hay)), F.lit(1), at - 1)
+    start = F.size(F.regexp_extract_all(before, F.lit(",-?[0-9]+,"), 0))
+    return F.when((n > 0) & (at > 0), F.struct(start.alias("start"), (start + n).alias("end")))
+
+
+def tag_by_ids(df: DataFrame, prompt: str, answer_a: str, answer_b: str, max_len: int | None = None,
+               out: str = "response_types") -> DataFrame:
+    """T4 without offsets: type 1 / 2 where the ids of answer A / B stand as a
+    sub-sequence of the prompt's ids, else the ids without their first one
+    (a first token can differ in context). B overwrites A where they overlap."""
+    x = df.withColumn("_p", ids_of(prompt, max_len))
+    for side, text in (("a", answer_a), ("b", answer_b)):
+        x = x.withColumn(f"_{side}", ids_of(text, max_len))
+        ids = F.col(f"_{side}")
+        tail = F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(1)))
+        x = x.withColumn(f"_{side}", F.coalesce(
+            find_subseq("_p", ids), F.when(F.size(ids) > 1, find_subseq("_p", tail))))
+    n = F.size("_p")
+    types = F.zip_with(F.sequence(F.lit(0), n - 1), F.array_repeat(F.struct("_a", "_b"), n), lambda k, s: (
+        F.when((k >= s["_b"]["start"]) & (k < s["_b"]["end"]), F.lit(2))
+         .when((k >= s["_a"]["start"]) & (k < s["_a"]["end"]), F.lit(1)).otherwise(F.lit(0))))
+    return x.withColumn(out, F.when(n > 0, types).otherwise(F.array().cast("array<int>"))).drop("_p", "_a", "_b")
 
 
 # --------------------------------------------------------------------------- T5
 def apply_length_policy(df: DataFrame, mode: str, min_target: int, max_len: int,
-                        batch: str = "batch_id") -> tuple[DataFrame, DataFrame]:
-    """Flag rows whose prompt alone reaches max_len (``prompt_overflow``) or
-    that have fewer than ``min_target`` target tokens. ``mask``: their labels
-    become all -100. ``drop``: they are removed; a batch that loses every row
-    keeps one fully masked pad row. Returns (rows, counts per reason)."""
+                        batch: str = "batch_id", key: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """Flag rows that were truncated or whose prompt alone reaches max_len
+    (``truncated``, ``prompt_overflow``), or that have fewer than
+    ``min_target`` target tokens. ``mask``: their labels become all -100 and
+    their ``response_types`` (where there are any) all 0. ``drop``: they are
+    removed; a batch that loses every row keeps its first row (by ``key``)
+    with everything masked. Returns (rows with their key, counts per reason)."""
     over = F.col("prompt_overflow")
+    if "truncated" in df.columns:
+        over = over | F.coalesce(F.col("truncated"), F.lit(False))
     few = F.lit(min_target > 0) & (F.col("target_len") < min_target)
     x = df.withColumn("_over", over).withColumn("_few", few).withColumn("_flag", over | few)
     counts = x.agg(F.count(F.lit(1)).alias("seen"), F.count(F.when(F.col("_over"), 1)).alias("drop_maxlen"),
@@ -158,25 +180,32 @@ def apply_length_policy(df: DataFrame, mode: str, min_target: int, max_len: int,
                    F.count(F.when(F.col("_flag"), 1)).alias("flagged")) \
         .withColumn("ratio", F.coalesce(F.try_divide(F.col("flagged").cast("double"), F.col("seen").cast("double")),
                                         F.lit(0.0)))
+
+    def masked(rows, where):
+        out = rows.withColumn("labels", F.when(where, F.transform("labels", lambda _: F.lit(-100)))
+                              .otherwise(F.col("labels")))
+        if "response_types" in rows.columns:
+            out = out.withColumn("response_types", F.when(where, F.transform("response_types", lambda _: F.lit(0)))
+                                 .otherwise(F.col("response_types")))
+        return out.drop("_over", "_few", "_flag")
+
     if mode == "mask":
-        out = x.withColumn("labels", F.when(F.col("_flag"), F.transform("labels", lambda _: F.lit(-100)))
-                           .otherwise(F.col("labels")))
-        return out.drop("_over", "_few", "_flag"), counts
-    kept = x.filter(~F.col("_flag"))
-    per_batch = x.groupBy(batch).agg(F.bool_and("_flag").alias("_all"))
-    fallback = per_batch.filter("_all").select(
-        batch, F.array(F.lit(PAD_ID)).alias("input_ids"), F.array(F.lit(-100)).alias("labels"))
-    cols = [batch, "input_ids", "labels"]
-    return kept.select(*cols).unionByName(fallback.select(*cols)), counts
+        return masked(x, F.col("_flag")), counts
+    # batches that lose all rows: a small aggregate, joined back on the batch
+    lost = x.groupBy(batch).agg(F.bool_and("_flag").alias("_all"), F.min(key).alias("_first")).filter("_all")
+    kept = x.join(lost.select(batch, "_first"), batch, "left") \
+        .filter(~F.col("_flag") | (F.col(key) == F.col("_first"))).drop("_first")
+    return masked(kept, F.col("_flag")), counts
 
 
 # --------------------------------------------------------------------------- T6
 def pack_batches(df: DataFrame, size: int, ids: str = "input_ids", order: str = "row_id",
                  side: str = "right", max_length: int | None = None) -> DataFrame:
-    """batch = row index div size; sequences padded with PAD to the batch
+    """batch = row position (by ``order``) div size; sequences padded with PAD to the batch
     maximum (capped at max_length), on the left or right; attention mask.
     Batches are small fixed-size groups, so the window stays bounded."""
-    x = df.withColumn("batch_id", F.floor(F.col(order) / size).cast("long"))
+    place = dense_index(df.select(order), [], [order], name="_at")     # keys only
+    x = df.join(place, order).withColumn("batch_id", F.floor(F.col("_at") / size).cast("long")).drop("_at")
     w = Window.partitionBy("batch_id")
     seq = F.slice(F.col(ids), 1, max_length) if max_length else F.col(ids)
     x = x.withColumn("_seq", seq).withColumn("_len", F.max(F.size("_seq")).over(w))
@@ -205,30 +234,30 @@ def shard_strided(idx, n: int) -> Column:
     return (c(idx) % n).cast("int")
 
 
-def merge_shards(shards: DataFrame, expected: int, idx: str = "idx", rank: str = "rank",
+def merge_shards(shards: DataFrame, expected, idx: str = "idx", rank: str = "rank",
                  world: str = "world_size") -> tuple[DataFrame, DataFrame]:
     """Union of shard rows checked for completeness. Returns (rows, one-row
     report: distinct world sizes, missing ranks, indices out of range,
-    missing indices, duplicate indices). Missing indices come from a
-    ``left_anti`` against ``range(expected)``; each count is a scalar
-    subquery, so nothing is collected to the driver."""
-    spark = shards.sparkSession
-    max_world = shards.agg(F.max(world)).scalar()
-    wanted_ranks = spark.range(1).select(F.explode(F.sequence(F.lit(0), max_world - 1)).alias(rank))
-    missing_ranks = wanted_ranks.join(shards.select(rank).distinct(), rank, "left_anti")
-    all_idx = spark.range(0, expected).withColumnRenamed("id", idx)
-    missing = all_idx.join(shards.select(idx), idx, "left_anti")
-    oor = shards.filter((F.col(idx) < 0) | (F.col(idx) >= expected))
-    dup = shards.groupBy(idx).count().filter("count > 1")
-
-    def n(df):
-        return df.agg(F.count(F.lit(1))).scalar()
-
-    report = spark.range(1).select(
-        shards.agg(F.countDistinct(world)).scalar().alias("world_sizes"),
-        n(missing_ranks).alias("missing_ranks"), n(oor).alias("out_of_range"),
-        n(missing).alias("missing_indices"), n(dup).alias("duplicate_indices"))
-    return shards, report
+    missing indices, duplicate indices). ``expected`` is the row count the
+    shards must cover, a number or a one-value column expression.
+
+    One aggregate over (index, rank, world) counts: an index that is in range
+    is either there or missing, so the missing ones are a difference."""
+    per = shards.groupBy(idx).agg(F.count(F.lit(1)).alias("_n"), F.collect_set(rank).alias("_ranks"),
+                                  F.collect_set(world).alias("_worlds"))
+    total = F.lit(expected) if isinstance(expected, int) else expected
+    inside = (F.col(idx) >= 0) & (F.col(idx) < F.col("_total"))
+    flat = F.array_distinct(F.flatten(F.collect_set("_ranks")))
+    worlds = F.array_distinct(F.flatten(F.collect_set("_worlds")))
+    g = per.withColumn("_total", total).agg(
+        worlds.alias("_w"), flat.alias("_r"), F.max("_total").alias("_total"),
+        F.sum(F.when(~inside, F.col("_n")).otherwise(F.lit(0))).alias("out_of_range"),
+        F.count(F.when(inside, 1)).alias("_present"), F.count(F.when(F.col("_n") > 1, 1)).alias("duplicate_indices"))
+    wanted = F.sequence(F.lit(0), F.array_max("_w").cast("int") - 1)
+    return shards, g.select(
+        F.size("_w").cast("long").alias("world_sizes"),
+        F.size(F.array_except(wanted, F.col("_r"))).cast("long").alias("missing_ranks"),
+        "out_of_range", (F.col("_total") - F.col("_present")).alias("missing_indices"), "duplicate_indices")
 
 
 # --------------------------------------------------------------------------- T9
