@@ -13,6 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# The fields of a raw and of a parsed result line.
+RAW_FIELDS = ("id", "seed", "language", "prompt", "answer_a", "answer_b", "completion", "verdict", "expected_verdict",
+              "swapped", "pair_id", "sample_language", "group", "gold")
+PARSED_FIELDS = ("id", "seed", "language", "verdict", "expected_verdict", "correct", "swapped", "pair_id",
+                 "sample_language", "group")
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -27,6 +34,21 @@ def write_jsonl(df: DataFrame, path: str, by=("benchmark", "language")) -> None:
        .partitionBy(*by).json(path))
 
 
+def write_results(records: DataFrame, folder: str, by=("benchmark", "language")) -> None:
+    """K1, both kinds: ``<folder>/kind=raw`` holds every field of a judged row,
+    ``<folder>/kind=parsed`` the verdict fields, each in one folder per group.
+    The records are read once: each becomes two rows of JSON text."""
+    both = records.select(*by, F.explode(F.array(
+        F.struct(F.lit("raw").alias("kind"), F.to_json(F.struct(*_fields(records, RAW_FIELDS, by))).alias("value")),
+        F.struct(F.lit("parsed").alias("kind"), F.to_json(F.struct(*_fields(records, PARSED_FIELDS, by))).alias("value"))
+    )).alias("_r")).select(*by, "_r.kind", "_r.value")
+    (both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", *by).text(folder))
+
+
+def _fields(df: DataFrame, names: tuple, without) -> list:
+    return [n for n in names if n in df.columns and n not in without]
+
+
 def write_proxy_cache(df: DataFrame, path: str, key: str = "row_id") -> None:
     """K2: one JSON line per input row keyed by row id; missing (null)
     metrics are left out of the line."""
@@ -34,22 +56,33 @@ def write_proxy_cache(df: DataFrame, path: str, key: str = "row_id") -> None:
       .write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
-def replace_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+def _renamed(fs, src, dst) -> None:
+    if not fs.rename(src, dst):
+        raise OSError(f"could not move {src} to {dst}")
+
+
+def replace_dataset(df: DataFrame, path: str, fmt: str = "parquet", move=_renamed) -> None:
     """K3: rewrite ``path`` only after the new data is fully written: write to
-    a staging folder next to it, then swap by rename. A failed job leaves the
-    old dataset untouched."""
+    a staging folder next to it, then swap by two moves, each checked. If the
+    second fails the old data is moved back; it is deleted last. A failed job
+    or move leaves the old dataset at ``path``."""
     spark = df.sparkSession
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex[:8]}"
+    tag = uuid.uuid4().hex[:8]
+    staging = f"{path.rstrip('/')}.staging-{tag}"
     df.write.mode("overwrite").format(fmt).save(staging)
     fs, target = _fs(spark, path)
     _, stage = _fs(spark, staging)
-    if fs.exists(target):
-        backup = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:8]}")
-        fs.rename(target, backup)
-        fs.rename(stage, target)
-        fs.delete(backup, True)
-    else:
-        fs.rename(stage, target)
+    if not fs.exists(target):
+        move(fs, stage, target)
+        return
+    _, backup = _fs(spark, f"{path.rstrip('/')}.old-{tag}")
+    move(fs, target, backup)
+    try:
+        move(fs, stage, target)
+    except Exception:
+        _renamed(fs, backup, target)
+        raise
+    fs.delete(backup, True)
 
 
 def write_named_shards(df: DataFrame, folder: str, prefix: str = "train", fmt: str = "parquet") -> list[str]:
@@ -94,3 +127,20 @@ def write_summary(acc: DataFrame, folder: str, seed: str = "seed") -> None:
     line). Documents are tiny: one task per seed folder."""
     doc = summary_json(acc, seed)
     doc.repartition(seed).write.mode("overwrite").partitionBy(seed).text(folder)
+
+
+def aggregate_json(stats: DataFrame, tests: DataFrame | None = None) -> DataFrame:
+    """K5 over all seeds: one document
+    {"benchmarks": {bench: {lang: {mean, std, formatted}}}, "paired_t_tests": {name: {...}}}.
+    ``stats``: benchmark, language, mean, std, formatted (E7); ``tests``: benchmark
+    and the t-test columns (E8, E13), named ``<benchmark>.accuracy``. Both are
+    one row per group, far below any row count of the data."""
+    per_bench = stats.groupBy("benchmark").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.col("language"), F.struct("mean", "std", "formatted").alias("v")))).alias("langs"))
+    doc = per_bench.agg(F.map_from_entries(F.collect_list(F.struct("benchmark", "langs"))).alias("benchmarks"))
+    if tests is None:
+        return doc.select(F.to_json(F.struct("benchmarks")).alias("json"))
+    values = [n for n in tests.columns if n != "benchmark"]
+    t = tests.agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat("benchmark", F.lit(".accuracy")).alias("k"), F.struct(*values).alias("v")))).alias("paired_t_tests"))
+    return doc.join(t, F.lit(True)).select(F.to_json(F.struct("benchmarks", "paired_t_tests")).alias("json"))

@@ -4,9 +4,10 @@ ST1 incremental evaluation: new result files are counted per micro-batch and
     merged into running totals; each batch writes its own partition of the
     totals table (overwrite of ``batch_id=N``), so a retried batch is
     idempotent.
-ST2 streaming EMA: ``applyInPandasWithState`` keeps the last EMA per series.
-ST3 request ledger: state per request id, closed by a terminal observation,
-    event-time timeout emits ``timeout``; late rows fall behind the watermark.
+ST2 streaming EMA: ``applyInPandasWithState`` folds each series in step order
+    and holds rows that came early.
+ST3 request ledger: state per request id, ended in event time by a terminal
+    observation or a timeout, emitted once the watermark has passed it.
 ST4 windowed throughput: tumbling windows with a watermark, append mode.
 
 All queries run with ``trigger(availableNow=True)`` in tests and benches and
@@ -15,7 +16,6 @@ keep their checkpoints under the session's shared checkpoint folder.
 
 from __future__ import annotations
 
-import math
 from typing import Iterator
 
 import pandas as pd
@@ -35,7 +35,7 @@ def incremental_eval(spark: SparkSession, results_dir: str, schema: T.StructType
     them under ``totals_dir/batch_id=<n>``. Re-running the same batch
     overwrites only its own partition (idempotent)."""
     keys = list(keys)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(results_dir)
+    stream = spark.readStream.schema(schema).parquet(results_dir)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         counts = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"),
@@ -58,36 +58,46 @@ def totals(spark: SparkSession, totals_dir: str, keys=("seed", "benchmark", "lan
 
 # --------------------------------------------------------------------------- ST2
 def stream_ema(stream: DataFrame, decay: float, keys=("run", "metric"), step: str = "step",
-               value: str = "value", mode: str = "restart") -> DataFrame:
-    """G1 on a stream: state = last EMA of each series; rows of a series
-    must arrive in step order across micro-batches (inside a batch they are
-    sorted)."""
+               value: str = "value", mode: str = "restart", first_step: int = 0) -> DataFrame:
+    """G1 on a stream whose rows may come in any order and in any batches.
+
+    Steps of a series are dense from ``first_step``. The state holds the next
+    step to fold, the EMA before it, and the rows that came early; a row is
+    folded (and emitted) as soon as all before it have been. What is held is
+    as large as the disorder, not the series. A step that was folded already
+    comes twice: the query fails rather than fold it silently."""
     keys = list(keys)
     out_schema = T.StructType([f for f in stream.schema.fields if f.name in keys] + [
         T.StructField(step, T.LongType()), T.StructField("ema", T.DoubleType()),
         T.StructField("ema_prev", T.DoubleType())])
-    state_schema = T.StructType([T.StructField("ema", T.DoubleType()), T.StructField("seen", T.BooleanType())])
+    state_schema = T.StructType([
+        T.StructField("next", T.LongType()), T.StructField("ema", T.DoubleType()), T.StructField("seen", T.BooleanType()),
+        T.StructField("steps", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev = None
+        at, cur, waiting = first_step, None, {}
         if state.exists:
-            ema_, seen = state.get
-            prev = ema_ if seen else None
-            if seen and ema_ is None:
-                prev = None
-        pdf = pd.concat(list(pdfs)).sort_values(step)
-        emas, prevs = [], []
-        cur = prev
-        for v in pdf[value]:
-            v = None if pd.isna(v) and mode == "skip" else float(v)
-            prevs.append(cur)
-            cur = _step(cur, v, decay, mode)
-            emas.append(cur)
-        state.update((None if cur is None or (isinstance(cur, float) and math.isnan(cur)) else cur, cur is not None))
-        res = pdf[keys + [step]].copy()
-        res["ema"] = emas
-        res["ema_prev"] = prevs
-        yield res
+            at, ema_, seen, steps, values = state.get
+            cur = ema_ if seen else None
+            waiting = dict(zip(steps, values))
+        for pdf in pdfs:
+            for s, v in zip(pdf[step].tolist(), pdf[value].tolist()):
+                if s < at or s in waiting:
+                    raise ValueError(f"step {s} of series {key} came twice")
+                waiting[s] = v
+        done = []
+        while at in waiting:
+            v = waiting.pop(at)
+            v = None if pd.isna(v) and mode == "skip" else float("nan") if v is None else float(v)
+            prev, cur = cur, _step(cur, v, decay, mode)
+            done.append((at, cur, prev))
+            at += 1
+        left = sorted(waiting)
+        state.update((at, cur, cur is not None, left, [waiting[s] for s in left]))
+        if done:
+            res = pd.DataFrame({k: [v] * len(done) for k, v in zip(keys, key)})
+            res[step], res["ema"], res["ema_prev"] = zip(*done)
+            yield res
 
     return stream.groupBy(*keys).applyInPandasWithState(
         fn, outputStructType=out_schema, stateStructType=state_schema, outputMode="append",
@@ -97,31 +107,41 @@ def stream_ema(stream: DataFrame, decay: float, keys=("run", "metric"), step: st
 # --------------------------------------------------------------------------- ST3
 def stream_ledger(stream: DataFrame, watermark: str = "1 hour", timeout_ms: int = 2 * 86400 * 1000,
                   key: str = "id", ts: str = "ts") -> DataFrame:
-    """Open state on the first observation of a request, close it on a
-    terminal status (emit it), emit ``timeout`` when event time passes
-    first-seen + timeout without a terminal row. Rows later than the
-    watermark are dropped by Spark before reaching the state."""
+    """How each request ended, decided in event time alone.
+
+    A request opens at its earliest observation and ends at its earliest
+    terminal one, or with ``timeout`` at opening + ``timeout_ms`` if none came
+    by then. The ending is emitted once, when the watermark has passed it (no
+    earlier row can come any more); the request stays closed. So the answer
+    does not depend on how rows fall into batches, as long as they are not
+    later than the watermark allows. The state is one small row per request."""
     out_schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("status", T.StringType()),
                                T.StructField("closed_at", T.TimestampType())])
-    state_schema = T.StructType([T.StructField("first_ms", T.LongType()), T.StructField("last", T.StringType())])
+    state_schema = T.StructType([T.StructField("first_us", T.LongType()), T.StructField("end_us", T.LongType()),
+                                 T.StructField("status", T.StringType()), T.StructField("closed", T.BooleanType())])
+    wait_us = timeout_ms * 1000
+
+    def ending(first, end, status):
+        return (first + wait_us, "timeout") if end is None or end > first + wait_us else (end, status)
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rid = int(k[0])
-        if state.hasTimedOut:
-            first_ms, _ = state.get
-            state.remove()
-            yield pd.DataFrame({key: [rid], "status": ["timeout"],
-                                "closed_at": [pd.Timestamp(first_ms + timeout_ms, unit="ms")]})
+        first, end, status, closed = state.get if state.exists else (None, None, None, False)
+        if closed:
+            return
+        passed = state.getCurrentWatermarkMs()
+        if first is not None and ending(first, end, status)[0] // 1000 < passed or state.hasTimedOut:
+            at, how = ending(first, end, status)
+            state.update((first, end, status, True))
+            yield pd.DataFrame({key: [int(k[0])], "status": [how], "closed_at": [pd.Timestamp(at, unit="us")]})
             return
-        pdf = pd.concat(list(pdfs)).sort_values(ts)
-        first_ms = state.get[0] if state.exists else int(pd.Timestamp(pdf[ts].iloc[0]).value // 1_000_000)
-        for st, t in zip(pdf["status"], pdf[ts]):
-            if st in TERMINAL:
-                state.remove()
-                yield pd.DataFrame({key: [rid], "status": [st], "closed_at": [pd.Timestamp(t)]})
-                return
-        state.update((first_ms, str(pdf["status"].iloc[-1])))
-        state.setTimeoutTimestamp(first_ms + timeout_ms)
+        for pdf in pdfs:
+            for st, t in zip(pdf["status"], pdf[ts]):
+                us = pd.Timestamp(t).value // 1000
+                first = us if first is None else min(first, us)
+                if st in TERMINAL and (end is None or (us, st) < (end, status)):
+                    end, status = us, st
+        state.update((first, end, status, False))
+        state.setTimeoutTimestamp(max(ending(first, end, status)[0] // 1000, passed + 1))
 
     return (stream.withWatermark(ts, watermark).groupBy(key)
                   .applyInPandasWithState(fn, outputStructType=out_schema, stateStructType=state_schema,
