@@ -20,7 +20,7 @@ def user_turns(spark: SparkSession, root: str, with_text: bool = True) -> DataFr
     """User turns of ``conversations`` with a dense global rank u. Ranks are
     computed on keys only; the text joins back once."""
     conv = table(spark, root, "conversations").filter(F.col("role") == "user")
-    ranked = dense_index(conv.select("conv_id", "turn"), [], ["conv_id", "turn"], name="u", edges="range")
+    ranked = dense_index(conv.select("conv_id", "turn"), [], ["conv_id", "turn"], name="u")
     if not with_text:
         return ranked
     return ranked.join(conv.select("conv_id", "turn", F.col("text").alias("prompt")), ["conv_id", "turn"])
@@ -36,10 +36,8 @@ def pairs(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     lab = table(spark, root, "labels").select("doc_id", "quality")
     keys = docs.select("doc_id", "lang", "source").join(lab, "doc_id")
-    good = dense_index(keys.filter(F.col("quality") == 1).drop("quality"), ["lang"], ["doc_id"], "i",
-                       edges="range")
-    bad = dense_index(keys.filter(F.col("quality") == 0).select("doc_id", "lang"), ["lang"], ["doc_id"], "j",
-                      edges="range")
+    good = dense_index(keys.filter(F.col("quality") == 1).drop("quality"), ["lang"], ["doc_id"], "i")
+    bad = dense_index(keys.filter(F.col("quality") == 0).select("doc_id", "lang"), ["lang"], ["doc_id"], "j")
     n0 = bad.groupBy("lang").agg(F.count(F.lit(1)).alias("n0"))
     users = user_turns(spark, root, with_text=False)
     n_users = users.agg(F.count(F.lit(1))).scalar()
@@ -160,7 +158,7 @@ def metric_log(spark: SparkSession, root: str) -> DataFrame:
     ev = table(spark, root, "events")
     x = ev.select((F.col("user_id") % 8).alias("run"), F.col("event_type").alias("metric"), "value",
                   F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    return dense_index(x, ["run", "metric"], ["ts", "event_id"], name="step", edges="range")
+    return dense_index(x, ["run", "metric"], ["ts", "event_id"], name="step")
 
 
 STATUS = {"signup": "submitted", "view": "processing", "click": "succeeded", "purchase": "expired",
@@ -177,4 +175,4 @@ def ledger(spark: SparkSession, root: str) -> DataFrame:
                   F.when(F.col("event_type") == "click", F.concat(F.lit("out-"), F.col("event_id").cast("string")))
                    .alias("output"))
     # many ids, each possibly hot: offsets are joined by shuffle, not broadcast
-    return dense_index(x, ["id"], ["ts", "event_id"], name="attempt", bounded_groups=False, edges="range")
+    return dense_index(x, ["id"], ["ts", "event_id"], name="attempt")

@@ -382,6 +382,12 @@ SELECT id AS request_id, 'task_' || CAST(id AS VARCHAR) AS custom_id,
 FROM tasks WHERE seed = 42"""
 
 # ---------------------------------------------------------------------------- E ops
+E4R = "WITH " + RECORDS + f""",
+raw AS (SELECT benchmark, language, CASE WHEN {H2('seed', 'id')} % 97 = 0 THEN NULL ELSE expected_verdict END AS ev
+        FROM records WHERE language <> 'de')
+SELECT DISTINCT benchmark, language FROM pairs
+EXCEPT SELECT DISTINCT benchmark, language FROM records WHERE language = 'de'
+EXCEPT SELECT benchmark, language FROM raw GROUP BY ALL HAVING bool_and(ev IS NOT NULL)"""
 E1 = "WITH " + RECORDS + "\nSELECT id, seed, completion, verdict FROM records"
 E2 = "WITH " + RECORDS + "\nSELECT id, seed, verdict, expected_verdict, correct FROM records"
 E3 = "WITH " + RECORDS + f""",
@@ -720,9 +726,14 @@ def either_sql(a: str, b: str) -> str:
 
 
 P15 = "WITH " + PAIRS + """,
-pc AS (SELECT id, chosen, rejected, regexp_replace(substr(chosen, 5, 200), '\\s', chr(10), 'g') AS piece FROM pairs)
+pc AS (SELECT id, chosen, rejected, regexp_replace(chosen, '\\s', chr(10), 'g') AS piece FROM pairs)
 """ + f"SELECT id, {either_sql('chosen', 'piece')} AS c1, {either_sql('rejected', 'piece')} AS c2 FROM pc"
 P16 = "SELECT doc_id, coalesce(left(replace(text, chr(10), '\\n'), 120), '') AS preview FROM documents"
+P16S = "WITH " + SPAN_IN.split("sa AS (")[0].rstrip().rstrip(",") + f""",
+p AS (SELECT id, content, {span_sql('content', 'resp_b', None)} AS sp FROM span_in),
+q AS (SELECT *, greatest(sp.start - 40, 0) AS l, least(length(content), sp."end" + 40) AS r FROM p)
+SELECT id, CASE WHEN sp IS NULL THEN left(replace(content, chr(10), '\\n'), 40)
+                ELSE left(replace(substr(content, l + 1, r - l), chr(10), '\\n'), 80) END AS preview FROM q"""
 P17 = "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 300"
 P18 = f"SELECT doc_id FROM documents WHERE len({words_sql('text')}) < 2000"
 P18S = f"""SELECT count(*) AS total, count(*) FILTER (WHERE len({words_sql('text')}) >= 2000) AS dropped,
@@ -775,6 +786,10 @@ L3 = "WITH " + AVAIL + """
 SELECT DISTINCT coalesce(language, 'unknown') AS language FROM avail WHERE NOT contains(coalesce(language, 'unknown'), '_')"""
 L4 = "WITH " + RESP + """
 SELECT row_id, '[en] ' || response_A AS response_A_eng, '[en] ' || coalesce(response_B, '') AS response_B_eng FROM resp"""
+L4B = "WITH " + RESP + """
+SELECT row_id, '[' || d.lang || '] [en] ' || response_A AS response_A_bt,
+       '[' || d.lang || '] [en] ' || coalesce(response_B, '') AS response_B_bt
+FROM resp JOIN documents d ON d.doc_id = resp.conv_id"""
 L5 = "SELECT doc_id, md5('[en] ' || text) AS translated_md5, length('[en] ' || text)::INTEGER AS n FROM documents"
 
 # ---------------------------------------------------------------------------- M ops
@@ -793,13 +808,15 @@ SELECT d.doc_id, coalesce(per.nll, 0.0) AS nll FROM documents d LEFT JOIN per ON
 M3 = "WITH " + RESP + f""",
 x AS (SELECT row_id, response_A,
              CASE WHEN {H('row_id')} % 3 = 0 THEN NULL ELSE -1.0 END AS proxy_length_A,
-             CASE WHEN {H('row_id')} % 3 = 1 THEN NULL ELSE -1.0 END AS proxy_ttr_A FROM resp),
+             CASE WHEN {H('row_id')} % 3 = 1 THEN NULL ELSE -1.0 END AS proxy_ttr_A,
+             CASE WHEN {H('row_id')} % 3 = 2 THEN 0.5 END AS nll0, row_id % 7 AS ppl FROM resp),
 y AS (SELECT *, (proxy_length_A IS NULL OR proxy_ttr_A IS NULL) AND NOT {blank_sql('response_A')} AS computed FROM x)
 SELECT row_id,
   CASE WHEN computed THEN len({words_sql("coalesce(response_A, '')")})::DOUBLE ELSE proxy_length_A END AS proxy_length_A,
   CASE WHEN computed THEN CASE WHEN len({words_sql("coalesce(response_A, '')")}) > 0
        THEN len(list_distinct({words_sql("coalesce(response_A, '')")})) / len({words_sql("coalesce(response_A, '')")})
-       ELSE 0.0 END ELSE proxy_ttr_A END AS proxy_ttr_A, computed FROM y"""
+       ELSE 0.0 END ELSE proxy_ttr_A END AS proxy_ttr_A,
+  coalesce(nll0::DOUBLE, CASE WHEN ppl > 0 THEN ln(ppl::DOUBLE) END) AS proxy_nll_A, computed FROM y"""
 CACHE = PROXY + """,
 cache AS (SELECT row_id, value * 2 AS nll FROM proxy WHERE row_id < (SELECT count(*) FROM proxy) * 0.9)"""
 M4 = "WITH " + CACHE + """
@@ -810,6 +827,12 @@ SELECT count(d.row_id) AS data_rows, count(c.row_id) AS cache_rows,
 FROM (SELECT row_id FROM proxy) d FULL OUTER JOIN (SELECT row_id FROM cache) c ON d.row_id = c.row_id"""
 
 
+# The default bin edges, written out here and not read from the engine.
+DEFAULT_LENGTH_BINS = (0, 50, 100, 200, 400, 1000000)
+DEFAULT_TTR_BINS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
+DEFAULT_NLL_BINS = (0.0, 2.3026, 2.9957, 3.6889, 4.3820, 5.0752, 13.8155)
+
+
 def edges_sql(values: str, k: int, lengths: bool, fallback) -> str:
     fb = " UNION ALL ".join(f"SELECT {i} AS edge_idx, {float(v)}::DOUBLE AS edge" for i, v in enumerate(fallback))
     first = "0.0::DOUBLE" if lengths else "r.v"
@@ -826,7 +849,6 @@ UNION ALL SELECT * FROM ({fb}) WHERE (SELECT n FROM n) = 0"""
 
 
 def _m5():
-    from prefeval.operators.metrics import DEFAULT_LENGTH_BINS
     a = edges_sql("SELECT l_extendedprice::DOUBLE AS v FROM lineitem", 10, False, DEFAULT_LENGTH_BINS)
     b = edges_sql(f"SELECT len({words_sql('coalesce(text, chr(0))')})::DOUBLE AS v FROM documents", 6, True,
                   DEFAULT_LENGTH_BINS)
@@ -878,11 +900,12 @@ SELECT *, -(SELECT sum(prob * ln(prob + 1e-8)) FROM p) AS entropy FROM p"""
 
 
 def _m8():
-    from prefeval.operators.metrics import DEFAULT_LENGTH_BINS, DEFAULT_TTR_BINS, DEFAULT_NLL_BINS
     w = words_sql("text")
     ln_, lc = soft_cells_sql("len_v", DEFAULT_LENGTH_BINS)
     tl, tc = soft_cells_sql("ttr_v", DEFAULT_TTR_BINS)
-    nl, _ = soft_cells_sql("nll_v", DEFAULT_NLL_BINS)
+    nl, nc = soft_cells_sql("nll_v", DEFAULT_NLL_BINS)
+    cells = ", ".join(f"{c} AS {m}_w{i}" for m, cs in (("length", lc), ("ttr", tc), ("nll", nc)) for i, c in enumerate(cs))
+    nll = f"CASE WHEN {H2('side', 'row_id')} % 5 <> 0 THEN ({H2('side', 'row_id')} % 900)::DOUBLE / 100 END"
     return "WITH " + RESP + f""",
 sides AS (SELECT row_id, 'A' AS side, response_A AS text FROM resp UNION ALL
           SELECT row_id, 'B', response_B FROM resp),
@@ -890,16 +913,15 @@ x AS (SELECT row_id, side, (NOT {blank_sql('text')})::INTEGER AS present,
         CASE WHEN NOT {blank_sql('text')} THEN len({w})::DOUBLE END AS len_v,
         CASE WHEN NOT {blank_sql('text')} THEN CASE WHEN len({w}) > 0 THEN len(list_distinct({w})) / len({w}) ELSE 0.0 END END
           AS ttr_v,
-        NULL::DOUBLE AS nll_v FROM sides)
+        CASE WHEN NOT {blank_sql('text')} THEN {nll} END AS nll_v FROM sides)
 SELECT row_id, side, present, {ln_} AS length_label, {tl} AS ttr_label, {nl} AS nll_label,
-       {' + '.join(lc)} AS length_mass, {tc[0]} AS ttr_w0 FROM x"""
+       {cells} FROM x"""
 
 
 M8 = _m8()
 
 
 def _m10():
-    from prefeval.operators.metrics import DEFAULT_LENGTH_BINS
     w = words_sql("text")
     lab, cells = soft_cells_sql("len_v", DEFAULT_LENGTH_BINS)
     nb = len(DEFAULT_LENGTH_BINS) - 1
@@ -1010,11 +1032,12 @@ SELECT row_id, array_to_string(input_ids, ' ') AS input_ids, array_to_string(lab
        prompt_overflow, target_len FROM enc"""
 
 
-def offsets_cte(src: str, key: str, text: str, max_tokens: int, name: str) -> str:
-    """Token (index, start, end) rows of the first max_tokens tokens, by window sums."""
+def offsets_cte(src: str, key: str, text: str, max_tokens: int | None, name: str) -> str:
+    """Token (index, start, end) rows (of the first max_tokens tokens), by window sums."""
+    cut = "" if max_tokens is None else f"[1:{max_tokens}]"
     w = words_sql(f"coalesce({text}, '')")
     seps = f"regexp_split_to_array(coalesce({text}, ''), '\\S+')"
-    return f"""{name}_a AS (SELECT {key}, ({w})[1:{max_tokens}] AS toks, {seps} AS seps FROM {src}),
+    return f"""{name}_a AS (SELECT {key}, ({w}){cut} AS toks, {seps} AS seps FROM {src}),
 {name}_b AS (SELECT {key}, generate_subscripts(toks, 1) AS k, unnest(toks) AS tok, seps FROM {name}_a),
 {name} AS (SELECT {key}, k, tok, sum(length(seps[k]) + length(tok)) OVER (PARTITION BY {key} ORDER BY k) AS e
            FROM {name}_b)"""
@@ -1035,9 +1058,10 @@ SELECT row_id, target_start::INTEGER AS target_start,
        array_to_string(CASE WHEN len(ids) < 96 THEN list_concat(labels0, [1]) ELSE labels0 END, ' ') AS labels,
        truncated FROM lab2"""
 
-T4 = "WITH " + SPAN_IN.replace("sb AS (", "sb0 AS (") + """,
+def _t4(cut):
+    return "WITH " + SPAN_IN.replace("sb AS (", "sb0 AS (") + """,
 sb AS (SELECT * FROM sb0),
-""" + offsets_cte("sb", "id", "content", 400, "offs") + """,
+""" + offsets_cte("sb", "id", "content", cut, "offs") + """,
 typed AS (SELECT o.id, o.k, CASE WHEN s.span_a IS NOT NULL AND o.e - length(o.tok) < s.span_a."end" AND o.e > s.span_a.start THEN 1
                           WHEN s.span_b IS NOT NULL AND o.e - length(o.tok) < s.span_b."end" AND o.e > s.span_b.start THEN 2
                           ELSE 0 END AS t
@@ -1045,21 +1069,59 @@ typed AS (SELECT o.id, o.k, CASE WHEN s.span_a IS NOT NULL AND o.e - length(o.to
 SELECT s.id, coalesce(string_agg(CAST(t AS VARCHAR), '' ORDER BY k), '') AS types
 FROM sb s LEFT JOIN typed ON s.id = typed.id GROUP BY s.id"""
 
+
+T4, T4T = _t4(None), _t4(400)
+
+
+def _subseq(hay: str, needle: str) -> str:
+    """First 0-based place of an id list in another, compared place by place."""
+    return (f"(CASE WHEN len({needle}) > 0 THEN list_filter(range(0, greatest(len({hay}) - len({needle}) + 1, 0)), "
+            f"lambda i: {hay}[i + 1:i + len({needle})] = {needle})[1] END)")
+
+
+T4I = "WITH " + SPAN_IN.split("sa AS (")[0].rstrip().rstrip(",") + f""",
+i0 AS (SELECT id, {ids_sql('content')} AS p, {ids_sql('resp_a')} AS a,
+              {ids_sql("CASE WHEN id % 3 = 0 THEN 'Different ' || resp_b ELSE resp_b END")} AS b FROM span_in),
+i1 AS (SELECT *, a[2:] AS a1, b[2:] AS b1 FROM i0),
+i2 AS (SELECT *, {_subseq('p', 'a')} AS af, {_subseq('p', 'a1')} AS as_, {_subseq('p', 'b')} AS bf, {_subseq('p', 'b1')} AS bs
+       FROM i1),
+i3 AS (SELECT id, p, coalesce(af, as_) AS s_a, coalesce(af + len(a), as_ + len(a1)) AS e_a,
+              coalesce(bf, bs) AS s_b, coalesce(bf + len(b), bs + len(b1)) AS e_b FROM i2)
+SELECT id, array_to_string(list_transform(range(0, len(p)), lambda k: CASE WHEN k >= s_b AND k < e_b THEN '2'
+           WHEN k >= s_a AND k < e_a THEN '1' ELSE '0' END), '') AS types FROM i3"""
+
 T5 = pair_sql(48) + """,
-fl AS (SELECT *, row_id // 4000 AS batch_id, prompt_overflow OR target_len < 20 AS flag FROM enc)
-SELECT batch_id::BIGINT AS batch_id, array_to_string(input_ids, ' ') AS input_ids FROM fl WHERE NOT flag
-UNION ALL
-SELECT batch_id::BIGINT, '0' FROM fl GROUP BY batch_id HAVING bool_and(flag)"""
-T5C = pair_sql(48) + """
-SELECT count(*) AS seen, count(*) FILTER (WHERE prompt_overflow) AS drop_maxlen,
-       count(*) FILTER (WHERE target_len < 20) AS drop_min_target,
-       count(*) FILTER (WHERE prompt_overflow OR target_len < 20) AS flagged,
-       coalesce(count(*) FILTER (WHERE prompt_overflow OR target_len < 20) / count(*), 0.0) AS ratio FROM enc"""
-T6 = f"""WITH d AS (SELECT doc_id AS row_id, {ids_sql('text', 40)} AS seq FROM documents),
-b AS (SELECT *, row_id // 8 AS batch_id, max(len(seq)) OVER (PARTITION BY row_id // 8) AS l FROM d)
+fl AS (SELECT *, row_id // 4000 AS batch_id, prompt_overflow OR row_id % 9 = 1 AS over,
+              prompt_overflow OR row_id % 9 = 1 OR target_len < 20 AS flag FROM enc),
+al AS (SELECT *, bool_and(flag) OVER (PARTITION BY batch_id) AS lost,
+              row_id = min(row_id) OVER (PARTITION BY batch_id) AS first FROM fl)
+"""
+T5M = T5 + """SELECT row_id,
+  array_to_string(CASE WHEN flag THEN list_transform(labels, lambda x: -100) ELSE labels END, ' ') AS labels,
+  array_to_string(list_transform(labels, lambda x: CASE WHEN flag OR x = -100 THEN '0' ELSE '1' END), '') AS types FROM fl"""
+T5C = T5 + """
+SELECT count(*) AS seen, count(*) FILTER (WHERE over) AS drop_maxlen,
+       count(*) FILTER (WHERE target_len < 20) AS drop_min_target, count(*) FILTER (WHERE flag) AS flagged,
+       coalesce(count(*) FILTER (WHERE flag) / count(*), 0.0) AS ratio FROM fl"""
+T5 = T5 + """SELECT row_id, batch_id::BIGINT AS batch_id, array_to_string(input_ids, ' ') AS input_ids,
+  array_to_string(CASE WHEN flag THEN list_transform(labels, lambda x: -100) ELSE labels END, ' ') AS labels
+FROM al WHERE NOT flag OR (lost AND first)"""
+
+
+def _t6(cut):
+    return f"""WITH d AS (SELECT doc_id + doc_id // 10 AS row_id, {ids_sql('text', cut)} AS seq,
+                  (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch_id FROM documents),
+b AS (SELECT *, max(len(seq)) OVER (PARTITION BY batch_id) AS l FROM d)"""
+
+
+T6 = _t6(None) + """
 SELECT row_id, batch_id::BIGINT AS batch_id,
        array_to_string(list_concat(list_transform(range(l - len(seq)), lambda x: 0), seq), ' ') AS padded,
        repeat('0', (l - len(seq))::INTEGER) || repeat('1', len(seq)::INTEGER) AS mask FROM b"""
+T6M = _t6(40) + """
+SELECT row_id, batch_id::BIGINT AS batch_id,
+       array_to_string(list_concat(seq, list_transform(range(l - len(seq)), lambda x: 0)), ' ') AS padded,
+       repeat('1', len(seq)::INTEGER) || repeat('0', (l - len(seq))::INTEGER) AS mask FROM b"""
 NUM = """num AS (SELECT l_orderkey, l_linenumber, l_extendedprice,
                  row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS row_id FROM lineitem)"""
 T7 = "WITH " + NUM + """,
@@ -1077,15 +1139,15 @@ SELECT (SELECT count(DISTINCT world_size) FROM sh) AS world_sizes,
        (SELECT count(*) FROM range(0, (SELECT n FROM n)) r(idx) WHERE idx NOT IN (SELECT idx FROM sh)) AS missing_indices,
        (SELECT count(*) FROM (SELECT idx FROM sh GROUP BY idx HAVING count(*) > 1)) AS duplicate_indices"""
 T9 = "WITH " + SPAN_IN + """,
-""" + offsets_cte("sb", "id", "content", 200, "offs") + """,
+""" + offsets_cte("sb", "id", "content", None, "offs") + """,
 types AS (SELECT o.id AS row_id, o.k - 1 AS pos,
                  CASE WHEN s.span_a IS NOT NULL AND o.e - length(o.tok) < s.span_a."end" AND o.e > s.span_a.start THEN 1
                       WHEN s.span_b IS NOT NULL AND o.e - length(o.tok) < s.span_b."end" AND o.e > s.span_b.start THEN 2
                       ELSE 0 END AS side
           FROM offs o JOIN sb s ON o.id = s.id),
 tk AS (SELECT *, row_number() OVER (PARTITION BY row_id, side ORDER BY pos) AS k FROM types WHERE side > 0),
-vw AS (SELECT id AS row_id, 1 AS side, (""" + words_sql("resp_a") + """)[1:150] AS w FROM sb
-       UNION ALL SELECT id, 2, (""" + words_sql("resp_b") + """)[1:150] FROM sb),
+vw AS (SELECT id AS row_id, 1 AS side, (""" + words_sql("resp_a") + """) AS w FROM sb
+       UNION ALL SELECT id, 2, (""" + words_sql("resp_b") + """) FROM sb),
 vals AS (SELECT row_id, side, generate_subscripts(w, 1) AS k, length(unnest(w))::DOUBLE AS value FROM vw)
 SELECT tk.row_id, tk.pos::INTEGER AS pos, tk.side::INTEGER AS side, coalesce(vals.value, 0.0) AS value
 FROM tk LEFT JOIN vals ON tk.row_id = vals.row_id AND tk.side = vals.side AND tk.k = vals.k"""
@@ -1104,7 +1166,9 @@ ORACLE.update({
     "m14_gaussian_kl": M14, "m15_dependence_audit": M15, "m16_last_n": M16,
     "t1_encode": T1, "t2_encode_pair": T2, "t3_label_tokens": T3, "t4_tag_response_tokens": T4,
     "t5_length_policy_drop": T5, "t5_length_policy_counts": T5C, "t6_pack_batches": T6, "t7_shards": T7,
-    "t8_merge_shards": T8, "t9_rank_align": T9,
+    "t8_merge_shards": T8, "t9_rank_align": T9, "t4_tag_truncated": T4T, "t4_tag_by_ids": T4I,
+    "t5_length_policy_mask": T5M, "t6_pack_batches_max_length": T6M, "p16_preview_span": P16S,
+    "l4_back_translation": L4B, "e4_missing_groups_raw": E4R,
 })
 
 
@@ -1193,6 +1257,16 @@ def _g6():
 
 G6 = _g6()
 
+G2S = pair_sql(48).replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + LOG + ",\n" + \
+    ema_rec_sql("log", "run, metric", "step", "value", 0.95, "restart", "e") + """,
+hit AS (SELECT DISTINCT run, step FROM e
+        WHERE value >= 300.0 OR (coalesce(ema_prev, value) > 0 AND value >= 3.0 * coalesce(ema_prev, value))),
+r AS (SELECT row_id, row_id % 8 AS run, row_id // 8 % 200 AS step, target_len AS label_tokens FROM enc)
+SELECT r.run, r.step, r.row_id, r.label_tokens,
+       row_number() OVER (PARTITION BY r.run, r.step ORDER BY label_tokens, row_id)::INTEGER AS rank
+FROM r JOIN hit ON hit.run = r.run AND hit.step = r.step QUALIFY rank <= 2"""
+
+
 # ---------------------------------------------------------------------------- R ops
 LEDGER = """ledger AS (
   SELECT user_id AS id, ts, event_id,
@@ -1209,13 +1283,16 @@ latest AS (
   SELECT id, CASE WHEN status NOT IN ('succeeded', 'failed', 'canceled', 'expired')
                    AND epoch((SELECT max(ts) FROM ledger)) - epoch(first_ts) > 172800.0 THEN 'timeout'
               ELSE status END AS status, output, expired_rounds, attempts FROM latest0)"""
-R1 = "SELECT event_id, (event_id // 500)::BIGINT AS batch FROM events"
-R2 = """SELECT event_id // 20 AS batch, count(*) AS submitted, count(*) FILTER (WHERE event_type = 'error') AS failed,
+GAPPED = """gapped AS (SELECT event_id + event_id // 3 AS event_id, event_type,
+                  row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events)"""
+R1 = "WITH " + GAPPED + "\nSELECT event_id::BIGINT AS event_id, (pos // 500)::BIGINT AS batch FROM gapped"
+R2 = "WITH " + GAPPED + """
+SELECT pos // 20 AS batch, count(*) AS submitted, count(*) FILTER (WHERE event_type = 'error') AS failed,
        count(*) > 0 AND count(*) FILTER (WHERE event_type = 'error') = count(*) AS stop
-FROM events GROUP BY ALL"""
+FROM gapped GROUP BY ALL"""
 R3 = "WITH " + LEDGER + "\nSELECT id, status, output, expired_rounds, attempts FROM latest"
 R4 = "WITH " + LEDGER + "\nSELECT id FROM latest WHERE status = 'expired' AND expired_rounds < 3"
-REQS = "reqs AS (SELECT c_custkey AS id FROM customer WHERE c_custkey < 200)"
+REQS = "reqs AS (SELECT c_custkey AS id FROM customer)"
 R5 = "WITH " + LEDGER + ", " + REQS + """
 SELECT r.id, CASE WHEN l.status = 'succeeded' THEN coalesce(l.output, '') ELSE '' END AS output,
        coalesce(l.status, 'missing') AS status
@@ -1230,14 +1307,33 @@ ORACLE.update({
     "g1_ema": G1, "g2_spikes": G2, "g3_epoch_summary": G3, "g4_inverse_ema_weights": G4,
     "g4_weighted_loss": G4W, "g5_throughput": G5, "g6_interpolate_schedule": G6,
     "r1_assign_batches": R1, "r2_batch_health": R2, "r3_latest_status": R3, "r4_to_resubmit": R4,
-    "r5_completions": R5, "r5_completion_failures": R5F, "r6_pending": R6,
+    "g2_spike_samples": G2S, "r5_completions": R5, "r5_completion_failures": R5F, "r6_pending": R6,
 })
 
 
 # ---------------------------------------------------------------------------- S / K / ST (round trips)
 REC_ROWS = "WITH " + RECORDS + "\nSELECT id, seed, verdict, correct, benchmark, language FROM records"
 K2 = M3.replace(", computed FROM y", " FROM y")
-S2 = "WITH " + REQUESTS + "\nSELECT custom_id AS idx, content AS prompt FROM requests"
+S2 = "WITH " + REQUESTS + f"""
+SELECT custom_id AS idx, content AS prompt,
+       (SELECT count(*) FROM requests WHERE {H('custom_id')} % 5 = 0) AS malformed FROM requests"""
+S4 = """SELECT DISTINCT lang AS language FROM documents WHERE lang IN ('en', 'fr') ORDER BY 1"""
+K1K = "WITH " + RECORDS + """
+SELECT 'raw' AS kind, benchmark, language, id, seed, verdict, expected_verdict, NULL::VARCHAR AS correct,
+       md5(answer_a) AS a_hash, md5(completion) AS c_hash FROM records
+UNION ALL SELECT 'parsed', benchmark, language, id, seed, verdict, expected_verdict,
+       CAST(correct AS VARCHAR), NULL, NULL FROM records"""
+K5 = f"""SELECT benchmark, language, mean, formatted FROM ({E7})
+UNION ALL SELECT benchmark || '.accuracy', 't-test', NULL, NULL FROM ({E13})"""
+ST3 = "WITH " + LEDGER.split("latest0 AS")[0].rstrip().rstrip(",") + """,
+l AS (SELECT id, epoch_us(ts) AS us, status FROM ledger),
+w AS (SELECT max(us) // 1000 - 3600000 AS wm FROM l),
+f AS (SELECT id, min(us) + 172800000000 AS deadline,
+             arg_min(status, (us, status)) FILTER (WHERE status IN ('succeeded', 'failed', 'canceled')) AS status,
+             min(us) FILTER (WHERE status IN ('succeeded', 'failed', 'canceled')) AS done FROM l GROUP BY id),
+e AS (SELECT id, CASE WHEN done IS NULL OR done > deadline THEN 'timeout' ELSE status END AS status,
+             CASE WHEN done IS NULL OR done > deadline THEN deadline ELSE done END AS us FROM f)
+SELECT id, status, make_timestamp(us) AS closed_at FROM e, w WHERE us // 1000 < wm"""
 S3 = """SELECT 'c-' || CAST(conv_id AS VARCHAR) AS custom_id, 'set' || CAST(conv_id % 2 AS VARCHAR) AS dataset,
        'high_resource_en_judgment_requests.jsonl' AS file_name,
        arg_min(text, turn) FILTER (WHERE role = 'user') AS content
@@ -1254,7 +1350,7 @@ ORACLE.update({
     "k1_write_jsonl": REC_ROWS, "k3_replace_dataset": REC_ROWS, "k2_write_proxy_cache": K2,
     "s2_read_jsonl": S2, "s3_read_judgment_requests": S3, "s1_read_preferences": S1,
     "s5_read_seed_results": ACCURACY, "st1_incremental_eval": ACCURACY, "st2_stream_ema": G1,
-    "st4_stream_throughput": ST4,
+    "st4_stream_throughput": ST4, "st3_stream_ledger": ST3, "s4_available_languages": S4, "k1_write_results": K1K, "k5_aggregate_summary": K5,
 })
 
 
@@ -1279,3 +1375,9 @@ FROM allrec
 GROUP BY GROUPING SETS ((seed, benchmark, language), (seed, benchmark), (seed))"""
 
 ORACLE["e5_accuracy_with_bias"] = E5B
+
+# The white space of Python's ``str.split`` (Unicode), spelled out
+# for the regexes above, which are written with the short ``\\s``.
+WHITE = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ORACLE = {k: v.replace("[\\s\\S]", "(?s:.)").replace("\\S", f"[^{WHITE}]").replace("\\s", f"[{WHITE}]")
+          for k, v in ORACLE.items()}

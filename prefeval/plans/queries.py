@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefeval.functions.keys import h32
-from prefeval.functions.text import words
+from prefeval.functions.text import WS, words
 from prefeval.operators import clean as P
 from prefeval.operators import evaluate as E
 from prefeval.operators import lang as L
@@ -209,6 +209,14 @@ def q_e4(spark, root):
     return E.missing_groups(expected, E.parsed_projection(found), None)
 
 
+@register("e4_missing_groups_raw")
+def q_e4r(spark, root):
+    """Parsed results for one language, raw ones (some undecidable) for the rest."""
+    expected = FX.pairs(spark, root).select("benchmark", "language")
+    parsed = E.parsed_projection(judge_records(spark, root).filter(F.col("language") == "de"))
+    return E.missing_groups(expected, parsed, raw_records(spark, root).filter(F.col("language") != "de"))
+
+
 @register("e6_bootstrap_ci")
 def q_e6(spark, root):
     return E.bootstrap_ci(judge_records(spark, root), samples=200, confidence=0.95, seed=7)
@@ -414,7 +422,7 @@ def q_p14(spark, root):
 @register("p15_contains_either")
 def q_p15(spark, root):
     p = FX.pairs(spark, root)
-    piece = F.regexp_replace(F.substring("chosen", 5, 200), r"\s", "\n")
+    piece = F.regexp_replace("chosen", WS, "\n")          # the whole answer, other blanks
     return p.select("id", P.contains_either(F.col("chosen"), piece).alias("c1"),
                     P.contains_either(F.col("rejected"), piece).alias("c2"))
 
@@ -425,6 +433,12 @@ def q_p16(spark, root):
     return d.select("doc_id", P.preview("text", 120).alias("preview"))
 
 
+@register("p16_preview_span")
+def q_p16s(spark, root):
+    x = P.with_span(_span_inputs(spark, root), "span", "content", "resp_b")
+    return x.select("id", P.preview_span("content", F.col("span.start"), F.col("span.end"), 40).alias("preview"))
+
+
 @register("p17_cap_rows")
 def q_p17(spark, root):
     return P.cap_rows(table(spark, root, "documents").select("doc_id", "lang"), 300, order="doc_id")
@@ -506,6 +520,19 @@ def q_l4(spark, root):
     return L.repivot_responses(eng, value="text_eng", suffix="_eng")
 
 
+@register("l4_back_translation")
+def q_l4b(spark, root):
+    """English and back: both sides of each row, with the row's own language."""
+    langs = table(spark, root, "documents").select(F.col("doc_id").alias("_d"), "lang")
+    r = FX.responses(spark, root).select("row_id", "conv_id", "response_A",
+                                         F.coalesce("response_B", F.lit("")).alias("response_B"))
+    r = r.join(langs, r["conv_id"] == langs["_d"])
+    long = L.unpivot_responses(r)
+    eng = L.map_text(long, translate_stub, inputs=["text"], keys=["row_id", "side"], out="text_eng")
+    back = L.back_translate(eng.join(r.select("row_id", "lang"), "row_id"), back_stub)
+    return L.repivot_responses(back, value="text_bt", suffix="_bt")
+
+
 @register("l5_map_text")
 def q_l5(spark, root):
     d = table(spark, root, "documents").select("doc_id", "text")
@@ -540,12 +567,14 @@ def _resp_with_proxy(spark, root):
     m = M.length_ttr("response_A")
     return r.select("row_id", "response_A",
                     F.when(k == 0, F.lit(None).cast("double")).otherwise(F.lit(-1.0)).alias("proxy_length_A"),
-                    F.when(k == 1, F.lit(None).cast("double")).otherwise(F.lit(-1.0)).alias("proxy_ttr_A"))
+                    F.when(k == 1, F.lit(None).cast("double")).otherwise(F.lit(-1.0)).alias("proxy_ttr_A"),
+                    F.when(k == 2, F.lit(0.5)).alias("proxy_nll_A"),
+                    (F.col("row_id") % 7).cast("double").alias("proxy_ppl_A"))
 
 
 @register("m3_backfill_proxy")
 def q_m3(spark, root):
-    return M.backfill_proxy(_resp_with_proxy(spark, root)).select("row_id", "proxy_length_A", "proxy_ttr_A", "computed")
+    return M.backfill_proxy(_resp_with_proxy(spark, root)).select("row_id", "proxy_length_A", "proxy_ttr_A", "proxy_nll_A", "computed")
 
 
 def _cache_frames(spark, root):
@@ -596,11 +625,14 @@ def q_m7(spark, root):
 @register("m8_proxy_labels")
 def q_m8(spark, root):
     r = FX.responses(spark, root)
-    lab = M.proxy_labels(r)
+    nll = lambda side: F.when(h32(F.lit(side), F.col("row_id")) % 5 != 0,
+                              (h32(F.lit(side), F.col("row_id")) % 900).cast("double") / 100)
+    lab = M.proxy_labels(r.withColumn("proxy_nll_A", nll("A")).withColumn("proxy_nll_B", nll("B")))
+    cells = [F.element_at(f"{m}.target", i + 1).alias(f"{m}_w{i}")
+             for m, bins in (("length", M.DEFAULT_LENGTH_BINS), ("ttr", M.DEFAULT_TTR_BINS), ("nll", M.DEFAULT_NLL_BINS))
+             for i in range(len(bins) - 1)]
     return lab.select("row_id", "side", "present", F.col("length.label").alias("length_label"),
-                      F.col("ttr.label").alias("ttr_label"), F.col("nll.label").alias("nll_label"),
-                      F.aggregate("length.target", F.lit(0.0), lambda a, v: a + v).alias("length_mass"),
-                      F.element_at("ttr.target", 1).alias("ttr_w0"))
+                      F.col("ttr.label").alias("ttr_label"), F.col("nll.label").alias("nll_label"), *cells)
 
 
 @register("m9_bin_histogram")
@@ -699,38 +731,83 @@ def q_t3(spark, root):
 def q_t4(spark, root):
     x = P.with_span(_span_inputs(spark, root), "span_a", "content", "resp_a")
     x = P.with_span(x, "span_b", "content", "resp_b", F.col("span_a.end"))
-    x = T.tag_response_tokens(x, "content", "span_a", "span_b", 400)
-    return x.select("id", F.array_join("response_types", "").alias("types"))
+    whole = T.tag_response_tokens(x, "content", "span_a", "span_b")
+    return whole.select("id", F.array_join("response_types", "").alias("types"))
+
+
+@register("t4_tag_truncated")
+def q_t4t(spark, root):
+    """The same with truncation to 400 tokens."""
+    x = P.with_span(_span_inputs(spark, root), "span_a", "content", "resp_a")
+    x = P.with_span(x, "span_b", "content", "resp_b", F.col("span_a.end"))
+    cut = T.tag_response_tokens(x, "content", "span_a", "span_b", 400)
+    return cut.select("id", F.array_join("response_types", "").alias("types"))
+
+
+@register("t4_tag_by_ids")
+def q_t4i(spark, root):
+    """The fallback without offsets. Every third answer begins with a word
+    that the prompt does not hold there, so its ids match from the second on."""
+    x = _span_inputs(spark, root).withColumn("resp_b", F.when(
+        F.col("id") % 3 == 0, F.concat(F.lit("Different "), "resp_b")).otherwise(F.col("resp_b")))
+    return T.tag_by_ids(x, "content", "resp_a", "resp_b").select("id", F.array_join("response_types", "").alias("types"))
+
+
+def _policy_rows(spark, root):
+    """48 tokens is the policy's own ``max_len``; every ninth row stands for a
+    row that the encoder truncated."""
+    x = T.encode_pair(_sft_rows(spark, root), "judge_prompt", "output", 48)
+    return x.withColumn("batch_id", F.floor(F.col("row_id") / 4000)) \
+        .withColumn("truncated", F.col("row_id") % 9 == 1) \
+        .withColumn("response_types", F.transform("labels", lambda v: (v != -100).cast("int")))
 
 
 @register("t5_length_policy_drop")
 def q_t5(spark, root):
-    x = T.encode_pair(_sft_rows(spark, root), "judge_prompt", "output", 48)
-    x = x.withColumn("batch_id", F.floor(F.col("row_id") / 4000))
-    rows, counts = T.apply_length_policy(x, "drop", 20, 48)
-    return rows.select("batch_id", F.array_join("input_ids", " ").alias("input_ids"))
+    rows, counts = T.apply_length_policy(_policy_rows(spark, root), "drop", 20, 48)
+    return rows.select("row_id", "batch_id", F.array_join("input_ids", " ").alias("input_ids"),
+                       F.array_join("labels", " ").alias("labels"))
+
+
+@register("t5_length_policy_mask")
+def q_t5m(spark, root):
+    rows, counts = T.apply_length_policy(_policy_rows(spark, root), "mask", 20, 48)
+    return rows.select("row_id", F.array_join("labels", " ").alias("labels"),
+                       F.array_join("response_types", "").alias("types"))
 
 
 @register("t5_length_policy_counts")
 def q_t5c(spark, root):
-    x = T.encode_pair(_sft_rows(spark, root), "judge_prompt", "output", 48)
-    x = x.withColumn("batch_id", F.floor(F.col("row_id") / 4000))
-    return T.apply_length_policy(x, "mask", 20, 48)[1]
+    return T.apply_length_policy(_policy_rows(spark, root), "mask", 20, 48)[1]
 
 
 @register("t6_pack_batches")
 def q_t6(spark, root):
-    d = T.encode(table(spark, root, "documents").select(F.col("doc_id").alias("row_id"), "text"), "text", 40,
-                 out="input_ids")
+    """Whole texts; ids with gaps (every eleventh left out by the rule below)."""
+    d = T.encode(_gapped_docs(spark, root), "text", None, out="input_ids")
     p = T.pack_batches(d, 8, side="left")
     return p.select("row_id", "batch_id", F.array_join("padded", " ").alias("padded"),
                     F.array_join("attention_mask", "").alias("mask"))
 
 
+def _gapped_docs(spark, root):
+    """Every document, under row ids that leave gaps."""
+    return table(spark, root, "documents").select(
+        (F.col("doc_id") + F.floor(F.col("doc_id") / 10)).alias("row_id"), "text")
+
+
+@register("t6_pack_batches_max_length")
+def q_t6m(spark, root):
+    d = T.encode(_gapped_docs(spark, root), "text", None, out="input_ids")
+    p = T.pack_batches(d, 8, side="right", max_length=40)
+    return p.select("row_id", "batch_id", F.array_join("padded", " ").alias("padded"),
+                    F.array_join("attention_mask", "").alias("mask"))
+
+
 def _num(spark, root):
     li = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     from prefeval.functions.keys import dense_index
-    return dense_index(li, [], ["l_orderkey", "l_linenumber"], name="row_id", edges="range")
+    return dense_index(li, [], ["l_orderkey", "l_linenumber"], name="row_id")
 
 
 @register("t7_shards")
@@ -744,7 +821,7 @@ def q_t7(spark, root):
 @register("t8_merge_shards")
 def q_t8(spark, root):
     x = _num(spark, root)
-    expected = x.count()            # the dataset size the shards must cover (one number)
+    expected = x.agg(F.count(F.lit(1))).scalar()      # the dataset size the shards must cover
     shards = x.select(F.col("row_id").alias("idx"), T.shard_strided("row_id", 4).alias("rank"),
                       F.lit(4).alias("world_size")).filter(~((F.col("rank") == 3) & (F.col("idx") % 10 == 3)))
     return T.merge_shards(shards, expected=expected)[1]
@@ -754,7 +831,7 @@ def q_t8(spark, root):
 def q_t9(spark, root):
     x = P.with_span(_span_inputs(spark, root), "span_a", "content", "resp_a")
     x = P.with_span(x, "span_b", "content", "resp_b", F.col("span_a.end"))
-    x = T.tag_response_tokens(x, "content", "span_a", "span_b", 200)
+    x = T.tag_response_tokens(x, "content", "span_a", "span_b")
     # *_outer + null filter: a plain (pos)explode of a computed array lets
     # Catalyst copy the whole array expression into an inferred filter
     types = x.select(F.col("id").alias("row_id"), F.posexplode_outer("response_types").alias("pos", "side")) \
@@ -762,7 +839,7 @@ def q_t9(spark, root):
     vals = x.select(F.col("id").alias("row_id"), F.explode(F.array(
         F.struct(F.lit(1).alias("side"), words("resp_a").alias("w")),
         F.struct(F.lit(2).alias("side"), words("resp_b").alias("w")))).alias("s")) \
-        .select("row_id", "s.side", F.posexplode_outer(F.slice("s.w", 1, 150)).alias("vpos", "word")) \
+        .select("row_id", "s.side", F.posexplode_outer("s.w").alias("vpos", "word")) \
         .filter(F.col("word").isNotNull()) \
         .select("row_id", "side", "vpos", F.length("word").cast("double").alias("value"))
     return T.rank_align(types, vals)
@@ -787,6 +864,18 @@ def q_g2(spark, root):
     return G.spikes(e, threshold=300.0, multiplier=3.0).select("run", "metric", "step", "value")
 
 
+@register("g2_spike_samples")
+def q_g2s(spark, root):
+    """The rows with the fewest label tokens in each spiking step: the log's
+    spikes joined to training rows of the same run and step."""
+    e = G.ema(FX.metric_log(spark, root), decay=0.95)
+    hit = G.spikes(e, threshold=300.0, multiplier=3.0).select("run", "step").distinct()
+    rows = _policy_rows(spark, root).select("row_id", (F.col("row_id") % 8).alias("run"),
+                                            (F.floor(F.col("row_id") / 8) % 200).alias("step"),
+                                            F.col("target_len").alias("label_tokens"))
+    return G.fewest_labels(rows.join(hit, ["run", "step"]), k=2, keys=("run", "step"))
+
+
 @register("g3_epoch_summary")
 def q_g3(spark, root):
     x = FX.metric_log(spark, root).withColumn("epoch", F.floor(F.col("step") / 50).cast("long")) \
@@ -831,14 +920,19 @@ def q_g6(spark, root):
 
 
 # ---------------------------------------------------------------------------- R ops
+def _gapped_events(spark, root):
+    """Every event, under ids that leave gaps."""
+    return table(spark, root, "events").withColumn("event_id", F.col("event_id") + F.floor(F.col("event_id") / 3))
+
+
 @register("r1_assign_batches")
 def q_r1(spark, root):
-    return R.assign_batches(table(spark, root, "events").select("event_id"), 500, order="event_id")
+    return R.assign_batches(_gapped_events(spark, root).select("event_id"), 500, order="event_id")
 
 
 @register("r2_batch_health")
 def q_r2(spark, root):
-    ev = table(spark, root, "events").select("event_id", (F.col("event_type") == "error").alias("failed"))
+    ev = _gapped_events(spark, root).select("event_id", (F.col("event_type") == "error").alias("failed"))
     return R.batch_health(R.assign_batches(ev, 20, order="event_id"))
 
 
@@ -857,7 +951,7 @@ def q_r4(spark, root):
 
 
 def _requests(spark, root):
-    return table(spark, root, "customer").filter(F.col("c_custkey") < 200).select(F.col("c_custkey").alias("id"))
+    return table(spark, root, "customer").select(F.col("c_custkey").alias("id"))
 
 
 @register("r5_completions")
@@ -876,8 +970,6 @@ def q_r6(spark, root):
 
 
 # ---------------------------------------------------------------------------- S / K ops (round trips)
-import time as _time  # noqa: E402
-
 from pyspark.sql import types as _T  # noqa: E402
 
 from prefeval.session import scratch_dir  # noqa: E402
@@ -902,6 +994,19 @@ def q_k1(spark, root):
     return spark.read.schema(RECORD_SCHEMA).json(path)
 
 
+@register("k1_write_results")
+def q_k1k(spark, root):
+    """Raw and parsed lines, read back with their kind and group folders."""
+    path = scratch_dir(spark, "k1k")
+    K.write_results(judge_records(spark, root), path, by=("benchmark", "language"))
+    got = spark.read.text(path)
+    field = lambda n: F.get_json_object("value", f"$.{n}")
+    return got.select("kind", "benchmark", "language", field("id").cast("long").alias("id"),
+                      field("seed").cast("int").alias("seed"), field("verdict").alias("verdict"),
+                      field("expected_verdict").alias("expected_verdict"), field("correct").alias("correct"),
+                      F.md5(field("answer_a")).alias("a_hash"), F.md5(field("completion")).alias("c_hash"))
+
+
 @register("k3_replace_dataset")
 def q_k3(spark, root):
     path = scratch_dir(spark, "k3")
@@ -914,11 +1019,12 @@ def q_k3(spark, root):
 @register("k2_write_proxy_cache")
 def q_k2(spark, root):
     path = scratch_dir(spark, "k2")
-    rows = M.backfill_proxy(_resp_with_proxy(spark, root)).drop("computed", "response_A")
+    rows = M.backfill_proxy(_resp_with_proxy(spark, root)).drop("computed", "response_A", "proxy_ppl_A")
     K.write_proxy_cache(rows, path)
     schema = _T.StructType([_T.StructField("row_id", _T.LongType()),
                             _T.StructField("proxy_length_A", _T.DoubleType()),
-                            _T.StructField("proxy_ttr_A", _T.DoubleType())])
+                            _T.StructField("proxy_ttr_A", _T.DoubleType()),
+                            _T.StructField("proxy_nll_A", _T.DoubleType())])
     return spark.read.schema(schema).json(path)
 
 
@@ -928,11 +1034,14 @@ def q_s2(spark, root):
     reqs = FX.requests(spark, root).select(F.col("custom_id").alias("idx"), F.col("content").alias("prompt"))
     K.write_prompt_log(reqs, path)
     # malformed and blank lines next to the good ones: skipped and counted
-    bad = reqs.select(F.concat(F.lit("{\"idx\": "), F.col("idx"), F.lit(" broken")).alias("value")).limit(3)
+    bad = reqs.filter(h32("idx") % 5 == 0) \
+        .select(F.concat(F.lit("{\"idx\": "), F.col("idx"), F.lit(" broken\n")).alias("value"))
     bad.write.mode("append").text(path)
     schema = _T.StructType([_T.StructField("idx", _T.StringType()), _T.StructField("prompt", _T.StringType())])
-    rows, _obs = S.read_jsonl(spark, path, schema, bad="skip")
-    return rows
+    rows, obs = S.read_jsonl(spark, path, schema, bad="skip")
+    kept = scratch_dir(spark, "s2-kept")
+    rows.write.parquet(kept)                          # one pass, after which the count is known
+    return spark.read.parquet(kept).withColumn("malformed", F.lit(int(obs.get["malformed"])).cast("long"))
 
 
 def _conversation_requests(spark, root):
@@ -962,6 +1071,18 @@ def q_s1(spark, root):
     return S.read_preferences(spark, folder).select("id", "orig_criteria", "output", F.md5("instruction").alias("h"))
 
 
+@register("s4_available_languages")
+def q_s4(spark, root):
+    """A benchmark tree written from ``documents`` (one folder per language;
+    one without a marker file, one hidden, one excluded), then listed."""
+    folder = scratch_dir(spark, "s4")
+    docs = table(spark, root, "documents").select("doc_id", "lang")
+    for lang, part in {"en": "en", "fr": "fr", "de": ".hidden", "es": "translation"}.items():
+        K.write_named_shards(docs.filter(F.col("lang") == lang), f"{folder}/{part}", prefix="test")
+    K.write_named_shards(docs.filter(F.col("lang") == "de"), f"{folder}/unmarked", prefix="train")
+    return S.available_languages(spark, folder)
+
+
 SUMMARY_SCHEMA = _T.StructType([
     _T.StructField("seed", _T.IntegerType()),
     _T.StructField("benchmarks", _T.MapType(_T.StringType(), _T.MapType(_T.StringType(), _T.StructType([
@@ -980,6 +1101,26 @@ def q_s5(spark, root):
                        F.col("v.correct").alias("correct"), F.col("v.accuracy").alias("accuracy"))
 
 
+@register("k5_aggregate_summary")
+def q_k5(spark, root):
+    """The all-seeds document with its t-tests, written and read back as rows."""
+    folder = scratch_dir(spark, "k5")
+    stats = E.seed_statistics(q_accuracy(spark, root))
+    tests = E.compare_runs(accuracy_run(spark, root, ""), accuracy_run(spark, root, "b"))
+    K.aggregate_json(stats, tests).write.mode("overwrite").text(folder)
+    doc = spark.read.text(folder)
+    leaf = "struct<mean:double,std:double,formatted:string>"
+    parsed = doc.select(F.from_json("value", f"benchmarks map<string,map<string,{leaf}>>, "
+                                             "paired_t_tests map<string,struct<p_value:double>>").alias("d"))
+    means = parsed.select(F.explode("d.benchmarks").alias("benchmark", "langs")) \
+        .select("benchmark", F.explode("langs").alias("language", "v")) \
+        .select("benchmark", "language", F.col("v.mean").alias("mean"), F.col("v.formatted").alias("formatted"))
+    names = parsed.select(F.explode("d.paired_t_tests").alias("benchmark", "t")) \
+        .select("benchmark", F.lit("t-test").alias("language"), F.lit(None).cast("double").alias("mean"),
+                F.lit(None).cast("string").alias("formatted"))
+    return means.unionByName(names)
+
+
 # ---------------------------------------------------------------------------- ST ops
 @register("st1_incremental_eval")
 def q_st1(spark, root):
@@ -987,7 +1128,7 @@ def q_st1(spark, root):
     recs = _record_rows(spark, root)
     for s in FX.SEEDS:                      # three result drops arrive one after another
         recs.filter(F.col("seed") == s).write.mode("append").parquet(f"{base}/results")
-    ST.incremental_eval(spark, f"{base}/results", recs.schema, f"{base}/totals", f"{base}/ckpt")
+        ST.incremental_eval(spark, f"{base}/results", recs.schema, f"{base}/totals", f"{base}/ckpt")
     t = ST.totals(spark, f"{base}/totals")
     return E.accuracy_from_totals(t, by=["seed"])
 
@@ -996,12 +1137,11 @@ def q_st1(spark, root):
 def q_st2(spark, root):
     base = scratch_dir(spark, "st2")
     log = FX.metric_log(spark, root).select("run", "metric", "step", "value")
-    for lo, hi in ((0, 80), (80, 160), (160, 1 << 40)):        # in step order, one file set per range
-        log.filter((F.col("step") >= lo) & (F.col("step") < hi)).write.mode("append").parquet(f"{base}/in")
-        _time.sleep(1.1)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 8).parquet(f"{base}/in")
-    out = ST.stream_ema(stream, decay=0.98)
-    return ST.run_to_table(spark, out, f"{base}/out", f"{base}/ckpt")
+    for part in (1, 0, 2):                  # drops out of step order, each folded as it comes
+        log.filter(F.col("step") % 3 == part).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(log.schema).parquet(f"{base}/in")
+        out = ST.run_to_table(spark, ST.stream_ema(stream, decay=0.98), f"{base}/out", f"{base}/ckpt")
+    return out
 
 
 @register("st3_stream_ledger")
