@@ -16,7 +16,8 @@ Edge cases: null text is the empty text; a text without a term of the
 vocabulary gets the calibrated score of no evidence; null labels and ids teach
 nothing; an id with several labels counts by the largest; without both classes
 every score is the share of toxic labels (0 without any); ties go to the
-smaller example id; repeated rows score alike; an empty table gives no rows;
+smaller example id; labelled copies of one text are one example; repeated
+rows score alike; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -195,6 +196,21 @@ def choose_terms(examples: DataFrame, totals: dict, size: int, least: float, cha
     return sorted(r.term for r in best.select("term").collect())
 
 
+def frequencies(table: DataFrame, size: int) -> np.ndarray:
+    """Documents that hold each term: tasks count their own, Spark sums them."""
+    def count(batches):
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            total += np.bincount(b.column(0).flatten().to_numpy(), minlength=size)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["t", "n"])
+
+    df = np.zeros(size)
+    for r in table.select("terms").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+        df[r.t] = r.n
+    return df
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample: int = 4000,
                     vocabulary: int = 4096, phi: float = 0.015, k: int = 25, least: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, and the nearest examples' ids and cosines."""
@@ -206,17 +222,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held: in
     share = all_of.get(1, 0) / max(1, sum(all_of.values()))
     chosen = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))             # at most 2 * sample ids
-    examples = materialize(docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]), "examples")
+    # copies of a text are one example, under their least id
+    examples = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)) \
+        .agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    examples = materialize(examples.dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic"), "examples")
     totals = {r.toxic: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     terms = choose_terms(examples, totals, vocabulary, phi) if len(totals) == 2 else []
 
     table = materialize(counted(docs, terms, ("doc_id",)), "toxic-terms")
-    df = np.zeros(len(terms))
-    total = 1
-    if terms:
-        total = table.count()
-        for r in table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():
-            df[r.t] = r["n"]
+    total = table.count()
+    df = frequencies(table, len(terms)) if terms else np.zeros(0)
     idf = np.log((1 + total) / (1 + df)) + 1
     rows = sorted(counted(examples, terms, ("doc_id", "toxic")).collect(), key=lambda r: r.doc_id) if terms else []
     votes = Votes(BlockMaxIndex([r.doc_id for r in rows], [r.toxic for r in rows],

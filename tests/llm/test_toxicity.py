@@ -44,7 +44,8 @@ def test_held_out(spark):
 
 def test_edge_rows(spark):
     texts = ["what an idiot and a moron", "a fine day for a walk", None, "", "idiot " * 40000, "nothing known"]
-    rows = [(i, texts[i % 6], 1) for i in range(120)] + [(None, "idiot", 1), (6, texts[0], 1)]
+    tail = lambda i: "" if i % 6 in (2, 3) else " " + chr(97 + i % 26) * (3 + i // 26)
+    rows = [(i, texts[i % 6] and texts[i % 6] + tail(i), 1) for i in range(120)] + [(None, "idiot", 1), (6, texts[0], 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, evidence int")
     marks = [(i, 1, int(i % 6 in (0, 4))) for i in range(90)] + [(1, 1, None), (None, 1, 1), (10**9, 1, 1)]
     labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
