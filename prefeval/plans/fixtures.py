@@ -11,6 +11,7 @@ from prefeval.functions.keys import dense_index, h32
 from prefeval.operators import lang as L
 from prefeval.operators import tasks as J
 from prefeval.operators.evaluate import with_seeds
+from prefeval.session import materialize
 from prefeval.sources.tables import table
 
 SEEDS = [42, 43, 44]
@@ -26,13 +27,22 @@ def user_turns(spark: SparkSession, root: str, with_text: bool = True) -> DataFr
     return ranked.join(conv.select("conv_id", "turn", F.col("text").alias("prompt")), ["conv_id", "turn"])
 
 
-def pairs(spark: SparkSession, root: str) -> DataFrame:
-    """F-PAIR: per language, the i-th quality-1 document (by doc_id) against
-    the (i mod n0)-th quality-0 document; prompt = user turn (i mod #users).
+_PAIR_KEYS: dict = {}
+
 
-    Ranks come from ``dense_index`` on key columns only (a language that
-    holds most documents is still numbered by many tasks, and no text moves
-    through the ranking windows); the three texts are joined at the end."""
+def pair_keys(spark: SparkSession, root: str) -> DataFrame:
+    """Keys of F-PAIR (document, rejected document, prompt turn), written once
+    per session and folder: every query on pairs reads the same small table
+    instead of planning the ranking again."""
+    at = (spark.sparkContext.applicationId, root)
+    if at not in _PAIR_KEYS:
+        _PAIR_KEYS[at] = materialize(_pair_keys(spark, root), "pair-keys")
+    return _PAIR_KEYS[at]
+
+
+def _pair_keys(spark: SparkSession, root: str) -> DataFrame:
+    """Ranks come from ``dense_index`` on key columns only: a language that
+    holds most documents is still numbered by many tasks."""
     docs = table(spark, root, "documents")
     lab = table(spark, root, "labels").select("doc_id", "quality")
     keys = docs.select("doc_id", "lang", "source").join(lab, "doc_id")
@@ -45,8 +55,16 @@ def pairs(spark: SparkSession, root: str) -> DataFrame:
              .withColumn("j", F.col("i") % F.col("n0"))
              .withColumn("u", F.col("i") % n_users))
     rej = bad.select("lang", "j", F.col("doc_id").alias("rejected_id"))
-    ids = g.join(rej, ["lang", "j"]).join(users.select("u", "conv_id", "turn"), "u")
-    texts = docs.select("doc_id", "text")
+    return g.join(rej, ["lang", "j"]).join(users.select("u", "conv_id", "turn"), "u") \
+        .select("doc_id", "lang", "source", "rejected_id", "conv_id", "turn")
+
+
+def pairs(spark: SparkSession, root: str) -> DataFrame:
+    """F-PAIR: per language, the i-th quality-1 document (by doc_id) against
+    the (i mod n0)-th quality-0 document; prompt = user turn (i mod #users).
+    The three texts are joined to the stored keys."""
+    ids = pair_keys(spark, root)
+    texts = table(spark, root, "documents").select("doc_id", "text")
     prompts = table(spark, root, "conversations").filter(F.col("role") == "user") \
         .select("conv_id", "turn", F.col("text").alias("prompt"))
     out = (ids.join(texts, "doc_id")
@@ -77,10 +95,14 @@ def judge_completions(tasks: DataFrame) -> DataFrame:
                       keys=["id", "seed"], out="completion")
 
 
-def judge_completions_inline(tasks: DataFrame) -> DataFrame:
-    """F-JUDGE appended to the task rows (no join back)."""
-    return L.map_text(tasks, L.stub_judge, inputs=["seed", "id", "answer_a", "answer_b"],
-                      keys=None, out="completion")
+RECORD_KEYS = ["id", "seed", "benchmark", "language", "swapped", "expected_verdict"]
+
+
+def judge_completions_inline(tasks: DataFrame, judge=L.stub_judge, keep: list | None = None) -> DataFrame:
+    """F-JUDGE appended to the task rows (no join back). Only the model's four
+    inputs and the ``keep`` columns go to Python; Catalyst prunes the rest."""
+    return L.map_text(tasks, judge, inputs=["seed", "id", "answer_a", "answer_b"],
+                      keys=RECORD_KEYS if keep is None else keep, out="completion")
 
 
 def requests(spark: SparkSession, root: str) -> DataFrame:

@@ -29,13 +29,13 @@ def register(name):
     return deco
 
 
-def judge_records(spark: SparkSession, root: str) -> DataFrame:
+def judge_records(spark: SparkSession, root: str, keep: list | None = None) -> DataFrame:
     """F-PAIR x 3 seeds -> J1 -> J2 -> stub judge (L5) -> E1/E2 records.
 
-    The judge stage appends its output to the task rows, so records need no
-    join back."""
+    The judge stage appends its output to the ``keep`` columns (labels only,
+    unless a query writes the texts), so records need no join back."""
     tasks = FX.judge_tasks(spark, root)
-    judged = FX.judge_completions_inline(tasks)
+    judged = FX.judge_completions_inline(tasks, keep=keep)
     return E.build_records(judged, None)
 
 
@@ -235,8 +235,7 @@ def q_e7(spark, root):
 
 def accuracy_run(spark, root, salt):
     tasks = FX.judge_tasks(spark, root)
-    judged = L.map_text(tasks, L.make_stub_judge(salt), inputs=["seed", "id", "answer_a", "answer_b"],
-                        keys=None, out="completion")
+    judged = FX.judge_completions_inline(tasks, L.make_stub_judge(salt))
     return E.accuracy(E.build_records(judged, None), by=["seed"])
 
 
@@ -248,8 +247,7 @@ def q_e8(spark, root):
 
 def bias_records(spark, root):
     tasks = E.with_seeds(swap_tasks(spark, root), FX.SEEDS)
-    judged = L.map_text(tasks, L.stub_judge, inputs=["seed", "id", "answer_a", "answer_b"], keys=None,
-                        out="completion")
+    judged = FX.judge_completions_inline(tasks, keep=[*FX.RECORD_KEYS, "pair_id", "sample_language", "group", "gold"])
     return E.build_records(judged, None)
 
 
@@ -998,7 +996,8 @@ def q_k1(spark, root):
 def q_k1k(spark, root):
     """Raw and parsed lines, read back with their kind and group folders."""
     path = scratch_dir(spark, "k1k")
-    K.write_results(judge_records(spark, root), path, by=("benchmark", "language"))
+    records = judge_records(spark, root, keep=[*FX.RECORD_KEYS, "prompt", "answer_a", "answer_b"])
+    K.write_results(records, path, by=("benchmark", "language"))
     got = spark.read.text(path)
     field = lambda n: F.get_json_object("value", f"$.{n}")
     return got.select("kind", "benchmark", "language", field("id").cast("long").alias("id"),
