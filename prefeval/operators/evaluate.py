@@ -168,37 +168,55 @@ def accuracy_from_totals(t: DataFrame, by=("seed",)) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- E6
-POISSON1_CDF = None
+SMALL_MEAN = 30.0         # Poisson draws up to this mean are inverted exactly
+# Coefficients of Acklam's rational inverse of the normal CDF.
+NORMAL_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+NORMAL_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572)
+NORMAL_C = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+NORMAL_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416)
+
+
+def _horner(coefficients, x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for k in coefficients[1:]:
+        out = out * x + F.lit(k)
+    return out
 
 
-def _poisson1_cdf(kmax: int = 12) -> list[float]:
-    out, acc, term = [], 0.0, math.exp(-1.0)
-    for k in range(kmax):
-        acc += term
-        out.append(acc)
-        term /= (k + 1)
-    return out
+def inverse_normal(u: Column) -> Column:
+    """z with P(Z < z) = u, for u strictly between 0 and 1."""
+    def tail(p):
+        q = F.sqrt(F.lit(-2.0) * F.log(p))
+        return _horner(NORMAL_C, q) / (_horner(NORMAL_D, q) * q + 1.0)
+    q = u - 0.5
+    r = q * q
+    middle = _horner(NORMAL_A, r) * q / (_horner(NORMAL_B, r) * r + 1.0)
+    return F.when(u < 0.02425, tail(u)).when(u > 1 - 0.02425, -tail(F.lit(1.0) - u)).otherwise(middle)
 
 
-def poisson1_weight(u: Column) -> Column:
-    """Poisson(1) draw by inverse CDF of a uniform in [0, 1)."""
-    cdf = _poisson1_cdf()
-    expr = F.when(u < cdf[0], F.lit(0))
-    for k, p in enumerate(cdf[1:], start=1):
-        expr = expr.when(u < p, F.lit(k))
-    return expr.otherwise(F.lit(len(cdf)))
+def poisson_draw(mean: Column, u: Column) -> Column:
+    """A Poisson draw from a uniform: the CDF is inverted term by term for
+    small means; larger ones use the normal deviate with its skewness term,
+    which is within a count of the inverse."""
+    steps = F.sequence(F.lit(1), F.lit(120))
+    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"), F.lit(0).alias("n"), mean.alias("m"), u.alias("u"))
+    walked = F.aggregate(steps, start, lambda a, j: F.struct(
+        (a["p"] * a["m"] / j).alias("p"), (a["cdf"] + a["p"] * a["m"] / j).alias("cdf"),
+        (a["n"] + (a["cdf"] <= a["u"]).cast("int")).alias("n"), a["m"].alias("m"), a["u"].alias("u")))
+    z = inverse_normal(u)
+    large = F.greatest(F.floor(mean + z * F.sqrt(mean) + (z * z - 1) / 6 + 0.5), F.lit(0))
+    return F.when(mean <= SMALL_MEAN, walked["n"].cast("long")).otherwise(large.cast("long"))
 
 
 def bootstrap_ci(df: DataFrame, samples: int, confidence: float, seed: int,
-                 group_cols=("seed", "benchmark", "language"), key: str = "id",
-                 value: str = "correct") -> DataFrame:
-    """Percentile interval of the mean by Poisson bootstrap.
-
-    Each row gets a Poisson(1) weight per replicate from a hash of
-    (seed, replicate, key): no shared RNG, same answer on any partitioning.
-    Rows are projected to (group, key, value) before the replicate explode,
-    the weighted sums are partial-aggregated per task, and only groups x
-    replicates rows are shuffled. low = sorted[int(a*B)],
+                 group_cols=("seed", "benchmark", "language"), value: str = "correct") -> DataFrame:
+    """Percentile interval of the mean of a 0/1 column by Poisson bootstrap.
+
+    Each row of a replicate has a Poisson(1) weight; the weights of k rows sum
+    to a Poisson(k). So the rows are only counted (k right, n - k wrong per
+    group, a partial aggregate), and each of the groups x replicates rows
+    draws two sums, from hashes of (seed, replicate, group). The work after the
+    count does not grow with the data. low = sorted[int(a*B)],
     high = sorted[int((1-a)*B) - 1], a = (1-confidence)/2, clamped.
     """
     if not 0.0 < confidence < 1.0:
@@ -207,15 +225,17 @@ def bootstrap_ci(df: DataFrame, samples: int, confidence: float, seed: int,
     if samples <= 0:
         return df.select(*group_cols).distinct().withColumn("ci_low", F.lit(None).cast("double")) \
                  .withColumn("ci_high", F.lit(None).cast("double"))
-    x = df.select(*group_cols, F.col(key).cast("string").alias("_k"),
-                  F.col(value).cast("double").alias("_v"))
-    x = x.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    u = h32(F.lit(seed), F.col("_rep"), F.col("_k")) / F.lit(4294967296.0)
-    x = x.withColumn("_w", poisson1_weight(u))
-    reps = x.groupBy(*group_cols, "_rep").agg(
-        F.sum(F.col("_w") * F.col("_v")).alias("_sv"), F.sum("_w").alias("_sw"))
-    reps = reps.withColumn("_m", F.coalesce(F.try_divide(F.col("_sv"), F.col("_sw").cast("double")),
-                                            F.lit(0.0)))
+    n = df.groupBy(*group_cols).agg(F.count(value).alias("_n"), F.count_if(F.col(value).cast("boolean")).alias("_k"))
+    x = n.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+
+    def uniform(side):
+        return (h32(F.lit(seed), F.col("_rep"), F.lit(side), *[F.coalesce(F.col(g).cast("string"), F.lit("")) for g in group_cols])
+                + 0.5) / F.lit(4294967296.0)
+
+    x = x.withColumn("_u1", uniform("right")).withColumn("_u0", uniform("wrong"))
+    x = x.withColumn("_sv", poisson_draw(F.col("_k").cast("double"), F.col("_u1"))) \
+         .withColumn("_sw", F.col("_sv") + poisson_draw((F.col("_n") - F.col("_k")).cast("double"), F.col("_u0")))
+    reps = x.withColumn("_m", F.coalesce(F.try_divide(F.col("_sv").cast("double"), F.col("_sw").cast("double")), F.lit(0.0)))
     alpha = (1.0 - confidence) / 2.0
     lo = max(0, min(int(alpha * samples), samples - 1))
     hi = max(0, min(int((1.0 - alpha) * samples) - 1, samples - 1))

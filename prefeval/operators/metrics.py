@@ -325,6 +325,9 @@ def gaussian_kl(moments: DataFrame, group: str = "label", logvar_min: float = -1
 
 
 # --------------------------------------------------------------------------- M15
+HELD_GROUPS = 256
+
+
 def _gram_schema(dim: int):
     return T.StructType([T.StructField("grp", T.LongType()), T.StructField("i", T.IntegerType()),
                          T.StructField("j", T.IntegerType()), T.StructField("s", T.DoubleType())])
@@ -337,9 +340,9 @@ def dependence_audit(pairs: DataFrame, task: str = "task", bias: str = "bias", g
     cross-correlation of standardised dimensions, per group; groups with
     fewer than ``min_batch`` pairs get the cosine term only.
 
-    The dim x dim cross sums are built per task with numpy (one Gramian per
-    Arrow batch) and summed by a small aggregate; no row leaves its task,
-    only dim^2 numbers per batch are shuffled."""
+    The dim x dim cross sums are built per task with numpy, summed over its
+    Arrow batches and yielded once at its end; no row leaves its task, only
+    dim^2 numbers per group and task are shuffled."""
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
@@ -352,17 +355,23 @@ def dependence_audit(pairs: DataFrame, task: str = "task", bias: str = "bias", g
     mb = pairs.select(group, F.posexplode(b).alias("j", "y")).groupBy(group, "j").agg(
         F.avg("y").alias("mb"), F.stddev_pop("y").alias("sb"))
 
+    def rows(held):
+        for g, S in held.items():
+            ii, jj = np.indices(S.shape)
+            yield pd.DataFrame({"grp": np.int64(g), "i": ii.ravel().astype("int32"),
+                                "j": jj.ravel().astype("int32"), "s": S.ravel()})
+
     def gram(batches):
+        held = {}
         for pdf in batches:
-            if pdf.empty:
-                continue
             for g, part in pdf.groupby("grp"):
                 X = np.vstack(part["task"].to_numpy()).astype("float64")
                 Y = np.vstack(part["bias"].to_numpy()).astype("float64")
-                S = X.T @ Y
-                ii, jj = np.indices(S.shape)
-                yield pd.DataFrame({"grp": np.int64(g), "i": ii.ravel().astype("int32"),
-                                    "j": jj.ravel().astype("int32"), "s": S.ravel()})
+                held[g] = held.get(g, 0.0) + X.T @ Y
+                if len(held) > HELD_GROUPS:          # many groups: pass on what there is
+                    yield from rows(held)
+                    held = {}
+        yield from rows(held)
 
     sums = (pairs.select(F.col(group).cast("long").alias("grp"), t.cast("array<double>").alias("task"),
                          b.cast("array<double>").alias("bias"))

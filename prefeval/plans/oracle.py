@@ -404,18 +404,39 @@ SELECT DISTINCT benchmark, language FROM pairs
 EXCEPT SELECT DISTINCT benchmark, language FROM records WHERE language <> 'de'"""
 
 
+def _horner_sql(coefficients, x: str) -> str:
+    out = repr(coefficients[0]) + "::DOUBLE"
+    for k in coefficients[1:]:
+        out = f"({out} * {x} + {k!r}::DOUBLE)"
+    return out
+
+
 def _e6():
-    from prefeval.operators.evaluate import _poisson1_cdf
-    cdf = _poisson1_cdf()
-    case = "CASE " + " ".join(f"WHEN u < {repr(p)} THEN {k}" for k, p in enumerate(cdf)) + f" ELSE {len(cdf)} END"
-    key = H("'7|' || CAST(rep AS VARCHAR) || '|' || k")
+    # Acklam's coefficients, as in the engine
+    a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+    b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572)
+    c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+    d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416)
+    tail = lambda p: f"({_horner_sql(c, f'sqrt(-2.0 * ln({p}))')} / ({_horner_sql(d, f'sqrt(-2.0 * ln({p}))')} * sqrt(-2.0 * ln({p})) + 1.0))"
+    r = "((u - 0.5) * (u - 0.5))"
+    z = (f"CASE WHEN u < 0.02425 THEN {tail('u')} WHEN u > 0.97575 THEN -{tail('(1.0 - u)')} "
+         f"ELSE {_horner_sql(a, r)} * (u - 0.5) / ({_horner_sql(b, r)} * {r} + 1.0) END")
+    key = H("'7|' || CAST(rep AS VARCHAR) || '|' || side || '|' || CAST(seed AS VARCHAR) || '|' || benchmark || '|' || language")
     return "WITH " + RECORDS + f""",
-x AS (SELECT seed, benchmark, language, CAST(id AS VARCHAR) AS k, CASE WHEN correct THEN 1.0 ELSE 0.0 END AS v
-      FROM records),
-r AS (SELECT x.*, t.rep FROM x CROSS JOIN range(0, 200) t(rep)),
-w AS (SELECT *, {key} / 4294967296.0 AS u FROM r),
-ww AS (SELECT *, {case} AS wt FROM w),
-reps AS (SELECT seed, benchmark, language, rep, sum(wt * v) AS sv, sum(wt) AS sw FROM ww GROUP BY ALL),
+n AS (SELECT seed, benchmark, language, count(correct) AS n, count(*) FILTER (WHERE correct) AS k FROM records GROUP BY ALL),
+x AS (SELECT seed, benchmark, language, rep, 'right' AS side, k::DOUBLE AS mean FROM n, range(0, 200) t(rep)
+      UNION ALL SELECT seed, benchmark, language, rep, 'wrong', (n - k)::DOUBLE FROM n, range(0, 200) t(rep)),
+xu AS (SELECT *, ({key} + 0.5) / 4294967296.0 AS u FROM x),
+grid AS (SELECT mean, sum(exp(-mean + CASE WHEN j = 0 THEN 0 ELSE j * ln(mean) END - lgamma(j + 1)))
+                        OVER (PARTITION BY mean ORDER BY j) AS cdf
+         FROM (SELECT DISTINCT mean FROM xu WHERE mean > 0 AND mean <= 30.0), range(0, 120) t(j)),
+few AS (SELECT xu.seed, benchmark, language, rep, side, count(*) FILTER (WHERE cdf <= u) AS draw
+        FROM xu JOIN grid ON grid.mean = xu.mean GROUP BY ALL),
+many AS (SELECT seed, benchmark, language, rep, side,
+                CASE WHEN mean = 0 THEN 0 ELSE greatest(floor(mean + z * sqrt(mean) + (z * z - 1) / 6 + 0.5), 0) END AS draw
+         FROM (SELECT *, {z} AS z FROM xu) WHERE mean = 0 OR mean > 30.0),
+reps AS (SELECT seed, benchmark, language, rep, sum(draw) FILTER (WHERE side = 'right') AS sv, sum(draw) AS sw
+         FROM (SELECT * FROM few UNION ALL SELECT * FROM many) GROUP BY ALL),
 m AS (SELECT *, coalesce(sv / nullif(sw, 0), 0.0) AS mean FROM reps),
 rk AS (SELECT *, row_number() OVER (PARTITION BY seed, benchmark, language ORDER BY mean, rep) - 1 AS r FROM m)
 SELECT seed, benchmark, language, max(CASE WHEN r = 5 THEN mean END) AS ci_low,

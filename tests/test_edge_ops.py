@@ -310,3 +310,10 @@ def test_user_content_with_control_characters(spark):
                                                "prompt string, answer_a string, answer_b string"))
     rows = P.parse_user_content(base, "content").orderBy("prompt").collect()
     assert [(r.question, r.answer_a, r.answer_b) for r in rows] == [("q", "a1", "b1"), ("q\x00odd", "a\x01", "b")]
+
+
+def test_poisson_draw_moments(spark):
+    for mean in (0.0, 0.7, 12.0, 29.9, 45.0, 4000.0):
+        u = (F.col("id") + 0.5) / 20000.0
+        r = spark.range(20000).select(E.poisson_draw(F.lit(mean), u).alias("n")).agg(F.avg("n").alias("m"), F.var_pop("n").alias("v")).first()
+        assert abs(r.m - mean) <= 0.01 * mean + 1e-9 and abs(r.v - mean) <= 0.05 * mean + 1e-9
