@@ -183,14 +183,15 @@ def sha_mod_sql(text: str, n: int) -> str:
             f"lambda a, d: (a * 16 + d) % {n}, 0::BIGINT)")
 
 
-def rubric_sql(idcol: str = "id") -> str:
+def rubric_sql(idcol: str = "id", seed: str = "'42:' || ") -> str:
     rs = _rubric_texts()
     arr = "[" + ", ".join(lit(r) for r in rs) + "]"
-    idx = sha_mod_sql(f"'42:' || CAST({idcol} AS VARCHAR)", len(rs))
+    idx = sha_mod_sql(f"{seed}CAST({idcol} AS VARCHAR)", len(rs))
     return f"CAST({idx} AS INTEGER) AS rubric_index, list_extract({arr}, CAST({idx} AS INTEGER) + 1) AS rubric"
 
 
 J4 = "WITH " + PAIRS + f"\nSELECT id, {rubric_sql()} FROM pairs"
+J4U = "WITH " + PAIRS + f"\nSELECT id, {rubric_sql(seed='')} FROM pairs"
 
 
 def template_type_sql(category: str, subset: str) -> str:
@@ -670,6 +671,7 @@ SELECT row_id, nullif(CASE WHEN event_type = 'view' THEN '' ELSE event_type END,
   TRY_CAST(CASE WHEN row_id % 7 = 0 THEN 'abc' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS proxy_length_A
 FROM proxy"""
 P11 = "WITH " + RESP + f"\nSELECT row_id FROM resp WHERE NOT {blank_sql('response_A')} AND NOT {blank_sql('response_B')}"
+P11A = "WITH " + RESP + f"\nSELECT row_id FROM resp WHERE NOT {blank_sql('response_A')}"
 P11C = "WITH " + RESP + f"""
 SELECT count(*) FILTER (WHERE {blank_sql('response_A')}) AS dropped_empty_a,
        count(*) FILTER (WHERE NOT {blank_sql('response_A')} AND {blank_sql('response_B')}) AS dropped_empty_b,
@@ -877,6 +879,8 @@ def _m5():
 
 
 M5, M5L = _m5()
+M5F = edges_sql("SELECT l_extendedprice::DOUBLE AS v FROM lineitem WHERE l_extendedprice < 0", 10, False,
+                DEFAULT_LENGTH_BINS)
 M5L = M5L.replace("coalesce(text, chr(0))", "coalesce(text, '')")
 
 
@@ -1187,6 +1191,7 @@ ORACLE.update({
     "m14_gaussian_kl": M14, "m15_dependence_audit": M15, "m16_last_n": M16,
     "t1_encode": T1, "t2_encode_pair": T2, "t3_label_tokens": T3, "t4_tag_response_tokens": T4,
     "t5_length_policy_drop": T5, "t5_length_policy_counts": T5C, "t6_pack_batches": T6, "t7_shards": T7,
+    "j4_pick_rubric_unseeded": J4U, "p11_filter_empty_a_only": P11A, "m5_fallback_edges": M5F,
     "t8_merge_shards": T8, "t9_rank_align": T9, "t4_tag_truncated": T4T, "t4_tag_by_ids": T4I,
     "t5_length_policy_mask": T5M, "t6_pack_batches_max_length": T6M, "p16_preview_span": P16S,
     "l4_back_translation": L4B, "e4_missing_groups_raw": E4R,

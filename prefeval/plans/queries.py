@@ -87,6 +87,11 @@ def q_j4(spark, root):
     return J.pick_rubric(FX.pairs(spark, root), RUBRICS, seed=42, key="id").select("id", "rubric_index", "rubric")
 
 
+@register("j4_pick_rubric_unseeded")
+def q_j4u(spark, root):
+    return J.pick_rubric(FX.pairs(spark, root), RUBRICS, key="id").select("id", "rubric_index", "rubric")
+
+
 def _doc_categories(spark, root):
     d = table(spark, root, "documents").select("doc_id", "lang", "source")
     k = F.col("doc_id") % 4
@@ -376,6 +381,12 @@ def q_p11(spark, root):
     return kept.select("row_id")
 
 
+@register("p11_filter_empty_a_only")
+def q_p11a(spark, root):
+    kept, counts = P.filter_empty(FX.responses(spark, root), require_both=False)
+    return kept.select("row_id")
+
+
 @register("p11_filter_empty_counts")
 def q_p11c(spark, root):
     kept, counts = P.filter_empty(FX.responses(spark, root), require_both=True)
@@ -606,6 +617,13 @@ def q_m5l(spark, root):
     return M.quantile_edges(d, "n", 6, lengths=True)
 
 
+@register("m5_fallback_edges")
+def q_m5f(spark, root):
+    """No value passes the predicate: the default edges come back."""
+    none = table(spark, root, "lineitem").filter(F.col("l_extendedprice") < 0)
+    return M.quantile_edges(none, "l_extendedprice", 10)
+
+
 @register("m6_bucketize")
 def q_m6(spark, root):
     ev = table(spark, root, "events")
