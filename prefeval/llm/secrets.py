@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefeval.llm.common import as_text, slices, worker_cache
+from prefeval.llm.common import as_text, no_cycles, slices, worker_cache
 
 KINDS = ("assign", "access", "hex", "crf")
 # Base patterns, the group that holds the secret, its least length.
@@ -40,6 +40,8 @@ BASE = (
     (re.compile("[0-9a-f]+"), 0, 32),
 )
 LONG_HEX = re.compile("[0-9a-f]{32}")
+HEX_ONLY = re.compile("[0-9a-fA-F]+").fullmatch
+MARKS = set("+/=-._")
 TOKEN = re.compile(r"\w+|[^\w\s]")
 NAMES = {"password", "passwd", "pwd", "secret", "token", "api", "apikey", "api_key", "key", "auth", "bearer",
          "credential", "credentials", "access", "private"}
@@ -54,30 +56,41 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the secret itself), by start, then kind."""
     out = []
     for kind, (pattern, group, least) in enumerate(BASE):
-        if kind == 1 and "AKIA" not in text or kind == 2 and not LONG_HEX.search(text):
+        # what a match needs at least, found faster than by its pattern
+        if not ("=" in text or ":" in text, "AKIA" in text, LONG_HEX.search(text))[kind]:
             continue
         out += [(m.start(), kind, m.end(), m.start(group)) for m in pattern.finditer(text)
                 if m.end(group) - m.start(group) >= least]
     return sorted(out)
 
 
+def kind_of(token: str):
+    """Tokens of one kind have the same features: plain words up to 15 letters
+    by length, case and alphabet; any other token is its own kind."""
+    if len(token) < 16 and token.isalpha() and token.lower() not in NAMES:
+        return (len(token), token.islower(), token.isupper(), token.isascii(), HEX_ONLY(token) is not None)
+    return token
+
+
 def shape(token: str) -> tuple[list, list]:
-    """(own features, features as a neighbour) of a token."""
+    """(own features, features as a neighbour) of a token. How letters mix
+    (turns, entropy) is measured where digits occur or from 16 characters on."""
     n = len(token)
     digits = sum(map(str.isdigit, token))
-    upper = sum(map(str.isupper, token))
-    lower = sum(map(str.islower, token))
-    turns = sum((a.isdigit() != b.isdigit()) for a, b in zip(token, token[1:])) / max(1, n - 1)
-    entropy = -sum(c / n * math.log2(c / n) for c in (token.count(x) for x in set(token)))
-    word, mark = token[0].isalnum() or token[0] == "_", not (token[0].isalnum() or token[0] == "_")
-    hexa = all(c in "0123456789abcdefABCDEF" for c in token)
+    lower, upper = token.islower(), token.isupper()
+    letters = digits < n and any(map(str.isalpha, token))
+    turns = entropy = 0.0
+    if digits or n >= 16:
+        turns = sum((a.isdigit() != b.isdigit()) for a, b in zip(token, token[1:])) / max(1, n - 1)
+        entropy = -sum(c / n * math.log2(c / n) for c in map(token.count, set(token)))
+    word = token[0].isalnum() or token[0] == "_"
+    hexa = HEX_ONLY(token) is not None
     own = [1.0, word, n <= 3, 4 <= n <= 7, 8 <= n <= 15, 16 <= n <= 31, n >= 32, digits > 0, digits == n,
-           upper > 0 and lower > 0, upper + digits == n and upper > 0 and digits > 0, lower == n, upper == n,
-           digits > 0 and upper + lower > 0, hexa, hexa and n >= 16, turns, entropy / 4, entropy > 3.2,
-           not token.isascii(), token in "+/=-._", mark]
-    low = token.lower()
-    near = [1.0, low in NAMES, token == "=", token == ":", token in "\"'", mark, token in "+/=-._",
-            digits > 0 and upper + lower > 0 and n >= 8, n >= 16, word and lower == n]
+           letters and not lower and not upper, upper and digits > 0, lower and not digits, upper and not digits,
+           digits > 0 and letters, hexa, hexa and n >= 16, turns, entropy / 4, entropy > 3.2,
+           not token.isascii(), token in MARKS, not word]
+    near = [1.0, token.lower() in NAMES, token == "=", token == ":", token in "\"'", not word, token in MARKS,
+            digits > 0 and letters and n >= 8, n >= 16, word and lower and not digits]
     return own, near
 
 
@@ -229,7 +242,8 @@ class Parts:
         self.clear()
 
     def clear(self):
-        self.rows: dict = {}
+        self.rows: dict = {}          # token -> row of the table
+        self.kinds: dict = {}         # kind -> row
         self.table = np.empty((4096, 12))
 
     def of(self, tokens: list) -> np.ndarray:
@@ -238,12 +252,16 @@ class Parts:
             if len(self.rows) + len(new) > CACHE_TOKENS and self.rows:
                 self.clear()
                 new = set(tokens)
-            while len(self.rows) + len(new) > len(self.table):
+            kinds = {t: kind_of(t) for t in new}
+            first = {k: t for t, k in kinds.items() if k not in self.kinds}
+            at = len(self.kinds)
+            while at + len(first) > len(self.table):
                 self.table = np.concatenate([self.table, np.empty_like(self.table)])
-            own, near = (np.array(f, float) for f in zip(*map(shape, new)))
-            at = len(self.rows)
-            self.table[at:at + len(new)] = self.field.tables(own, near)
-            self.rows.update(zip(new, range(at, at + len(new))))
+            if first:
+                own, near = (np.array(f, float) for f in zip(*map(shape, first.values())))
+                self.table[at:at + len(first)] = self.field.tables(own, near)
+                self.kinds.update(zip(first, range(at, at + len(first))))
+            self.rows.update({t: self.kinds[k] for t, k in kinds.items()})
         return self.table[[self.rows[t] for t in tokens]]
 
 
@@ -276,16 +294,17 @@ def scan(docs: DataFrame, field: Field | None, least: int = 8, carry: tuple = ("
 
     def run(batches):
         parts = worker_cache(f"secret parts {version}", lambda: Parts(model.value)) if model.value else None
-        for whole in batches:
-            for batch in slices(whole):
-                rows = []
-                for text in as_text(batch.column(0)):
-                    spans = base_spans(text)
-                    if parts:
-                        spans = sorted(spans + field_spans(text, spans, parts, least))
-                    rows.append([{"kind": KINDS[k], "start": a, "end": z} for a, k, z, _ in spans])
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], batch.column(0), pa.array(rows, kind)],
-                                                 names=[*names, "_text", "spans"])
+        with no_cycles():
+            for whole in batches:
+                for batch in slices(whole):
+                    rows = []
+                    for text in as_text(batch.column(0)):
+                        spans = base_spans(text)
+                        if parts:
+                            spans = sorted(spans + field_spans(text, spans, parts, least))
+                        rows.append([{"kind": KINDS[k], "start": a, "end": z} for a, k, z, _ in spans])
+                    yield pa.RecordBatch.from_arrays([*batch.columns[1:], batch.column(0), pa.array(rows, kind)],
+                                                     names=[*names, "_text", "spans"])
 
     return src.mapInArrow(run, src.drop("_text").schema.simpleString()[7:-1]
                           + ",_text:string,spans:array<struct<kind:string,start:bigint,end:bigint>>")
