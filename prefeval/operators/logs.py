@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,13 +40,49 @@ def _step(prev, v, decay, mode):
     return decay * prev + (1.0 - decay) * v
 
 
-def _summary(values, decay, mode):
+RUN = 128
+
+
+def _kernel(decay: float, n: int):
+    """(decay**1..n, lower triangle of (1 - decay) * decay**(i - j))."""
+    k = np.arange(n)
+    gap = k[:, None] - k[None, :]
+    return decay ** (k + 1.0), np.where(gap >= 0, (1.0 - decay) * decay ** np.maximum(gap, 0.0), 0.0)
+
+
+def _fold(values: np.ndarray, state, decay, mode) -> list:
+    """State after each value. Runs of finite values from a finite state are one
+    matrix product; only runs with gaps, NaN or infinities go value by value."""
+    out: list = []
+    powers, kernel = _kernel(decay, min(RUN, len(values)))
+    at = 0
+    while at < len(values):
+        v = values[at:at + RUN]
+        if _finite(state) and np.isfinite(v).all():
+            y = powers[:len(v)] * state + kernel[:len(v), :len(v)] @ v
+            out += y.tolist()
+            at += len(v)
+        else:
+            v = v if state is not None else v[:1]     # a first value seeds alone
+            for x in v.tolist():
+                state = _step(state, None if mode == "skip" and math.isnan(x) else x, decay, mode)
+                out.append(state)
+            at += len(v)
+        state = out[-1]
+    return out
+
+
+def _summary(values: np.ndarray, decay, mode):
     """Transfer of one block as (a, b, c): with a finite incoming state x the
     block ends at a*x + b (a is 0 once a restart cut the dependence on x);
     with no / non-finite incoming state it ends at c."""
+    if np.isfinite(values).all():
+        n = len(values)
+        return decay ** n, _fold(values, 0.0, decay, mode)[-1], _fold(values, None, decay, mode)[-1]
     a, b = 1.0, 0.0
     cst = None
-    for v in values:
+    for v in values.tolist():
+        v = None if mode == "skip" and math.isnan(v) else v
         cst = _step(cst, v, decay, mode)
         if mode == "skip":
             if _finite(v):
@@ -79,8 +116,7 @@ def ema(df: DataFrame, value: str = "value", keys=("run", "metric"), step: str =
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(step)
-        vals = [None if pd.isna(v) and mode == "skip" else float(v) for v in pdf[value]]
-        a, b, cst = _summary(vals, decay, mode)
+        a, b, cst = _summary(pdf[value].to_numpy("float64", na_value=np.nan), decay, mode)
         row = {k: pdf[k].iloc[0] for k in keys}
         row.update({"_blk": int(pdf["_blk"].iloc[0]), "_a": a, "_b": b, "_c": cst})
         return pd.DataFrame([row])
@@ -109,15 +145,10 @@ def ema(df: DataFrame, value: str = "value", keys=("run", "metric"), step: str =
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(step)
         state = None if pdf["_in"].isna().iloc[0] else float(pdf["_in"].iloc[0])
-        emas, prevs = [], []
-        for v in pdf[value]:
-            v = None if pd.isna(v) and mode == "skip" else float(v)
-            prevs.append(state)
-            state = _step(state, v, decay, mode)
-            emas.append(state)
+        emas = _fold(pdf[value].to_numpy("float64", na_value=np.nan), state, decay, mode)
         pdf = pdf.drop(columns=["_in"])
         pdf["ema"] = emas
-        pdf["ema_prev"] = prevs
+        pdf["ema_prev"] = [state, *emas[:-1]]
         return pdf
 
     joined = x.join(carries, [*keys, "_blk"], "left")

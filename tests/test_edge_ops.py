@@ -3,6 +3,7 @@
 import math
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -317,3 +318,21 @@ def test_poisson_draw_moments(spark):
         u = (F.col("id") + 0.5) / 20000.0
         r = spark.range(20000).select(E.poisson_draw(F.lit(mean), u).alias("n")).agg(F.avg("n").alias("m"), F.var_pop("n").alias("v")).first()
         assert abs(r.m - mean) <= 0.01 * mean + 1e-9 and abs(r.v - mean) <= 0.05 * mean + 1e-9
+
+
+@pytest.mark.parametrize("mode", ["restart", "skip"])
+def test_fold_in_runs_equals_single_steps(mode):
+    rng = np.random.default_rng(1)
+    for gaps in (0.0, 0.02, 0.3):
+        v = rng.normal(5, 2, 700)
+        v[rng.random(700) < gaps] = rng.choice([np.nan, np.inf])
+        state, want = None, []
+        for x in v.tolist():
+            state = G._step(state, None if mode == "skip" and math.isnan(x) else x, 0.9, mode)
+            want.append(state)
+        clean = lambda xs: [math.nan if x is None else x for x in xs]
+        assert np.allclose(clean(G._fold(v, None, 0.9, mode)), clean(want), rtol=1e-11, equal_nan=True)
+        for start in (None, 3.0):
+            end = G._fold(v, start, 0.9, mode)[-1]
+            got = G._apply(G._summary(v, 0.9, mode), start, mode)
+            assert np.allclose(clean([got]), clean([end]), rtol=1e-11, equal_nan=True)
