@@ -19,14 +19,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def worker_cache(name: str, make):
-    """One object per Python worker process, kept between its tasks.
+    """One object per Python worker process, kept between its tasks until a
+    task asks for another: workers are reused by later operators, and what an
+    earlier one memoised must not add up.
 
     Holds only rebuildable things (a loaded vocabulary, memoised words), so a
     lost executor costs time and never results."""
-    held = sys.modules.setdefault("_prefeval_worker", types.ModuleType("_prefeval_worker")).__dict__
-    if name not in held:
-        held[name] = make()
-    return held[name]
+    worker = sys.modules.setdefault("_prefeval_worker", types.ModuleType("_prefeval_worker"))
+    if getattr(worker, "name", None) != name:
+        worker.held = None
+        worker.name, worker.held = name, make()
+    return worker.held
 
 
 @contextlib.contextmanager
@@ -64,13 +67,32 @@ def fold_of(key, parts: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def bounded_rows(df: DataFrame, key: str, by: list, limit: int) -> DataFrame:
-    """At most ``limit`` rows per value of ``by``, picked by a hash of ``key``:
-    the documented training bound of the classifiers. The window over a
-    ranked prefix keeps ``limit`` rows per task before the shuffle."""
+def below(key, seed: int, limit: int, total):
+    """About four times ``limit`` of ``total`` keys, by a hash: what is ranked
+    for a bounded sample stays as small, however many tasks there are."""
+    c = F.col(key) if isinstance(key, str) else key
+    return F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1 << 31)).cast("double") * total < F.lit(4.0 * limit * (1 << 31))
+
+
+def sample_ids(rows: DataFrame, limit: int, seed: int, key: str = "doc_id") -> DataFrame:
+    """At most ``limit`` distinct, non-null keys by a hash: the documented
+    training bound of the classifiers, small enough to broadcast."""
+    ids = rows.select(key).filter(F.col(key).isNotNull())
+    few = ids.filter(below(key, seed, limit, ids.agg(F.count(F.lit(1))).scalar())).distinct()
+    return F.broadcast(few.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(limit))
+
+
+def bounded_rows(df: DataFrame, key: str, by: str, limit: int, seed: int = 17) -> DataFrame:
+    """At most ``limit`` rows per value of ``by``, one per key, by a hash of the
+    key. Keys are ranked alone; whole rows are joined to the chosen keys."""
     from pyspark.sql import Window
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.col(key), F.lit(17)), F.col(key))
-    return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit).drop("_rank")
+    keys = df.select(key, by).filter(F.col(key).isNotNull())
+    totals = keys.groupBy(by).agg(F.count(F.lit(1)).alias("n")) \
+        .agg(F.map_from_entries(F.collect_list(F.struct(by, "n")))).scalar()
+    few = keys.filter(below(key, seed, limit, F.element_at(totals, F.col(by)))).distinct()
+    order = Window.partitionBy(by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    few = few.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit).drop("_rank")
+    return df.join(F.broadcast(few), [key, by]).dropDuplicates([key, by])     # limit rows per value
 
 
 def sorted_groups(batches, keys: list):

@@ -12,7 +12,7 @@ Scoring reads every whole text. Each distinct word is computed once per worker
 while in use, for all languages at once, in numpy over many words.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; a
-null language teaches nothing; with no language learned every row is ``und``;
+null language or id teaches nothing; with no language learned every row is ``und``;
 runs of over ``RUN`` letters are scored in parts of that length; repeated rows
 count as often as they stand; an empty table gives no rows; other columns are
 ignored.
@@ -152,7 +152,7 @@ def fit(labelled: DataFrame, pieces_path: str, sample: int = 400, rounds: int =
         id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
     """(languages, piece probabilities) from rows with a language."""
     rows = bounded_rows(labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()),
-                        id_col, [lang_col], sample)
+                        id_col, lang_col, sample)
 
     def split(batches):
         for b in batches:
@@ -209,7 +209,7 @@ def predict(docs: DataFrame, langs: list, p: np.ndarray, pieces_path: str, carry
     version = hash((tuple(langs), p.tobytes()))
 
     def make():
-        lat = worker_cache("lattice " + pieces_path, lambda: Lattice(load_pieces(pieces_path)))
+        lat = Lattice(load_pieces(pieces_path))
         return lat, lat.weights(model.value)
 
     def run(batches):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from prefeval.llm.common import as_bytes, materialize, slices, worker_cache
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 LONG_WORD = 64
 # lower-case Latin letters, then ASCII punctuation without the apostrophe: the
 # tokenizer cuts between the two, so they can be encoded apart

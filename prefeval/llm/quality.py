@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefeval.llm.common import as_bytes, fold_of, slices
+from prefeval.llm.common import as_bytes, fold_of, sample_ids, slices
 
 # Character kinds, one string per kind; other ASCII punctuation shares the
 # next to last kind, all bytes of non-ASCII letters and marks the last.
@@ -124,12 +124,6 @@ def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400) -> Logi
     return descend(p, u, risk_slope, steps)
 
 
-def picked(ids: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` distinct ids by a hash, a table small enough to broadcast."""
-    return F.broadcast(ids.select("doc_id").filter("doc_id is not null").distinct()
-                       .orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(limit))
-
-
 def feature_rows(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     def run(batches):
         for whole in batches:
@@ -147,8 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sam
     """(model, prior) from documents outside the held-out fold; None without data."""
     known = labels.filter("doc_id is not null AND quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     learn = docs.select("doc_id", "text").filter(fold_of("doc_id", folds) != held)
-    trusted = picked(known.filter((F.col("quality") == 1) & (fold_of("doc_id", folds) != held)), sample)
-    unlabelled = picked(learn.select("doc_id").join(known, "doc_id", "left_anti"), sample)
+    trusted = sample_ids(known.filter((F.col("quality") == 1) & (fold_of("doc_id", folds) != held)), sample, 17)
+    unlabelled = sample_ids(learn.select("doc_id").join(known, "doc_id", "left_anti"), sample, 17)
     p, u = feature_rows(learn, trusted), feature_rows(learn, unlabelled)
     if len(p) < 4 or len(u) < 4:
         return None, 0.5

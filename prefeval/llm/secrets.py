@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefeval.llm.common import as_text, no_cycles, slices, worker_cache
+from prefeval.llm.common import as_text, no_cycles, sample_ids, slices, worker_cache
 
 KINDS = ("assign", "access", "hex", "crf")
 # Base patterns, the group that holds the secret, its least length.
@@ -215,8 +215,7 @@ def train_field(windows: list, steps: int = 150, rate: float = 0.1, decay: float
 
 def train(docs: DataFrame, sample: int = 20_000) -> Field | None:
     """A field from a bounded sample of documents; None without a base span."""
-    ids = F.broadcast(docs.select("doc_id").filter("doc_id is not null").distinct()
-                      .orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(sample))
+    ids = sample_ids(docs, sample, 23)
     number = F.xxhash64(F.col("doc_id"), F.lit(29)).bitwiseAND(F.lit((1 << 40) - 1))
 
     def run(batches):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefeval.llm.common import as_text, fold_of, materialize, slices, worker_cache
+from prefeval.llm.common import as_text, fold_of, materialize, sample_ids, slices, worker_cache
 
 BLOCK = 64
 CACHE_WORDS = 400_000
@@ -220,7 +220,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held: in
         .agg(F.max("toxic").cast("int").alias("toxic")).filter(fold_of("doc_id", folds) != held)
     all_of = {r.toxic: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = all_of.get(1, 0) / max(1, sum(all_of.values()))
-    chosen = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample) for y in (0, 1)]
+    chosen = [sample_ids(known.filter(F.col("toxic") == y), sample, 17).withColumn("toxic", F.lit(y)) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))             # at most 2 * sample ids
     # copies of a text are one example, under their least id
     examples = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)) \
