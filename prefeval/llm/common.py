@@ -32,6 +32,11 @@ def worker_cache(name: str, make):
     return worker.held
 
 
+def worker_release() -> None:
+    """Drop what an earlier operator left in this worker."""
+    worker_cache("", lambda: None)
+
+
 @contextlib.contextmanager
 def no_cycles():
     """No cycle collection while a task runs over large word caches: they hold

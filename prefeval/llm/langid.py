@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefeval.llm.common import as_text, bounded_rows, fold_of, materialize, slices, worker_cache
+from prefeval.llm.common import as_text, bounded_rows, fold_of, materialize, slices, worker_cache, worker_release
 
 LETTERS = 255             # codes of the vocabulary's most used letters; 255 is any other
 RUN = 400
@@ -155,6 +155,7 @@ def fit(labelled: DataFrame, pieces_path: str, sample: int = 400, rounds: int =
                         id_col, lang_col, sample)
 
     def split(batches):
+        worker_release()
         for b in batches:
             for part in slices(b):
                 counts: Counter = Counter()

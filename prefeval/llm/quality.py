@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefeval.llm.common import as_bytes, fold_of, sample_ids, slices
+from prefeval.llm.common import as_bytes, fold_of, sample_ids, slices, worker_release
 
 # Character kinds, one string per kind; other ASCII punctuation shares the
 # next to last kind, all bytes of non-ASCII letters and marks the last.
@@ -126,6 +126,7 @@ def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400) -> Logi
 
 def feature_rows(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     def run(batches):
+        worker_release()
         for whole in batches:
             for batch in slices(whole):
                 x = features(as_bytes(batch.column(1)))
@@ -156,6 +157,7 @@ def score(docs: DataFrame, model: Logistic | None, carry: tuple = ()) -> DataFra
     names = [f.name for f in src.schema.fields[1:]]
 
     def run(batches):
+        worker_release()
         for whole in batches:
             for batch in slices(whole):
                 x = features(as_bytes(batch.column(0)))

@@ -185,6 +185,7 @@ def train_field(windows: list, steps: int = 150, rate: float = 0.1, decay: float
         tags[i, :len(tokens)], real[i, :len(tokens)] = marks, True
     x = np.concatenate([own, near[:, 1:-2], near[:, :-3], near[:, 3:], np.repeat(file[:, None], length, axis=1)], axis=2)
     x[~real] = 0
+    flat_x = x.reshape(n * length, -1)
     gold = np.eye(3)[tags] * real[:, :, None]
     moves = real[:, 1:]
     gold_moves = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
@@ -193,7 +194,7 @@ def train_field(windows: list, steps: int = 150, rate: float = 0.1, decay: float
     m = v = np.zeros_like(flat)
     for t in range(1, steps + 1):
         w, move = flat[:-9].reshape(width, 3), flat[-9:].reshape(3, 3)
-        e = x @ w
+        e = (flat_x @ w).reshape(n, length, 3)
         lse = lambda s, axis: np.log(np.exp(s - s.max(axis=axis, keepdims=True)).sum(axis=axis)) + s.max(axis=axis)
         fwd, bwd = np.zeros((n, length, 3)), np.zeros((n, length, 3))
         fwd[:, 0] = e[:, 0]
@@ -207,7 +208,7 @@ def train_field(windows: list, steps: int = 150, rate: float = 0.1, decay: float
         p = np.exp(fwd + bwd - z[:, None, None]) * real[:, :, None]
         pair = np.exp(fwd[:, :-1, :, None] + move + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None])
         g_move = (pair * moves[:, :, None, None]).sum(axis=(0, 1)) - gold_moves
-        g = np.append(np.einsum("ntf,nta->fa", x, p - gold).ravel(), g_move.ravel()) / n + decay * flat
+        g = np.append((flat_x.T @ (p - gold).reshape(-1, 3)).ravel(), g_move.ravel()) / n + decay * flat
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         flat = flat - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
     return Field(flat)
@@ -283,30 +284,39 @@ def field_spans(text: str, spans: list, parts: Parts, least: int) -> list[tuple[
     return [s for s in out if s[2] - s[0] >= least and not any(s[0] < b[2] and b[0] < s[2] for b in spans)]
 
 
-def scan(docs: DataFrame, field: Field | None, least: int = 8, carry: tuple = ("doc_id",)) -> DataFrame:
-    """``carry`` columns, the text, and its spans (kind, start, end), by start, then kind."""
+def mapped(docs: DataFrame, field: Field | None, carry: list, least: int, columns: str, of) -> DataFrame:
+    """``carry`` columns and what ``of`` makes of each text and its spans (all
+    in one pass: a second Python step would need a second set of workers)."""
     src = docs.select(F.col("text").alias("_text"), *dict.fromkeys(carry))
-    names = [f.name for f in src.schema.fields[1:]]
     model = docs.sparkSession.sparkContext.broadcast(field)
     version = zlib.crc32(np.concatenate([field.own.ravel(), field.move.ravel()]).tobytes()) if field else 0
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        parts = worker_cache(f"secret parts {version}", lambda: Parts(model.value)) if model.value else None
+        parts = worker_cache(f"secret parts {version}", lambda: Parts(model.value) if model.value else None)
         with no_cycles():
             for whole in batches:
                 for batch in slices(whole):
                     rows = []
-                    for text in as_text(batch.column(0)):
-                        spans = base_spans(text)
+                    for text in batch.column(0).to_pylist():
+                        spans = base_spans(text or "")
                         if parts:
-                            spans = sorted(spans + field_spans(text, spans, parts, least))
-                        rows.append([{"kind": KINDS[k], "start": a, "end": z} for a, k, z, _ in spans])
-                    yield pa.RecordBatch.from_arrays([*batch.columns[1:], batch.column(0), pa.array(rows, kind)],
-                                                     names=[*names, "_text", "spans"])
+                            spans = sorted(spans + field_spans(text or "", spans, parts, least))
+                        rows.append((text, spans))
+                    yield of(batch, rows)
+
+    fields = src.drop("_text").schema.simpleString()[7:-1]
+    return src.mapInArrow(run, ",".join([f for f in (fields, columns) if f]))
+
+
+def scan(docs: DataFrame, field: Field | None, least: int = 8, carry: tuple = ("doc_id",)) -> DataFrame:
+    """``carry`` columns and the text's spans (kind, start, end), by start, then kind."""
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    return src.mapInArrow(run, src.drop("_text").schema.simpleString()[7:-1]
-                          + ",_text:string,spans:array<struct<kind:string,start:bigint,end:bigint>>")
+    def listed(batch, rows):
+        spans = [[{"kind": KINDS[k], "start": a, "end": z} for a, k, z, _ in s] for _, s in rows]
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(spans, kind)], names=[*batch.schema.names[1:], "spans"])
+
+    return mapped(docs, field, list(carry), least, "spans:array<struct<kind:string,start:bigint,end:bigint>>", listed)
 
 
 def digests(scanned: DataFrame) -> DataFrame:
@@ -319,31 +329,27 @@ def digests(scanned: DataFrame) -> DataFrame:
                           joined(F.col("spans")).alias("spans"))
 
 
+def redacted(text: str, spans: list, mark: str) -> str:
+    """The text with every span (overlaps taken together) replaced."""
+    out, at = [], 0
+    for start, _, end, _ in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]]) if spans else text
+
+
 def redact(docs: DataFrame, field: Field | None, mark: str = "[secret]", least: int = 8) -> DataFrame:
-    """The table with every span of its texts (overlaps taken together)
-    replaced by ``mark``, and n_chars counted anew where it exists."""
+    """The table with every span of its texts replaced by ``mark``, and n_chars
+    counted anew where it exists."""
     names = docs.columns
-    scanned = scan(docs, field, least, tuple(n for n in names if n != "text"))
-    schema = docs.select(*names).schema.simpleString()[7:-1]
-    order = [n if n != "text" else "_text" for n in names]
+    rest = [n for n in names if n != "text"]
 
-    def run(batches):
-        for whole in batches:
-            for batch in slices(whole):
-                texts, sizes = [], []
-                for text, spans in zip(batch.column("_text").to_pylist(), batch.column("spans").to_pylist()):
-                    out, at = [], 0
-                    for s in spans:
-                        if s["start"] >= at:
-                            out += [text[at:s["start"]], mark]
-                        at = max(at, s["end"])
-                    text = text if text is None or not spans else "".join([*out, text[at:]])
-                    texts.append(text)
-                    sizes.append(len(text or ""))
-                cols = []
-                for n in order:
-                    kind = batch.column(n).type
-                    cols.append(pa.array(texts, kind) if n == "_text" else pa.array(sizes, kind) if n == "n_chars" else batch.column(n))
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return scanned.select(*order, "spans").mapInArrow(run, schema)
+    def replaced(batch, rows):
+        texts = [t if t is None else redacted(t, s, mark) for t, s in rows]
+        held = dict(zip(batch.schema.names, batch.columns))
+        if "n_chars" in held:
+            held["n_chars"] = pa.array([len(t or "") for t in texts], held["n_chars"].type)
+        return pa.RecordBatch.from_arrays([*[held[n] for n in rest], pa.array(texts, pa.string())], names=[*rest, "text"])
+
+    return mapped(docs, field, rest, least, "text:string", replaced).select(*names)

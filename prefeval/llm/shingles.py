@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefeval.llm.common import as_bytes, materialize, slices
+from prefeval.llm.common import as_bytes, materialize, slices, worker_release
 from prefeval.llm.components import components
 
 WORDS = 5
@@ -130,6 +130,7 @@ def count_sketch(docs: DataFrame, text_col: str) -> np.ndarray:
     shift = np.uint64(64 - SKETCH_BITS)
 
     def count(batches):
+        worker_release()
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for whole in batches:
             for batch in slices(whole):
@@ -182,6 +183,7 @@ def prefix_table(docs: DataFrame, octave, id_col: str, text_col: str) -> DataFra
     schema = f"doc_id {src.schema[0].dataType.simpleString()}, row_key long, n long, node long, prefix array<long>"
 
     def run(batches):
+        worker_release()
         rare, seen = octave.value, set()
         for whole in batches:
             for batch in slices(whole):
@@ -207,6 +209,7 @@ def members_of(docs: DataFrame, wanted: DataFrame, octave, id_col: str, text_col
     """node, n, p2, p3 (prefixes under the other orders, 32 bits a token) and
     text of every class in ``wanted`` (node, row_key, rows under that key)."""
     def run(batches):
+        worker_release()
         rare = octave.value
         for whole in batches:
             for batch in slices(whole):
