@@ -39,7 +39,8 @@ def words(col) -> Column:
     """Whitespace tokens (Python ``str.split()`` for the regex whitespace
     set): every run of non-whitespace, found by one regex scan - no blank
     ends to filter, no per-token lambda."""
-    return F.regexp_extract_all(c(col), F.lit(NON_WS + "+"), 0)
+    # runs of printable ASCII take one range test a character, the rest the full class
+    return F.regexp_extract_all(c(col), F.lit(f"(?:[!-~]++|{NON_WS})++"), 0)
 
 
 def squeeze(col) -> Column:
