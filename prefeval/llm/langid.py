@@ -13,7 +13,8 @@ while in use, for all languages at once, in numpy over many words.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; a
 null language or id teaches nothing; with no language learned every row is ``und``;
-runs of over ``RUN`` letters are scored in parts of that length; repeated rows
+runs of over ``RUN`` letters are scored in parts of that length, and no run
+underflows (sums are divided by their maximum as they go); repeated rows
 count as often as they stand; an empty table gives no rows; other columns are
 ignored.
 """
@@ -33,7 +34,8 @@ from prefeval.llm.common import as_text, bounded_rows, fold_of, materialize, sli
 
 LETTERS = 255             # codes of the vocabulary's most used letters; 255 is any other
 RUN = 400
-SCALE = 8.0               # per letter, keeps products of probabilities in range
+SCALE = 8.0               # per letter, keeps products over short words in range
+EVERY = 8                 # letters after which sums are divided by the largest that is still to be used
 CACHE_WORDS = 300_000
 LATIN = re.compile("[a-zA-ZªµºÀ-ÖØ-öø-ÿ]+").findall
 ANY = regex.compile(r"\p{L}+").findall
@@ -61,6 +63,13 @@ def load_pieces(path: str) -> list[str]:
     return sorted(p for p in found if p.lower() == p and regex.fullmatch(r"▁?\p{L}*", p) and p)
 
 
+def rescale(sums: np.ndarray) -> np.ndarray:
+    """Divides ``sums`` by their maximum over the first axis, in place; returns its log."""
+    top = sums.max(axis=0)
+    sums /= top
+    return np.log(top)
+
+
 class Lattice:
     """The pieces as a table trie, and forward / backward sums over words."""
 
@@ -110,13 +119,17 @@ class Lattice:
         size = np.array([len(x) for x in self.pieces])
         return np.vstack([np.zeros((1, p.shape[1])), p * SCALE ** size[:, None]])
 
-    def forward(self, m: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def forward(self, m: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over the segmentations of every beginning, and the logs of what they were divided by."""
         alpha = np.zeros((m.shape[1] + 1, len(m), w.shape[1]))
+        shift = np.zeros_like(alpha)
         alpha[0] = 1.0
         for start in range(m.shape[1]):
+            if start and start % EVERY == 0:
+                shift[start:] += rescale(alpha[start:start + self.depth])
             for rows, end, piece in self.matches(m, start):
                 alpha[end, rows] += alpha[start, rows] * w[piece]
-        return alpha
+        return alpha, shift
 
     def log_probability(self, words: list[str], w: np.ndarray) -> np.ndarray:
         """(words, languages): log of the sum over all segmentations."""
@@ -126,7 +139,8 @@ class Lattice:
             every = np.flatnonzero(by == n)
             for at in np.array_split(every, -(-len(every) * (n + 1) // 400_000)):
                 m = self.matrix([words[i] for i in at])
-                out[at] = np.log(self.forward(m, w)[-1]) - (n + 1) * np.log(SCALE)
+                alpha, shift = self.forward(m, w)
+                out[at] = np.log(alpha[-1]) + shift[-1] - (n + 1) * np.log(SCALE)
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -137,14 +151,18 @@ class Lattice:
             every = np.flatnonzero(by == n)
             for at in np.array_split(every, -(-len(every) * (n + 1) // 400_000)):
                 m = self.matrix([words[i] for i in at])
-                alpha = self.forward(m, w)[:, :, 0]
-                beta = np.zeros_like(alpha)
-                beta[-1] = counts[at] / alpha[-1]
+                alpha, shift = (x[:, :, 0] for x in self.forward(m, w))
+                whole = np.log(alpha[-1]) + shift[-1]
+                beta, back = np.zeros_like(alpha), 0.0       # back: log of what the betas in use were divided by
+                beta[-1] = 1.0
                 for start in range(m.shape[1] - 1, -1, -1):
+                    if (m.shape[1] - start) % EVERY == 0:
+                        back = back + rescale(beta[start + 1:start + 1 + self.depth])
+                    share = counts[at] * np.exp(np.minimum(shift[start] + back - whole, 700.0))
                     for rows, end, piece in self.matches(m, start):
                         through = w[piece, 0] * beta[end, rows]
                         beta[start, rows] += through
-                        total += np.bincount(piece, alpha[start, rows] * through, len(w))
+                        total += np.bincount(piece, alpha[start, rows] * through * share[rows], len(w))
         return total
 
 

@@ -63,3 +63,27 @@ def test_edge_rows(spark):
     assert identify(none, PATH).count() == 0
     unlabelled = spark.createDataFrame([(1, "the", None)], "doc_id long, text string, lang string")
     assert identify(unlabelled, PATH).first().lang_pred == "und"
+
+
+def test_long_runs_do_not_underflow(spark):
+    rng = np.random.default_rng(5)
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 400))
+    cjk = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 120))
+    junk = ["z" * 400, letters, cjk]
+    lattice = Lattice(load_pieces(PATH))
+    even = np.full((len(lattice.pieces), 1), 1.0 / len(lattice.pieces))
+    w = lattice.weights(even)
+    assert np.isfinite(lattice.log_probability(junk, w)).all()
+    uses = lattice.expected(junk, np.ones(3), w)
+    size = np.array([0] + [len(x) for x in lattice.pieces])
+    assert (uses * size).sum() == pytest.approx(401 + 401 + 121)
+    few = lattice.expected(["the", letters[:30]], np.array([2.0, 1.0]), w)
+    assert (few * size).sum() == pytest.approx(2 * 4 + 31)
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(
+        [("the cat and the dog", "en"), ("der hund und die katze", "de"), ("the dog", "en"), ("die katze", "de")] * 4)]
+    rows += [(100 + i, f"{t} und die katze", "de") for i, t in enumerate(junk * 4)]       # in training
+    rows += [(200 + i, f"the cat and the dog and the cat {t}" if i < 3 else f"der hund und die katze {t}", None)
+             for i, t in enumerate(junk * 2)]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PATH).collect()}
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert [got[203 + i].lang_pred for i in range(3)] == ["de"] * 3
