@@ -1,19 +1,19 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over a vocabulary of words and word beginnings chosen
-by their association with the label in the labelled sample (squared phi, the
-classes weighed alike, and chi-square against chance).
-Document frequencies come from all documents. At most ``sample`` labelled rows
-per class, whole texts, picked by a hash of the id, form an inverted index in
-blocks of ``BLOCK`` examples; each block keeps its largest weight per term.
-A text's ``k`` nearest examples by exact cosine are found block by block in
-falling order of the block bound, until no bound can reach the k-th best.
+Texts are TF-IDF vectors over every word and word beginning of the labelled
+examples; no term is chosen by label or frequency. Document frequencies come
+from all documents. At most ``sample`` labelled rows per class, whole texts,
+picked by a hash of the id, form the index. The ``k`` nearest examples are by
+exact cosine: terms of few examples are added up from their postings; the
+``COMMON`` terms of most examples are held densely in blocks of ``BLOCK``
+examples with the largest weight per block and term, and a block is left out
+when that bound proves that none of its examples can be among the nearest.
 Votes weighted by closeness give a raw score, which a logistic curve fitted on
 the examples (each one searched without itself) turns into a probability. The
 nearest examples are returned as evidence.
 
 Edge cases: null text is the empty text; a text without a term of the
-vocabulary gets the calibrated score of no evidence; null labels and ids teach
+examples gets the calibrated score of no evidence; null labels and ids teach
 nothing; an id with several labels counts by the largest; without both classes
 every score is the share of toxic labels (0 without any); ties go to the
 smaller example id; labelled copies of one text are one example; repeated
@@ -24,6 +24,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from prefeval.llm.common import as_text, fold_of, materialize, sample_ids, slices, worker_cache
 
 BLOCK = 64
+COMMON = 1024             # terms held densely
+TOGETHER = 64             # texts searched at a time
 CACHE_WORDS = 400_000
 BEGINNINGS = (3, 4, 5, 6, 7)
 letters = re.compile(r"[^\W\d_]+").findall
@@ -45,7 +48,7 @@ def terms_of(word: str) -> list[str]:
 
 
 class TermIds(dict):
-    """word -> numbers of its terms in the vocabulary."""
+    """word -> numbers of its terms in the vocabulary, which holds all beginnings of its words."""
 
     def __init__(self, numbers: dict):
         self.numbers = numbers
@@ -53,35 +56,68 @@ class TermIds(dict):
     def __missing__(self, word: str) -> tuple:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        get = self.numbers.get
-        found = self[word] = tuple([n for t in terms_of(word) if (n := get(t)) is not None])
+        get, found = self.numbers.get, []
+        for n in BEGINNINGS:
+            if len(word) > n:
+                term = get(word[:n] + "-")
+                if term is None:           # no longer beginning is there, nor the word
+                    break
+                found.append(term)
+        else:
+            term = get(word)
+            if term is not None:
+                found.append(term)
+        found = self[word] = tuple(found)
         return found
 
+    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The text's terms, sorted, and their counts."""
+        words = Counter(letters(text.lower()))
+        found = [self[w] for w in words]
+        terms = np.array(list(chain.from_iterable(found)), np.int32)
+        n = np.repeat(np.array(list(words.values()), np.int64), np.array(list(map(len, found)), np.int64))
+        by = np.argsort(terms, kind="stable")
+        terms = terms[by]
+        first = np.flatnonzero(np.diff(terms, prepend=-1))
+        return terms[first], (np.add.reduceat(n[by], first) if len(first) else n).astype(np.int32)
+
 
 class BlockMaxIndex:
-    """Unit vectors of examples, ``BLOCK`` to a block, by term."""
+    """Unit vectors of examples: dense columns in blocks for common terms, postings of the rest."""
 
     def __init__(self, ids: list, toxic: list, rows: list, idf: np.ndarray, k: int = 25):
         """rows: per example (terms, counts)."""
         self.idf, self.k = idf, k
-        unit = [self.unit(t, c) for t, c in rows]
+        def heaviest(terms, counts):
+            terms, w = self.unit(terms, counts)
+            return int(terms[w.argmax()]) if len(terms) else -1
+
         # examples that share their heaviest term stand together, so block bounds are tight
-        order = sorted(range(len(ids)), key=lambda i: (int(unit[i][0][unit[i][1].argmax()]) if len(unit[i][0]) else -1, ids[i]))
+        top = [heaviest(*r) for r in rows]
+        order = sorted(range(len(ids)), key=lambda i: (top[i], ids[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.toxic = np.array([toxic[i] for i in order], np.int64)
         self.place = {int(i): n for n, i in enumerate(self.ids)}
-        term = np.concatenate([np.empty(0, np.int64), *[unit[i][0] for i in order]]).astype(np.int64)
-        weight = np.concatenate([np.empty(0), *[unit[i][1] for i in order]])
-        doc = np.repeat(np.arange(len(order)), [len(unit[i][0]) for i in order])
-        by = np.lexsort((doc, term))
-        self.doc, self.weight = doc[by].astype(np.int32), weight[by]
         self.blocks = -(-len(order) // BLOCK)
-        # cell t * blocks + b: the postings of term t in block b
-        cell = term[by] * self.blocks + self.doc // BLOCK
-        self.start = np.searchsorted(cell, np.arange(len(idf) * self.blocks + 1))
-        self.most = np.zeros(len(idf) * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(idf), self.blocks)
+        uses = np.zeros(len(idf), np.int64)
+        for terms, _ in rows:
+            uses[np.asarray(terms, np.int64)] += 1
+        self.common = np.full(len(idf), -1, np.int32)        # term -> its row in ``dense``
+        most_used = np.argsort(-uses, kind="stable")[:COMMON]
+        self.common[most_used] = np.arange(len(most_used))
+        self.dense = np.zeros((len(most_used), self.blocks * BLOCK))
+        uses[most_used] = 0
+        self.start = np.zeros(len(idf) + 1, np.int64)         # term -> its postings
+        np.cumsum(uses, out=self.start[1:])
+        self.doc, self.weight, end = np.zeros(self.start[-1], np.int32), np.zeros(self.start[-1]), self.start[:-1].copy()
+        for n, i in enumerate(order):
+            terms, w = self.unit(*rows[i])
+            row = self.common[terms]
+            self.dense[row[row >= 0], n] = w[row >= 0]
+            terms, w = terms[row < 0], w[row < 0]
+            self.doc[end[terms]], self.weight[end[terms]] = n, w
+            end[terms] += 1
+        self.most = self.dense.reshape(len(most_used), self.blocks, BLOCK).max(axis=2, initial=0.0)
 
     def unit(self, terms, counts):
         terms = np.asarray(terms, np.int64)
@@ -91,32 +127,45 @@ class BlockMaxIndex:
 
     def nearest(self, terms, counts, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0."""
-        terms, q = self.unit(terms, counts)
-        if not len(terms) or not len(self.ids):
-            return np.empty(0, np.int64), np.empty(0)
-        bound = q @ self.most[terms]
-        found, cos, least = [], [], 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break                      # proof: no later block can enter
-            acc = np.zeros(BLOCK)
-            for t, w in zip(terms, q):
-                at = t * self.blocks + b
-                a, z = self.start[at], self.start[at + 1]
-                if z > a:
-                    acc[self.doc[a:z] - b * BLOCK] += w * self.weight[a:z]
-            hit = np.flatnonzero(acc)
-            rows = hit + b * BLOCK
-            if without >= 0:
-                hit, rows = hit[rows != without], rows[rows != without]
-            found.append(rows)
-            cos.append(acc[hit])
-            if sum(map(len, cos)) >= self.k:
-                best = np.concatenate(cos)
-                least = np.partition(best, len(best) - self.k)[len(best) - self.k]
-        rows, cos = np.concatenate([np.empty(0, np.int64), *found]), np.concatenate([np.empty(0), *cos])
-        best = np.lexsort((self.ids[rows], -np.round(cos, 12)))[:self.k]
-        return rows[best], cos[best]
+        return self.nearest_of([(terms, counts, without)])[0]
+
+    def nearest_of(self, texts: list) -> list:
+        """``nearest`` of each (terms, counts, without)."""
+        return [x for at in range(0, len(texts), TOGETHER) for x in self.together(texts[at:at + TOGETHER])]
+
+    def together(self, texts: list) -> list:
+        n = len(self.ids)
+        if not n:
+            return [(np.empty(0, np.int64), np.empty(0))] * len(texts)
+        cos, q = np.zeros((len(texts), self.blocks * BLOCK)), np.zeros((len(texts), len(self.most)))
+        for i, (terms, counts, _) in enumerate(texts):
+            terms, w = self.unit(terms, counts)
+            row = self.common[terms]
+            q[i, row[row >= 0]] = w[row >= 0]
+            terms, w = terms[row < 0], w[row < 0]
+            size = self.start[terms + 1] - self.start[terms]
+            if size.sum():
+                # the postings of all terms, one after another
+                at = np.repeat(self.start[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                cos[i] = np.bincount(self.doc[at], self.weight[at] * np.repeat(w, size), len(cos[i]))
+        without = np.array([t[2] for t in texts])
+        own = np.flatnonzero(without >= 0)
+        cos[own, without[own]] = -np.inf
+        k = min(self.k, cos.shape[1])
+        least = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k]      # the k-th best so far
+        bound = q @ self.most + cos.reshape(len(texts), self.blocks, BLOCK).max(axis=2)
+        # in the blocks left out no example can enter; runs of the others are multiplied at once
+        used = np.flatnonzero(np.repeat((bound >= least[:, None] - 1e-9).any(axis=0), BLOCK))
+        for run in np.split(used, np.flatnonzero(np.diff(used) > 1) + 1):
+            if len(run):
+                cos[:, run[0]:run[-1] + 1] += q @ self.dense[:, run[0]:run[-1] + 1]
+        least = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k]
+        out = []
+        for i in range(len(texts)):
+            rows = np.flatnonzero((cos[i] >= least[i] - 1e-11) & (cos[i] > 0))
+            best = rows[np.lexsort((self.ids[rows], -np.round(cos[i, rows], 12)))[:self.k]]
+            out.append((best, cos[i, best]))
+        return out
 
 
 class Votes:
@@ -149,70 +198,65 @@ class Votes:
         self.curve = (max(float(a[0]), 1e-3), float(a[1]))
 
 
-def counted(docs: DataFrame, vocabulary: list, carry: tuple) -> DataFrame:
-    """``carry`` columns with the text's vocabulary terms and their counts."""
-    src = docs.select(F.col("text").alias("_text"), *dict.fromkeys(carry))
-    names = [f.name for f in src.schema.fields[1:]]
-    words = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    version = hash(tuple(vocabulary))
+def term_counts(known: TermIds, texts: list):
+    """Per text its terms and their counts."""
+    for text in texts:
+        yield known.counted(text)
 
-    def run(batches):
-        known = worker_cache(f"toxic terms {version}", lambda: TermIds({t: n for n, t in enumerate(words.value)}))
+
+def example_terms(examples: DataFrame) -> list:
+    """Every term of the examples, sorted."""
+    def split(batches):
         for whole in batches:
             for batch in slices(whole):
-                terms, counts = [], []
-                for text in as_text(batch.column(0)):
-                    found = list(chain.from_iterable([known[w] for w in letters(text.lower())]))
-                    t, c = np.unique(np.array(found, np.int32), return_counts=True)
-                    terms.append(t)
-                    counts.append(c.astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[1:], pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
-                    names=[*names, "terms", "counts"])
+                seen = {t for x in as_text(batch.column(0)) for w in set(letters(x.lower())) for t in terms_of(w)}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["term"])
 
-    return src.mapInArrow(run, src.drop("_text").schema.simpleString()[7:-1] + ",terms:array<int>,counts:array<int>")
+    terms = examples.select("text").mapInArrow(split, "term string").distinct()
+    return sorted(terms.toArrow().column(0).to_pylist())
 
 
-def choose_terms(examples: DataFrame, totals: dict, size: int, least: float, chance: float = 12.0) -> list:
-    """The ``size`` terms most associated with the label: squared phi with both
-    classes weighed alike over ``least``, plain chi-square over ``chance``."""
-    def split(batches):
+def frequencies(docs: DataFrame, vocabulary, name: str, size: int, parts: int = 64) -> np.ndarray:
+    """Documents that hold each term: tasks count their own and hand on one row
+    per range of terms, the ranges are summed by Spark tasks."""
+    wide = -(-size // parts)
+    row = "part int, t array<int>, n array<long>"
+
+    def rows(total):
+        for part in range(parts):
+            used = np.flatnonzero(total[part * wide:(part + 1) * wide]) + part * wide
+            if len(used):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([used], pa.list_(pa.int32())),
+                                                  pa.array([total[used]], pa.list_(pa.int64()))], names=["part", "t", "n"])
+
+    def count(batches):
+        known, total = worker_cache(name, lambda: known_terms(vocabulary)), np.zeros(size, np.int64)
         for whole in batches:
             for batch in slices(whole):
-                seen = [sorted({t for w in set(letters(x.lower())) for t in terms_of(w)}) for x in as_text(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seen, pa.list_(pa.string()))],
-                                                 names=["toxic", "terms"])
-
-    n1, n0 = float(totals.get(1, 0)), float(totals.get(0, 0))
-    used = examples.select("toxic", "text").mapInArrow(split, "toxic int, terms array<string>") \
-        .select("toxic", F.explode("terms").alias("term")).groupBy("term") \
-        .agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).filter("a + b >= 3")
-    chi = F.try_divide((n1 + n0) * F.pow(F.col("a") * n0 - F.col("b") * n1, 2),
-                       (F.col("a") + F.col("b")) * (n1 + n0 - F.col("a") - F.col("b")) * n1 * n0)
-    p, q = F.col("a") / n1, F.col("b") / n0
-    phi = F.try_divide((p - q) * (p - q), (p + q) * (2 - p - q))
-    best = used.filter(F.coalesce(chi, F.lit(0.0)) > chance).withColumn("phi", phi).filter(F.col("phi") > least) \
-        .orderBy(F.desc("phi"), "term").limit(size)
-    return sorted(r.term for r in best.select("term").collect())
-
-
-def frequencies(table: DataFrame, size: int) -> np.ndarray:
-    """Documents that hold each term: tasks count their own, Spark sums them."""
-    def count(batches):
+                for t, _ in term_counts(known, as_text(batch.column(0))):
+                    total[t] += 1
+        yield from rows(total)
+
+    def add(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            total += np.bincount(b.column(0).flatten().to_numpy(), minlength=size)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["t", "n"])
+            for t, n in zip(b.column(1), b.column(2)):
+                total[t.values.to_numpy()] += n.values.to_numpy()
+        yield from rows(total)
 
     df = np.zeros(size)
-    for r in table.select("terms").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
-        df[r.t] = r.n
+    for r in docs.select("text").mapInArrow(count, row).repartition(parts, "part").mapInArrow(add, row).toArrow().to_batches():
+        for t, n in zip(r.column(1), r.column(2)):
+            df[t.values.to_numpy()] = n.values.to_numpy()
     return df
 
 
+def known_terms(vocabulary) -> TermIds:
+    return TermIds({t: n for n, t in enumerate(vocabulary.value)})
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample: int = 4000,
-                    vocabulary: int = 4096, phi: float = 0.015, k: int = 25, least: float = 0.3) -> DataFrame:
+                    k: int = 25, least: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, and the nearest examples' ids and cosines."""
     out = "doc_id {}, score double, evidence array<long>, cosines array<double>".format(
         docs.schema["doc_id"].dataType.simpleString())
@@ -226,38 +270,51 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held: in
     examples = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)) \
         .agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text"))
     examples = materialize(examples.dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic"), "examples")
-    totals = {r.toxic: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    terms = choose_terms(examples, totals, vocabulary, phi) if len(totals) == 2 else []
-
-    table = materialize(counted(docs, terms, ("doc_id",)), "toxic-terms")
-    total = table.count()
-    df = frequencies(table, len(terms)) if terms else np.zeros(0)
-    idf = np.log((1 + total) / (1 + df)) + 1
-    rows = sorted(counted(examples, terms, ("doc_id", "toxic")).collect(), key=lambda r: r.doc_id) if terms else []
-    votes = Votes(BlockMaxIndex([r.doc_id for r in rows], [r.toxic for r in rows],
-                                [(r.terms, r.counts) for r in rows], idf, k), share)
+    both = examples.select("toxic").distinct().count() == 2
+    terms = example_terms(examples) if both else []
+    vocabulary = docs.sparkSession.sparkContext.broadcast(terms)
+    name = f"toxic terms {hash(tuple(terms))}"
+    df = frequencies(docs, vocabulary, name, len(terms)) if terms else np.zeros(0)
+    idf = np.log((1 + docs.count()) / (1 + df)) + 1
+
+    def vectors(batches):
+        known = worker_cache(name, lambda: known_terms(vocabulary))
+        for whole in batches:
+            for batch in slices(whole):
+                pairs = list(term_counts(known, as_text(batch.column(2))))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:2], *(pa.array([x[i] for x in pairs], pa.list_(pa.int32())) for i in (0, 1))],
+                    names=["doc_id", "toxic", "terms", "counts"])
+
+    rows = []
+    if terms:
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        found = examples.select("doc_id", "toxic", "text").mapInArrow(
+            vectors, f"doc_id {kind}, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
+        rows = [(i, y, t.values.to_numpy(), c.values.to_numpy()) for i, y, t, c in zip(
+            found.column(0).to_pylist(), found.column(1).to_pylist(), found.column(2), found.column(3))]
+    index = BlockMaxIndex([r[0] for r in rows], [r[1] for r in rows], [r[2:] for r in rows], idf, k)
+    votes, rows_known = Votes(index, share), bool(rows)
     if rows:
-        ids = {r.doc_id: r for r in rows}
-        votes.calibrate(np.array([votes.raw(*votes.index.nearest(ids[i].terms, ids[i].counts, n))
-                                  for n, i in enumerate(votes.index.ids.tolist())]))
+        own = {r[0]: r[2:] for r in rows}
+        near = index.nearest_of([(*own[i], n) for n, i in enumerate(index.ids.tolist())])
+        votes.calibrate(np.array([votes.raw(*x) for x in near]))
+        del own, near, found
+    rows.clear()                                           # the driver keeps the index alone
     model = docs.sparkSession.sparkContext.broadcast(votes)
 
     def run(batches):
-        v = model.value
+        v, known = model.value, worker_cache(name, lambda: known_terms(vocabulary))
         for whole in batches:
             for batch in slices(whole):
-                score, near, cosines = [], [], []
-                ids, term, count = (batch.column(i) for i in range(3))
-                for key, t, c in zip(ids.to_pylist(), term.to_pylist(), count.to_pylist()):
-                    # a labelled example is not evidence for itself
-                    found, cos = v.index.nearest(t, c, v.index.place.get(key, -1))
-                    score.append(v.probability(v.raw(found, cos)) if rows_known else share)
-                    near.append(v.index.ids[found])
-                    cosines.append(cos)
+                ids = batch.column(0)
+                # a labelled example is not evidence for itself
+                near = v.index.nearest_of([(t, c, v.index.place.get(key, -1)) for key, (t, c) in zip(
+                    ids.to_pylist(), term_counts(known, as_text(batch.column(1))))])
+                score = [v.probability(v.raw(*x)) if rows_known else share for x in near]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(score, pa.float64()), pa.array(near, pa.list_(pa.int64())),
-                     pa.array(cosines, pa.list_(pa.float64()))], names=["doc_id", "score", "evidence", "cosines"])
+                    [ids, pa.array(score, pa.float64()), pa.array([v.index.ids[x] for x, _ in near], pa.list_(pa.int64())),
+                     pa.array([c for _, c in near], pa.list_(pa.float64()))], names=["doc_id", "score", "evidence", "cosines"])
 
-    rows_known = bool(rows)
-    return table.mapInArrow(run, out).withColumn("held_out", fold_of("doc_id", folds) == held) \
+    return docs.select("doc_id", "text").mapInArrow(run, out).withColumn("held_out", fold_of("doc_id", folds) == held) \
         .withColumn("predicted", (F.col("score") >= least).cast("int"))

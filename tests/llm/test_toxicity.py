@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from prefeval.llm.toxicity import BlockMaxIndex, score_documents
@@ -56,3 +58,19 @@ def test_edge_rows(spark):
     assert set(by[96].evidence) <= set(range(90)) and by[0].doc_id not in by[0].evidence
     assert score_documents(docs.limit(0), labels).count() == 0
     assert {r.score for r in score_documents(docs, labels.filter("toxic = 0")).collect()} == {0.0}
+
+
+def test_no_term_is_cut(spark):
+    """Telling words that each stand in one toxic example, none of them common."""
+    spell = lambda n: "".join(chr(97 + int(c)) for c in f"{n:04d}")
+    ids = [i for i in range(800) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, "we met them near a house and had " + ("tea " if k % 2 else "cake ") + spell(7919 * k % 10000), 0)
+            for k, i in enumerate(ids[:300])]
+    rows += [(i, f"q{spell(k)} z{spell(k)} x{spell(k)}", 1) for k, i in enumerate(ids[300:360])]
+    rows += [(1000, rows[305][1], None), (1001, rows[5][1], None), (1002, "z" + spell(9) + " there", None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows if y is not None], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in score_documents(docs, labels).collect()}
+    assert got[1000].evidence[0] == rows[305][0] and abs(got[1000].cosines[0] - 1) < 1e-9
+    assert got[1000].predicted == 1 and got[1001].predicted == 0 and got[1000].score > got[1001].score
+    assert got[1002].evidence[0] == rows[309][0]
