@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from prefeval.llm.common import as_text, bounded_rows, fold_of, materialize, slices, worker_cache, worker_release
 
-LETTERS = 255             # codes of the vocabulary's most used letters; 255 is any other
+DENSE = 255               # letters of the vocabulary, by use, whose steps are a table; those of rarer ones are searched
 RUN = 400
 SCALE = 8.0               # per letter, keeps products over short words in range
 EVERY = 8                 # letters after which sums are divided by the largest that is still to be used
@@ -75,35 +75,53 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         use = Counter(c for p in pieces for c in p)
-        letters = [c for c, _ in sorted(use.items(), key=lambda x: (-x[1], x[0]))[:LETTERS - 1]]
-        self.code = {c: k + 1 for k, c in enumerate(letters)}
-        kept = [p for p in pieces if all(c in self.code for c in p)]
-        self.pieces = sorted(set(kept) | set(letters)) + ["￿"]       # the last: any other letter
-        step, piece = [np.zeros(LETTERS + 1, np.int32)] * 2, [0, 0]       # state 0: none, 1: root
+        letters = [c for c, _ in sorted(use.items(), key=lambda x: (-x[1], x[0]))]
+        self.code = {c: k + 1 for k, c in enumerate(letters)}        # 0 is any other letter
+        self.pieces = sorted(set(pieces) | set(letters)) + ["￿"]       # the last: any other letter
+        step, piece, rare = [np.zeros(DENSE + 1, np.int32)] * 2, [0, 0], {}       # state 0: none, 1: root
         step[1] = step[1].copy()
         for k, p in enumerate(self.pieces):
             at = 1
             for c in p:
-                c = self.code.get(c, LETTERS)
-                if not step[at][c]:
-                    step[at][c] = len(step)
-                    step.append(np.zeros(LETTERS + 1, np.int32))
+                c = self.code.get(c, 0)
+                to = step[at][c] if c <= DENSE else rare.get(at * len(use) + c, 0)
+                if not to:
+                    to = len(step)
+                    if c <= DENSE:
+                        step[at][c] = to
+                    else:
+                        rare[at * len(use) + c] = to
+                    step.append(np.zeros(DENSE + 1, np.int32))
                     piece.append(0)
-                at = step[at][c]
+                at = to
             piece[at] = k + 1
         self.step, self.piece = np.stack(step), np.array(piece, np.int32)
+        # steps by rare letters: sorted keys state * letters + code, closed by one that no step has
+        self.keys = np.array([*sorted(rare), np.iinfo(np.int64).max])
+        self.after = np.array([*(rare[x] for x in sorted(rare)), 0], np.int32)
         self.depth = max(map(len, self.pieces))
 
     def matrix(self, words: list[str]) -> np.ndarray:
-        """Letter codes, one row per word, 0 after its end; all of one length."""
+        """Letter codes, one row per word; all of one length."""
         get = self.code.get
-        return np.array([[get(c, LETTERS) for c in "▁" + w] for w in words], np.int32)
+        return np.array([[get(c, 0) for c in "▁" + w] for w in words], np.int32)
+
+    def follow(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states after a letter, 0 where no piece goes on."""
+        if code.max() <= DENSE:
+            return self.step[state, code]
+        far = code > DENSE
+        out = self.step[state, np.where(far, 0, code)]
+        key = state[far].astype(np.int64) * len(self.code) + code[far]
+        at = np.searchsorted(self.keys, key)
+        out[far] = np.where(self.keys[at] == key, self.after[at], 0)
+        return out
 
     def matches(self, m: np.ndarray, start: int):
         """(rows, end, pieces) of all pieces from ``start``."""
         rows, state = np.arange(len(m)), np.ones(len(m), np.int32)
         for end in range(start + 1, min(start + self.depth, m.shape[1]) + 1):
-            state = self.step[state, m[rows, end - 1]]
+            state = self.follow(state, m[rows, end - 1])
             alive = state > 0
             if not alive.all():
                 rows, state = rows[alive], state[alive]

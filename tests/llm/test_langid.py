@@ -87,3 +87,21 @@ def test_long_runs_do_not_underflow(spark):
     got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PATH).collect()}
     assert all(0 <= r.score <= 1 for r in got.values())
     assert [got[203 + i].lang_pred for i in range(3)] == ["de"] * 3
+
+
+def test_every_letter_of_the_vocabulary_counts(spark):
+    pieces = load_pieces(PATH)
+    lattice = Lattice(pieces)
+    assert set(pieces) <= set(lattice.pieces)
+    p = np.random.default_rng(2).uniform(0, 1e-3, (len(lattice.pieces), 1))
+    words = ["한국어", "日本語", "中文", "لغة", "שפה", "aか한ا", "語\U00010450a"]
+    for w, got in zip(words, lattice.log_probability(words, lattice.weights(p))):
+        assert got[0] == pytest.approx(np.log(brute(lattice, w, p[:, 0])))
+    texts = {"ko": "우리는 학교에 가고 나는 집에 있다", "ja": "これは日本語の文です。私はそれを見た",
+             "zh": "我们在中国学习中文，他是老师", "ar": "هذا كتاب في اللغة العربية من البيت", "he": "זה ספר על השפה של הבית"}
+    rows = [(i * 10 + k, t, lang) for i, (lang, t) in enumerate(texts.items()) for k in range(9)]
+    asked = {1000: ("나는 학교에 있다", "ko"), 1001: ("私は日本の文を見た", "ja"), 1002: ("老师在学习", "zh"),
+             1003: ("من هذا البيت", "ar"), 1004: ("הספר של הבית", "he")}
+    rows += [(i, t, None) for i, (t, _) in asked.items()]
+    got = {r.doc_id: r.lang_pred for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PATH).collect()}
+    assert {i: got[i] for i in asked} == {i: lang for i, (_, lang) in asked.items()}
