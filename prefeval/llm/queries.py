@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prefeval.llm import secrets
+from prefeval.llm import clusters, fim, line_dedup, secrets
 from prefeval.llm.bpe import digest_documents
 from prefeval.llm.chat import digests, format_conversations
 from prefeval.llm.common import fold_of, read_table
@@ -67,6 +67,20 @@ def op10_bpe_coding(spark, sf_dir):
                             public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return fim.digests(fim.fill_in_middle(read_table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50))
+
+
+def op12_centroid_clustering(spark, sf_dir):
+    return clusters.summary(*clusters.cluster_vectors(read_table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64,
+                                                      dims=64, seed=1))
+
+
+def op13_line_dedup(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, shortest=20, least=3), digest_only=True)
+
+
 LLM_QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -78,10 +92,39 @@ LLM_QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_bpe_coding": op10_bpe_coding,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_line_dedup": op13_line_dedup,
 }
 _ESCAPED = r"""replace(replace(replace(replace(replace({0}, '\', '\\'),
     '<s>', '<\s>'), '</s>', '<\/s>'), '[INST', '[\INST'), '[/INST]', '[\/INST]')"""
 
+
+def _kmeans_sql(rounds: int) -> str:
+    """Assignment and update of every round as common table expressions."""
+    parts = ["""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id,
+         list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT (row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), q) - 1)::INTEGER AS cluster, q AS c
+       FROM v QUALIFY cluster < 16)"""]
+    for k in range(rounds + 1):
+        parts.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT r, vec_id, q, cluster, c, list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM v CROSS JOIN c{k} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, cluster) = 1)""")
+        if k < rounds:
+            parts.append(f"""
+m{k} AS (SELECT cluster, list(m ORDER BY i) AS c FROM (
+  SELECT cluster, i, floor(sum(x) / count(*))::BIGINT AS m
+  FROM (SELECT cluster, unnest(q) AS x, unnest(range(64)) AS i FROM a{k}) GROUP BY cluster, i) GROUP BY cluster),
+c{k + 1} AS (SELECT cluster, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (cluster))""")
+    return ",".join(parts) + f"""
+SELECT vec_id, cluster, d AS distance, sum(d) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+       sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds}"""
+
+
 LLM_ORACLE: dict[str, str] = {
     "op1_chat_formatting": rf"""
 WITH turns AS (
@@ -137,4 +180,35 @@ root AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
 deg AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM root LEFT JOIN deg USING (vec_id)""",
+    "op11_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l, ('0x' || substr(h, 1, 8))::BIGINT AS h1,
+    ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM d),
+cut AS (
+  SELECT *, len(l) AS n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+         WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM u),
+piece AS (
+  SELECT *, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:b], '') AS m, array_to_string(l[b + 1:], '') AS s FROM cut)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM piece""",
+    "op12_centroid_clustering": _kmeans_sql(3),
+    "op13_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+s AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
+k AS (SELECT *, regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key FROM s),
+f AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT r, k.doc_id, line, i, f.key IS NULL OR k.doc_id = top AS keep FROM k LEFT JOIN f ON f.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keep), '')) AS kept_sha256
+FROM j GROUP BY r, doc_id""",
 }
