@@ -111,7 +111,10 @@ class Simplex:
         base = self.lower[:n - 1, :n - 1]
         square = to[:, :1] ** 2
         right = ((base ** 2).sum(axis=1) + square - to[:, 1:n] ** 2) / 2
-        foot = np.linalg.solve(base, right.T).T if n > 1 else right
+        # forward substitution, a column at a time: a threaded solver can block in forked workers
+        foot = np.empty_like(right)
+        for k in range(n - 1):
+            foot[:, k] = (right[:, k] - np.einsum("ij,j->i", foot[:, :k], base[k, :k])) / base[k, k]
         height = np.sqrt(np.maximum(square[:, 0] - (foot ** 2).sum(axis=1), 0))
         return np.column_stack([foot, height])
 
