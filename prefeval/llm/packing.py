@@ -37,8 +37,8 @@ class WordIds(dict):
     """Little-endian ids of blank-separated words, each encoded once while it
     is in use: when full, words not met since the last time are forgotten."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.older = tokenizer, {}
+    def __init__(self, tokenizer, most: int = CACHE_WORDS):
+        self.tokenizer, self.most, self.older = tokenizer, most, {}
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
@@ -47,7 +47,7 @@ class WordIds(dict):
             ids = self[parts[1]] + self[parts[2]] if parts else np.array(
                 self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) <= LONG_WORD:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[word] = ids
@@ -70,7 +70,7 @@ def _load(path: str):
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every text.
 
     The tokenizer drops white space and no token spans it, so a text's ids are
@@ -81,7 +81,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, sep
     end = np.array([separator], dtype="<u4").tobytes()
 
     def run(batches):
-        known = worker_cache("words " + tokenizer_path, lambda: WordIds(_load(tokenizer_path)))
+        known = worker_cache(f"words {cache_words} {tokenizer_path}", lambda: WordIds(_load(tokenizer_path), cache_words))
         step = 4 * capacity
         for whole in batches:
             for batch in slices(whole):
@@ -173,7 +173,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, shard_rows: int = 50_000) -> D
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0,
-                   shard_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of every document with their place in the packed sequences."""
-    pieces = materialize(token_pieces(docs, tokenizer_path, capacity, separator, id_col, text_col), "pieces")
+                   shard_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text",
+                   cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Pieces of every document with their place in the packed sequences. A
+    worker keeps the ids of ``cache_words`` words in use, and of as many that
+    were before: fewer take more time and less memory."""
+    pieces = materialize(token_pieces(docs, tokenizer_path, capacity, separator, id_col, text_col, cache_words), "pieces")
     return pack(pieces, capacity, shard_rows)
