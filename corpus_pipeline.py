@@ -40,7 +40,9 @@ def secret_scans(spark, docs, sf_dir):
 
 
 def best_fit_packing(spark, docs, sf_dir):
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, separator=0)
+    # executors still hold what the stages before took: a small word cache
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, separator=0,
+                                  cache_words=200_000)
 
 
 STAGES = [
