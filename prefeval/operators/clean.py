@@ -205,7 +205,7 @@ def parse_custom_id(col, fallback_group=None, fallback_lang=None, on_error: str
     ok = x.rlike(_CUSTOM_ID)
     if on_error == "raise":
         ok = F.when(ok, F.lit(True)).otherwise(
-            F.raise_error(F.concat(F.lit("custom_id has unexpected format: "), x)))
+            F.raise_error(F.concat(F.lit("not of the form prefix-index-goldA or -goldB: "), x)))
     prefix = F.regexp_extract(x, _CUSTOM_ID, 1)
     idx = F.regexp_extract(x, _CUSTOM_ID, 2)
     gold = F.regexp_extract(x, _CUSTOM_ID, 3)

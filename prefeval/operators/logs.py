@@ -240,20 +240,64 @@ def throughput(df: DataFrame, ts: str = "ts", keys=("run",), items: str | None =
 
 
 # --------------------------------------------------------------------------- G6
+def _clamped(progress) -> Column:
+    return F.least(F.greatest(c(progress).cast("double"), F.lit(0.0)), F.lit(1.0))
+
+
 def interpolate_schedule(progress, points) -> Column:
-    """Piecewise-linear value at progress (clamped to [0, 1]) between control
-    points sorted by position; before the first -> its value, after the last
-    -> the last value; a zero-width segment gives its right value. Points are
-    a small literal list, compiled to one CASE expression (no join)."""
+    """Piecewise-linear value at progress (clamped to [0, 1]; null counts as 0)
+    between (position, value) control points in any order.
+
+    The position is searched among the sorted positions: with ``below`` of them
+    under it, it lies between the last of those and the next one, so equal
+    positions make a step that takes its right value past the position. Beyond
+    either end the outer value holds. ``schedule_values`` takes schedules from
+    a table."""
     if not points:
-        raise ValueError("Schedule points must be non-empty.")
-    pts = sorted(points, key=lambda p: p[0])
-    p = F.least(F.greatest(c(progress).cast("double"), F.lit(0.0)), F.lit(1.0))
-    expr = F.when(p <= F.lit(float(pts[0][0])), F.lit(float(pts[0][1])))
-    for (p0, v0), (p1, v1) in zip(pts, pts[1:]):
-        if p1 <= p0:
-            seg = F.lit(float(v1))
-        else:
-            seg = F.lit(float(v0)) + F.lit(float(v1 - v0)) * ((p - F.lit(float(p0))) / F.lit(float(p1 - p0)))
-        expr = expr.when(p <= F.lit(float(p1)), seg)
-    return expr.otherwise(F.lit(float(pts[-1][1])))
+        raise ValueError("a schedule needs at least one (position, value) point")
+    ordered = sorted(points, key=lambda point: point[0])
+    at, value = (F.array(*[F.lit(float(point[k])) for point in ordered]) for k in (0, 1))
+    p = _clamped(progress)
+    below = F.size(F.filter(at, lambda x: x < p))
+    x0, x1, y0, y1 = (F.get(a, i) for a in (at, value) for i in (below - 1, below))
+    return F.coalesce(y0 + (y1 - y0) * ((p - x0) / (x1 - x0)), y1, y0)
+
+
+def schedule_values(rows: DataFrame, schedules: DataFrame, progress: str, keys=("run",), position: str = "position",
+                    value: str = "value", order: str = "point", name: str = "scheduled", cells: int = 64) -> DataFrame:
+    """Rows with the value of their own schedule at ``progress``.
+
+    ``schedules`` holds one control point a row: ``keys``, ``position``,
+    ``value`` and ``order``, which ranks points of one position. Each pair of
+    neighbours is an interval, open on its left; [0, 1] is cut into ``cells``
+    equal cells, an interval is listed in every cell it reaches and rows meet
+    it by key and cell, so the rows of one hot key are spread over the cells.
+    Exactly one interval holds a row.
+
+    Edge cases: progress as in ``interpolate_schedule``; rows without a
+    schedule or with a null key get null; points with a null position or value
+    are left out; repeated rows are kept; an empty table gives no rows."""
+    keys = list(keys)
+    if clash := {name, "_p", "_cell", "_lo", "_hi", "_from", "_to"} & set(rows.columns):
+        raise ValueError(f"columns clash with the result: {sorted(clash)}")
+    cell = lambda x: F.least(F.greatest(F.floor(x * cells), F.lit(0)), F.lit(cells - 1)).cast("int")
+    points = schedules.select(*keys, F.col(position).cast("double").alias("_hi"), F.col(value).cast("double").alias("_to"),
+                              F.col(order).alias("_order")).filter("_hi is not null and _to is not null")
+    line = Window.partitionBy(*keys).orderBy("_hi", "_order")
+    paired = points.select(*keys, F.lag("_hi").over(line).alias("_lo"), F.lag("_to").over(line).alias("_from"), "_hi", "_to",
+                           F.lead("_hi").over(line).isNull().alias("_end"))
+    # the end point also opens the interval that has no right end
+    ends = paired.filter("_end").select(*keys, F.col("_hi").alias("_lo"), F.col("_to").alias("_from"),
+                                        *[F.lit(None).cast("double").alias(x) for x in ("_hi", "_to")])
+    pieces = paired.filter("_lo is null or _lo < _hi").drop("_end").unionByName(ends)
+    reach = F.sequence(cell(F.coalesce("_lo", F.lit(0.0))), cell(F.coalesce("_hi", F.lit(1.0))))
+    pieces = pieces.withColumn("_cell", F.explode(reach))
+    placed = rows.withColumn("_p", _clamped(progress)).withColumn("_cell", cell(F.col("_p")))
+    r, s = placed.alias("r"), pieces.alias("s")
+    match = (F.col("r._cell") == F.col("s._cell")) & (F.col("s._lo").isNull() | (F.col("r._p") > F.col("s._lo"))) \
+        & (F.col("s._hi").isNull() | (F.col("r._p") <= F.col("s._hi")))
+    for k in keys:
+        match = match & (F.col(f"r.{k}") == F.col(f"s.{k}"))
+    between = F.col("_from") + (F.col("_to") - F.col("_from")) * ((F.col("_p") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    return r.join(s, match, "left").select(*[F.col(f"r.{x}") for x in rows.columns],
+                                           F.coalesce(between, "_to", "_from").alias(name))

@@ -1283,6 +1283,22 @@ def _g6():
 
 G6 = _g6()
 
+G6T = """
+WITH ev AS (SELECT *, extract(day FROM ts) / 30.0::DOUBLE AS day FROM events),
+pts AS (
+  SELECT user_id, day AS x, value AS y, row_number() OVER w AS k, lead(day) OVER w AS x1, lead(value) OVER w AS y1
+  FROM ev WHERE event_type = 'error' AND value IS NOT NULL AND day IS NOT NULL
+  WINDOW w AS (PARTITION BY user_id ORDER BY day, event_id)),
+r AS (SELECT event_id, user_id, least(greatest(coalesce(day, 0), 0), 1) AS p FROM ev WHERE event_type <> 'error'),
+spot AS (
+  SELECT r.event_id, r.user_id, r.p, max(k) AS k
+  FROM r LEFT JOIN pts ON pts.user_id = r.user_id AND pts.x < r.p GROUP BY ALL)
+SELECT spot.event_id, spot.user_id,
+  CASE WHEN spot.k IS NULL THEN first.y WHEN pts.x1 IS NULL THEN pts.y
+       ELSE pts.y + (pts.y1 - pts.y) * ((p - pts.x) / (pts.x1 - pts.x)) END AS weight
+FROM spot LEFT JOIN pts ON pts.user_id = spot.user_id AND pts.k = spot.k
+LEFT JOIN pts first ON first.user_id = spot.user_id AND first.k = 1"""
+
 G2S = pair_sql(48).replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + LOG + ",\n" + \
     ema_rec_sql("log", "run, metric", "step", "value", 0.95, "restart", "e") + """,
 hit AS (SELECT DISTINCT run, step FROM e
@@ -1331,7 +1347,7 @@ SELECT DISTINCT id FROM ledger WHERE id NOT IN (SELECT id FROM ledger WHERE stat
 
 ORACLE.update({
     "g1_ema": G1, "g2_spikes": G2, "g3_epoch_summary": G3, "g4_inverse_ema_weights": G4,
-    "g4_weighted_loss": G4W, "g5_throughput": G5, "g6_interpolate_schedule": G6,
+    "g4_weighted_loss": G4W, "g5_throughput": G5, "g6_interpolate_schedule": G6, "g6_schedule_table": G6T,
     "r1_assign_batches": R1, "r2_batch_health": R2, "r3_latest_status": R3, "r4_to_resubmit": R4,
     "g2_spike_samples": G2S, "r5_completions": R5, "r5_completion_failures": R5F, "r6_pending": R6,
 })

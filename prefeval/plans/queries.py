@@ -935,6 +935,17 @@ def q_g6(spark, root):
     return ev.select("event_id", G.interpolate_schedule(progress, SCHEDULE).alias("weight"))
 
 
+@register("g6_schedule_table")
+def q_g6_table(spark, root):
+    """Each user's schedule is the user's errors: position by the day (several
+    on a day are a step), value as logged; purchases and views are looked up."""
+    ev = table(spark, root, "events").withColumn("day", F.dayofmonth(F.col("ts").cast("timestamp")) / F.lit(30.0))
+    points = ev.filter("event_type = 'error'").select("user_id", F.col("day").alias("position"), "value", "event_id")
+    rows = ev.filter("event_type <> 'error'").select("event_id", "user_id", "day")
+    return G.schedule_values(rows, points, "day", keys=("user_id",), order="event_id", name="weight") \
+        .select("event_id", "user_id", "weight")
+
+
 # ---------------------------------------------------------------------------- R ops
 def _gapped_events(spark, root):
     """Every event, under ids that leave gaps."""

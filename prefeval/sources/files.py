@@ -75,14 +75,14 @@ def read_judgment_requests(spark: SparkSession, root: str, datasets: list[str] |
                     user["content"].alias("content"))
     if on_error == "raise":
         out = out.withColumn("content", F.when(F.col("content").isNotNull(), F.col("content")).otherwise(
-            F.raise_error(F.concat(F.lit("Missing user message in judgment request: "), F.col("file_name")))))
+            F.raise_error(F.concat(F.lit("no message of role user, file "), F.col("file_name")))))
     if datasets:
         want = spark.createDataFrame([(d,) for d in datasets], "dataset string")
         missing = want.join(out.select("dataset").distinct(), "dataset", "left_anti")
         n_missing = missing.agg(F.count(F.lit(1))).scalar()
         out = out.filter(F.col("dataset").isin(*datasets)).withColumn(
             "dataset", F.when(n_missing == 0, F.col("dataset")).otherwise(
-                F.raise_error(F.lit("Missing judgment request datasets"))))
+                F.raise_error(F.lit("a requested dataset has no folder"))))
     return out
 
 

@@ -173,6 +173,31 @@ def test_interpolate_schedule(spark):
     assert got == [0.0, 0.5, 1.0, 2.5, 3.0]
 
 
+def test_schedule_values(spark):
+    """Schedules in a table equal the same points given as literals."""
+    import random
+    rng = random.Random(4)
+    marks = [-0.5, 0.0, 0.1, 0.25, 0.5, 0.5, 0.9, 1.0, 1.5]
+    plans = {1: [(rng.choice(marks), rng.uniform(-3, 3)) for _ in range(12)], 2: [(0.5, 7.0)],
+             3: [(0.0, 0.0), (0.5, 1.0), (0.5, 2.0), (1.0, 3.0)], 4: [(0.2, 1.0), (0.2, 5.0)]}
+    points = [(k, x, v, i, "y") for k, plan in plans.items() for i, (x, v) in enumerate(plan)]
+    points += [(3, None, 9.0, 50, "y"), (3, 0.7, None, 51, "y"), (None, 0.5, 1.0, 52, "y")]
+    points = spark.createDataFrame(points, "run long, position double, value double, point int, scale string")
+    at = [None, -1.0, 0.0, 0.2, 0.25, 0.5, 0.500001, 0.75, 0.9, 1.0, 2.0, float("nan"), *[rng.random() for _ in range(30)]]
+    rows = [(k, p, "x") for k in (1, 2, 3, 4, 5, None) for p in at] + [(1, 0.3, "x")] * 500     # a hot, repeated row
+    rows = spark.createDataFrame(rows, "run long, p double, value string")
+    got = G.schedule_values(rows, points, "p")
+    assert got.columns == ["run", "p", "value", "scheduled"]
+    want = rows.filter("run is null or run = 5").withColumn("scheduled", F.lit(None).cast("double"))
+    for k, plan in plans.items():
+        want = want.unionByName(rows.filter(F.col("run") == k).withColumn("scheduled", G.interpolate_schedule("p", plan)))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert G.schedule_values(rows.limit(0), points, "p").count() == 0
+    assert {r.scheduled for r in G.schedule_values(rows, points.limit(0), "p").collect()} == {None}
+    with pytest.raises(ValueError, match="clash"):
+        G.schedule_values(rows, points, "p", name="value")
+
+
 def test_dense_index_with_outliers_and_hot_group(spark):
     # one group holds most rows, one extreme value
     vals = [(0 if i % 3 else 1, float(i) if i != 5 else 1e12) for i in range(4000)]
