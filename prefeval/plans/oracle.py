@@ -1270,6 +1270,15 @@ G5 = """SELECT user_id % 8 AS run, epoch(time_bucket(INTERVAL '1 hour', ts))::BI
 FROM events GROUP BY ALL"""
 
 
+G5S = """SELECT run, window_start, count(*) AS items, sum(value) AS tokens,
+       count(*) / greatest(epoch(max(ts)) - epoch(min(ts)), 1e-8) AS items_per_sec,
+       sum(value) / greatest(epoch(max(ts)) - epoch(min(ts)), 1e-8) AS tokens_per_sec
+FROM (SELECT user_id % 8 AS run, ts, value,
+             epoch(time_bucket(INTERVAL '15 minutes', ts))::BIGINT - 900 * unnest(range(4)) AS window_start
+      FROM events WHERE ts IS NOT NULL)
+GROUP BY run, window_start"""
+
+
 def _g6():
     from prefeval.plans.queries import SCHEDULE
     pts = sorted(SCHEDULE, key=lambda p: p[0])
@@ -1347,7 +1356,7 @@ SELECT DISTINCT id FROM ledger WHERE id NOT IN (SELECT id FROM ledger WHERE stat
 
 ORACLE.update({
     "g1_ema": G1, "g2_spikes": G2, "g3_epoch_summary": G3, "g4_inverse_ema_weights": G4,
-    "g4_weighted_loss": G4W, "g5_throughput": G5, "g6_interpolate_schedule": G6, "g6_schedule_table": G6T,
+    "g4_weighted_loss": G4W, "g5_throughput": G5, "g5_sliding_throughput": G5S, "g6_interpolate_schedule": G6, "g6_schedule_table": G6T,
     "r1_assign_batches": R1, "r2_batch_health": R2, "r3_latest_status": R3, "r4_to_resubmit": R4,
     "g2_spike_samples": G2S, "r5_completions": R5, "r5_completion_failures": R5F, "r6_pending": R6,
 })

@@ -928,6 +928,12 @@ def q_g5(spark, root):
     return G.throughput(x, keys=("run",), tokens="value", window="1 hour")
 
 
+@register("g5_sliding_throughput")
+def q_g5_sliding(spark, root):
+    x = table(spark, root, "events").select((F.col("user_id") % 8).alias("run"), "ts", "value")
+    return G.sliding_throughput(x, slide="15 minutes", panes=4)
+
+
 @register("g6_interpolate_schedule")
 def q_g6(spark, root):
     ev = table(spark, root, "events")

@@ -173,6 +173,27 @@ def test_interpolate_schedule(spark):
     assert got == [0.0, 0.5, 1.0, 2.5, 3.0]
 
 
+def test_sliding_throughput(spark):
+    """Equal to counting each window's rows anew; one slide is the tumbling form."""
+    rows = [("a", 1_700_000_000 + s, v) for s, v in [(0, 1.0), (1, 2.0), (59, 4.0), (60, 8.0), (119, None), (400, 16.0), (400, 16.0)]]
+    rows += [(None, 1_700_000_030, 1.0), ("a", None, 5.0), ("b", 1_700_000_000, None)]
+    df = spark.createDataFrame(rows, "run string, s long, value double").withColumn("ts", F.timestamp_seconds("s"))
+    got = G.sliding_throughput(df, slide="1 minute", panes=3).collect()
+    want = []
+    for run in ("a", "b", None):
+        times = [(s, v) for r, s, v in rows if r == run and s is not None]
+        for at in sorted({s // 60 * 60 - 60 * k for s, _ in times for k in range(3)}):
+            held = [(s, v) for s, v in times if at <= s < at + 180]
+            dt = max(max(s for s, _ in held) - min(s for s, _ in held), 1e-8)
+            known = [v for _, v in held if v is not None]
+            total = sum(known) if known else None
+            want.append((run, at, len(held), total, len(held) / dt, None if total is None else total / dt))
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+    one = G.sliding_throughput(df.filter("s is not null"), slide="1 minute", panes=1)
+    assert sorted(map(str, one.collect())) == sorted(map(str, G.throughput(df, window="1 minute").collect()))
+    assert G.sliding_throughput(df.limit(0)).count() == 0
+
+
 def test_schedule_values(spark):
     """Schedules in a table equal the same points given as literals."""
     import random
