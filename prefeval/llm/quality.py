@@ -1,8 +1,10 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives (label 1) and unlabelled web text train a logistic model of
-text shape; rows labelled 0 are never used. The class prior of the unlabelled
-text is estimated first: a positive-against-unlabelled model ranks held-back
+text shape. Every document of the training fold that is not a trusted positive
+is unlabelled text; a label 0 is never read, so the model does not vanish where
+labels cover the whole table. The class prior of the unlabelled text is
+estimated first: a positive-against-unlabelled model ranks held-back
 rows of both kinds, and the least ratio of their shares above a cut, with a
 margin for chance, is the share of positives among the unlabelled. The final
 model minimises the non-negative unbiased risk
@@ -14,7 +16,8 @@ lines repeat. Text only; training takes at most ``sample`` positives and as
 many unlabelled rows, whole texts, picked by a hash of the id.
 
 Edge cases: null text is the empty text and gets a score; null labels and null
-ids teach nothing; an id with several labels counts by the largest; without
+ids teach nothing; an id with several labels counts by the largest; an id with
+several texts teaches by the text of the least hash; with fewer than four
 positives or unlabelled rows every score is 0.5; repeated rows score alike; an
 empty table gives no rows; other columns are ignored.
 """
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefeval.llm.common import as_bytes, fold_of, sample_ids, slices, worker_release
+from prefeval.llm.common import as_bytes, fold_of, list_matrix, sample_ids, slices, worker_release
 
 # Character kinds, one string per kind; other ASCII punctuation shares the
 # next to last kind, all bytes of non-ASCII letters and marks the last.
@@ -112,16 +115,26 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, steps: int = 200, sure: float =
     return float(np.clip(over_u[best] / over_p[best], 0.02, 0.98))
 
 
+def risk(f_p: np.ndarray, f_u: np.ndarray, prior: float) -> float:
+    """The non-negative unbiased risk of the scores, with the logistic loss."""
+    negative = np.logaddexp(0, f_u).mean() - prior * np.logaddexp(0, f_p).mean()
+    return float(prior * np.logaddexp(0, -f_p).mean() + max(0.0, negative))
+
+
+def risk_slope(f_p: np.ndarray, f_u: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slope of the risk in the scores; where the negative part has fallen below
+    zero, the slope that lifts it back."""
+    negative = np.logaddexp(0, f_u).mean() - prior * np.logaddexp(0, f_p).mean()
+    as_positive = -prior * sigmoid(-f_p) / len(f_p)
+    as_negative_p, as_negative_u = -prior * sigmoid(f_p) / len(f_p), sigmoid(f_u) / len(f_u)
+    if negative < 0:
+        return -as_negative_p, -as_negative_u
+    return as_positive + as_negative_p, as_negative_u
+
+
 def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400) -> Logistic:
-    """Minimise the non-negative risk with the logistic loss."""
-    def risk_slope(f_p, f_u):
-        negative = np.logaddexp(0, f_u).mean() - prior * np.logaddexp(0, f_p).mean()
-        as_positive = -prior * sigmoid(-f_p) / len(f_p)
-        as_negative_p, as_negative_u = -prior * sigmoid(f_p) / len(f_p), sigmoid(f_u) / len(f_u)
-        if negative < 0:          # overfitting: climb the negative part back to zero
-            return -as_negative_p, -as_negative_u
-        return as_positive + as_negative_p, as_negative_u
-    return descend(p, u, risk_slope, steps)
+    """Minimise the non-negative risk."""
+    return descend(p, u, lambda f_p, f_u: risk_slope(f_p, f_u, prior), steps)
 
 
 def feature_rows(docs: DataFrame, ids: DataFrame) -> np.ndarray:
@@ -130,20 +143,22 @@ def feature_rows(docs: DataFrame, ids: DataFrame) -> np.ndarray:
         for whole in batches:
             for batch in slices(whole):
                 x = features(as_bytes(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))],
-                                                 names=["doc_id", "x"])
-    rows = docs.select("doc_id", "text").join(ids, "doc_id")
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "h", "x"])
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(ids, "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"doc_id {kind}, x array<double>").dropDuplicates(["doc_id"]).collect()
-    return np.array([r.x for r in sorted(found, key=lambda r: r.doc_id)]).reshape(len(found), WIDTH * WIDTH + SHAPE)
+    found = rows.mapInArrow(run, f"doc_id {kind}, h long, x array<double>") \
+        .groupBy("doc_id").agg(F.min(F.struct("h", "x"))["x"].alias("x")).toArrow().sort_by("doc_id")
+    return list_matrix(found.column("x")).reshape(found.num_rows, WIDTH * WIDTH + SHAPE)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 8000):
     """(model, prior) from documents outside the held-out fold; None without data."""
     known = labels.filter("doc_id is not null AND quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     learn = docs.select("doc_id", "text").filter(fold_of("doc_id", folds) != held)
-    trusted = sample_ids(known.filter((F.col("quality") == 1) & (fold_of("doc_id", folds) != held)), sample, 17)
-    unlabelled = sample_ids(learn.select("doc_id").join(known, "doc_id", "left_anti"), sample, 17)
+    positive = known.filter(F.col("quality") == 1)
+    trusted = sample_ids(positive.filter(fold_of("doc_id", folds) != held), sample, 17)
+    unlabelled = sample_ids(learn.select("doc_id").join(positive, "doc_id", "left_anti"), sample, 17)
     p, u = feature_rows(learn, trusted), feature_rows(learn, unlabelled)
     if len(p) < 4 or len(u) < 4:
         return None, 0.5
