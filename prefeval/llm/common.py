@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import sys
 import types
@@ -28,10 +29,20 @@ def worker_cache(name: str, make):
     worker = sys.modules.setdefault("_prefeval_worker", types.ModuleType("_prefeval_worker"))
     if getattr(worker, "name", None) != name:
         worker.held = None
+        give_back()
         worker.name, worker.held = name, make()
     return worker.held
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: a reused worker would
+    keep the pages of an earlier operator's words beside those of its own."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):       # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_release() -> None:
     """Drop what an earlier operator left in this worker."""
     worker_cache("", lambda: None)
