@@ -37,14 +37,16 @@ def encode(df: DataFrame, text: str, max_len: int | None, out: str = "ids") -> D
 
 
 # --------------------------------------------------------------------------- T2
-def encode_pair(df: DataFrame, prompt: str, output: str, max_len: int, append_eos: bool = True) -> DataFrame:
-    """prompt + output ids; EOS appended when absent; overflow cut from the
+def encode_pair(df: DataFrame, prompt: str, output: str, max_len: int, append_eos: bool = True,
+                prompt_ids: str | None = None, output_ids: str | None = None,
+                eos: int = EOS_ID, pad: int = PAD_ID) -> DataFrame:
+    """prompt + output ids (those of the default tokeniser unless id columns are named); EOS appended when absent; overflow cut from the
     left (prompt first, then output); labels -100 on prompt tokens; both
     empty -> one pad token; ``prompt_overflow`` when the prompt alone >= max."""
-    p = ids_of(prompt)
-    o = ids_of(output)
+    p = ids_of(prompt) if prompt_ids is None else c(prompt_ids)
+    o = ids_of(output) if output_ids is None else c(output_ids)
     if append_eos:
-        o = F.when((F.size(o) == 0) | (F.element_at(o, -1) != EOS_ID), F.concat(o, F.array(F.lit(EOS_ID)))).otherwise(o)
+        o = F.when((F.size(o) == 0) | (F.element_at(o, -1) != eos), F.concat(o, F.array(F.lit(eos)))).otherwise(o)
     x = df.withColumn("_p", p).withColumn("_o", o)
     lp, lo = F.size("_p"), F.size("_o")
     over = lp + lo - F.lit(max_len)
@@ -56,7 +58,7 @@ def encode_pair(df: DataFrame, prompt: str, output: str, max_len: int, append_eo
     ids = F.concat("_p", "_o")
     labels = F.concat(F.transform("_p", lambda _: F.lit(-100)), F.col("_o"))
     empty = F.size(ids) == 0
-    return (x.withColumn("input_ids", F.when(empty, F.array(F.lit(PAD_ID))).otherwise(ids))
+    return (x.withColumn("input_ids", F.when(empty, F.array(F.lit(pad))).otherwise(ids))
              .withColumn("labels", F.when(empty, F.array(F.lit(-100))).otherwise(labels))
              .withColumn("target_len", F.size("_o"))
              .drop("_p", "_o"))

@@ -551,6 +551,7 @@ def q_l5(spark, root):
 
 # ---------------------------------------------------------------------------- M ops
 from prefeval.operators import metrics as M  # noqa: E402
+from prefeval.operators import subwords as U
 from prefeval.operators import tokens as T  # noqa: E402
 
 VALUE_EDGES = [0.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0]
@@ -769,6 +770,42 @@ def q_t4i(spark, root):
     return T.tag_by_ids(x, "content", "resp_a", "resp_b").select("id", F.array_join("response_types", "").alias("types"))
 
 
+def _subwords():
+    """A public byte-level vocabulary; its one control id ends and pads."""
+    import public_tokenizers
+    return U.library_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+SUBWORD_END = 50256
+
+
+@register("t1_encode_subwords")
+def q_t1u(spark, root):
+    d = U.encode(table(spark, root, "documents").select("doc_id", "text"), "text", _subwords(), 256)
+    return d.select("doc_id", F.array_join("ids", " ").alias("ids"), "ids_mask")
+
+
+@register("t2_encode_pair_subwords")
+def q_t2u(spark, root):
+    x = U.encode_pair(_sft_rows(spark, root), "judge_prompt", "output", _subwords(), 64, SUBWORD_END, SUBWORD_END)
+    return x.select("row_id", F.array_join("input_ids", " ").alias("input_ids"),
+                    F.array_join("labels", " ").alias("labels"), "prompt_overflow", "target_len")
+
+
+@register("t3_label_subwords")
+def q_t3u(spark, root):
+    x = U.label_tokens(_sft_rows(spark, root), "judge_prompt", "output", _subwords(), 96, SUBWORD_END)
+    return x.select("row_id", "target_start", F.array_join("labels", " ").alias("labels"), "truncated")
+
+
+@register("t4_tag_subwords")
+def q_t4u(spark, root):
+    x = P.with_span(_span_inputs(spark, root), "span_a", "content", "resp_a")
+    x = P.with_span(x, "span_b", "content", "resp_b", F.col("span_a.end"))
+    whole = U.tag_response_tokens(x, "content", "span_a", "span_b", _subwords())
+    return whole.select("id", F.array_join("response_types", "").alias("types"))
+
+
 def _policy_rows(spark, root):
     """48 tokens is the policy's own ``max_len``; every ninth row stands for a
     row that the encoder truncated."""
