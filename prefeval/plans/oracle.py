@@ -1401,7 +1401,7 @@ ORACLE.update({
     "k1_write_jsonl": REC_ROWS, "k3_replace_dataset": REC_ROWS, "k2_write_proxy_cache": K2,
     "s2_read_jsonl": S2, "s3_read_judgment_requests": S3, "s1_read_preferences": S1,
     "s5_read_seed_results": ACCURACY, "st1_incremental_eval": ACCURACY, "st2_stream_ema": G1,
-    "st4_stream_throughput": ST4, "st3_stream_ledger": ST3, "s4_available_languages": S4, "k1_write_results": K1K, "k5_aggregate_summary": K5,
+    "m16_stream_last_n": M16, "st4_stream_throughput": ST4, "st3_stream_ledger": ST3, "s4_available_languages": S4, "k1_write_results": K1K, "k5_aggregate_summary": K5,
 })
 
 

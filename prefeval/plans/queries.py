@@ -1215,6 +1215,19 @@ def q_st2(spark, root):
     return out
 
 
+@register("m16_stream_last_n")
+def q_m16s(spark, root):
+    """The events arrive in three parts, not in order of time."""
+    base = scratch_dir(spark, "m16")
+    ev = table(spark, root, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
+    for part in (1, 2, 0):
+        ev.filter(F.pmod("event_id", F.lit(3)) == part).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(ev.schema).parquet(f"{base}/in")
+        out = ST.run_to_table(spark, ST.stream_last_n(stream, 100, "event_type", ["ts", "event_id"]),
+                              f"{base}/out", f"{base}/ckpt")
+    return ST.current_last_n(out, "event_type").select("event_id", "event_type")
+
+
 @register("st3_stream_ledger")
 def q_st3(spark, root):
     base = scratch_dir(spark, "st3")

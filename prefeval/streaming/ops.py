@@ -169,3 +169,54 @@ def run_to_table(spark: SparkSession, df: DataFrame, out_dir: str, checkpoint: s
            .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out_dir)
+
+
+# --------------------------------------------------------------------------- M16 as a stream
+def stream_last_n(stream: DataFrame, n: int, key: str, order: list[str]) -> DataFrame:
+    """``metrics.last_n`` on a stream: whenever a batch changes a key's n most
+    recent rows, they are emitted whole with the next ``version`` of that key;
+    the largest version is the current set (``current_last_n``).
+
+    ``order`` columns are whole numbers that tell the rows apart in time, the
+    last one the tie-break. The state of a key is n rows at most, whatever the
+    stream holds, and each task hands on its own n rows per key at most, so a
+    hot key stays small. The result does not depend on batches or on the order
+    of arrival. Rows with a null in ``order`` are never kept; a null key is a
+    key; repeated rows count each by itself."""
+    names = [key, *order]
+    rows = stream.select(*[F.col(c).cast("long").alias(c) if c in order else F.col(c) for c in names]) \
+        .dropna(subset=order)
+
+    def trim(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for pdf in pdfs:
+            both = pdf if kept is None else pd.concat([kept, pdf])
+            kept = both.sort_values(order, ascending=False).groupby(key, dropna=False).head(n)
+        if kept is not None:
+            yield kept
+
+    state_schema = T.StructType([T.StructField("version", T.LongType())] + [
+        T.StructField(c, T.ArrayType(T.LongType())) for c in order])
+
+    def fn(group, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        version, *held = state.get if state.exists else (0, *[[] for _ in order])
+        before = sorted(zip(*held), reverse=True)
+        now = before
+        for pdf in pdfs:
+            now = sorted([*now, *zip(*[pdf[c].tolist() for c in order])], reverse=True)[:n]
+        if now != before:
+            columns = [list(c) for c in zip(*now)]
+            state.update((version + 1, *columns))
+            yield pd.DataFrame({key: [group[0]] * len(now), **dict(zip(order, columns)), "version": version + 1})
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("version", T.LongType())])
+    return rows.mapInPandas(trim, rows.schema).groupBy(key).applyInPandasWithState(
+        fn, outputStructType=schema, stateStructType=state_schema, outputMode="append",
+        timeoutConf=GroupStateTimeout.NoTimeout)
+
+
+def current_last_n(out: DataFrame, key: str) -> DataFrame:
+    """The rows of each key's largest version."""
+    last = out.groupBy(F.col(key).alias("_key")).agg(F.max("version").alias("_version"))
+    return out.join(last, F.col(key).eqNullSafe(F.col("_key")) & (F.col("version") == F.col("_version")), "left_semi") \
+        .drop("version")
