@@ -227,13 +227,16 @@ def proxy_labels(df: DataFrame, key: str = "row_id", length_bins=DEFAULT_LENGTH_
 
 
 # --------------------------------------------------------------------------- M9 / M10 / M11
-def bin_histogram(df: DataFrame, label: str = "label", target: str = "target", group=(), eps: float = 1e-8) -> DataFrame:
-    """Sum of target vectors over labelled rows, probabilities and entropy
+def bin_histogram(df: DataFrame, label: str = "label", target: str = "target", group=(), eps: float = 1e-8,
+                  weight: str | None = None) -> DataFrame:
+    """Sum of target vectors over labelled rows (``weight``: a column that
+    counts how many equal rows a row stands for), probabilities and entropy
     per group: (group..., bin, mass, prob, entropy)."""
     group = list(group)
-    x = df.filter(F.col(label) != -100).select(*group, F.posexplode_outer(target).alias("bin", "w")) \
+    times = F.lit(1) if weight is None else F.col(weight)
+    x = df.filter(F.col(label) != -100).select(*group, times.alias("_times"), F.posexplode_outer(target).alias("bin", "w")) \
         .filter(F.col("bin").isNotNull())
-    h = x.groupBy(*group, "bin").agg(F.sum("w").alias("mass"))
+    h = x.groupBy(*group, "bin").agg(F.sum(F.col("w") * F.col("_times")).alias("mass"))
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
     h = h.withColumn("prob", F.col("mass") / F.greatest(F.sum("mass").over(w), F.lit(eps)))
     return h.withColumn("entropy", -F.sum(F.col("prob") * F.log(F.col("prob") + eps)).over(w))

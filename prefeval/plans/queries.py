@@ -659,18 +659,21 @@ def q_m9(spark, root):
     return M.bin_histogram(sb)
 
 
-def _doc_length_hist(spark, root, group):
+def _doc_length_bins(spark, root):
+    """Soft bins of document lengths: equal lengths of a language are counted
+    first, so each text is split once and its length binned once."""
     d = table(spark, root, "documents")
-    x = d.select("lang", M.length_ttr("text")["length"].alias("_len")) \
-         .select("lang", M.soft_bin("_len", M.DEFAULT_LENGTH_BINS).alias("s")) \
-         .select("lang", "s.label", "s.target")
-    return M.bin_histogram(x, group=group)
+    n = d.select("lang", M.length_ttr("text")["length"].alias("_len")).groupBy("lang", "_len") \
+         .agg(F.count(F.lit(1)).alias("rows"))
+    return materialize(n, "length-counts").select("lang", "rows", M.soft_bin("_len", M.DEFAULT_LENGTH_BINS).alias("s")) \
+        .select("lang", "rows", "s.label", "s.target")
 
 
 @register("m10_distribution_distance")
 def q_m10(spark, root):
-    per = _doc_length_hist(spark, root, ["lang"])
-    ref = _doc_length_hist(spark, root, [])
+    bins = _doc_length_bins(spark, root)
+    per = M.bin_histogram(bins, group=["lang"], weight="rows")
+    ref = M.bin_histogram(bins, group=[], weight="rows")
     return M.distribution_distance(per, ref, "lang", len(M.DEFAULT_LENGTH_BINS) - 1)
 
 
@@ -1042,7 +1045,7 @@ def q_r6(spark, root):
 # ---------------------------------------------------------------------------- S / K ops (round trips)
 from pyspark.sql import types as _T  # noqa: E402
 
-from prefeval.session import scratch_dir  # noqa: E402
+from prefeval.session import materialize, scratch_dir  # noqa: E402
 from prefeval.sinks import files as K  # noqa: E402
 from prefeval.sources import files as S  # noqa: E402
 from prefeval.streaming import ops as ST  # noqa: E402
