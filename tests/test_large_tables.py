@@ -25,3 +25,15 @@ def test_lengths_are_counted_before_binning(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.lang, r.rows) for r in Q._doc_length_bins(spark, str(tmp_path)).collect()}
     assert got == {("x", 5), (None, 1)}
+
+
+def test_model_sees_few_rows_at_a_time(spark):
+    df = spark.range(0, 1500, 1, 1).select("id", F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit("x").alias("wide"))
+
+    def seen(pdf):
+        return pd.Series([str(len(pdf))] * len(pdf), index=pdf.index)
+    got = L.map_text(df, seen, inputs=["text"], keys=["id"]).collect()
+    assert len(got) == 1500 and max(int(r.output) for r in got) <= L.MAP_ROWS
+    assert L.map_text(df, seen, inputs=["text"], keys=None).columns == ["id", "text", "wide", "output"]
+    once = L.map_text(df.withColumn("text", F.lit("same")), seen, inputs=["text"], keys=["id"], dedupe=True).collect()
+    assert len(once) == 1500 and {r.output for r in once} == {"1"}
