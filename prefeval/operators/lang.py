@@ -189,6 +189,10 @@ def back_translate(long: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], key
 
 
 # --------------------------------------------------------------------------- L1
+HOT_GRAMS = 1 << 16       # grams of the language model that are broadcast
+WIDE_LANGS = 32           # up to this many languages are summed in a column each
+
+
 def char_trigrams(text) -> "F.Column":
     """Character trigrams of ' ' + lower(text) + ' ' with whitespace squeezed.
 
@@ -235,21 +239,50 @@ def detect_language(df: DataFrame, model: DataFrame, key: str = "doc_id", text:
     grams at the language's floor. Candidates are the languages sharing at
     least one trigram with the row; ties go to the larger language code.
 
-    Grams are counted per (row, gram) before the join, so a text that repeats
-    a gram sends it once. The model is one row per gram with a map from
-    language to log probability; it is joined by shuffle, and a hot gram is a
-    skewed partition that AQE splits. Per row the scores are summed per
-    language; floors come with the model, nothing is read to the driver."""
+    The model is one row per gram with a map from language to log probability.
+    Its ``HOT_GRAMS`` likeliest grams are broadcast, so nearly all grams of a
+    text are scored and summed per language where the text is read and are
+    never shuffled. What is left, one row per text and rarer gram, is written
+    once and joined to the whole model by shuffle. Floors come with the model,
+    nothing is read to the driver."""
     langs = model.groupBy("lang").agg(F.first("logp_unseen").alias("floor"))
     floors = langs.agg(F.map_from_entries(F.collect_list(F.struct("lang", "floor")))).scalar()
-    wide = model.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "logp"))).alias("p"))
+    wide = model.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "logp"))).alias("p"),
+                                     F.max("logp").alias("_top"))
+    names = [r.lang for r in langs.select("lang").collect()]         # a handful
+    likely = wide.orderBy(F.desc("_top"), "gram").limit(HOT_GRAMS)
     # the gram total is taken before the explode: an expression over the
     # array next to the generator would carry the whole array on every row
     g = df.select(key, char_trigrams(text).alias("_g")).select(key, F.size("_g").alias("_K"), "_g")
     exploded = g.select(key, "_K", F.explode_outer("_g").alias("gram")).filter(F.col("gram").isNotNull())
-    per_gram = exploded.groupBy(key, "_K", "gram").agg(F.count(F.lit(1)).alias("k"))
-    rows = per_gram.join(wide, "gram").select(key, "_K", "k", F.explode("p").alias("lang", "lp"))
-    scored = rows.groupBy(key, "_K", "lang").agg(F.sum(F.col("k") * F.col("lp")).alias("s"), F.sum("k").alias("n"))
+
+    def scores(few):
+        """Sum and number per language of ``few``, one column each: a gram is
+        one row, whatever the number of languages."""
+        cells = likely.select("gram", F.lit(True).alias("_hit"), *[F.element_at("p", n).alias(f"_l{i}") for i, n in enumerate(few)])
+        found = exploded.join(F.broadcast(cells), "gram", "left")      # HOT_GRAMS rows at most
+        rest = F.when(F.col("_hit").isNull(), F.col("gram")).alias("_rest")
+        return found.groupBy(key, "_K", rest).agg(
+            F.count(F.lit(1)).alias("n"), *[F.sum(f"_l{i}").alias(f"s{i}") for i in range(len(few))],
+            *[F.count(f"_l{i}").alias(f"n{i}") for i in range(len(few))]) \
+            .select(key, "_K", "_rest", "n", F.array(*[F.struct(F.lit(n).alias("lang"), F.col(f"s{i}").alias("s"),
+                                                                F.col(f"n{i}").alias("n")) for i, n in enumerate(few)]).alias("_by"))
+
+    if 0 < len(names) <= WIDE_LANGS:
+        met = materialize(scores(names), "gram-scores")
+        near = met.filter(F.col("_rest").isNull()).select(key, "_K", F.explode("_by").alias("_b")) \
+            .select(key, "_K", "_b.*").filter(F.col("n") > 0)
+    else:
+        found = exploded.join(F.broadcast(likely.select("gram", "p")), "gram", "left")
+        met = found.select(key, "_K", F.when(F.col("p").isNull(), F.col("gram")).alias("_rest"),
+                           F.explode_outer("p").alias("lang", "lp"))
+        met = materialize(met.groupBy(key, "_K", "lang", "_rest").agg(
+            F.sum("lp").alias("s"), F.count(F.lit(1)).alias("n")), "gram-scores")
+        near = met.filter(F.col("_rest").isNull()).select(key, "_K", "lang", "s", "n")
+    rest = met.filter(F.col("_rest").isNotNull()).select(key, "_K", F.col("_rest").alias("gram"), F.col("n").alias("k"))
+    rest = rest.join(wide.select("gram", "p"), "gram").select(key, "_K", "k", F.explode("p").alias("lang", "lp")) \
+        .select(key, "_K", "lang", (F.col("k") * F.col("lp")).alias("s"), F.col("k").alias("n"))
+    scored = near.unionByName(rest).groupBy(key, "_K", "lang").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     score = F.col("s") + (F.col("_K") - F.col("n")) * F.element_at(floors, F.col("lang"))
     best = scored.groupBy(key).agg(F.max_by("lang", F.struct(score.alias("score"), F.col("lang").alias("lang"))).alias(out))
     return df.join(best, key, "left").withColumn(

@@ -37,3 +37,14 @@ def test_model_sees_few_rows_at_a_time(spark):
     assert L.map_text(df, seen, inputs=["text"], keys=None).columns == ["id", "text", "wide", "output"]
     once = L.map_text(df.withColumn("text", F.lit("same")), seen, inputs=["text"], keys=["id"], dedupe=True).collect()
     assert len(once) == 1500 and {r.output for r in once} == {"1"}
+
+
+def test_rare_grams_and_many_languages_give_the_same_language(spark, monkeypatch):
+    rows = [(1, "aaa bbb aaa", "x"), (2, "aaa ccc", "y"), (3, "zzz ccc", "y"), (4, "", "x"), (5, None, "x"), (6, "aaa", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train_language_model(df)
+    want = sorted((r.doc_id, r.detected) for r in L.detect_language(df, model).collect())
+    assert want[3] == (4, "") and {w[1] for w in want[:3]} == {"x", "y"}
+    for name, few in (("HOT_GRAMS", 2), ("WIDE_LANGS", 1), ("HOT_GRAMS", 1 << 16)):
+        monkeypatch.setattr(L, name, few)
+        assert sorted((r.doc_id, r.detected) for r in L.detect_language(df, model).collect()) == want
