@@ -13,6 +13,7 @@ columns of the output's names that the input already has are an error.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from prefeval.functions.text import c, py_strip
+from prefeval.functions.memory import free_memory
+from prefeval.functions.text import NON_WS, c
 from prefeval.operators import tokens as T
 
 ROWS = 256                # texts handed to the tokeniser at a time
@@ -41,35 +43,65 @@ def library_tokenizer(path: str, special: bool = True) -> Callable:
 
         def encode(texts: list) -> list:
             found = lib.encode_batch(texts, add_special_tokens=False)
-            return [(e.ids, [a for a, _ in e.offsets], [z for _, z in e.offsets]) for e in found]
+            return [(e.ids, *([*ends] for ends in zip(*e.offsets))) if len(e) else ([], [], []) for e in found]
+
+        # the same ids for callers that need no offsets
+        encode.ids_only = lambda texts: [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
         return encode
     return make
 
 
-def tokenise(df: DataFrame, text: str, tokenizer: Callable, out: str = "tok") -> DataFrame:
-    """Add ``out``_ids, ``out``_starts and ``out``_ends of the whole text."""
-    names = [f"{out}_{p}" for p in PARTS]
-    clash = {n.lower() for n in names} & {n.lower() for n in df.columns}
+def _stage(df: DataFrame, tokenizer: Callable, drop: list, added: list, work: Callable) -> DataFrame:
+    """One Arrow stage: ``work(encode, column)`` gives the values of the ``added``
+    (name, type) columns for ``ROWS`` rows at a time, ``column`` the list of a
+    column's values there. Columns in ``drop`` do not come back."""
+    clash = {n.lower() for n, _ in added} & {n.lower() for n in df.columns}
     if clash:
         raise ValueError(f"columns already there: {sorted(clash)}")
     given = df.columns
-    at = given.index(text)
-    ints = ST.ArrayType(ST.IntegerType())
-    schema = ST.StructType([*df.schema.fields, *[ST.StructField(n, ints) for n in names]])
+    kept = [i for i, n in enumerate(given) if n not in drop]
+    schema = ST.StructType([*[df.schema.fields[i] for i in kept], *[ST.StructField(n, t) for n, t in added]])
+    kinds = [pa.list_(pa.int32()) if isinstance(t, ST.ArrayType) else pa.int32() for _, t in added]
+    names = [*[given[i] for i in kept], *[n for n, _ in added]]
 
     def run(batches):
         encode = tokenizer()
         for whole in batches:
             for k in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(k, ROWS)
-                found = encode([t or "" for t in batch.column(at).to_pylist()])
+                found = work(encode, lambda n: batch.column(given.index(n)).to_pylist())     # noqa: B023
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, *[pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in range(3)]],
-                    names=[*given, *names])
+                    [*[batch.column(i) for i in kept], *[pa.array(f, t) for f, t in zip(found, kinds)]], names=names)
+            free_memory()
 
     return df.mapInArrow(run, schema)
 
 
+INTS = ST.ArrayType(ST.IntegerType())
+
+
+def _ids(encode: Callable, texts: list) -> list:
+    texts = [t or "" for t in texts]
+    only = getattr(encode, "ids_only", None)
+    return only(texts) if only else [f[0] for f in encode(texts)]
+
+
+def tokenise(df: DataFrame, text: str, tokenizer: Callable, out: str = "tok") -> DataFrame:
+    """Add ``out``_ids, ``out``_starts and ``out``_ends of the whole text."""
+    def work(encode, column):
+        found = encode([t or "" for t in column(text)])
+        return [[f[i] for f in found] for i in range(3)]
+
+    return _stage(df, tokenizer, [], [(f"{out}_{p}", INTS) for p in PARTS], work)
+
+
+def token_ids(df: DataFrame, texts: dict, tokenizer: Callable) -> DataFrame:
+    """Add the ids of several text columns, ``texts`` naming the new column of
+    each, in one stage; the library tokeniser then makes no offsets."""
+    return _stage(df, tokenizer, [], [(n, INTS) for n in texts.values()],
+                  lambda encode, column: [_ids(encode, column(t)) for t in texts])
+
+
 def _cut(col, max_len: int | None):
     return c(col) if max_len is None else F.slice(c(col), 1, max_len)
 
@@ -77,17 +109,18 @@ def _cut(col, max_len: int | None):
 # --------------------------------------------------------------------------- T1
 def encode(df: DataFrame, text: str, tokenizer: Callable, max_len: int | None = None, out: str = "ids") -> DataFrame:
     """text -> ids, right-truncated to max_len if there is one; mask 1 when the text is present."""
-    present = F.coalesce(py_strip(c(text)), F.lit("")) != ""
-    return tokenise(df, text, tokenizer, "_t").withColumn(out, _cut("_t_ids", max_len)) \
-        .withColumn(out + "_mask", present.cast("int")).drop(*[f"_t_{p}" for p in PARTS])
+    present = F.coalesce(c(text).rlike(NON_WS), F.lit(False))
+    return token_ids(df, {text: "_t_ids"}, tokenizer).withColumn(out, _cut("_t_ids", max_len)) \
+        .withColumn(out + "_mask", present.cast("int")).drop("_t_ids")
 
 
 # --------------------------------------------------------------------------- T2
 def encode_pair(df: DataFrame, prompt: str, output: str, tokenizer: Callable, max_len: int, eos: int, pad: int) -> DataFrame:
     """As ``tokens.encode_pair``, over the tokeniser's ids and control ids."""
-    x = tokenise(tokenise(df, prompt, tokenizer, "_p"), output, tokenizer, "_o")
+    x = df.withColumn("_pt", c(prompt)).withColumn("_ot", c(output))       # one column may be both
+    x = token_ids(x, {"_pt": "_p_ids", "_ot": "_o_ids"}, tokenizer)
     return T.encode_pair(x, prompt, output, max_len, prompt_ids="_p_ids", output_ids="_o_ids", eos=eos, pad=pad) \
-        .drop(*[f"_{s}_{p}" for s in "po" for p in PARTS])
+        .drop("_pt", "_ot", "_p_ids", "_o_ids")
 
 
 # --------------------------------------------------------------------------- T3
@@ -117,21 +150,25 @@ def tag_response_tokens(df: DataFrame, prompt: str, span_a: str, span_b: str, to
     """Type 1 / 2 for tokens whose [start, end) overlaps span A / span B (A
     first), else 0. Tokens and spans are both in order, so the tokens that meet
     a span are one index range: from the number of ends up to the span's start
-    to the number of starts before its end."""
-    x = tokenise(df, prompt, tokenizer, "_t")
-    size = F.size("_t_ids")
-
-    def count(array, bound, keep):
-        return F.size(F.filter(F.zip_with(array, F.array_repeat(bound, size), keep), lambda b: b))
-
-    for side, span in (("a", F.col(span_a)), ("b", F.col(span_b))):
-        real = span.isNotNull() & (span["end"] > span["start"])
-        x = x.withColumn(f"_{side}0", F.when(real, count("_t_ends", span["start"], lambda z, s: z <= s))) \
-             .withColumn(f"_{side}1", F.when(real, count("_t_starts", span["end"], lambda a, e: a < e)))
-    n = size if max_len is None else F.least(size, F.lit(max_len))
-    bounds = F.array_repeat(F.struct("_a0", "_a1", "_b0", "_b1"), n)
-    types = F.zip_with(F.sequence(F.lit(0), n - 1), bounds, lambda k, b: (
-        F.when((k >= b["_a0"]) & (k < b["_a1"]), F.lit(1))
-         .when((k >= b["_b0"]) & (k < b["_b1"]), F.lit(2)).otherwise(F.lit(0))))
-    return x.withColumn(out, F.when(n > 0, types).otherwise(F.array().cast("array<int>"))) \
-            .drop("_a0", "_a1", "_b0", "_b1", *[f"_t_{p}" for p in PARTS])
+    to the number of starts before its end. Only the types leave the stage."""
+    spans = {f"_{side}{k}": F.when(F.col(span)["end"] > F.col(span)["start"], F.col(span)[part]).cast("int")
+             for side, span in (("a", span_a), ("b", span_b)) for k, part in enumerate(("start", "end"))}
+
+    bounds = list(spans)
+
+    def tags(found, a0, a1, b0, b1):
+        _, starts, ends = found
+        types = [0] * len(ends)
+        for kind, start, end in ((2, b0, b1), (1, a0, a1)):              # A is written last
+            if start is not None:
+                first, past = bisect_right(ends, start), bisect_left(starts, end)
+                types[first:past] = [kind] * (past - first)
+        return types if max_len is None else types[:max_len]
+
+    def work(encode, column):
+        found = encode([t or "" for t in column("_prompt")])
+        return [[tags(*row) for row in zip(found, *[column(n) for n in bounds])]]
+
+    x = df.withColumn("_prompt", c(prompt)).withColumns(spans)
+    return _stage(x, tokenizer, ["_prompt", *spans], [("_types", INTS)], work) \
+        .withColumn(out, F.col("_types")).drop("_types")

@@ -48,3 +48,24 @@ def test_rare_grams_and_many_languages_give_the_same_language(spark, monkeypatch
     for name, few in (("HOT_GRAMS", 2), ("WIDE_LANGS", 1), ("HOT_GRAMS", 1 << 16)):
         monkeypatch.setattr(L, name, few)
         assert sorted((r.doc_id, r.detected) for r in L.detect_language(df, model).collect()) == want
+
+
+def test_pair_is_encoded_in_one_stage(spark, capsys):
+    def make():
+        return lambda texts: [([len(t)], [0], [len(t)]) for t in texts]
+    df = spark.createDataFrame([(1, "ab", "c"), (2, None, "dd")], "id long, p string, o string")
+    x = U.encode_pair(df, "p", "o", make, 10, 7, 0)
+    x.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    assert {r.id: r.input_ids for r in x.collect()} == {1: [2, 1, 7], 2: [0, 2, 7]}
+
+
+def test_tags_need_no_array_lambdas(spark, capsys):
+    def make():
+        return lambda texts: [(list(range(len(t))), list(range(len(t))), list(range(1, len(t) + 1))) for t in texts]
+    span = "struct<start:int,end:int>"
+    df = spark.createDataFrame([(1, "abcdef", (1, 3), (2, 5))], f"id long, p string, a {span}, b {span}")
+    x = U.tag_response_tokens(df, "p", "a", "b", make)
+    x.explain()
+    assert "zip_with" not in capsys.readouterr().out
+    assert x.first().response_types == [0, 1, 1, 2, 2, 0]
