@@ -266,10 +266,18 @@ def merge_shards(shards: DataFrame, expected, idx: str = "idx", rank: str = "ran
 def rank_align(types: DataFrame, values: DataFrame, key: str = "row_id") -> DataFrame:
     """The k-th position of a side (type 1 = A, 2 = B) receives the k-th valid
     value of that side; extra positions get 0. ``types``: (key, pos, side),
-    ``values``: (key, side, vpos, value)."""
-    wt = Window.partitionBy(key, "side").orderBy("pos")
-    wv = Window.partitionBy(key, "side").orderBy("vpos")
-    t = types.filter(F.col("side") > 0).withColumn("_k", F.row_number().over(wt))
-    v = values.filter(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("_k", F.row_number().over(wv))
-    return (t.join(v.select(key, "side", "_k", "value"), [key, "side", "_k"], "left")
-             .select(key, "pos", "side", F.coalesce(F.col("value"), F.lit(0.0)).alias("value")))
+    ``values``: (key, side, vpos, value).
+
+    Both tables are dealt out once by (key, side); ranks and the match by rank
+    stay within those partitions. A null key takes no values."""
+    real = F.col("value").isNotNull() & ~F.isnan("value")
+    kind = values.schema["value"].dataType
+    t = types.filter(F.col("side") > 0).select(key, "side", F.lit(True).alias("_t"), F.col("pos").alias("_at"),
+                                               F.lit(None).cast(kind).alias("value"))
+    v = values.filter(real & F.col(key).isNotNull() & F.col("side").isNotNull()) \
+        .select(key, "side", F.lit(False).alias("_t"), F.col("vpos").alias("_at"), "value")
+    w = Window.partitionBy(key, "side", "_t").orderBy("_at")
+    x = t.unionByName(v).repartition(key, "side").withColumn("_k", F.row_number().over(w))
+    x = x.groupBy(key, "side", "_k").agg(F.bool_or("_t").alias("_t"), F.max(F.when(F.col("_t"), F.col("_at"))).alias("pos"),
+                                         F.max("value").alias("value"))
+    return x.filter("_t").select(key, "pos", "side", F.coalesce(F.col("value"), F.lit(0.0)).alias("value"))

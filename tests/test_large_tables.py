@@ -69,3 +69,14 @@ def test_tags_need_no_array_lambdas(spark, capsys):
     x.explain()
     assert "zip_with" not in capsys.readouterr().out
     assert x.first().response_types == [0, 1, 1, 2, 2, 0]
+
+
+def test_ranks_are_aligned_after_one_exchange(spark):
+    types = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (1, 2, 1), (1, 3, 2), (None, 0, 1)], "row_id long, pos int, side int")
+    vals = spark.createDataFrame([(1, 1, 0, 5.0), (1, 1, 1, float("nan")), (1, 1, 2, 7.0), (1, 2, 0, None), (None, 1, 0, 9.0)],
+                                 "row_id long, side int, vpos int, value double")
+    x = T.rank_align(types, vals)
+    assert {(r.row_id, r.pos, r.side, r.value) for r in x.collect()} == {
+        (1, 0, 1, 5.0), (1, 2, 1, 7.0), (1, 3, 2, 0.0), (None, 0, 1, 0.0)}
+    plan = x._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
