@@ -1,8 +1,10 @@
+import pickle
+import re
 import zlib
 
 import numpy as np
 
-from prefeval.llm.toxicity import BlockMaxIndex, score_documents
+from prefeval.llm.toxicity import BlockMaxIndex, letters, score_documents
 
 
 def test_index_is_exact():
@@ -74,3 +76,22 @@ def test_no_term_is_cut(spark):
     assert got[1000].evidence[0] == rows[305][0] and abs(got[1000].cosines[0] - 1) < 1e-9
     assert got[1000].predicted == 1 and got[1001].predicted == 0 and got[1000].score > got[1001].score
     assert got[1002].evidence[0] == rows[309][0]
+
+
+def test_the_driver_holds_terms_and_counts_alone(spark, monkeypatch):
+    """What is sent to the workers grows with the examples' terms, not with a dense index."""
+    kind, sent = type(spark.sparkContext), []
+    whole = kind.broadcast
+    monkeypatch.setattr(kind, "broadcast", lambda self, x: sent.append(len(pickle.dumps(x))) or whole(self, x))
+    spell = lambda n: "".join(chr(97 + int(c)) for c in f"{n:05d}")
+    rows = [(i, " ".join(spell(i * 7 + 113 * j) for j in range(8))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    assert score_documents(docs, labels).count() == 400
+    assert 0 < sum(sent) < 500_000
+
+
+def test_letters_as_before():
+    odd = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c % 7)
+    for text in (odd[:60000], odd, "abc é½² x1_y 中文 𝒳z", ""):
+        assert letters(text) == re.findall(r"[^\W\d_]+", text)
