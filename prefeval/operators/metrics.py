@@ -35,35 +35,48 @@ def length_ttr(col) -> Column:
 
 
 # --------------------------------------------------------------------------- M2
-def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, prev, word) for tokens 2..n of each text: the token array zipped
-    with itself shifted by one (one split per text, linear)."""
-    x = df.select(key, words(F.coalesce(c(text), F.lit(""))).alias("_t"))
+CHUNK_CHARS = 6_000_000    # text of a chunk of rows
+
+
+def with_bigrams(x: DataFrame, text, name: str) -> DataFrame:
+    """The array ``name`` of (prev, word) for tokens 2..n: the token array
+    zipped with itself shifted by one (one split per text, linear)."""
+    x = x.withColumn("_t", words(F.coalesce(c(text), F.lit(""))))
     n = F.size("_t")
     z = F.arrays_zip(F.col("_t").alias("prev"), F.slice("_t", 2, F.greatest(n - 1, F.lit(1))).alias("word"))
-    x = x.select(key, F.when(n >= 2, F.slice(z, 1, n - 1)).alias("_bg"))
+    return x.withColumn(name, F.when(n >= 2, F.slice(z, 1, n - 1))).drop("_t")
+
+
+def one_by_one(x: DataFrame, name: str) -> DataFrame:
     # explode_outer + null filter: a plain explode lets Catalyst push an
     # inferred size(...) > 0 filter (the whole tokenisation) into the scan
-    return x.select(key, F.explode_outer("_bg").alias("_b")).filter(F.col("_b").isNotNull()) \
-            .select(key, "_b.prev", "_b.word")
+    return x.withColumn(name, F.explode_outer(name)).filter(F.col(name).isNotNull())
+
+
+def packed(x: DataFrame, n: str, *by: str) -> DataFrame:
+    """One row per ``by`` with sorted lines 'prev word n' (no n: 1). Words hold
+    no white space; such rows shuffle in a fraction of a row per pair."""
+    line = F.concat_ws(" ", "_prev", "_word", F.when(F.col(n) != 1, F.col(n).cast("string")))
+    return x.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("_text"))
+
 
+def unpacked(x: DataFrame, line, n: str) -> DataFrame:
+    x = x.withColumn("_s", F.split(line, " "))
+    return x.withColumns({"_prev": F.get("_s", F.lit(0)), "_word": F.get("_s", F.lit(1)),
+                          n: F.coalesce(F.get("_s", F.lit(2)), F.lit("1")).cast("long")}).drop("_s")
 
-def bigram_model(corpus: DataFrame, key: str, text: str, k: float = 1.0) -> tuple[DataFrame, DataFrame, Column]:
-    """Counts of (prev, word) and of prev over the corpus, and the vocabulary
-    size as a scalar subquery.
 
-    Counting is a partial-aggregated shuffle; the pair-count table is written
-    once to the shared checkpoint folder, so prefix counts and the vocabulary
-    read it instead of re-splitting the corpus. The vocabulary is every word of a bigram plus
-    the words of one-token texts (the only words a bigram cannot carry)."""
-    bg = bigrams(corpus, key, text)
-    pair_counts = materialize(bg.groupBy("prev", "word").agg(F.count(F.lit(1)).alias("c_pw")), "bigram-counts")
-    prev_counts = pair_counts.groupBy("prev").agg(F.sum("c_pw").alias("c_p"))
-    toks = words(F.coalesce(c(text), F.lit("")))
-    singles = corpus.select(toks.alias("_t")).filter(F.size("_t") == 1).select(F.element_at("_t", 1).alias("w"))
-    vocab = (pair_counts.select(F.col("prev").alias("w")).unionByName(pair_counts.select(F.col("word").alias("w")))
-             .unionByName(singles).distinct().agg(F.count(F.lit(1))).scalar())
-    return pair_counts, prev_counts, vocab
+def chunk_counts(rows: DataFrame, chunks: int, counts: bool, asks: bool) -> DataFrame:
+    """The pairs of each chunk of rows with their counts, and each first word
+    with the empty word for all pairs that it begins, dealt to shards."""
+    x = with_bigrams(rows.select("_chunk", "_text").repartition(chunks, "_chunk"), "_text", "_p").drop("_text")
+    begun = F.transform("_p", lambda b: F.struct(b["prev"].alias("prev"), F.lit("").alias("word")))
+    x = one_by_one(x.withColumn("_p", F.concat("_p", begun)), "_p")
+    x = x.groupBy("_chunk", F.col("_p.prev").alias("_prev"), F.col("_p.word").alias("_word")).agg(F.count(F.lit(1)).alias("_n"))
+    if not counts:
+        x = x.withColumn("_n", F.lit(0))
+    shard = F.pmod(F.xxhash64("_prev", "_word"), F.lit(chunks)).cast("int")
+    return packed(x.withColumn("_shard", shard), "_n", "_chunk", "_shard").withColumn("_asks", F.lit(asks))
 
 
 def token_nll(df: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str = "text",
@@ -71,16 +84,45 @@ def token_nll(df: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str =
     """Mean of -ln p(word | prev) over tokens 2..n, add-k bigram model counted
     on ``corpus``; fewer than two tokens -> 0.
 
-    Bigrams are counted per row before any join: a row sends each distinct
-    pair once, with its count, and a hot pair ('of the') one row per text.
-    One left join brings the pair count, one the prefix count, and a weighted
-    mean closes the row. AQE splits partitions that stay skewed."""
-    pair_counts, prev_counts, vocab = bigram_model(corpus, key, text, k)
-    own = bigrams(df, key, text).groupBy(key, "prev", "word").agg(F.count(F.lit(1)).alias("_n"))
-    j = own.join(pair_counts, ["prev", "word"], "left").join(prev_counts, "prev", "left")
-    nlp = -F.log((F.coalesce(F.col("c_pw"), F.lit(0)) + F.lit(k)) /
-                 (F.coalesce(F.col("c_p"), F.lit(0)) + F.lit(k) * vocab))
-    per = j.groupBy(key).agg((F.sum(nlp * F.col("_n")) / F.sum("_n")).alias(out))
+    Rows are dealt to chunks of bounded text by a hash. A chunk counts its
+    pairs and sends each once, packed as lines of text, to where the pair is
+    summed over all chunks. Only sums that differ from the chunk's own count
+    come back; one more shuffle brings them and the texts together, and windows
+    set the counts beside every token. A hot pair sends a line per chunk, not
+    per text, and pairs with a hot first word are spread over all shards."""
+    one = corpus is df
+    asked = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    chars = F.coalesce(F.sum(F.length(text).cast("double")), F.lit(0.0)).alias("n")
+    chunks = 1 + int(max(x.agg(chars).first().n for x in ([df] if one else [df, corpus])) / CHUNK_CHARS)
+    dealt = lambda x: x.withColumn("_chunk", F.pmod(F.xxhash64(*x.columns), F.lit(chunks)).cast("int"))
+    asked = dealt(asked)
+    sent = chunk_counts(asked, chunks, one, True)
+    if not one:
+        sent = sent.unionByName(chunk_counts(dealt(corpus.select(F.col(text).alias("_text"))), chunks, True, False))
+    sums = sent.repartition(chunks, "_shard").withColumn("_text", F.explode(F.split("_text", "\n")))
+    sums = unpacked(sums, "_text", "_n").drop("_text")
+    sums = sums.withColumn("_c", F.sum("_n").over(Window.partitionBy("_shard", "_prev", "_word")))
+    # a chunk counts its own pairs again, so only other sums are sent back
+    back = packed(sums.filter(F.col("_c") != F.col("_n")) if one else sums.filter("_asks"), "_c", "_chunk", "_shard")
+
+    back = back.select("_chunk", F.lit(None).cast(asked.schema["_key"].dataType).alias("_key"), "_text", F.lit(0).alias("_own"))
+    both = asked.select("_chunk", "_key", "_text", F.lit(1).alias("_own")).unionByName(back).repartition(chunks, "_chunk")
+    own = F.col("_own") == 1
+    both = with_bigrams(both, F.when(own, F.col("_text")), "_p")
+    lines = F.transform(F.split("_text", "\n"), lambda x: F.struct(x.alias("prev"), F.lit("").alias("word")))
+    both = one_by_one(both.withColumn("_p", F.when(own, F.col("_p")).otherwise(lines)).drop("_text"), "_p")
+    both = unpacked(both, F.when(~own, F.col("_p.prev")), "_c")
+    both = both.select("_chunk", "_key", "_own", F.when(~own, F.col("_c")).alias("_c"),
+                       *(F.when(own, F.col(f"_p.{x}")).otherwise(F.col(f"_{x}")).alias(f"_{x}") for x in ("prev", "word")))
+    by_prev, by_pair = Window.partitionBy("_chunk", "_prev"), Window.partitionBy("_chunk", "_prev", "_word")
+    both = both.withColumn("_pw", F.coalesce(F.max("_c").over(by_pair), F.sum("_own").over(by_pair)))
+    begun = F.max(F.when(F.col("_word") == "", F.col("_c"))).over(by_prev)
+    both = both.withColumn("_pr", F.coalesce(begun, F.sum("_own").over(by_prev))).filter("_own = 1")
+
+    seen = corpus.select(F.array_distinct(words(F.coalesce(c(text), F.lit("")))).alias("_w"))
+    vocab = one_by_one(seen, "_w").distinct().agg(F.count(F.lit(1))).scalar()
+    nlp = -F.log((F.col("_pw") + F.lit(k)) / (F.col("_pr") + F.lit(k) * vocab))
+    per = both.groupBy(F.col("_key").alias(key)).agg(F.avg(nlp).alias(out))
     return df.select(key).join(per, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
 
 

@@ -80,3 +80,40 @@ def test_ranks_are_aligned_after_one_exchange(spark):
         (1, 0, 1, 5.0), (1, 2, 1, 7.0), (1, 3, 2, 0.0), (None, 0, 1, 0.0)}
     plan = x._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_token_nll_sends_each_pair_once_a_chunk(spark, monkeypatch):
+    """Against a plain count, over several chunks, with another corpus, repeated
+    and null keys; no row per text and pair is shuffled."""
+    import math
+    import random
+    from collections import Counter
+
+    from prefeval.operators import metrics as M
+    monkeypatch.setattr(M, "CHUNK_CHARS", 300, raising=False)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("a b c dd é 1 2 3".split()) for _ in range(rng.randrange(14))) for _ in range(120)]
+    rows = [(i if i % 10 else None, t) for i, t in enumerate(texts)] + [(3, "a  b\ta"), (4, None), (5, texts[5]), (200, "x"), (201, "a b")]
+    other = [(i, t) for i, t in rows[::3]] + [(7, "zz zz zz")]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+
+    def plain(rows, corpus, k):
+        split = lambda t: (t or "").split()
+        pairs = Counter(p for _, t in corpus for p in zip(split(t), split(t)[1:]))
+        first, vocab = Counter(), {w for _, t in corpus for w in split(t)}
+        for (a, _), n in pairs.items():
+            first[a] += n
+        by = {}
+        for i, t in rows:
+            by.setdefault(i, []).extend(-math.log((pairs[p] + k) / (first[p[0]] + k * len(vocab))) for p in zip(split(t), split(t)[1:]))
+        return sorted(((i, sum(by[i]) / len(by[i]) if i is not None and by[i] else 0.0) for i, _ in rows), key=str)
+
+    df = frame(rows)
+    for corpus, listed, k in ((df, rows, 1.0), (frame(other), other, 0.5)):
+        got = M.token_nll(df, corpus, k=k)
+        want = plain(rows, listed, k)
+        found = sorted(((r.doc_id, r.nll) for r in got.collect()), key=str)
+        assert [r[0] for r in found] == [r[0] for r in want] and all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(found, want))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        dealt = [x for x in plan.splitlines() if "hashpartitioning(" in x]
+        assert dealt and not any("prev" in x.split("hashpartitioning(")[1] for x in dealt)
