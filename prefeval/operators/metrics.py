@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefeval.functions.keys import dense_index
-from prefeval.session import materialize
 from prefeval.functions.text import c, count_below, py_strip, repeat_for, words
 
 # Default bin edges of the proxy tasks when quantiles cannot be
