@@ -1,10 +1,13 @@
 import pickle
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from prefeval.llm.toxicity import BlockMaxIndex, letters, score_documents
+from prefeval.llm import toxicity
+from prefeval.llm.toxicity import BlockMaxIndex, TermIds, letters, runs, score_documents, terms_of
 
 
 def test_index_is_exact():
@@ -95,3 +98,56 @@ def test_letters_as_before():
     odd = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c % 7)
     for text in (odd[:60000], odd, "abc é½² x1_y 中文 𝒳z", ""):
         assert letters(text) == re.findall(r"[^\W\d_]+", text)
+
+
+def test_each_part_is_looked_up_once():
+    """Words are looked up once per run of texts, not once per text; terms and counts are those of a plain loop."""
+    looked = []
+
+    class Seen(TermIds):
+        def __getitem__(self, part):
+            looked.append(part)
+            return super().__getitem__(part)
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 4, n)) for n in rng.integers(1, 11, 60)]
+    words += ["état", "ΑΣ", "ΑΣ'Α", "İstanbul", "naïve—café", "x1_y", "𝒳z", "中文", "é½²", "don't", " "]
+    texts = ["", "  12 ", *(" ".join(rng.choice(words, 40).tolist()) for _ in range(300))]
+    vocabulary = sorted({t for x in texts[::2] for w in re.findall(r"[^\W\d_]+", x.lower()) for t in terms_of(w)})
+    known = Seen(pa.array(vocabulary, pa.large_string()))
+    terms, counts, start = known.counted(texts)
+    assert len(looked) == len(set(looked)) <= 2 * len(words)
+    number = {t: n for n, t in enumerate(vocabulary)}
+    for x, a, b in zip(texts, start, start[1:]):
+        want = Counter(number[t] for w in re.findall(r"[^\W\d_]+", x.lower()) for t in terms_of(w) if t in number)
+        assert dict(zip(terms[a:b].tolist(), counts[a:b].tolist())) == want and (np.diff(terms[a:b]) > 0).all()
+    assert known.held(texts).tolist() == terms.tolist()
+
+
+def test_runs_are_bounded():
+    texts = ["a" * (n * 7919 % 9000) for n in range(1500)] + [None, "b" * (3 << 20), ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    got = list(runs([batch, batch.slice(0, 0)], 0))
+    assert [x for b in got for x in b.column(0).to_pylist()] == texts
+    assert all(b.num_rows <= 512 and (b.num_rows == 1 or sum(len(x or "") for x in b.column(0).to_pylist()) <= 1 << 21) for b in got)
+
+
+def test_postings_are_exact(monkeypatch):
+    """Most terms stand in postings, in lines of several examples; blocks are left out."""
+    monkeypatch.setattr(toxicity, "COMMON", 12)
+    rng = np.random.default_rng(2)
+    terms, rows = 400, []
+    for n in range(700):
+        t = np.unique(np.concatenate([rng.zipf(1.2, 12) % 100, rng.integers(n // 70 * 30, n // 70 * 30 + 60, 9)]))
+        rows.append((t, rng.integers(1, 5, len(t))))
+    rows[5] = rows[400] = (np.empty(0, int), np.empty(0, int))
+    idf, ids = rng.uniform(1, 6, terms), (rng.permutation(len(rows)) * 3).tolist()
+    index = BlockMaxIndex(ids, [0] * len(rows), rows, idf, k=7)
+    dense = np.zeros((len(rows), terms))
+    for v, (t, c) in zip(dense, rows):
+        v[t] = (1 + np.log(c)) * idf[t]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+    for (got, sims), row, v in zip(index.nearest_of([(*r, -1) for r in rows]), rows, dense):
+        cos = dense @ v
+        want = np.lexsort((ids, -np.round(cos, 12)))[:7]
+        want = want[cos[want] > 0]
+        assert index.ids[got].tolist() == np.array(ids)[want].tolist() and np.allclose(sims, cos[want])
