@@ -7,9 +7,12 @@ dimensions (bounded per row) and aggregate, or build one Gramian per task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,48 +37,111 @@ def length_ttr(col) -> Column:
 
 
 # --------------------------------------------------------------------------- M2
-CHUNK_CHARS = 6_000_000    # text of a chunk of rows
-
-
-def with_bigrams(x: DataFrame, text, name: str) -> DataFrame:
-    """The array ``name`` of (prev, word) for tokens 2..n: the token array
-    zipped with itself shifted by one (one split per text, linear)."""
-    x = x.withColumn("_t", words(F.coalesce(c(text), F.lit(""))))
-    n = F.size("_t")
-    z = F.arrays_zip(F.col("_t").alias("prev"), F.slice("_t", 2, F.greatest(n - 1, F.lit(1))).alias("word"))
-    return x.withColumn(name, F.when(n >= 2, F.slice(z, 1, n - 1))).drop("_t")
-
-
-def one_by_one(x: DataFrame, name: str) -> DataFrame:
-    # explode_outer + null filter: a plain explode lets Catalyst push an
-    # inferred size(...) > 0 filter (the whole tokenisation) into the scan
-    return x.withColumn(name, F.explode_outer(name)).filter(F.col(name).isNotNull())
-
-
-def packed(x: DataFrame, n: str, *by: str) -> DataFrame:
-    """One row per ``by`` with sorted lines 'prev word n' (no n: 1). Words hold
-    no white space; such rows shuffle in a fraction of a row per pair."""
-    line = F.concat_ws(" ", "_prev", "_word", F.when(F.col(n) != 1, F.col(n).cast("string")))
-    return x.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("_text"))
-
-
-def unpacked(x: DataFrame, line, n: str) -> DataFrame:
-    x = x.withColumn("_s", F.split(line, " "))
-    return x.withColumns({"_prev": F.get("_s", F.lit(0)), "_word": F.get("_s", F.lit(1)),
-                          n: F.coalesce(F.get("_s", F.lit(2)), F.lit("1")).cast("long")}).drop("_s")
-
-
-def chunk_counts(rows: DataFrame, chunks: int, counts: bool, asks: bool) -> DataFrame:
-    """The pairs of each chunk of rows with their counts, and each first word
-    with the empty word for all pairs that it begins, dealt to shards."""
-    x = with_bigrams(rows.select("_chunk", "_text").repartition(chunks, "_chunk"), "_text", "_p").drop("_text")
-    begun = F.transform("_p", lambda b: F.struct(b["prev"].alias("prev"), F.lit("").alias("word")))
-    x = one_by_one(x.withColumn("_p", F.concat("_p", begun)), "_p")
-    x = x.groupBy("_chunk", F.col("_p.prev").alias("_prev"), F.col("_p.word").alias("_word")).agg(F.count(F.lit(1)).alias("_n"))
-    if not counts:
-        x = x.withColumn("_n", F.lit(0))
-    shard = F.pmod(F.xxhash64("_prev", "_word"), F.lit(chunks)).cast("int")
-    return packed(x.withColumn("_shard", shard), "_n", "_chunk", "_shard").withColumn("_asks", F.lit(asks))
+CHUNK_CHARS = 8_000_000    # text of a chunk of rows
+
+
+def text_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words (as ``words``) in order of appearance, and the word and the text of every token."""
+    split = pc.utf8_split_whitespace(texts)
+    found, owner = split.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+    full = pc.not_equal(found, "").to_numpy(zero_copy_only=False)      # blank ends split off empty words
+    if not full.all():
+        found, owner = found.filter(pa.array(full)), owner[full]
+    found = found.dictionary_encode()
+    return found.dictionary, found.indices.to_numpy().astype(np.int64), owner
+
+
+def word_hash(found: pa.Array) -> np.ndarray:
+    """A number per word, from its bytes; it only deals words to shards."""
+    if not len(found):
+        return np.zeros(0, np.uint64)
+    found = pa.concat_arrays([found])
+    at = np.frombuffer(found.buffers()[1], np.int32)[found.offset:][:len(found) + 1]
+    data, size, starts = np.frombuffer(found.buffers()[2], np.uint8)[at[0]:at[-1]], np.diff(at), at[:-1] - at[0]
+    power = np.cumprod(np.full(size.max(), 0x9E3779B97F4A7C15, np.uint64))
+    return np.add.reduceat(data * power[np.arange(len(data)) - np.repeat(starts, size)], starts)
+
+
+class ChunkPairs:
+    """The pairs of a chunk with their counts, and each word with the empty word
+    for all pairs that it begins, dealt to shards. The order depends on the
+    distinct texts alone, so sums come back without words."""
+
+    def __init__(self, texts: pa.Array, times: np.ndarray, shards: int):
+        found, code, owner = text_words(texts)
+        follows = owner[1:] == owner[:-1]
+        self.owner, prev, word = owner[1:][follows], code[:-1][follows], code[1:][follows]
+        pairs, self.pair = np.unique(prev << 32 | word, return_inverse=True)
+        n = len(found)
+        self.prev, self.word = np.append(pairs >> 32, np.arange(n)), np.append(pairs & 0xFFFFFFFF, np.full(n, n))
+        self.begun = len(pairs) + (pairs >> 32)                         # where the sum for a pair's first word stands
+        self.words = pa.concat_arrays([found, pa.array([""], found.type)])
+        weight = times[self.owner]
+        self.n = np.append(np.bincount(self.pair, weight, len(pairs)), np.bincount(prev, weight, n)).astype(np.int64)
+        h = np.append(word_hash(found), np.uint64(0))
+        h = (h[self.prev] ^ h[self.word] >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
+        shard = (h % np.uint64(shards)).astype(np.min_scalar_type(shards))      # 16 bits sort by digits
+        self.order = np.argsort(shard, kind="stable")
+        self.cuts = np.append(0, np.cumsum(np.bincount(shard, minlength=shards)))
+
+
+def chunk_rows(batches) -> tuple:
+    """Of a chunk: sorted distinct texts, the text of each row, keys, and the
+    sums sent back with the size of the vocabulary. Copies are held once."""
+    seen, at, keys, back = pa.array([], pa.string()), [], [], {}
+    for b in batches:
+        if "_shard" in b.schema.names:
+            sent = b.filter(pc.is_valid(b.column("_shard")))
+            for s, sums, vocab in zip(*(sent.column(x) for x in ("_shard", "_sums", "_vocab"))):
+                back[s.as_py()] = sums.values.to_numpy(), vocab.as_py()
+            b = b.filter(pc.is_null(b.column("_shard")))
+        keys.append(b.column("_key"))
+        text = b.column("_text").dictionary_encode()
+        seen = pc.unique(pa.concat_arrays([seen, text.dictionary]))
+        at.append(pc.index_in(text.dictionary, seen).to_numpy()[text.indices.to_numpy()])
+    order = pc.sort_indices(seen)
+    place = np.empty(len(seen), np.int64)
+    place[order.to_numpy()] = np.arange(len(seen))
+    return seen.take(order), place[np.concatenate(at)], pa.concat_arrays(keys), back
+
+
+def pair_counts(dealt: DataFrame, shards: int, counts: bool, asks: bool) -> DataFrame:
+    """A row for each chunk and shard, with the chunk's pairs that are summed
+    there (lines of first words, then of second words) and their counts."""
+    def run(chunk: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, at, *_ = chunk_rows(batches)
+        p, zstd = ChunkPairs(texts, np.bincount(at, minlength=len(texts)), shards), pa.Codec("zstd", 1)
+        cuts = pa.array(p.cuts, pa.int32())
+        prev, word = (pc.binary_join(pa.ListArray.from_arrays(cuts, p.words.take(pa.array(x[p.order]))), "\n") for x in (p.prev, p.word))
+        lines = pc.binary_join_element_wise(prev, word, "\n")
+        n = pa.ListArray.from_arrays(cuts, pa.array(p.n[p.order] if counts else np.zeros(len(p.n), np.int64)))
+        yield pa.RecordBatch.from_pydict({
+            "_chunk": pa.array([chunk[0].as_py()] * shards, pa.int32()), "_shard": pa.array(range(shards), pa.int32()),
+            "_counts": [counts] * shards, "_asks": [asks] * shards, "_n": n, "_bytes": pc.binary_length(lines),
+            "_lines": [zstd.compress(x.as_buffer(), asbytes=True) for x in lines]})
+    return dealt.groupBy("_chunk").applyInArrow(
+        run, "_chunk int, _shard int, _counts boolean, _asks boolean, _n array<long>, _bytes int, _lines binary")
+
+
+def pair_sums(sent: DataFrame) -> DataFrame:
+    """For each row that asks, the sums over all chunks in its order, and the
+    number of words of the corpus that the shard knows."""
+    def run(rows: pa.Table) -> pa.Table:
+        rows, zstd = rows.combine_chunks(), pa.Codec("zstd")
+        size = pc.list_value_length(rows["_n"]).to_numpy()
+        lines = [zstd.decompress(x.as_buffer(), n, asbytes=True) for x, n, k in zip(rows["_lines"], rows["_bytes"].to_pylist(), size) if k]
+        found = pc.split_pattern(pa.array(lines, pa.binary()).cast(pa.string()), "\n").flatten().dictionary_encode()
+        code = found.indices.to_numpy().astype(np.int64)
+        first = np.arange(size.sum()) + np.repeat(np.cumsum(size) - size, size)
+        word = code[first + np.repeat(size, size)]
+        _, at = np.unique(code[first] << 32 | word, return_inverse=True)
+        sums = np.bincount(at, pc.list_flatten(rows["_n"]).to_numpy()).astype(np.int64)[at]
+        known = np.repeat(rows["_counts"].to_numpy(), size) & (word == found.dictionary.index("").as_py())
+        out = {"_chunk": rows["_chunk"], "_shard": rows["_shard"],
+               "_sums": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(sums)),
+               "_vocab": np.full(len(size), len(np.unique(at[known])))}
+        return pa.table(out).filter(rows["_asks"])
+    return sent.groupBy("_shard").applyInArrow(run, "_chunk int, _shard int, _sums array<long>, _vocab long")
 
 
 def token_nll(df: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str = "text",
@@ -84,44 +150,45 @@ def token_nll(df: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str =
     on ``corpus``; fewer than two tokens -> 0.
 
     Rows are dealt to chunks of bounded text by a hash. A chunk counts its
-    pairs and sends each once, packed as lines of text, to where the pair is
-    summed over all chunks. Only sums that differ from the chunk's own count
-    come back; one more shuffle brings them and the texts together, and windows
-    set the counts beside every token. A hot pair sends a line per chunk, not
-    per text, and pairs with a hot first word are spread over all shards."""
+    pairs and sends each once, packed as lines of text, to the shard where the
+    pair is summed over all chunks. The sums come back in the order sent to the
+    chunk's texts, which are split again and add up their pairs. A hot pair
+    sends a line per chunk, not per text, and pairs with a hot first word are
+    spread over all shards. Words are compared as text; their hash only deals."""
     one = corpus is df
-    asked = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     chars = F.coalesce(F.sum(F.length(text).cast("double")), F.lit(0.0)).alias("n")
     chunks = 1 + int(max(x.agg(chars).first().n for x in ([df] if one else [df, corpus])) / CHUNK_CHARS)
-    dealt = lambda x: x.withColumn("_chunk", F.pmod(F.xxhash64(*x.columns), F.lit(chunks)).cast("int"))
-    asked = dealt(asked)
-    sent = chunk_counts(asked, chunks, one, True)
+    parts = max(chunks, min(4 * chunks, 64))    # so that of few chunks no two share a partition
+    valid = F.coalesce(F.make_valid_utf8(F.col(text).cast("string")), F.lit("")).alias("_text")
+
+    def dealt(x, key):
+        x = x.select(key.alias("_key"), valid)
+        return x.withColumn("_chunk", F.pmod(F.xxhash64("_key", "_text"), F.lit(chunks)).cast("int")).repartition(parts, "_chunk")
+
+    asked = dealt(df, F.col(key))
+    sent = pair_counts(asked, chunks, one, True)
     if not one:
-        sent = sent.unionByName(chunk_counts(dealt(corpus.select(F.col(text).alias("_text"))), chunks, True, False))
-    sums = sent.repartition(chunks, "_shard").withColumn("_text", F.explode(F.split("_text", "\n")))
-    sums = unpacked(sums, "_text", "_n").drop("_text")
-    sums = sums.withColumn("_c", F.sum("_n").over(Window.partitionBy("_shard", "_prev", "_word")))
-    # a chunk counts its own pairs again, so only other sums are sent back
-    back = packed(sums.filter(F.col("_c") != F.col("_n")) if one else sums.filter("_asks"), "_c", "_chunk", "_shard")
-
-    back = back.select("_chunk", F.lit(None).cast(asked.schema["_key"].dataType).alias("_key"), "_text", F.lit(0).alias("_own"))
-    both = asked.select("_chunk", "_key", "_text", F.lit(1).alias("_own")).unionByName(back).repartition(chunks, "_chunk")
-    own = F.col("_own") == 1
-    both = with_bigrams(both, F.when(own, F.col("_text")), "_p")
-    lines = F.transform(F.split("_text", "\n"), lambda x: F.struct(x.alias("prev"), F.lit("").alias("word")))
-    both = one_by_one(both.withColumn("_p", F.when(own, F.col("_p")).otherwise(lines)).drop("_text"), "_p")
-    both = unpacked(both, F.when(~own, F.col("_p.prev")), "_c")
-    both = both.select("_chunk", "_key", "_own", F.when(~own, F.col("_c")).alias("_c"),
-                       *(F.when(own, F.col(f"_p.{x}")).otherwise(F.col(f"_{x}")).alias(f"_{x}") for x in ("prev", "word")))
-    by_prev, by_pair = Window.partitionBy("_chunk", "_prev"), Window.partitionBy("_chunk", "_prev", "_word")
-    both = both.withColumn("_pw", F.coalesce(F.max("_c").over(by_pair), F.sum("_own").over(by_pair)))
-    begun = F.max(F.when(F.col("_word") == "", F.col("_c"))).over(by_prev)
-    both = both.withColumn("_pr", F.coalesce(begun, F.sum("_own").over(by_prev))).filter("_own = 1")
-
-    seen = corpus.select(F.array_distinct(words(F.coalesce(c(text), F.lit("")))).alias("_w"))
-    vocab = one_by_one(seen, "_w").distinct().agg(F.count(F.lit(1))).scalar()
-    nlp = -F.log((F.col("_pw") + F.lit(k)) / (F.col("_pr") + F.lit(k) * vocab))
-    per = both.groupBy(F.col("_key").alias(key)).agg(F.avg(nlp).alias(out))
+        sent = sent.unionByName(pair_counts(dealt(corpus, F.lit(0)), chunks, True, False))
+    back = pair_sums(sent.repartition(parts, "_shard")).repartition(parts, "_chunk")
+    strict = df.sparkSession.conf.get("spark.sql.ansi.enabled") == "true"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, at, keys, back = chunk_rows(batches)
+        p = ChunkPairs(texts, np.bincount(at, minlength=len(texts)), chunks)
+        sums = np.empty(len(p.n), np.int64)
+        sums[p.order] = np.concatenate([back[s][0] for s in range(chunks)])
+        above, below = sums[:len(p.begun)] + k, sums[p.begun] + k * sum(vocab for _, vocab in back.values())
+        if strict and not below.all():
+            raise ZeroDivisionError("k is 0 or the corpus has no words, and it does not have a first word")
+        some = (above > 0) & (below > 0)         # others are null in SQL, no part of the mean
+        nlp = -np.log(np.divide(above, below, where=some, out=np.ones(len(some))))
+        total, n = (np.bincount(p.owner, x[p.pair], len(texts))[at].astype(float) for x in (nlp, some))
+        yield pa.RecordBatch.from_pydict({"_key": keys, "_sum": total, "_n": n}).filter(pa.array(n > 0))
+
+    both = asked.unionByName(back, allowMissingColumns=True)     # one exchange of the texts serves both uses
+    fields = [asked.schema["_key"], T.StructField("_sum", T.DoubleType()), T.StructField("_n", T.DoubleType())]
+    per = both.groupBy("_chunk").applyInArrow(run, T.StructType(fields))
+    per = per.groupBy(F.col("_key").alias(key)).agg((F.sum("_sum") / F.sum("_n")).alias(out))
     return df.select(key).join(per, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
 
 

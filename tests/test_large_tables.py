@@ -1,6 +1,7 @@
 """Operators whose cost per row or batch must stay small."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from prefeval.operators import lang as L
@@ -117,3 +118,54 @@ def test_token_nll_sends_each_pair_once_a_chunk(spark, monkeypatch):
         plan = got._jdf.queryExecution().executedPlan().toString()
         dealt = [x for x in plan.splitlines() if "hashpartitioning(" in x]
         assert dealt and not any("prev" in x.split("hashpartitioning(")[1] for x in dealt)
+
+
+def test_token_nll_makes_no_row_per_token(spark, monkeypatch):
+    """Neither explodes nor sorts tokens, and shuffles the texts once; odd
+    blanks, bytes that are no UTF-8, long words and copies of rows count as in
+    a plain count, also with no smoothing."""
+    import math
+    from collections import Counter
+
+    from prefeval.functions.text import WS_CHARS
+    from prefeval.operators import metrics as M
+    monkeypatch.setattr(M, "CHUNK_CHARS", 400)
+    texts = [x.join(["", "ab", "😀", "", "ab", "é" * 9, ""]) for x in WS_CHARS] + ["ab ab " * 40, " ", "", None, "​ a\x00b ab", "x" * 5000 + " y"]
+    rows = [(f"k{i % 30}", t) for i, t in enumerate(texts)] + [("k1", "ab 😀 q")] * 50 + [(None, "ab ab")]
+    df = spark.createDataFrame(rows, "name string, said string")
+    df = df.unionByName(spark.sql("SELECT 'bad' AS name, CAST(X'6162FF2061622062' AS STRING) AS said"))
+    rows.append(("bad", "ab� ab b"))
+
+    split = {t: (t or "").split() for _, t in rows}
+    pairs = Counter(p for _, t in rows for p in zip(split[t], split[t][1:]))
+    first, vocab = Counter(), {w for x in split.values() for w in x}
+    for (a, _), n in pairs.items():
+        first[a] += n
+    for k in (1.0, 0.0):
+        by = {}
+        for i, t in rows:
+            by.setdefault(i, []).extend(-math.log((pairs[p] + k) / (first[p[0]] + k * len(vocab))) for p in zip(split[t], split[t][1:]))
+        want = sorted((str(i), round(sum(by[i]) / len(by[i]), 9) if i is not None and by[i] else 0.0) for i, _ in rows)
+        x = M.token_nll(df, df, key="name", text="said", k=k)
+        assert sorted((str(r.name), round(r.nll, 9) + 0.0) for r in x.collect()) == want
+        plan = x._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "Window" not in plan and "Generate" not in plan and "ReusedExchange" in plan
+
+
+def test_token_nll_over_a_corpus_without_words(spark):
+    from pyspark.errors import PySparkException
+
+    from prefeval.operators import metrics as M
+    df = spark.createDataFrame([(1, "a b"), (2, "a"), (3, None)], "doc_id long, text string")
+    none = df.filter("doc_id = 3")
+    assert {r.doc_id: r.nll for r in M.token_nll(none, df).collect()} == {3: 0.0}
+    assert M.token_nll(df.limit(0), df).collect() == []
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        assert {r.doc_id: r.nll for r in M.token_nll(df, none).collect()} == {1: 0.0, 2: 0.0, 3: 0.0}
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+        with pytest.raises(PySparkException):
+            M.token_nll(df, none).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
