@@ -107,13 +107,13 @@ def chunk_rows(batches) -> tuple:
 
 def pair_counts(dealt: DataFrame, shards: int, counts: bool, asks: bool) -> DataFrame:
     """A row for each chunk and shard, with the chunk's pairs that are summed
-    there (lines of first words, then of second words) and their counts."""
+    there, as lines 'prev word', and their counts."""
     def run(chunk: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, at, *_ = chunk_rows(batches)
         p, zstd = ChunkPairs(texts, np.bincount(at, minlength=len(texts)), shards), pa.Codec("zstd", 1)
         cuts = pa.array(p.cuts, pa.int32())
-        prev, word = (pc.binary_join(pa.ListArray.from_arrays(cuts, p.words.take(pa.array(x[p.order]))), "\n") for x in (p.prev, p.word))
-        lines = pc.binary_join_element_wise(prev, word, "\n")
+        line = pc.binary_join_element_wise(*(p.words.take(pa.array(x[p.order])) for x in (p.prev, p.word)), " ")
+        lines = pc.binary_join(pa.ListArray.from_arrays(cuts, line), "\n")
         n = pa.ListArray.from_arrays(cuts, pa.array(p.n[p.order] if counts else np.zeros(len(p.n), np.int64)))
         yield pa.RecordBatch.from_pydict({
             "_chunk": pa.array([chunk[0].as_py()] * shards, pa.int32()), "_shard": pa.array(range(shards), pa.int32()),
@@ -131,12 +131,10 @@ def pair_sums(sent: DataFrame) -> DataFrame:
         size = pc.list_value_length(rows["_n"]).to_numpy()
         lines = [zstd.decompress(x.as_buffer(), n, asbytes=True) for x, n, k in zip(rows["_lines"], rows["_bytes"].to_pylist(), size) if k]
         found = pc.split_pattern(pa.array(lines, pa.binary()).cast(pa.string()), "\n").flatten().dictionary_encode()
-        code = found.indices.to_numpy().astype(np.int64)
-        first = np.arange(size.sum()) + np.repeat(np.cumsum(size) - size, size)
-        word = code[first + np.repeat(size, size)]
-        _, at = np.unique(code[first] << 32 | word, return_inverse=True)
+        at = found.indices.to_numpy()
         sums = np.bincount(at, pc.list_flatten(rows["_n"]).to_numpy()).astype(np.int64)[at]
-        known = np.repeat(rows["_counts"].to_numpy(), size) & (word == found.dictionary.index("").as_py())
+        begun = pc.ends_with(found.dictionary, " ").to_numpy(zero_copy_only=False)
+        known = np.repeat(rows["_counts"].to_numpy(), size) & begun[at]
         out = {"_chunk": rows["_chunk"], "_shard": rows["_shard"],
                "_sums": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(sums)),
                "_vocab": np.full(len(size), len(np.unique(at[known])))}
